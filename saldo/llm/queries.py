@@ -30,3 +30,37 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_array_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),
                       F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def fold(column, n: int):
+    """crc32 of the id as text, modulo n; 0 for a null id."""
+    return F.coalesce(F.crc32(column.cast("string").cast("binary")) % n, F.lit(0))
+
+
+@query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from saldo.llm.langid import detect_language, train_language_model
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    model = train_language_model(docs.filter(~held_out), "doc_id", "text", "lang")
+    return detect_language(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from saldo.llm.toxicity import score_toxicity, train_toxicity_model
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    held_out = fold(F.col("doc_id"), 5) == 0
+    model = train_toxicity_model(docs.select("doc_id", "text").join(labels, "doc_id", "left").filter(~held_out))
+    return score_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op7_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from saldo.llm.kneser_ney import quality_filter
+
+    trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1").select("doc_id")
+    return quality_filter(spark.read.parquet(f"{sf_dir}/documents.parquet"), trusted)
