@@ -1,12 +1,73 @@
-"""Corpus pipeline: language ID, near-duplicate removal, repeated passages, source mixing, SentencePiece ids."""
+"""Corpus pipeline: language ID, near-duplicate removal, repeated passages, source mixing, SentencePiece ids.
+
+Every stage takes (spark, docs, sf_dir), docs with the columns of `documents`, and works on all its predecessor kept.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from saldo.llm import langid, mixing, ngram_join, sentencepieces, suffix_dedup
+from saldo.llm.common import ensure_checkpoint_dir
+from saldo.llm.queries import fold
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops texts without a letter and those whose best language has a probability under 0.5."""
+    model = langid.train_language_model(docs.filter(fold(F.col("doc_id"), 4) != 2), "doc_id", "text", "lang")
+    told = langid.detect_language(docs, model, keep_cols=tuple(COLUMNS))
+    return told.filter("lang_pred != 'und' and score >= 0.5").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each class of near copies."""
+    first = ngram_join.ngram_jaccard_join(docs).filter("doc_id = class_id").select("doc_id").distinct()
+    return docs.join(first, "doc_id", "left_semi").select(*COLUMNS)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts passages of 50 bytes and more that a smaller id has, at character bounds; texts with nothing left go."""
+    out = suffix_dedup.suffix_array_dedup(docs, whole_characters=True, keep_cols=("lang", "source"))
+    text = F.decode("kept", "UTF-8")
+    return out.withColumn("text", text).filter("trim(text) != ''").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats documents so that sources weigh as the square root of their size, in random order."""
+    return mixing.mix_sources(docs).select(*COLUMNS)
+
+
+def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of each text, and whether decoding gives the text back."""
+    table = sentencepieces.PieceTable(sentencepieces.default_model_path())
+    ids = sentencepieces.encode(docs, table, keep_cols=("doc_id", "source", "lang", "text"))
+    back = sentencepieces.decode(ids, table, keep_cols=("doc_id", "source", "lang", "ids", "text"))
+    return back.select("doc_id", "source", "lang", "ids", F.size("ids").cast("long").alias("n_ids"), (F.col("decoded") == F.col("text")).alias("round_trip"))
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("n-gram Jaccard join", near_duplicates),
+    ("suffix-array dedup", repeated_passages),
+    ("mixing sources", source_mix),
+    ("SentencePiece encoding", piece_ids),
+]
 
-STAGES: list = []
+#: The stages train a network, compare MinHash values and segment words: SQL can't express them.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages on `documents`; each result is written as Parquet in the shared checkpoint folder and read again."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
+        docs = spark.read.parquet(f"{folder}/{i}")
+    return docs

@@ -14,14 +14,26 @@ BITS = 18
 FOLD = np.array([c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)], np.uint8)
 
 
+#: Buckets kept for the manner of writing: the share of capitals among ASCII letters, and of exclamation marks among bytes.
+STYLE = (1 << BITS) - 32
+
+
 def word_features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The bucket, and the row, of each word."""
+    """The bucket, and the row, of each word; sorted by row. Each row that is not empty has two buckets of style besides."""
+    rows = np.flatnonzero(np.diff(at))
+    if not len(rows):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     folded = FOLD[data]
     starts, ends, first = word_spans(folded, at)
-    if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h = span_hash(prefix_hash(folded), starts, ends) >> U64(64 - BITS)
-    return h.astype(np.int64), np.repeat(np.arange(len(at) - 1), np.diff(first))
+    h = (span_hash(prefix_hash(folded), starts, ends) >> U64(64 - BITS)).astype(np.int64) % STYLE
+    count = lambda mask: np.add.reduceat(mask.astype(np.int64), at[rows])
+    upper, lower = count((data >= 65) & (data <= 90)), count((data >= 97) & (data <= 122))
+    shout = STYLE + np.minimum(10 * upper // np.maximum(upper + lower, 1), 9)
+    marks = STYLE + 16 + np.searchsorted([1, 5, 20, 50], 1000 * count(data == 33) // np.diff(at)[rows], "right")
+    bucket = np.concatenate([h, shout, marks])
+    row = np.concatenate([np.repeat(np.arange(len(at) - 1), np.diff(first)), rows, rows])
+    order = np.argsort(row, kind="stable")
+    return bucket[order], row[order]
 
 
 def _bags(batches):
@@ -50,9 +62,12 @@ class PuModel:
         size = 1 << BITS
         share = lambda bags: np.bincount(np.concatenate(bags), minlength=size) / len(bags)
         in_p, in_u = share(positive), share(unlabelled)
-        # words of a few positive texts at least that stand out among them; the others can't raise a score
-        fewest = max(2.0, 0.005 * len(positive)) / len(positive)
-        words = np.flatnonzero((in_p >= fewest) & (in_p > 1.5 * in_u))
+        # buckets that stand out among the positive texts beyond chance: the Chernoff bound on a Poisson count at the
+        # unlabelled rate, shared out over all buckets that occur
+        seen = in_p * len(positive)
+        expected = (in_u * len(unlabelled) + 1) / len(unlabelled) * len(positive)
+        excess = np.where(seen > expected, seen * np.log(np.maximum(seen, 1e-9) / expected) - seen + expected, 0)
+        words = np.flatnonzero(excess > np.log(20.0 * max(1, np.count_nonzero(seen))))
         weights = np.zeros(size)
         bias = float(np.log(prior / (1 - prior)))
         if not len(words):
