@@ -7,103 +7,284 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saldo.llm.common import U64, cut, keyed_groups, pieces, prefix_hash, span_hash, spread, text_buffer
+from saldo.llm.common import U64, keyed_groups, mix, pieces, prefix_hash, span_hash, spread, text_buffer
 from saldo.llm.suffix_array import long_prefixes, suffix_array
 
-#: Bytes of an anchor. Any `length` bytes contain length - ANCHOR + 1 candidates and share the smallest of them.
+#: Bytes of an anchor. Any `length` bytes contain length - ANCHOR + 1 runs of so many bytes; their smallest hash is the anchor.
 ANCHOR = 20
-NONE = np.iinfo(np.uint64).max
+#: What travels between the steps: packed columns under a key.
+PACKED = "key int, kind int, blob binary"
+GONE, COPY, OPEN, TEXT = 0, 1, 2, 3
 
 
-def _sliding(x: np.ndarray, w: int, f) -> np.ndarray:
-    """f over x[i : i + w] for each i that has them all."""
+def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
+    """Minimum of x[i : i + w] for each i that has them all."""
     have, out = 1, x
     while have < w:
         step = min(have, w - have)
-        out = f(out[: len(out) - step], out[step:])
+        out = np.minimum(out[: len(out) - step], out[step:])
         have += step
     return out
 
 
-def anchors(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions, and hashes, of the byte runs that are the smallest of some window of `length` bytes of their row."""
-    w = length - ANCHOR + 1
-    n = len(data) - ANCHOR + 1
-    if n < w:
-        return np.zeros(0, np.int64), np.zeros(0, U64)
-    starts = np.arange(n)
-    h = span_hash(prefix_hash(data), starts, starts + ANCHOR) >> U64(1)
-    whole = np.zeros(n - w + 1, bool)  # the windows that don't cross the end of a row
+def window_runs(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Maximal runs of neighbouring windows of `length` bytes, each within one row, that have the same anchor.
+
+    Returns the first window's start, the number of windows, the anchor, and a hash of all bytes of the run.
+    """
+    w, n = length - ANCHOR + 1, len(data) - length + 1
     inside = np.diff(at) - length + 1
     has = inside > 0
-    rise = np.zeros(n - w + 2, np.int32)
-    np.add.at(rise, at[:-1][has], 1)
-    np.add.at(rise, at[:-1][has] + inside[has], -1)
-    whole = np.cumsum(rise[:-1]) > 0
-    least = np.where(whole, _sliding(h, w, np.minimum), NONE)
-    edge = np.full(w - 1, NONE, U64)
-    # h is the smallest of a window if one of the windows around it has it as its minimum; h >= every such minimum
-    least = np.where(least == NONE, U64(0), least)
-    edge[:] = 0
-    top = _sliding(np.concatenate([edge, least, edge]), w, np.maximum)
-    chosen = np.flatnonzero((top == h) & (h > 0))
-    return chosen, h[chosen]
-
-
-def _anchor_rows(batches, length):
+    if n <= 0 or not has.any():
+        z = np.zeros(0, np.int64)
+        return z, z, z.astype(U64), z.astype(U64)
+    sums = prefix_hash(data)
+    starts = np.arange(len(data) - ANCHOR + 1)
+    least = _sliding_min(span_hash(sums, starts, starts + ANCHOR), w)
+    edge = np.zeros(len(data) + 1, np.int32)
+    np.add.at(edge, at[:-1][has], 1)
+    np.add.at(edge, at[:-1][has] + inside[has], -1)
+    idx = np.flatnonzero(np.cumsum(edge)[:n] > 0)
+    v = least[idx]
+    first = np.concatenate([[0], np.flatnonzero((v[1:] != v[:-1]) | (idx[1:] != idx[:-1] + 1)) + 1])
+    count = np.diff(np.append(first, len(idx)))
+    s = idx[first]
+    return s, count, v[first], span_hash(sums, s, s + count - 1 + length)
+
+
+def _blob(**columns) -> bytes:
+    batch = pa.RecordBatch.from_pydict(columns)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _open(blob: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(blob).read_next_batch()
+
+
+def _rows(key, kind, blobs) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key, pa.int32()), pa.array(kind, pa.int32()), pa.array(blobs, pa.binary())], names=["key", "kind", "blob"])
+
+
+def bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(U64) + U64(3)) % U64(buckets)).astype(np.int32)
+
+
+def _narrow(x: np.ndarray) -> bytes:
+    """Non-negative integers in as few bytes each as the largest needs, behind one byte that says how many."""
+    kind = np.dtype(np.min_scalar_type(int(x.max(initial=0))))
+    return bytes([kind.itemsize]) + x.astype(kind).tobytes()
+
+
+def _pack(n: int, ids: np.ndarray, *columns: np.ndarray, tail: np.ndarray | None = None) -> bytes:
+    """Sorted ids by their differences, small integers narrowed, hashes (uint64) and `tail` as they are."""
+    first = int(ids[0])
+    head = np.array([n, first], np.int64).tobytes() + _narrow(ids - np.concatenate([ids[:1], ids[:-1]]))
+    return head + b"".join(c.tobytes() if c.dtype == U64 else _narrow(c) for c in columns) + (b"" if tail is None else tail.tobytes())
+
+
+def _unpack(blob: bytes, kinds: str) -> list[np.ndarray]:
+    """Ids and columns of a packed row; kinds: a letter for each column (n narrowed, h hash, t five bytes of a hash)."""
+    n, first = np.frombuffer(blob, np.int64, 2)
+    at, out = 16, []
+    for k in "n" + kinds:
+        if k == "n":
+            width = blob[at]
+            out.append(np.frombuffer(blob, f"u{width}", n, at + 1).astype(np.int64))
+            at += 1 + n * width
+        elif k == "h":
+            out.append(np.frombuffer(blob, U64, n, at))
+            at += 8 * n
+        else:
+            wide = np.zeros((n, 8), np.uint8)
+            wide[:, :5] = np.frombuffer(blob, np.uint8, 5 * n, at).reshape(n, 5)
+            out.append(wide.view(U64).ravel())
+            at += 5 * n
+    out[0] = first + np.cumsum(out[0])
+    return out
+
+
+def _deal(key: np.ndarray, kind: int, ids: np.ndarray, *columns: np.ndarray, tail: np.ndarray | None = None) -> pa.RecordBatch:
+    """One packed row per distinct key, its entries sorted by id."""
+    order = np.lexsort((ids, key))
+    key, ids, columns, tail = key[order], ids[order], [c[order] for c in columns], None if tail is None else tail[order]
+    cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]]).tolist() if len(key) else [0]
+    parts = list(zip(cuts[:-1], cuts[1:], strict=True))
+    return _rows([int(key[x]) for x, _ in parts], [kind] * len(parts), [_pack(y - x, ids[x:y], *[c[x:y] for c in columns], tail=None if tail is None else tail[x:y]) for x, y in parts])
+
+
+def merged(ids: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Union of the spans [s, e) of each id."""
+    order = np.lexsort((s, ids))
+    ids, s, e = ids[order], s[order], e[order]
+    if not len(ids):
+        return ids, s, e
+    new = np.concatenate([[True], ids[1:] != ids[:-1]])
+    shift = np.cumsum(new) * (int(e.max()) + 1)  # so that a running maximum doesn't reach into the next id
+    top = np.maximum.accumulate(e + shift)
+    new[1:] |= (s + shift)[1:] > top[:-1]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(ids)) - 1
+    return ids[first], s[first], top[last] - shift[last]
+
+
+def _all_runs(ids: np.ndarray, data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(row, start in the row, windows, anchor, run hash) of all runs of a batch."""
+    out = []
+    for i, j in pieces(at, 1 << 17):
+        local = at[i : j + 1] - at[i]
+        s, n, h, c = window_runs(data[at[i] : at[j]], local, length)
+        row = np.searchsorted(local, s, "right") - 1
+        out.append((row + i, s - local[row], n, h, c))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 5
+
+
+def _requests(batches, length, parts, buckets):
+    """Runs, dealt by anchor. Of equal runs in a batch only those of the smallest id are sent; the others are copies here already."""
     for b in batches:
         ids = b.column(0).to_numpy()
         data, at = text_buffer(b.column(1))
-        for i, j in pieces(at, 1 << 17):
-            pos, h = anchors(data[at[i] : at[j]], at[i : j + 1] - at[i], length)
-            row = np.searchsorted(at[i : j + 1] - at[i], pos, "right") - 1
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[i:j][row]), pa.array(pos - (at[i + row] - at[i]))], names=["h", "id", "pos"])
+        row, s, n, h, c = _all_runs(ids, data, at, length)
+        if not len(row):
+            continue
+        owner = ids[row]
+        order = np.lexsort((owner, c, h))
+        row, s, n, h, c, owner = (x[order] for x in (row, s, n, h, c, owner))
+        first = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
+        low = owner[np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))]
+        gone = owner > low
+        if gone.any():
+            # spans go along under their text's bucket: the receiving step hands them on
+            i, x, y = merged(owner[gone], s[gone], (s + n - 1 + length)[gone])
+            yield _deal(bucket_of(i, buckets) % parts, GONE, i, x, y)
+        h, c, owner = h[~gone], c[~gone], owner[~gone]
+        rest = (h // U64(parts)).view(np.uint8).reshape(-1, 8)[:, :5]
+        yield _deal((h % U64(parts)).astype(np.int32), OPEN, owner, c, tail=rest)
 
 
-def _anchor_ranges(batches, length):
-    """One row for each anchor and batch: the smallest and largest id."""
-    for b in batches:
-        found = [x for x in _anchor_rows([b], length)]
-        if not found:
-            continue
-        h = np.concatenate([x.column(0).to_numpy() for x in found])
-        ids = np.concatenate([x.column(1).to_numpy() for x in found])
-        if not len(h):
+def _answers(batches, buckets, wanted):
+    """For each run that other ids may share, dealt by its text's bucket: COPY (a smaller id has it all; with them the spans
+    that are known already) or OPEN (it is the first of its kind, and other kinds have the same anchor)."""
+    for _, t in keyed_groups(batches, "key"):
+        asked, spans = [], []
+        for kind, blob in zip(t.column("kind").to_pylist(), t.column("blob").to_pylist(), strict=True):
+            if kind == OPEN:
+                asked.append(_unpack(blob, "ht"))
+            elif wanted == COPY:
+                spans.append(_unpack(blob, "nn"))
+        if spans:
+            i, x, y = (np.concatenate(c) for c in zip(*spans, strict=True))
+            yield _deal(bucket_of(i, buckets), GONE, i, x, y)
+        if not asked:
             continue
-        order = np.argsort(h, kind="stable")
-        h, ids = h[order], ids[order]
-        cuts = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1])
-        yield pa.RecordBatch.from_arrays([pa.array(h[cuts]), pa.array(np.minimum.reduceat(ids, cuts)), pa.array(np.maximum.reduceat(ids, cuts))], names=["h", "lo", "hi"])
+        ids, c, h = (np.concatenate(x) for x in zip(*asked, strict=True))
+        order = np.lexsort((ids, c, h))
+        ids, c, h = ids[order], c[order], h[order]
+        new_h = np.concatenate([[True], h[1:] != h[:-1]])
+        new_c = new_h | np.concatenate([[True], c[1:] != c[:-1]])
+        low = ids[np.maximum.accumulate(np.where(new_c, np.arange(len(ids)), 0))]
+        if wanted == COPY:
+            mask = ids > low
+        else:
+            group = np.cumsum(new_h) - 1
+            at = np.flatnonzero(new_h)
+            shared = np.minimum.reduceat(ids, at) < np.maximum.reduceat(ids, at)
+            several = np.add.reduceat(new_c.astype(np.int64), at) > 1
+            mask = (ids == low) & (shared & several)[group]
+        if mask.any():
+            yield _deal(bucket_of(ids[mask], buckets), wanted, ids[mask], c[mask])
 
 
-def _contexts(batches, length):
-    """The bytes that windows around an anchor can reach."""
-    reach = length - ANCHOR
+def _texts(batches, buckets):
+    """Whole rows (id, text, ..) packed by bucket."""
     for b in batches:
-        data, at = text_buffer(b.column(1))
-        ids = b.column(0).to_numpy()
-        lists = b.column(2)
-        offs = lists.offsets.to_numpy()
-        pos, h = lists.flatten().field("pos").to_numpy(), lists.flatten().field("h").to_numpy()
-        offs = offs - offs[0]
-        for i, j in pieces(at, 1 << 19):
-            n = np.diff(offs[i : j + 1])
-            p, row = pos[offs[i] : offs[j]] + np.repeat(at[i:j], n), np.repeat(np.arange(i, j), n)
-            key = h[offs[i] : offs[j]]
-            ok = p + ANCHOR <= at[row + 1]
-            p, row, key = p[ok], row[ok], key[ok]
-            if not len(p):
+        key = bucket_of(b.column(0).fill_null(0).to_numpy(), buckets)
+        order = np.argsort(key, kind="stable")
+        names = [f"f{i}" for i in range(b.num_columns)]
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(key[order])) + 1, [len(order)]]).tolist()
+        parts = [order[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True) if x < y]
+        yield _rows([int(key[p[0]]) for p in parts], [TEXT] * len(parts), [_blob(**{n: c.take(pa.array(p)) for n, c in zip(names, b.columns, strict=True)}) for p in parts])
+
+
+def _join(ids: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return mix(ids.astype(np.int64).view(U64) * U64(0x9E3779B97F4A7C15) ^ c)
+
+
+def _inside(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which of x stand in a sorted array."""
+    if not len(ordered):
+        return np.zeros(len(x), bool)
+    at = np.searchsorted(ordered, x)
+    at[at == len(ordered)] = 0
+    return ordered[at] == x
+
+
+class Notes:
+    """What a bucket was told of its texts: spans that are gone, and runs by id and hash."""
+
+    def __init__(self, gone: list, runs: list):
+        z = np.zeros(0, np.int64)
+        self.gone = tuple(np.concatenate(c) for c in zip(*gone, strict=True)) if gone else (z, z, z)
+        ids, c = (np.concatenate(x) for x in zip(*runs, strict=True)) if runs else (z, z.astype(U64))
+        self.ids, self.runs = np.unique(ids), np.unique(_join(ids, c))
+
+    def find(self, batch: pa.RecordBatch, ids: np.ndarray, length: int):
+        """Rows of the batch with noted runs: (ids, first window, windows, anchor, bytes, offsets, place in the bytes)."""
+        rows = np.flatnonzero(_inside(ids, self.ids))
+        if not len(rows):
+            return None
+        data, at = text_buffer(batch.column(1).take(pa.array(rows)))
+        row, s, n, h, c = _all_runs(ids[rows], data, at, length)
+        hit = _inside(_join(ids[rows][row], c), self.runs)
+        row, s, n, h = row[hit], s[hit], n[hit], h[hit]
+        return ids[rows][row], s, n, h, data, at[row] + s
+
+
+def _bucket_groups(batches):
+    """For each bucket the notes, and its text batches one by one."""
+    for _, t in keyed_groups(batches, "key"):
+        gone, runs, texts = [], [], []
+        for kind, blob in zip(t.column("kind").to_pylist(), t.column("blob").to_pylist(), strict=True):
+            if kind == TEXT:
+                texts.append(blob)
+            elif kind == GONE:
+                gone.append(_unpack(blob, "nn"))
+            else:
+                runs.append(_unpack(blob, "h"))
+        yield Notes(gone, runs), map(_open, texts)
+
+
+def _contexts(batches, length, shards):
+    """The bytes of each OPEN run, dealt by anchor, a row for each bucket and shard."""
+    for notes, texts in _bucket_groups(batches):
+        if not len(notes.ids):
+            continue
+        owner, start, anchor, size, body = [], [], [], [], []
+        for b in texts:
+            got = notes.find(b, b.column(0).to_numpy(), length)
+            if got is None or not len(got[0]):
                 continue
-            s, e = np.maximum(p - reach, at[row]), np.minimum(p + ANCHOR + reach, at[row + 1])
-            size = e - s
-            to = np.concatenate([[0], np.cumsum(size)])
-            body = data[np.repeat(s - to[:-1], size) + np.arange(to[-1])]
-            ctx = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(s), [None, pa.py_buffer(to), pa.py_buffer(body)]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[row]), pa.array(s - at[row]), ctx], names=["h", "id", "start", "ctx"])
+            ids, s, n, h, data, at = got
+            m = n - 1 + length
+            to = np.concatenate([[0], np.cumsum(m)])
+            body.append(data[np.repeat(at - to[:-1], m) + np.arange(to[-1])])
+            for into, x in zip((owner, start, anchor, size), (ids, s, h, m), strict=True):
+                into.append(x)
+        if not owner:
+            continue
+        owner, start, anchor, size, body = (np.concatenate(x) for x in (owner, start, anchor, size, body))
+        ctx = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)])), pa.py_buffer(body)])
+        key = (mix(anchor) % U64(shards)).astype(np.int32)
+        order = np.argsort(key, kind="stable")
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(key[order])) + 1, [len(order)]]).tolist()
+        parts = [order[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+        yield _rows([int(key[p[0]]) for p in parts], [OPEN] * len(parts), [_blob(id=owner[p], s=start[p].astype(np.int32), ctx=ctx.take(pa.array(p))) for p in parts])
 
 
 def repeated_runs(ctx: list[bytes], low: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Rows, ranges [a, b) of window starts and the smallest id that has those windows, for the distinct texts ctx."""
+    """Rows, ranges [a, b) of window starts, and the smallest id that has those windows, for the texts ctx with ids low."""
     size = np.array([len(x) for x in ctx])
     at = np.concatenate([[0], np.cumsum(size + 1)])
     t = np.zeros(at[-1] + 1, np.int64)
@@ -136,49 +317,17 @@ def repeated_runs(ctx: list[bytes], low: np.ndarray, length: int) -> tuple[np.nd
     return r[brk], starts[brk] - at[r[brk]], starts[end] + 1 - at[r[brk]], v[brk]
 
 
-def _shard_runs(batches, length):
-    for _, t in keyed_groups(batches, "shard"):
-        ctx = t.column("ctx").to_pylist()
-        lo, hi = t.column("lo").to_numpy(), t.column("hi").to_numpy()
-        r, a, b, v = repeated_runs(ctx, lo, length)
-        k = v < hi[r]
-        r, a, b, v = r[k], a[k], b[k], v[k]
-        if len(r):
-            yield pa.RecordBatch.from_arrays([t.column(c).combine_chunks().take(pa.array(r)) for c in ("h", "ck")] + [pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(v)], names=["h", "ck", "a", "b", "low"])
-
-
-def _apply(batches, length, chars):
-    for b in batches:
-        data, at = text_buffer(b.column(1))
-        raw = data.tobytes()
-        copy, lists = b.column(2).to_pylist(), b.column(3)
-        kept, spans = [], []
-        for r in range(b.num_rows):
-            text = raw[at[r] : at[r + 1]]
-            n = len(text)
-            gone: list[tuple[int, int]] = []
-            if copy[r] and n >= length:
-                gone = [(0, n)]
-            elif lists[r].is_valid:
-                found = lists[r].values
-                s, e = found.field(0).to_numpy(), np.minimum(found.field(1).to_numpy(), n)
-                order = np.argsort(s, kind="stable")
-                s, e = s[order], np.maximum.accumulate(e[order])
-                cuts = np.concatenate([[0], np.flatnonzero(s[1:] > e[:-1]) + 1])
-                gone = list(zip(s[cuts].tolist(), e[np.append(cuts[1:], len(s)) - 1].tolist(), strict=True))
-                gone = [(x, y) for x, y in gone if x < y]
-            if chars:  # keep every character that is not removed as a whole
-                gone = [(x, y) for x, y in ((_up(text, x), _down(text, y)) for x, y in gone) if x < y]
-            out, last = [], 0
-            for x, y in gone:
-                out.append(text[last:x])
-                last = y
-            out.append(text[last:])
-            kept.append(b"".join(out))
-            spans.append([{"start": x, "end": y} for x, y in gone])
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array(np.diff(at)), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary()), *b.columns[4:]],
-            names=[b.schema.names[0], "n_bytes", "spans", "kept", *b.schema.names[4:]])
+def _shards(batches, length, buckets):
+    """Spans whose windows a smaller id has, from the suffix array of each shard, dealt by their text's bucket."""
+    for _, t in keyed_groups(batches, "key"):
+        got = [_open(x) for x in t.column("blob").to_pylist()]
+        ids = np.concatenate([x.column("id").to_numpy() for x in got])
+        s = np.concatenate([x.column("s").to_numpy().astype(np.int64) for x in got])
+        r, a, b, v = repeated_runs([c for x in got for c in x.column("ctx").to_pylist()], ids, length)
+        k = v < ids[r]
+        if k.any():
+            i, x, y = merged(ids[r[k]], s[r[k]] + a[k], s[r[k]] + b[k] - 1 + length)
+            yield _deal(bucket_of(i, buckets), GONE, i, x, y)
 
 
 def _up(text: bytes, x: int) -> int:
@@ -193,8 +342,40 @@ def _down(text: bytes, y: int) -> int:
     return y
 
 
+def _apply(batches, length, chars):
+    span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    for notes, texts in _bucket_groups(batches):
+        for b in texts:
+            ids = b.column(0)
+            known = ids.fill_null(0).to_numpy()
+            gone = notes.gone
+            got = notes.find(b, known, length)
+            if got is not None:
+                gone = tuple(np.concatenate(x) for x in zip(gone, (got[0], got[1], got[1] + got[2] - 1 + length), strict=True))
+            i, s, e = merged(*gone)
+            lo, hi = np.searchsorted(i, known), np.searchsorted(i, known, "right")
+            valid = ids.is_valid().to_pylist()
+            data, at = text_buffer(b.column(1))
+            raw = data.tobytes()
+            kept, spans = [], []
+            for r in range(b.num_rows):
+                text = raw[at[r] : at[r + 1]]
+                cut = list(zip(s[lo[r] : hi[r]].tolist(), e[lo[r] : hi[r]].tolist(), strict=True)) if valid[r] else []
+                if chars:  # keep every character that is not removed as a whole
+                    cut = [(x, y) for x, y in ((_up(text, x), _down(text, y)) for x, y in cut) if x < y]
+                out, last = [], 0
+                for x, y in cut:
+                    out.append(text[last:x])
+                    last = y
+                out.append(text[last:])
+                kept.append(b"".join(out))
+                spans.append([{"start": x, "end": y} for x, y in cut])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(at)), pa.array(spans, span_type), pa.array(kept, pa.binary()), *b.columns[2:]],
+                                             names=["id", "n_bytes", "spans", "kept", *[f"_k{k}" for k in range(b.num_columns - 2)]])
+
+
 def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, whole_characters: bool = False,
-                       keep_cols: tuple[str, ...] = (), shard_bytes: int = 4_000_000) -> DataFrame:
+                       keep_cols: tuple[str, ...] = (), shard_bytes: int = 8_000_000) -> DataFrame:
     """Each row of `docs` without the bytes covered by a `length`-byte string that also starts in a row with a smaller id.
 
     Returns (id_col, n_bytes long, spans array<struct<start,end>>, kept binary, *keep_cols). Strings are judged on the
@@ -202,39 +383,25 @@ def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     result. Rows with a null id come back whole and are no source. `whole_characters` shrinks each span to whole UTF-8
     characters, so that what is kept is valid text.
 
-    A whole text that a smaller id has is removed at once. For the rest, every window of `length` bytes owns the smallest
-    hash of its 20-byte runs (its anchor), so equal windows meet at equal anchors. Anchors in two rows at least are joined
-    back (a join Spark can split where an anchor is hot), the bytes around them are made distinct by a map-side
-    aggregation that keeps the smallest and largest id, and are dealt to shards by anchor. Each shard is one generalized
-    suffix array, built by induced sorting; its permuted common prefixes of `length` bytes and more give the classes of
-    equal windows, and each class its smallest id.
+    Every window of `length` bytes has an anchor, the smallest hash of the 20-byte runs in it, so equal windows have equal
+    anchors. Neighbouring windows with one anchor are a run. Runs are dealt by anchor, equal ones of a batch once. Of runs
+    with the same bytes the smallest id's stands for all. Where several kinds have one anchor, the bytes of the first of
+    each kind go to that anchor's shard. A shard is one generalized suffix array, built by induced sorting; its permuted
+    common prefixes of `length` bytes and more give the classes of equal windows, and each class its smallest id. The
+    spans found then meet the texts by a bucket of the id. Between the steps packed, compressed columns travel.
     """
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    named = spread(src.filter("id is not null"))
-    first = named.select("id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"))
-    copies = (first.join(first.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last"), "digest")
-              .filter("first < id").select("id").distinct())
-    copies = cut(copies)
-    shared = (named.mapInArrow(lambda it: _anchor_ranges(it, length), "h long, lo long, hi long").groupBy("h")
-              .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").select("h"))
-    rows = named.mapInArrow(lambda it: _anchor_rows(it, length), "h long, id long, pos long")
-    lists = (rows.join(shared, "h").groupBy("id").agg(F.collect_list(F.struct("pos", "h")).alias("anchors"))
-             .join(copies, "id", "left_anti"))
-    ctx = cut(named.join(lists, "id").select("id", "text", "anchors")
-              .mapInArrow(lambda it: _contexts(it, length), "h long, id long, start long, ctx binary"))
-    kinds = ctx.groupBy("h", "ctx").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-    total = ctx.agg(F.sum(F.length("ctx"))).first()[0] or 0
-    shards = max(1, total // shard_bytes)
-    runs = (kinds.withColumn("ck", F.xxhash64("ctx")).withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
-            .repartition("shard").sortWithinPartitions("shard")
-            .mapInArrow(lambda it: _shard_runs(it, length), "h long, ck long, a int, b int, low long"))
-    spans = (ctx.select("h", F.xxhash64("ctx").alias("ck"), "id", "start").join(runs, ["h", "ck"]).filter("low < id")
-             .select("id", (F.col("start") + F.col("a")).alias("s"), (F.col("start") + F.col("b") + (length - 1)).alias("e")).distinct()
-             .groupBy("id").agg(F.collect_list(F.struct("s", "e")).alias("found")))
-    full = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep_cols)])
-    joined = (full.join(copies.select(F.col("id").alias("_id"), F.lit(True).alias("_copy")), "_id", "left").join(spans.withColumnRenamed("id", "_id"), "_id", "left")
-              .select("_id", "_text", "_copy", "found", *[f"_k{i}" for i in range(len(keep_cols))]))
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep_cols)])
+    named = spread(src.select("id", "text").filter("id is not null"))
+    total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    parts = buckets = shards = int(max(16, total // shard_bytes))
+    own = lambda df: df.repartition("key").sortWithinPartitions("key", "kind")
+    asked = own(named.mapInArrow(lambda it: _requests(it, length, parts, buckets), PACKED))
+    notes = lambda kind: asked.mapInArrow(lambda it: _answers(it, buckets, kind), PACKED)
+    plain = named.mapInArrow(lambda it: _texts(it, buckets), PACKED)
+    open_runs = own(notes(OPEN).unionByName(plain)).mapInArrow(lambda it: _contexts(it, length, shards), PACKED)
+    found = own(open_runs).mapInArrow(lambda it: _shards(it, length, buckets), PACKED)
+    full = spread(src).mapInArrow(lambda it: _texts(it, buckets), PACKED)
     extra = "".join(f", `_k{i}` {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep_cols))
-    out = joined.mapInArrow(lambda it: _apply(it, length, whole_characters),
-                            f"_id long, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary{extra}")
-    return out.select(F.col("_id").alias(id_col), "n_bytes", "spans", "kept", *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep_cols)])
+    out = own(notes(COPY).unionByName(found).unionByName(full)).mapInArrow(
+        lambda it: _apply(it, length, whole_characters), f"id long, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary{extra}")
+    return out.select(F.col("id").alias(id_col), "n_bytes", "spans", "kept", *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep_cols)])
