@@ -28,8 +28,10 @@ def parse_amount(text: Column | str) -> Column:
 
 
 def idr(amount: Column) -> Column:
-    """`Rp1.234,50`; a dash for null."""
-    return F.coalesce(F.concat(F.when(amount < 0, "-").otherwise(""), F.lit("Rp"), F.translate(F.format_number(F.abs(amount), 2), ",.", ".,")), F.lit("—"))
+    """`Rp1.234,50`, without decimals where they are zero; a dash for null."""
+    whole = F.abs(F.round(amount) - amount) < 0.005
+    text = F.translate(F.when(whole, F.format_number(F.abs(amount), 0)).otherwise(F.format_number(F.abs(amount), 2)), ",.", ".,")
+    return F.coalesce(F.concat(F.when(amount < 0, "-").otherwise(""), F.lit("Rp"), text), F.lit("—"))
 
 
 def same_money(a: Column, b: Column) -> Column:

@@ -202,3 +202,62 @@ def repair_queue(evidence: DataFrame, bad_events: DataFrame, payloads: DataFrame
     df = queue.join(payloads, "raw_id", "left").withColumn("copies", F.count("*").over(Window.partitionBy("raw_id")))
     code = F.when(F.col("payload").isNull(), "MISSING_PAYLOAD").when(F.sha2("payload", 256) != F.col("payload_hash"), "HASH_MISMATCH").when(message_amount(F.col("payload")).isNull(), "NO_AMOUNT").when(F.col("copies") > 1, "AMBIGUOUS")
     return df.withColumn("reject_code", code).withColumn("valid", code.isNull()).drop("copies")
+
+
+# Senders whose messages are evidence of payments, and those that only accompany them.
+PRIMARY_SENDERS = ["bca@bca.co.id", "noreply@jago.com", "no-reply@flip.id", "googleplay-noreply@google.com", "noreply@byu.id", "no-reply@mailer-esb.com"]
+SECONDARY_SENDERS = ["info@shopee.co.id", "info@mail.shopee.co.id", "noreply@cx.byu.id"]
+# Chat commands (kind, pattern, which group names the own account, the other one, the purpose).
+COMMANDS = [
+    ("Transfer", r"(?i)(?:transfer|tf)\s+([\d.,k]+)\s+(?:dari\s+)?([a-zA-Z0-9\s:]+?)\s+ke\s+([a-zA-Z0-9\s:]+)", 2, 3, 0),
+    ("Expense", r"(?i)(?:keluar|bayar|beli)\s+([\d.,k]+)\s+(?:dari|pakai|via)\s+([a-zA-Z0-9\s:]+?)\s+(?:untuk|buat)\s+(.+)", 2, 0, 3),
+    ("Income", r"(?i)(?:masuk|dapat|terima)\s+([\d.,k]+)\s+(?:ke|di)\s+([a-zA-Z0-9\s:]+?)(?:\s+dari\s+([a-zA-Z0-9\s]+?))?(?:\s+(?:untuk|buat)\s+(.+))?$", 2, 0, 4),
+]
+
+
+def sender_trust(header: Column) -> Column:
+    """primary, secondary or none, by the exact address in a From header."""
+    raw = F.regexp_extract(header, "<([^>]+)>", 1)
+    address = F.lower(F.trim(F.when(raw == "", header).otherwise(raw)))
+    return F.when(address.isin(*PRIMARY_SENDERS), "primary").when(address.isin(*SECONDARY_SENDERS), "secondary").otherwise("none")
+
+
+def parse_command(text: Column) -> Column:
+    """Struct (kind, amount, account, to_account, category, confidence, status) of a chat command; free text is an expense to review."""
+    from saldo.functions import text as T
+
+    c = F.trim(text)
+
+    def chosen(values, other):
+        out = other
+        for (_, pattern, *_rest), v in reversed(list(zip(COMMANDS, values, strict=True))):
+            out = F.when(c.rlike(pattern), v).otherwise(out)
+        return out
+
+    group = lambda i, empty: [F.trim(F.regexp_extract(c, k[1], k[i])) if k[i] else F.lit(empty) for k in COMMANDS]
+    number = F.replace(F.lower(chosen([F.regexp_extract(c, k[1], 1) for k in COMMANDS], c)), F.lit("k"), F.lit("000"))
+    amount = F.coalesce(message_amount(number), F.lit(0).cast(MONEY))
+    kind = chosen([F.lit(k[0]) for k in COMMANDS], F.lit("Free"))
+    raw = F.struct(kind.alias("kind"), amount.alias("amount"), chosen(group(2, None), F.lit("BCA Main")).alias("account"), chosen(group(3, None), F.lit(None)).cast("string").alias("to_account"), F.lower(chosen(group(4, ""), F.lit(""))).alias("words"))
+
+    def finish(r):
+        free, some = r["kind"] == "Free", r["amount"] > 0
+        return F.struct(F.when(free, "Expense").otherwise(r["kind"]).alias("kind"), r["amount"].alias("amount"), T.canonical_account(r["account"]).alias("account"), T.canonical_account(r["to_account"]).alias("to_account"),
+                        F.when(r["words"] == "", F.lit(T.OTHER)).otherwise(T.keyword_category(r["words"], T.MESSAGE_KEYWORDS)).alias("category"),
+                        F.when(free, F.lit(0.3)).when(~some, F.lit(0.4)).when(r["kind"] == "Income", F.lit(0.90)).otherwise(F.lit(0.95)).alias("confidence"), F.when(some & ~free, "AutoApproved").otherwise("Pending").alias("status"))
+
+    return F.transform(F.array(raw), finish)[0]  # bound once: the parts are not computed again in each branch
+
+
+def to_candidate(events: DataFrame) -> DataFrame:
+    """Candidate rows of classified events that move money: type by class and kind, nothing for ignored or zero ones."""
+    kind = F.when(F.col("event_kind") == "INCOMING_TRANSFER", "Income").when(F.col("financial_class").isin("Internal Transfer", "Top-up", "Cash Withdrawal", "Investment Movement"), "Transfer").otherwise("Expense")
+    keep = (F.col("financial_class") != "Ignore") & (F.col("amount") > 0) & ~F.col("evidence_role").isin("SECONDARY_RECEIPT", "INVOICE")
+    return events.filter(keep).withColumn("transaction_type", kind)
+
+
+def candidate_page(candidates: DataFrame, raws: DataFrame, status: str | None = None, batch: int | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
+    """Candidates with their raw event, newest first; limit at most 500, offset at least 0."""
+    df = candidates if status is None else candidates.filter(F.col("review_status") == status)
+    df = df if batch is None else df.filter(F.col("batch") == batch)
+    return df.join(raws, "raw_id").orderBy(F.desc("id")).offset(max(0, offset)).limit(max(1, min(500, limit)))

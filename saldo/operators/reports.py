@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from saldo.functions.text import CATEGORIES, OTHER
 from saldo.operators import ledger as L
 
 MONEY = "decimal(18,2)"
@@ -57,17 +58,39 @@ def budget_view(budgets: DataFrame, actuals: DataFrame, days_left: int) -> DataF
     return df.select("month", "category", plan.alias("budget"), spent.alias("actual"), left.alias("remaining"), status.alias("status"), F.floor(F.greatest(F.lit(0), left) / F.lit(days_left)).cast("long").alias("safe_daily"))
 
 
-def suggest_budgets(actuals: DataFrame, month: str) -> DataFrame:
-    """Next month's budget by category from the three months before: the larger of the median and 85 % of the weighted mean
-    (.5, .3, .2 from the newest), at least 50 000 and at most 150 000 for Health, rounded up to 10 000."""
-    start = F.lit(f"{month}-01").cast("date")
+# Categories that are suggested from spending, and those with a fixed suggestion.
+ROUTINE = ["Main Meals", "Snacks", "Cafe & Drinks", "Groceries & Daily Needs", "Fuel", "Parking/Toll", "Transport / Other Transport", "Personal Care", "Health", "Campus & Organization", "Phone & Internet", "Subscriptions", "Gifts & Giving"]
+FIXED_BUDGETS = {"Vehicle Service": 50_000, "Education": 0}
+NEVER_PLANNED = ["Fashion", "Electronics", "Travel"]
+
+
+def suggest_budgets(actuals: DataFrame, month: str, as_of: str) -> DataFrame:
+    """Budgets of all categories for `month` from the three months before (v1 the newest); the month of `as_of` counts as if
+    it went on at its rate so far.
+
+    Routine categories: the larger of the median and 85 % of the weighted mean (.5, .3, .2), Health between 50 000 and
+    150 000; others the median of the months with spending; rounded up to 10 000. The catch-all gets a tenth of the rest.
+    """
+    start, day = F.lit(f"{month}-01").cast("date"), F.lit(as_of).cast("date")
+    scale = F.when((F.col("month") == F.date_format(day, "yyyy-MM")) & (F.day(day) < F.day(F.last_day(day))), F.day(F.last_day(day)) / F.day(day)).otherwise(F.lit(1.0))
     back = F.round(F.months_between(start, F.to_date(F.concat("month", F.lit("-01"))))).cast("int")
-    v = [F.coalesce(F.sum(F.when(F.col("back") == i, F.col("actual"))), F.lit(0)).cast("double").alias(f"v{i}") for i in (1, 2, 3)]
-    p = actuals.withColumn("back", back).filter(F.col("back").between(1, 3)).groupBy("category").agg(*v)
-    mid = F.element_at(F.array_sort(F.array("v1", "v2", "v3")), 2)
-    base = F.greatest(mid, 0.85 * (0.5 * F.col("v1") + 0.3 * F.col("v2") + 0.2 * F.col("v3")))
-    base = F.when(F.col("category") == "Health", F.least(F.lit(150_000.0), F.greatest(F.lit(50_000.0), base))).otherwise(base)
-    return p.select("category", "v1", "v2", "v3", (F.ceil(F.round(base, 4) / 10_000) * 10_000).cast("long").alias("suggested"))
+    seen = actuals.select("category", F.greatest(F.lit(0), F.col("actual")).cast("double").alias("a"), scale.alias("scale"), back.alias("back")).filter(F.col("back").between(1, 3))
+    all_categories = actuals.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, CATEGORIES[:-1]))).alias("category"))
+    v = [F.coalesce(F.sum(F.when(F.col("back") == i, F.col("a") * F.col("scale"))), F.lit(0.0)).alias(f"v{i}") for i in (1, 2, 3)]
+    p = all_categories.join(seen, "category", "left").groupBy("category").agg(*v)
+    up = lambda c: (F.ceil(F.round(c, 4) / 10_000) * 10_000).cast("long")
+    values = F.array_sort(F.array("v1", "v2", "v3"))
+    base = F.greatest(F.element_at(values, 2), 0.85 * (0.5 * F.col("v1") + 0.3 * F.col("v2") + 0.2 * F.col("v3")))
+    base = F.when(F.col("category") == "Health", F.greatest(F.lit(50_000.0), F.least(base, F.lit(150_000.0)))).otherwise(base)
+    some = F.filter(values, lambda x: x > 0)
+    mid = (F.element_at(some, F.floor((F.size(some) + 1) / 2).cast("int")) + F.element_at(some, F.ceil((F.size(some) + 1) / 2).cast("int"))) / 2
+    fixed = F.lit(None).cast("long")
+    for name, amount in [*FIXED_BUDGETS.items(), *((c, 0) for c in NEVER_PLANNED)]:
+        fixed = F.when(F.col("category") == name, F.lit(amount).cast("long")).otherwise(fixed)
+    own = F.coalesce(fixed, F.when(F.size(some) == 0, F.lit(0).cast("long")).when(F.col("category").isin(*ROUTINE), up(base)).otherwise(up(mid)))
+    out = p.withColumn("suggested", own)
+    rest = out.filter(F.col("category") != OTHER).agg((F.ceil(F.sum("suggested") * 0.1 / 10_000) * 10_000).cast("long").alias("rest"))
+    return out.crossJoin(F.broadcast(rest)).withColumn("suggested", F.when(F.col("category") == OTHER, F.col("rest")).otherwise(F.col("suggested"))).drop("rest")  # rest is one row
 
 
 def with_other(df: DataFrame, name: str, value: str, k: int) -> DataFrame:

@@ -1,3 +1,3 @@
 """Registered queries. Importing the modules fills the registry."""
 
-from saldo.plans import core, ingestion, insights, mutations, reports  # noqa: F401
+from saldo.plans import core, extras, ingestion, insights, mutations, reports  # noqa: F401

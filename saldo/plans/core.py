@@ -78,6 +78,7 @@ def _book(as_of: str | None, ledger: bool) -> list[str]:
   CASE WHEN a.balance IS NOT NULL {'AND coalesce(s.collisions, 0) = 0' if ledger else ''} THEN a.balance + coalesce(s.moved, 0) END AS expected FROM accounts c LEFT JOIN anchor a ON c.name = a.account_name LEFT JOIN sums s ON s.account = c.name)"""]
 
 
+ACCOUNT_BOOK = _book(None, True)
 BOOK_OUT = f"SELECT account, kind, snapshot_kind, {D('inflow')} AS inflow, {D('outflow')} AS outflow, CAST(collisions AS BIGINT) AS collisions, {D('expected')} AS expected, {D('expected - current_balance')} AS difference, CASE WHEN expected IS NULL THEN 'unverifiable' ELSE 'ok' END AS status FROM book"
 
 

@@ -12,7 +12,7 @@ from saldo.operators import ledger as L
 from saldo.plans.core import D, _with
 from saldo.plans.insights import normalize_sql
 from saldo.plans.registry import query
-from saldo.sources.ledger import pick, raw_events, read, transactions, with_tables
+from saldo.sources.ledger import raw_events, read, transactions, with_tables
 
 # Sample notifications: senders and bodies in turn; {a} stands for the amount, {i} for a reference.
 SENDERS = ["notif@bca.co.id", "noreply@jago.com", "no-reply@flip.id", "googleplay-noreply@google.com", "info@byu.id", "receipt@mailer-esb.com", "order@shopee.co.id", "friend@example.org"]
@@ -163,7 +163,7 @@ def normalize_merchant(spark, d):
     return transactions(spark, d).groupBy(T.normalize_merchant("description").alias("merchant")).agg(F.count("*").alias("n"))
 
 
-@query(r"""SELECT doc_id, trim(substr(regexp_replace(regexp_replace(regexp_replace(text, '\b(?:\d[ -]?){9,15}(\d{4})\b', '•••• \1', 'g'), '(?i)\b(otp|pin|kode)\b(\s*(?:is|adalah|:|=)?\s*)\d{4,8}\b', '\1: [REDACTED]', 'g'), '(?i)\b(token|password|secret|api[_-]?key)\b\s*[:=]\s*\S+', '\1: [REDACTED]', 'g'), 1, 2000)) AS redacted FROM documents""")
+@query(f"""SELECT doc_id, trim(substr(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '{T.CARD}', '•••• \\1\\2\\3\\4', 'g'), '{T.CODES}', '\\1: [REDACTED]', 'g'), '{T.SECRETS}', '\\1: [REDACTED]', 'g'), 1, 2000)) AS redacted FROM documents""")
 def redact_text(spark, d):
     return read(spark, d, "documents").select("doc_id", T.redact("text").alias("redacted"))
 
@@ -180,11 +180,15 @@ def parse_amount(spark, d):
     return read(spark, d, "events").select(F.col("event_id").alias("id"), M.parse_amount(s).cast("double").alias("amount"))
 
 
-@query("""SELECT c_custkey AS id, CASE WHEN regexp_matches(n, 'invest|saham|reksa') THEN 'Investment' WHEN regexp_matches(n, 'piutang|receivable') THEN 'Receivable' WHEN regexp_matches(n, 'suspense|unknown') THEN 'Suspense' WHEN regexp_matches(n, '^(bca|jago|cash|gopay|shopeepay|ovo|dana|bank)') THEN 'Owned' ELSE 'External' END AS kind, substr(n, 1, 3) || '***' AS masked
-FROM (SELECT c_custkey, ['bca main', 'reksa dana', 'piutang budi', 'suspense', 'toko'][c_custkey % 5 + 1] AS n FROM customer)""")
+NAMES = ["BCA Main", "RDN Stockbit", "Receivable: Budi", "SeaBank", "Toko Maju", "Jago: Liburan", "Own Account", "shopee pay", "Poket: Umrah", "tunai"]
+
+
+@query("SELECT c_custkey AS id, CASE WHEN regexp_matches(n, 'Stockbit|RDN|Sekuritas|Investasi') THEN 'Investment' WHEN starts_with(n, 'Receivable:') THEN 'Receivable' WHEN starts_with(n, 'Suspense:') OR n IN (" + ", ".join(f"'{x}'" for x in T.HELD) + ") THEN 'Suspense' WHEN " + " OR ".join(f"starts_with(n, '{x}')" for x in T.OWNED)
+       + " THEN 'Owned' ELSE 'External' END AS kind, substr(n, 1, 3) || '***' AS masked, CASE WHEN contains(l, 'shopee') THEN 'ShopeePay' WHEN contains(l, 'gopay') THEN 'GoPay' WHEN contains(l, 'jago') THEN 'Jago Main' WHEN contains(l, 'poket') THEN 'BCA Poket: ' || coalesce(nullif(trim(split_part(n, ':', 2)), ''), 'Tabungan') WHEN contains(l, 'bca') THEN 'BCA Main'"
+       + f" WHEN contains(l, 'cash') OR contains(l, 'tunai') THEN 'Cash' WHEN contains(l, 'rdn') OR contains(l, 'stockbit') THEN 'RDN Stockbit' ELSE n END AS canonical FROM (SELECT *, lower(n) AS l FROM (SELECT c_custkey, {_list(NAMES)}[c_custkey % {len(NAMES)} + 1] AS n FROM customer))")
 def account_kind_infer(spark, d):
-    n = pick((F.col("c_custkey") % 5).cast("string"), {"0": "bca main", "1": "reksa dana", "2": "piutang budi", "3": "suspense"}, "toko")
-    return read(spark, d, "customer").select(F.col("c_custkey").alias("id"), T.account_kind(n).alias("kind"), T.mask_account(n).alias("masked"))
+    n = F.element_at(F.array(*map(F.lit, NAMES)), (F.col("c_custkey") % len(NAMES) + 1).cast("int"))
+    return read(spark, d, "customer").select(F.col("c_custkey").alias("id"), T.account_kind(n).alias("kind"), T.mask_account(n).alias("masked"), T.canonical_account(n).alias("canonical"))
 
 
 @query("""SELECT conv_id, CAST(count(*) AS BIGINT) AS n, string_agg(role, '>' ORDER BY turn) AS roles, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY conv_id""")

@@ -19,8 +19,8 @@ def normalize_sql(column: str) -> str:
     """The same normalization in DuckDB."""
     x = f"regexp_replace({NORM.format(column)}, '^({'|'.join(T.VERBS)})\\s+', '')"
     for p in T.NOISE:
-        x = f"regexp_replace({x}, '{p}', ' ', 'g')"
-    return f"array_to_string(list_filter(regexp_split_to_array({x}, '\\s+'), lambda w: length(w) > 1 AND NOT regexp_full_match(w, '\\d+')), ' ')"
+        x = f"regexp_replace({x}, '{p}', '', 'g')"
+    return f"array_to_string(list_filter(regexp_split_to_array(regexp_replace({x}, '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) > 1 AND NOT regexp_full_match(w, '\\d+')), ' ')"
 
 
 def _patterns_sql(rows: str, keys: str, as_of: str) -> list[str]:

@@ -38,7 +38,11 @@ def savings_rate_band(spark, d):
     return R.monthly(transactions(spark, d)).select("month", R.savings_band(F.col("income"), F.col("surplus")).alias("band"))
 
 
-CAT = "CASE WHEN trim(category) IN ('', 'Other', 'Lain-lain') THEN CASE" + "".join(f" WHEN regexp_matches(upper(description), '{'|'.join(w)}') THEN '{n}'" for n, w in T.KEYWORDS) + " ELSE 'Other' END ELSE category END"
+def keyword_sql(text: str, groups, other: str) -> str:
+    return "CASE" + "".join(" WHEN " + " OR ".join(f"contains({text}, '{w}')" for w in words) + f" THEN '{name}'" for name, words in groups) + f" ELSE {other} END"
+
+
+CAT = f"CASE WHEN category NOT IN ('', '{T.OTHER}', 'Lain-lain') THEN category ELSE {keyword_sql('upper(description)', T.LEDGER_KEYWORDS, repr(T.OTHER))} END"
 
 
 @query(with_tables("tx", body=f"SELECT {CAT} AS category, CAST(count(*) AS BIGINT) AS n, {D('sum(budget_effect)')} AS spent FROM tx WHERE {REPORT} AND transaction_type = 'Expense' GROUP BY 1"))
@@ -86,11 +90,17 @@ def budget_view(spark, d):
     return v.select("month", "category", *[F.col(c).cast("double").alias(c) for c in ("budget", "actual", "remaining")], "status", "safe_daily")
 
 
-@query(_with(["tx"], [ACTUALS, f"""v AS (SELECT category, {D("coalesce(sum(CASE WHEN month = '1999-05' THEN actual END), 0)")} AS v1, {D("coalesce(sum(CASE WHEN month = '1999-04' THEN actual END), 0)")} AS v2, {D("coalesce(sum(CASE WHEN month = '1999-03' THEN actual END), 0)")} AS v3
-  FROM actuals WHERE month IN ('1999-03', '1999-04', '1999-05') GROUP BY category)""", "b AS (SELECT *, greatest(list_sort([v1, v2, v3])[2], 0.85::DOUBLE * (0.5::DOUBLE * v1 + 0.3::DOUBLE * v2 + 0.2::DOUBLE * v3)) AS base FROM v)"],
-    "SELECT category, v1, v2, v3, CAST(ceil(round(CASE WHEN category = 'Health' THEN least(150000.0::DOUBLE, greatest(50000.0::DOUBLE, base)) ELSE base END, 4) / 10000) * 10000 AS BIGINT) AS suggested FROM b"))
+FIXED = R.FIXED_BUDGETS | {c: 0 for c in R.NEVER_PLANNED}
+_M = ["1999-06", "1999-05", "1999-04"]
+
+
+@query(_with(["tx"], [ACTUALS, "cats AS (SELECT unnest([" + ", ".join(f"'{c}'" for c in T.CATEGORIES[:-1]) + "]) AS category)",
+    "v AS (SELECT c.category, " + ", ".join(f"greatest(0, {D(f'coalesce(sum(CASE WHEN month = {m!r} THEN actual END), 0)')}){' * 2' if m == _M[0] else ''} AS v{i}" for i, m in enumerate(_M, 1)) + " FROM cats c LEFT JOIN actuals a ON a.category = c.category GROUP BY c.category)",
+    "b AS (SELECT *, greatest(list_sort([v1, v2, v3])[2], 0.85::DOUBLE * (0.5::DOUBLE * v1 + 0.3::DOUBLE * v2 + 0.2::DOUBLE * v3)) AS base, list_median(list_filter([v1, v2, v3], lambda x: x > 0)) AS mid FROM v)",
+    "o AS (SELECT category, v1, v2, v3, CAST(CASE " + " ".join(f"WHEN category = '{c}' THEN {n}" for c, n in FIXED.items()) + " WHEN v1 = 0 AND v2 = 0 AND v3 = 0 THEN 0 WHEN category IN (" + ", ".join(f"'{c}'" for c in R.ROUTINE) + ") THEN ceil(round(CASE WHEN category = 'Health' THEN greatest(50000.0::DOUBLE, least(base, 150000.0::DOUBLE)) ELSE base END, 4) / 10000) * 10000 ELSE ceil(round(mid, 4) / 10000) * 10000 END AS BIGINT) AS suggested FROM b)"],
+    f"SELECT category, v1, v2, v3, CASE WHEN category = '{T.OTHER}' THEN CAST(ceil((SELECT sum(suggested) FROM o WHERE category <> '{T.OTHER}') * 0.1::DOUBLE / 10000) * 10000 AS BIGINT) ELSE suggested END AS suggested FROM o"))
 def budget_suggestion(spark, d):
-    return R.suggest_budgets(_actuals(spark, d), MONTH)
+    return R.suggest_budgets(_actuals(spark, d), "1999-07", AS_OF)
 
 
 @query(with_tables("tx", body=f"""SELECT strftime(date, '%Y') AS year, {D(f"sum(CASE WHEN transaction_type = 'Expense' THEN {SPEND} ELSE 0 END)")} AS spent, {D("sum(CASE WHEN transaction_type = 'Income' THEN amount ELSE 0 END)")} AS income FROM tx WHERE (({_personal('Expense')}) OR ({_personal('Income')})) AND date <= DATE '{AS_OF}' GROUP BY 1"""))

@@ -13,7 +13,7 @@ MONEY = "decimal(18,2)"
 #: Account kinds by market segment.
 KIND = {"HOUSEHOLD": "Owned", "BUILDING": "Receivable", "AUTOMOBILE": "Suspense", "MACHINERY": "External", "FURNITURE": "Investment"}
 #: Spending categories by order priority.
-CATEGORY = {"1-URGENT": "Health", "2-HIGH": "Food & Drink", "3-MEDIUM": "Transportation", "4-NOT SPECIFIED": "Other", "5-LOW": "Shopping"}
+CATEGORY = {"1-URGENT": "Health", "2-HIGH": "Main Meals", "3-MEDIUM": "Fuel", "4-NOT SPECIFIED": "Other / Miscellaneous", "5-LOW": "Electronics"}
 #: Upcoming status by part type.
 UPCOMING = {"STANDARD": "Upcoming", "ECONOMY": "Confirmed", "MEDIUM": "Tentative", "PROMO": "Paid", "LARGE": "Skipped", "SMALL": "Cancelled"}
 AS_OF = "1999-06-15"
@@ -53,7 +53,7 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     own, peer = account_name(c), account_name((c * 7 + 3) % 100)
     date = F.col("o_orderdate").cast("date")
     minute = (k % 1440).cast("int")
-    category = pick("o_orderpriority", CATEGORY, "Other")
+    category = pick("o_orderpriority", CATEGORY, "Other / Miscellaneous")
     amount = F.col("o_totalprice").cast(MONEY)
     context = F.when(k % 16 == 3, "Pass-through").when(k % 16 == 7, "Historical Research").when(k % 16 == 11, "Third-party").otherwise("Personal")
     words = F.when(k % 30 == 0, "[Rekonsiliasi] balance check").when(k % 7 == 0, "Transfer ke toko kopi TRX#99812").when(k % 7 == 1, "Bayar bensin pertamax 22-08-2026") \
@@ -114,7 +114,7 @@ def debt_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each month and category with orders; the fixed amount grows with the category's length."""
-    rows = read(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("month"), pick("o_orderpriority", CATEGORY, "Other").alias("category")).distinct()
+    rows = read(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("month"), pick("o_orderpriority", CATEGORY, "Other / Miscellaneous").alias("category")).distinct()
     return rows.withColumn("current_budget", (F.length("category") * 1_000_000).cast(MONEY)).withColumn("active", F.substring("month", 6, 2).cast("int") % 5 != 0)
 
 
@@ -138,7 +138,7 @@ CTE = {
   kind AS transaction_type, amount, CASE WHEN kind = 'Income' THEN '' ELSE own END AS account_from, CASE WHEN kind = 'Expense' THEN '' WHEN kind = 'Income' THEN own ELSE peer END AS account_to,
   CASE WHEN o_orderkey % 30 = 0 THEN '[Rekonsiliasi] balance check' WHEN o_orderkey % 7 = 0 THEN 'Transfer ke toko kopi TRX#99812' WHEN o_orderkey % 7 = 1 THEN 'Bayar bensin pertamax 22-08-2026'
     WHEN o_orderkey % 7 = 2 THEN 'Bayar obat apotek' WHEN o_orderkey % 7 = 3 THEN 'GRAB ride ref #89281 Rp 50.000' ELSE 'Makan siang nasi padang' END AS description,
-  {_case('o_orderpriority', CATEGORY, 'Other')} AS category, CASE WHEN o_orderkey % 9 = 0 THEN 'Family' ELSE 'Self' END AS for_with_whom,
+  {_case('o_orderpriority', CATEGORY, 'Other / Miscellaneous')} AS category, CASE WHEN o_orderkey % 9 = 0 THEN 'Family' ELSE 'Self' END AS for_with_whom,
   CASE o_orderkey % 16 WHEN 3 THEN 'Pass-through' WHEN 7 THEN 'Historical Research' WHEN 11 THEN 'Third-party' ELSE 'Personal' END AS money_context,
   {_case('o_orderstatus', {'F': 'Confirmed', 'O': 'Auto-classified'}, 'Provisional Neutral')} AS status,
   o_orderkey % 41 = 0 AS exclude_from_budget,
@@ -159,7 +159,7 @@ CTE = {
     "debts": f"""debts AS (SELECT s_suppkey AS id, s_name AS person_name, {_case('CAST(s_suppkey % 3 AS VARCHAR)', {'0': 'Custody', '1': 'Receivable'}, 'Payable')} AS kind FROM supplier)""",
     "devents": f"""devents AS (SELECT l_suppkey AS debt_id, l_orderkey AS transaction_id, CAST(l_linenumber AS INTEGER) AS line, CASE WHEN l_returnflag = 'R' THEN CASE WHEN l_linenumber = 7 THEN 'WriteOff' ELSE 'Settle' END ELSE 'Opening' END AS event_type,
   CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS effect, CAST(l_extendedprice AS {_M}) AS amount, CAST(l_shipdate AS DATE) AS event_date FROM lineitem)""",
-    "budgets": f"""budgets AS (SELECT *, CAST(length(category) * 1000000 AS {_M}) AS current_budget, CAST(substr(month, 6, 2) AS INTEGER) % 5 <> 0 AS active FROM (SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS month, {_case('o_orderpriority', CATEGORY, 'Other')} AS category FROM orders))""",
+    "budgets": f"""budgets AS (SELECT *, CAST(length(category) * 1000000 AS {_M}) AS current_budget, CAST(substr(month, 6, 2) AS INTEGER) % 5 <> 0 AS active FROM (SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS month, {_case('o_orderpriority', CATEGORY, 'Other / Miscellaneous')} AS category FROM orders))""",
     "raws": f"""raws AS (SELECT event_id AS id, event_type AS source, CAST(event_id % 4000 AS VARCHAR) AS external_id, CAST(ts AS TIMESTAMP) AS ts, CAST(ts AS DATE) AS date, user_id, CAST(value AS {_M}) AS amount,
   event_type || ' shop ' || (user_id % 40) AS merchant, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)""",
 }

@@ -170,4 +170,4 @@ def test_review(spark):
 
 
 def test_idr(spark):
-    assert one(spark, M.idr(F.lit(Decimal("1234.50")))) == "Rp1.234,50" and one(spark, M.idr(F.lit(None).cast("decimal(18,2)"))) == "—"
+    assert one(spark, M.idr(F.lit(Decimal("1234.50")))) == "Rp1.234,50" and one(spark, M.idr(F.lit(Decimal("-1234.00")))) == "-Rp1.234" and one(spark, M.idr(F.lit(None).cast("decimal(18,2)"))) == "—"
