@@ -41,12 +41,20 @@ AMOUNT_AT = [r"(?i)(?:total pembayaran|total|nominal|sebesar|jumlah|amount|bayar
 OPERATION_STATUSES = ("Approved", "Rejected")
 
 
+def amount_text(body: Column) -> Column:
+    """The number in a message, as it is written; null if there is none."""
+    return F.coalesce(*[F.nullif(F.regexp_extract(body, p, 1), F.lit("")) for p in AMOUNT_AT])
+
+
+def amount_value(raw: Column) -> Column:
+    """DECIMAL(18,2) of a written number above zero, else null."""
+    value = (F.when(raw.rlike(r",\d{2}$"), F.translate(F.regexp_replace(raw, r"\.", ""), ",", ".")).when(raw.rlike(r"\.\d{2}$"), F.regexp_replace(raw, ",", "")).otherwise(F.regexp_replace(raw, "[.,]", ""))).try_cast(MONEY)
+    return F.nullif(F.greatest(value, F.lit(0).cast(MONEY)), F.lit(0).cast(MONEY))
+
+
 def message_amount(body: Column) -> Column:
     """The amount named in a message, null if there is none above zero."""
-    raw = F.coalesce(*[F.nullif(F.regexp_extract(body, p, 1), F.lit("")) for p in AMOUNT_AT])
-    plain = F.when(raw.rlike(r",\d{2}$"), F.translate(F.regexp_replace(raw, r"\.", ""), ",", ".")).when(raw.rlike(r"\.\d{2}$"), F.regexp_replace(raw, ",", "")).otherwise(F.regexp_replace(raw, "[.,]", ""))
-    value = plain.try_cast(MONEY)
-    return F.when(value > 0, value)
+    return amount_value(amount_text(body))
 
 
 def reference(body: Column) -> Column:
@@ -57,12 +65,14 @@ def reference(body: Column) -> Column:
 def classify(messages: DataFrame) -> DataFrame:
     """Adds event_kind, financial_class, confidence, evidence_role, amount and reference to rows (sender, subject, body)."""
     sender, text = F.lower("sender"), F.lower(F.concat_ws(" ", "subject", "body"))
-    out = None
-    for part, pattern, *values in reversed(RULES):
-        hit = sender.contains(part) & (text.rlike(pattern) if pattern else F.lit(True))
-        s = F.struct(*[F.lit(v).alias(k) for k, v in zip(("event_kind", "financial_class", "confidence", "evidence_role"), values, strict=True)])
-        out = F.when(hit, s) if out is None else F.when(hit, s).otherwise(out)
-    return messages.withColumn("_c", out).select("*", "_c.*").drop("_c").withColumn("amount", F.when(F.col("event_kind") != "NON_TRANSACTION", message_amount(F.col("body")))).withColumn("reference", reference(F.col("body")))
+    rule = F.lit(len(RULES))
+    for i, (part, pattern, *_) in reversed(list(enumerate(RULES, 1))):
+        rule = F.when(sender.contains(part) & (text.rlike(pattern) if pattern else F.lit(True)), i).otherwise(rule)
+    staged = messages.withColumn("_rule", rule).withColumn("_raw", amount_text(F.col("body")))  # used several times below, computed once
+    value = lambda k: F.element_at(F.array(*[F.lit(r[k]) for r in RULES]), F.col("_rule"))
+    amount = F.when(value(2) != "NON_TRANSACTION", amount_value(F.col("_raw")))
+    made = F.struct(value(2).alias("event_kind"), value(3).alias("financial_class"), value(4).alias("confidence"), value(5).alias("evidence_role"), amount.alias("amount"), reference(F.col("body")).alias("reference"))
+    return staged.select(*messages.columns, F.inline(F.array(made)))  # a generator: later filters see its columns, not the rules again
 
 
 def auto_approve(conf: Column, amount: Column, kind: Column, financial_class: Column) -> Column:
