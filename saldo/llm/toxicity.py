@@ -109,18 +109,22 @@ class PuModel:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def train_toxicity_model(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_positive: int = 4000,
+def train_toxicity_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_positive: int = 4000,
                          most_unlabelled: int = 12_000, prior: float | None = None, seed: int = 11) -> PuModel:
-    """Fit on a bounded sample of `rows` chosen by a hash of the id: about `most_positive` rows with label 1 and
-    `most_unlabelled` of the others, whatever their label. `prior` defaults to the share of 1 among the labelled rows."""
-    src = rows.select(F.xxhash64(F.lit(seed), F.col(id_col)).alias("h"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(label_col).alias("y"))
-    seen = src.agg(F.count("*"), F.sum(F.when(F.col("y") == 1, 1).otherwise(0)), F.count("y")).first()
+    """Fit on a bounded sample of `docs` chosen by a hash of the id: about `most_positive` rows with label 1 in `labels`
+    (id_col, label_col) and `most_unlabelled` of the others, whatever their label. `prior` defaults to the share of 1 among
+    the labelled rows. The choice is made on ids and labels; only the chosen ids, a bounded number, meet the texts."""
+    label = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).groupBy("id").agg(F.max("y").alias("y"))
+    rows = docs.select(F.col(id_col).alias("id")).join(label, "id", "left").withColumn("h", F.xxhash64(F.lit(seed), "id"))
+    seen = rows.agg(F.count("*"), F.sum(F.when(F.col("y") == 1, 1).otherwise(0)), F.count("y")).first()
     n, n_pos, n_lab = seen[0], seen[1] or 0, seen[2]
     if not n_pos or n == n_pos:
         return PuModel(np.zeros(1 << BITS), -4.0)
     pos = F.coalesce(F.col("y") == 1, F.lit(False))
     u = F.pmod("h", F.lit(1_000_003)) / F.lit(1_000_003.0)
-    chosen = src.filter(u < F.when(pos, most_positive / n_pos).otherwise(most_unlabelled / (n - n_pos))).select("text", pos.alias("positive"))
+    ids = rows.filter(u < F.when(pos, most_positive / n_pos).otherwise(most_unlabelled / (n - n_pos))).select("id", pos.alias("positive")).dropDuplicates(["id"])
+    src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    chosen = src.join(F.broadcast(ids), "id").select("text", "positive")
     got = chosen.mapInArrow(_bags, "bag binary, positive boolean").toArrow()
     bags, flag = got.column("bag").to_pylist(), got.column("positive").to_pylist()
     sets = {k: sorted(b for b, f in zip(bags, flag, strict=True) if f is k) for k in (True, False)}

@@ -55,14 +55,14 @@ def test_toxicity_held_out(spark):
         text = sentence("en", rng.choice([20, 300])) + (" you " + rng.choice(["idiot", "loser"]) + "." if toxic else "")
         rows.append((i, text, 1 if toxic and i % 3 else None if i % 5 else 0 if not toxic else None))
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    model = train_toxicity_model(df.filter("doc_id % 5 != 0"), prior=0.12)
+    model = train_toxicity_model(df.filter("doc_id % 5 != 0"), df.select("doc_id", "toxic"), prior=0.12)
     out = {r.doc_id: r.score for r in score_toxicity(df.filter("doc_id % 5 = 0"), model).collect()}
     pos, neg = [s for i, s in out.items() if i % 8 == 0], [s for i, s in out.items() if i % 8]
     assert min(pos) > 0.5 > max(neg)
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "x " * 50_000), (3, "x")], "doc_id long, text string").withColumn("score", F.lit(1))
     assert all(0 <= r.score <= 1 for r in score_toxicity(odd, model).collect())
     assert score_toxicity(odd.limit(0), model).collect() == []
-    none = train_toxicity_model(odd.withColumn("toxic", F.lit(None).cast("int")))
+    none = train_toxicity_model(odd, odd.select("doc_id", F.lit(None).cast("int").alias("toxic")))
     assert all(r.score < 0.5 for r in score_toxicity(odd, none).collect())
 
 
