@@ -30,7 +30,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def spread(df: DataFrame, rows_per_task: int = 4000) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
     """Scans of one small file come as one task; deal them over the cores. Larger scans stay as they are."""
     sc = df.sparkSession.sparkContext
     return df if df.rdd.getNumPartitions() >= sc.defaultParallelism else df.repartition(sc.defaultParallelism)

@@ -12,8 +12,8 @@ from saldo.llm.common import cut
 BINS = 1024
 
 
-def _pack(batches, most):
-    """Vectors of one length and group, in blocks of at most `most`: ids and integer components, as bytes."""
+def _pack(batches, block_rows, query_rows):
+    """Vectors of one length and group, in blocks of at most so many rows: ids and integer components, as bytes."""
     held: dict[tuple[int, bool], list] = {}
 
     def block(key, rows):
@@ -36,6 +36,7 @@ def _pack(batches, most):
                     raise ValueError("components beyond 2^25 are not supported")
                 key = (int(d), q)
                 held.setdefault(key, []).append((ids[rows], vecs.astype(np.int64)))
+                most = query_rows if q else block_rows
                 while sum(len(x[0]) for x in held[key]) >= most:
                     i, v = np.concatenate([x[0] for x in held[key]]), np.concatenate([x[1] for x in held[key]])
                     yield block(key, [(i[:most], v[:most])])
@@ -127,7 +128,7 @@ def top_k(vectors: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str
     ok = F.col("vec").isNotNull() & (F.size("vec") > 0) & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     src = (vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), F.coalesce(F.expr(query), F.lit(False)).alias("query"))
            .filter(F.col("id").isNotNull() & ok))
-    packed = cut(src.repartition(sc.defaultParallelism * 2, "id").mapInArrow(lambda it: _pack(it, block), "dim int, query boolean, ids binary, vecs binary, peak long"))
+    packed = cut(src.repartition(sc.defaultParallelism * 2, "id").mapInArrow(lambda it: _pack(it, block, query_block), "dim int, query boolean, ids binary, vecs binary, peak long"))
     base = packed.filter("not query").select("dim", F.xxhash64("ids").alias("base"), "ids", "vecs")
     queries = cut(packed.filter("query").select("dim", F.xxhash64("ids", "vecs").alias("block"), F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs")))
     peaks = packed.groupBy("dim").agg(F.max("peak").alias("peak"))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saldo.llm.common import connected_components, cut, keyed_groups, local_roots
+from saldo.llm.common import connected_components, cut, local_roots
 
 STEP = 16
 
