@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from saldo.operators import commands as C
 from saldo.operators import ledger as L
 from saldo.operators import obligations as O
-from saldo.plans.core import DS, OUT, D, _with
+from saldo.plans.core import OUT, D, _with
 from saldo.plans.registry import query
 from saldo.sources.ledger import accounts, allocations, budgets, debt_events, debts, goals, raw_events, transactions, upcoming, with_tables
 
