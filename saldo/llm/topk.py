@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saldo.llm.common import cut
+from saldo.llm.common import cut, spread
 
 BINS = 1024
 
@@ -128,7 +128,7 @@ def top_k(vectors: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str
     ok = F.col("vec").isNotNull() & (F.size("vec") > 0) & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     src = (vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), F.coalesce(F.expr(query), F.lit(False)).alias("query"))
            .filter(F.col("id").isNotNull() & ok))
-    packed = cut(src.repartition(sc.defaultParallelism * 2, "id").mapInArrow(lambda it: _pack(it, block, query_block), "dim int, query boolean, ids binary, vecs binary, peak long"))
+    packed = cut(spread(src).mapInArrow(lambda it: _pack(it, block, query_block), "dim int, query boolean, ids binary, vecs binary, peak long"))
     base = packed.filter("not query").select("dim", F.xxhash64("ids").alias("base"), "ids", "vecs")
     queries = cut(packed.filter("query").select("dim", F.xxhash64("ids", "vecs").alias("block"), F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs")))
     peaks = packed.groupBy("dim").agg(F.max("peak").alias("peak"))
