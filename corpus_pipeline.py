@@ -25,9 +25,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each class of near copies."""
+    """Keeps the document with the smallest id of each class of near copies, once. Rows without an id go."""
     first = ngram_join.ngram_jaccard_join(docs).filter("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(*COLUMNS)
+    kept = docs.join(first, "doc_id", "left_semi").select(*COLUMNS)
+    return kept.dropDuplicates(["doc_id"]) if ngram_join.has_repeats(docs.select(F.col("doc_id").alias("id"))) else kept
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -178,7 +178,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     some = (near.join(sizes, "component").join(reps.select(F.col("rep").alias("node"), "mult", "sig"), "node")
             .select(F.col("node").alias("rep"), "mult", "sig", F.col("component").alias("comp"), "blocks",
                     F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")))
-    ids = src.dropDuplicates(["id"]) if _repeats(src) else src
+    ids = src.dropDuplicates(["id"]) if has_repeats(src) else src
     sets = (some.join(ids, some.rep == ids.id).drop("id")
             .mapInArrow(lambda it: _sets(it, size), "rep long, mult long, comp long, block int, blocks int, sig binary, grams binary"))
     mate = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -195,6 +195,6 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return full.unionByName(bare).withColumnRenamed("id", id_col)
 
 
-def _repeats(src: DataFrame) -> bool:
+def has_repeats(src: DataFrame) -> bool:
     """Whether an id stands in several rows (a count of a groupBy; the rows stay on the executors)."""
     return src.groupBy("id").count().filter("count > 1").limit(1).count() > 0
