@@ -27,10 +27,11 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
-def window_runs(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+def window_runs(data: np.ndarray, at: np.ndarray, length: int, hot: np.ndarray) -> tuple[np.ndarray, ...]:
     """Maximal runs of neighbouring windows of `length` bytes, each within one row, that have the same anchor.
 
-    Returns the first window's start, the number of windows, the anchor, and a hash of all bytes of the run.
+    Returns the first window's start, the number of windows, the anchor, and a hash of all bytes of the run. Where the
+    anchor is one of `hot` (sorted), each window is a run of its own and its own hash the anchor.
     """
     w, n = length - ANCHOR + 1, len(data) - length + 1
     inside = np.diff(at) - length + 1
@@ -48,8 +49,24 @@ def window_runs(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarr
     v = least[idx]
     first = np.concatenate([[0], np.flatnonzero((v[1:] != v[:-1]) | (idx[1:] != idx[:-1] + 1)) + 1])
     count = np.diff(np.append(first, len(idx)))
-    s = idx[first]
-    return s, count, v[first], span_hash(sums, s, s + count - 1 + length)
+    s, anchor = idx[first], v[first]
+    often = _inside(anchor, hot)
+    if often.any():
+        times = np.where(often, count, 1)
+        of = np.repeat(np.arange(len(s)), times)
+        s = s[of] + np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)
+        count, anchor, often = np.where(often, 1, count)[of], anchor[of], often[of]
+        anchor[often] = span_hash(sums, s[often], s[often] + length)
+    return s, count, anchor, mix(span_hash(sums, s, s + count - 1 + length) + U64(5))
+
+
+def _inside(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which of x stand in a sorted array."""
+    if not len(ordered):
+        return np.zeros(len(x), bool)
+    at = np.searchsorted(ordered, x)
+    at[at == len(ordered)] = 0
+    return ordered[at] == x
 
 
 def _blob(**columns) -> bytes:
@@ -130,23 +147,56 @@ def merged(ids: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, .
     return ids[first], s[first], top[last] - shift[last]
 
 
-def _all_runs(ids: np.ndarray, data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+def _all_runs(data: np.ndarray, at: np.ndarray, length: int, hot: np.ndarray) -> tuple[np.ndarray, ...]:
     """(row, start in the row, windows, anchor, run hash) of all runs of a batch."""
     out = []
     for i, j in pieces(at, 1 << 17):
         local = at[i : j + 1] - at[i]
-        s, n, h, c = window_runs(data[at[i] : at[j]], local, length)
+        s, n, h, c = window_runs(data[at[i] : at[j]], local, length, hot)
         row = np.searchsorted(local, s, "right") - 1
         out.append((row + i, s - local[row], n, h, c))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 5
 
 
-def _requests(batches, length, parts, buckets):
-    """Runs, dealt by anchor. Of equal runs in a batch only those of the smallest id are sent; the others are copies here already."""
+def _portions(batches, most: int = 1 << 23):
+    """(ids, bytes, offsets) of batches (id, text), at most some megabytes of text at a time unless one text is longer."""
     for b in batches:
         ids = b.column(0).to_numpy()
         data, at = text_buffer(b.column(1))
-        row, s, n, h, c = _all_runs(ids, data, at, length)
+        for i, j in pieces(at, most):
+            yield ids[i:j], data[at[i] : at[j]], at[i : j + 1] - at[i]
+
+
+def _sampled_anchors(batches, length):
+    """(anchor, number of rows that have it) of each portion."""
+    none = np.zeros(0, U64)
+    for _, data, at in _portions(batches):
+        row, _, _, h, _ = _all_runs(data, at, length, none)
+        if not len(h):
+            continue
+        order = np.lexsort((row, h))
+        h, row = h[order], row[order]
+        h = h[np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])])]
+        value, n = np.unique(h, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+
+def hot_anchors(named: DataFrame, length: int, share: float = 0.01, least: int = 32, sample: int = 20_000) -> np.ndarray:
+    """Anchors that a hundredth of a sample of about `sample` rows has, sorted. They only decide how runs are dealt: no result
+    depends on them. At most 1 / share times a row's mean number of anchors."""
+    n = named.count()
+    if not n:
+        return np.zeros(0, U64)
+    part = named.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < int(np.ceil(1_000_003 * min(1.0, sample / n))))
+    most = max(least, int(share * min(n, sample)))
+    got = part.mapInArrow(lambda it: _sampled_anchors(it, length), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= most).select("h").toArrow()
+    return np.sort(got.column("h").to_numpy().astype(np.int64).view(U64))
+
+
+def _requests(batches, length, parts, buckets, hot):
+    """Runs, dealt by anchor. Of equal runs in some megabytes of text only those of the smallest id are sent; the others are copies here already."""
+    for ids, data, at in _portions(batches):
+        row, s, n, h, c = _all_runs(data, at, length, hot)
         if not len(row):
             continue
         owner = ids[row]
@@ -212,15 +262,6 @@ def _join(ids: np.ndarray, c: np.ndarray) -> np.ndarray:
     return mix(ids.astype(np.int64).view(U64) * U64(0x9E3779B97F4A7C15) ^ c)
 
 
-def _inside(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
-    """Which of x stand in a sorted array."""
-    if not len(ordered):
-        return np.zeros(len(x), bool)
-    at = np.searchsorted(ordered, x)
-    at[at == len(ordered)] = 0
-    return ordered[at] == x
-
-
 class Notes:
     """What a bucket was told of its texts: spans that are gone, and runs by id and hash."""
 
@@ -230,13 +271,13 @@ class Notes:
         ids, c = (np.concatenate(x) for x in zip(*runs, strict=True)) if runs else (z, z.astype(U64))
         self.ids, self.runs = np.unique(ids), np.unique(_join(ids, c))
 
-    def find(self, batch: pa.RecordBatch, ids: np.ndarray, length: int):
+    def find(self, batch: pa.RecordBatch, ids: np.ndarray, length: int, hot: np.ndarray):
         """Rows of the batch with noted runs: (ids, first window, windows, anchor, bytes, offsets, place in the bytes)."""
         rows = np.flatnonzero(_inside(ids, self.ids))
         if not len(rows):
             return None
         data, at = text_buffer(batch.column(1).take(pa.array(rows)))
-        row, s, n, h, c = _all_runs(ids[rows], data, at, length)
+        row, s, n, h, c = _all_runs(data, at, length, hot)
         hit = _inside(_join(ids[rows][row], c), self.runs)
         row, s, n, h = row[hit], s[hit], n[hit], h[hit]
         return ids[rows][row], s, n, h, data, at[row] + s
@@ -256,14 +297,14 @@ def _bucket_groups(batches):
         yield Notes(gone, runs), map(_open, texts)
 
 
-def _contexts(batches, length, shards):
+def _contexts(batches, length, shards, hot):
     """The bytes of each OPEN run, dealt by anchor, a row for each bucket and shard."""
     for notes, texts in _bucket_groups(batches):
         if not len(notes.ids):
             continue
         owner, start, anchor, size, body = [], [], [], [], []
         for b in texts:
-            got = notes.find(b, b.column(0).to_numpy(), length)
+            got = notes.find(b, b.column(0).to_numpy(), length, hot)
             if got is None or not len(got[0]):
                 continue
             ids, s, n, h, data, at = got
@@ -342,14 +383,14 @@ def _down(text: bytes, y: int) -> int:
     return y
 
 
-def _apply(batches, length, chars):
+def _apply(batches, length, chars, hot):
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for notes, texts in _bucket_groups(batches):
         for b in texts:
             ids = b.column(0)
             known = ids.fill_null(0).to_numpy()
             gone = notes.gone
-            got = notes.find(b, known, length)
+            got = notes.find(b, known, length, hot)
             if got is not None:
                 gone = tuple(np.concatenate(x) for x in zip(gone, (got[0], got[1], got[1] + got[2] - 1 + length), strict=True))
             i, s, e = merged(*gone)
@@ -375,7 +416,7 @@ def _apply(batches, length, chars):
 
 
 def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, whole_characters: bool = False,
-                       keep_cols: tuple[str, ...] = (), shard_bytes: int = 8_000_000) -> DataFrame:
+                       keep_cols: tuple[str, ...] = (), shard_bytes: int = 8_000_000, hot_share: float = 0.01, hot_least: int = 32) -> DataFrame:
     """Each row of `docs` without the bytes covered by a `length`-byte string that also starts in a row with a smaller id.
 
     Returns (id_col, n_bytes long, spans array<struct<start,end>>, kept binary, *keep_cols). Strings are judged on the
@@ -384,7 +425,8 @@ def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     characters, so that what is kept is valid text.
 
     Every window of `length` bytes has an anchor, the smallest hash of the 20-byte runs in it, so equal windows have equal
-    anchors. Neighbouring windows with one anchor are a run. Runs are dealt by anchor, equal ones of a batch once. Of runs
+    anchors. Where an anchor is hot (`hot_share` of a sample of rows has it) each of its windows stands for itself, so that no
+    shard gathers what stands around a very common line. Neighbouring windows with one anchor are a run. Runs are dealt by anchor, equal ones of a batch once. Of runs
     with the same bytes the smallest id's stands for all. Where several kinds have one anchor, the bytes of the first of
     each kind go to that anchor's shard. A shard is one generalized suffix array, built by induced sorting; its permuted
     common prefixes of `length` bytes and more give the classes of equal windows, and each class its smallest id. The
@@ -394,14 +436,15 @@ def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = spread(src.select("id", "text").filter("id is not null"))
     total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     parts = buckets = shards = int(max(16, total // shard_bytes))
+    hot = hot_anchors(named, length, hot_share, hot_least)
     own = lambda df: df.repartition("key").sortWithinPartitions("key", "kind")
-    asked = own(named.mapInArrow(lambda it: _requests(it, length, parts, buckets), PACKED))
+    asked = own(named.mapInArrow(lambda it: _requests(it, length, parts, buckets, hot), PACKED))
     notes = lambda kind: asked.mapInArrow(lambda it: _answers(it, buckets, kind), PACKED)
     plain = named.mapInArrow(lambda it: _texts(it, buckets), PACKED)
-    open_runs = own(notes(OPEN).unionByName(plain)).mapInArrow(lambda it: _contexts(it, length, shards), PACKED)
+    open_runs = own(notes(OPEN).unionByName(plain)).mapInArrow(lambda it: _contexts(it, length, shards, hot), PACKED)
     found = own(open_runs).mapInArrow(lambda it: _shards(it, length, buckets), PACKED)
     full = spread(src).mapInArrow(lambda it: _texts(it, buckets), PACKED)
     extra = "".join(f", `_k{i}` {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep_cols))
     out = own(notes(COPY).unionByName(found).unionByName(full)).mapInArrow(
-        lambda it: _apply(it, length, whole_characters), f"id long, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary{extra}")
+        lambda it: _apply(it, length, whole_characters, hot), f"id long, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary{extra}")
     return out.select(F.col("id").alias(id_col), "n_bytes", "spans", "kept", *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep_cols)])

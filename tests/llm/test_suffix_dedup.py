@@ -46,7 +46,10 @@ def test_against_brute_force(spark):
     rows += [(60, rows[7][1]), (61, rows[7][1]), (62, None), (63, ""), (64, "short"), (65, "short"), (66, "a" * 49), (67, make(40_000) + shared[6])]
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.lit(1)).withColumn("anchors", F.lit("x"))
-    assert result(df, shard_bytes=3000) == brute(rows)
+    want = brute(rows)
+    assert result(df, shard_bytes=3000) == want
+    assert result(df, shard_bytes=3000, hot_share=0.0, hot_least=3) == want  # many anchors are hot
+    assert result(df, shard_bytes=3000, hot_share=0.0, hot_least=1) == want  # all are
 
 
 def test_empty_null_ids_and_repeats(spark):
