@@ -28,7 +28,7 @@ def poisson_cdf(rate: Column) -> Column:
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None, power: float = 0.5,
-                total: float | None = None, seed: int = 17) -> DataFrame:
+                total: float | None = None, seed: int = 17, most_sources: int = 10_000) -> DataFrame:
     """Rows of `docs` repeated so that sources take their target shares, in a global random order.
 
     Adds `copy_no` (int, from 1) and `shuffle_key` (double). The target share of a source is its entry in `weights`
@@ -39,7 +39,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     share their count; a null id or source counts as empty text, and a null source is a source of its own. The rows are
     dealt over all partitions by a hash of their random key and sorted by it within each.
 
-    Source counts are aggregated before the shuffle and joined back; the hottest source is only another row there.
+    Source counts are aggregated before the shuffle. Their table is broadcast if it has at most `most_sources` rows, so that
+    the rows need not move by source; beyond that it is a keyed join, whose hot keys Spark can split.
     """
     sizes = docs.groupBy(F.col(source_col).alias("_mix_source")).agg(F.count("*").alias("_mix_n"))
     if weights is None:
@@ -52,6 +53,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     rates = (sizes.withColumn("_mix_want", want).crossJoin(F.broadcast(whole))  # one row
              .withColumn("_mix_rate", F.coalesce(F.try_divide(expected * F.col("_mix_want"), F.col("_mix_all")) / F.col("_mix_n"), F.lit(0.0)))
              .select("_mix_source", F.when(F.col("_mix_rate") > 0, poisson_cdf(F.col("_mix_rate"))).otherwise(F.array(F.lit(1.0))).alias("_mix_cdf")))
+    if sizes.limit(most_sources + 1).count() <= most_sources:
+        rates = F.broadcast(rates)
     u = uniform(F.lit(seed), F.lit("count"), id_col, source_col)
     counted = (docs.join(rates, docs[source_col].eqNullSafe(F.col("_mix_source"))).withColumn("_mix_u", u)
                .withColumn("_mix_count", F.size(F.filter("_mix_cdf", lambda c: c < F.col("_mix_u")))).filter("_mix_count > 0").drop("_mix_source", "_mix_cdf", "_mix_u"))
