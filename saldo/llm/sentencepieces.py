@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from saldo.llm.common import pieces as row_ranges
@@ -14,7 +15,9 @@ from saldo.llm.common import spread, text_buffer
 
 MARK = "▁"
 #: Words whose ids a task keeps from batch to batch; beyond it the table starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
+#: Piece pairs whose separation a task keeps.
+PAIRS = 300_000
 
 
 class PieceTable:
@@ -33,10 +36,16 @@ class PieceTable:
         self.unk = sp.unk_id()
         self.unigram = self._kind(sp.serialized_model_proto()) == 1
         self.raw = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace(MARK, " ").encode() if plain[i] else b"" for i, p in enumerate(names)]
-        self.longest = max(map(len, self.ids))
+        #: every ending of a piece: the id of the piece that it is itself, or -1
+        self.endings: dict[str, int] = {}
+        for p in self.ids:
+            for k in range(len(p)):
+                self.endings.setdefault(p[k:], -1)
+        self.endings.update(self.ids)
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("pieces of this model cross words")
         self.breaks = "\n" not in "".join(self.ids)
+        self.encoder: TrieEncoder | None = None
 
     @staticmethod
     def _kind(proto: bytes) -> int:
@@ -60,7 +69,7 @@ class TrieEncoder:
 
     def __init__(self, table: PieceTable):
         self.t = table
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.apart: dict[int, bool] = {}
         self.names = {i: p for p, i in table.ids.items()}
         self.memo: dict[str, bytes] = {}
 
@@ -77,22 +86,20 @@ class TrieEncoder:
                 return parts
             parts[where : where + 2] = [parts[where] + parts[where + 1]]
 
-    def _follows(self, a: int, b: int) -> bool:
-        key = (a, b)
-        ok = self.apart.get(key)
-        if ok is None:
-            x, y = self.names[a], self.names[b]
-            ok = self.merge(x + y) == [x, y]
-            if len(self.apart) > 2_000_000:
-                self.apart.clear()
-            self.apart[key] = ok
+    def _apart(self, a: int, b: int) -> bool:
+        """Whether the merges leave piece a before piece b apart; b alone (a = -1): whether they build it."""
+        x, y = self.names[a] if a >= 0 else "", self.names[b]
+        ok = self.merge(x + y) == ([x, y] if x else [y])
+        if len(self.apart) > PAIRS:
+            self.apart.clear()
+        self.apart[(a + 1) << 32 | b] = ok
         return ok
 
     def encode_words(self, words) -> None:
         """Fill `memo` for all words."""
-        ids, longest, unigram, scores = self.t.ids, self.t.longest, self.t.unigram, self.t.scores
+        endings, unigram, scores, apart, memo, byte_ids = self.t.endings.get, self.t.unigram, self.t.scores, self.apart.get, self.memo, self.t.byte_ids
         worst = min(scores) - 10.0
-        last, length, total = [None], [0], [0.0]  # by prefix length: last piece (None: none or unknown), its length, score
+        last, length, total = [-1], [0], [0.0]  # by prefix length: last piece (-1: none or unknown), its length, score
         prev = ""
         for word in sorted(words):
             k, top = 0, min(len(prev), len(word))
@@ -100,60 +107,60 @@ class TrieEncoder:
                 k += 1
             del last[k + 1 :], length[k + 1 :], total[k + 1 :]
             for end in range(k + 1, len(word) + 1):
-                got = None
+                found = []  # pieces that end here, short ones first
+                at = end - 1
+                while at >= 0:
+                    c = endings(word[at:end])
+                    if c is None:
+                        break
+                    if c >= 0:
+                        found.append((c, at))
+                    at -= 1
+                got, size = -1, 1
                 if unigram:
                     best = total[end - 1] + worst
-                    size = 1
-                    for n in range(1, min(longest, end) + 1):
-                        c = ids.get(word[end - n : end])
-                        if c is not None and (total[end - n] + scores[c] > best or (got is None and n == 1)):
-                            best, got, size = total[end - n] + scores[c], c, n
+                    for c, at in found:
+                        if got < 0 or total[at] + scores[c] > best:
+                            best, got, size = total[at] + scores[c], c, end - at
                     total.append(best)
                 else:
-                    size = 1
-                    for n in range(min(longest, end), 0, -1):
-                        c = ids.get(word[end - n : end])
-                        if c is None:
-                            continue
-                        before = last[end - n]
-                        if before is None:
-                            if n == 1 or self._whole(c):
-                                got, size = c, n
-                                break
-                        elif self._follows(before, c) and (n == 1 or self._whole(c)):
-                            got, size = c, n
-                            break
+                    for c, at in reversed(found):
+                        if end - at > 1:
+                            ok = apart(c)
+                            if not (self._apart(-1, c) if ok is None else ok):
+                                continue
+                        before = last[at]
+                        if before >= 0:
+                            ok = apart((before + 1) << 32 | c)
+                            if not (self._apart(before, c) if ok is None else ok):
+                                continue
+                        got, size = c, end - at
+                        break
                     total.append(0.0)
                 last.append(got)
                 length.append(size)
             out, end = [], len(word)
             while end:
-                c = last[end]
-                if c is None:
-                    out.extend(self.t.byte_ids[b] for b in reversed(word[end - 1].encode()))
+                if last[end] < 0:
+                    out.extend(byte_ids[b] for b in reversed(word[end - 1].encode()))
                 else:
-                    out.append(c)
+                    out.append(last[end])
                 end -= length[end]
-            self.memo[word] = np.array(out[::-1], "<i4").tobytes()
+            out.reverse()
+            memo[word] = array("i", out).tobytes()
             prev = word
 
-    def _whole(self, c: int) -> bool:
-        """Whether the merges build this piece from its characters."""
-        key = (c, -1)
-        ok = self.apart.get(key)
-        if ok is None:
-            ok = self.apart[key] = len(self.merge(self.names[c])) == 1
-        return ok
-
 
-def _encode(batches, sent):
+def _encode(batches, sent, keep_text):
     table = sent.value
-    encoder = TrieEncoder(table)
+    if table.encoder is None:  # kept with the table for the worker's later tasks
+        table.encoder = TrieEncoder(table)
+    encoder = table.encoder
     cut_words = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+" if table.breaks else f"{MARK}+[^{MARK}]*").findall
     for b in batches:
         col = b.column(0)
         _, at = text_buffer(col)
-        for i, j in row_ranges(at, 1 << 21):
+        for i, j in row_ranges(at, 1 << 20):
             split = [cut_words((MARK + x.replace(" ", MARK))) if x else [] for x in col.slice(i, j - i).to_pylist()]
             if len(encoder.memo) > REMEMBERED:
                 encoder.memo.clear()
@@ -162,11 +169,13 @@ def _encode(batches, sent):
             rows = [b"".join(map(get, words)) for words in split]
             offs = np.concatenate([[0], np.cumsum([len(r) // 4 for r in rows])]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offs), pa.array(np.frombuffer(b"".join(rows), "<i4")))
-            yield pa.RecordBatch.from_arrays([ids, *[c.slice(i, j - i) for c in b.columns[1:]]], names=["ids", *b.schema.names[1:]])
+            kept = b.columns if keep_text else b.columns[1:]
+            names = ["ids", "_same", *b.schema.names[1:]] if keep_text else ["ids", *b.schema.names[1:]]
+            yield pa.RecordBatch.from_arrays([ids, *[c.slice(i, j - i) for c in kept]], names=names)
 
 
-def _decode(batches, sent):
-    raw = sent.value.raw
+def _decode(batches, sent, _):
+    raw = sent.value
     get = raw.__getitem__
     for b in batches:
         lists = b.column(0)
@@ -178,12 +187,24 @@ def _decode(batches, sent):
         yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *b.columns[1:]], names=["decoded", *b.schema.names[1:]])
 
 
-def _through(df: DataFrame, first, name: str, kind: str, f, table: PieceTable, keep_cols) -> DataFrame:
+#: Rows of an Arrow batch: texts and ids stand in memory outside the heap several times while they pass.
+BATCH = 1000
+
+
+def _through(df: DataFrame, first: Column, same: str | None, name: str, kind: str, f, table, keep_cols) -> DataFrame:
+    """df's column `first` through f in small Arrow batches, with keep_cols beside it; `same` is the kept column that equals
+    `first`, if there is one, and so is not sent again."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     sent = df.sparkSession.sparkContext.broadcast(table)  # the model file's pieces: its size doesn't depend on the data
-    src = df.select(first, *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep_cols)])
-    extra = "".join(f", `_k{i}` {df.schema[c].dataType.simpleString()}" for i, c in enumerate(keep_cols))
-    out = src.mapInArrow(lambda it: f(it, sent), f"{name} {kind}{extra}")
-    return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep_cols)], name)
+    others = [c for c in keep_cols if c != same]
+    src = df.select(first, *[F.col(c).alias(f"_k{i}") for i, c in enumerate(others)])
+    extra = "".join(f", `_k{i}` {df.schema[c].dataType.simpleString()}" for i, c in enumerate(others))
+    if same is not None:
+        extra = f", _same string{extra}"
+    out = src.mapInArrow(lambda it: f(it, sent, same is not None), f"{name} {kind}{extra}")
+    return out.select(*[(F.col("_same") if c == same else F.col(f"_k{others.index(c)}")).alias(c) for c in keep_cols], name)
 
 
 def encode(docs: DataFrame, table: PieceTable, text_col: str = "text", keep_cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -192,12 +213,13 @@ def encode(docs: DataFrame, table: PieceTable, text_col: str = "text", keep_cols
     Null and empty texts have no ids. Characters without a piece become the pieces of their bytes. Each batch's distinct
     words (runs of marks and what follows, which no piece crosses) are encoded once, in sorted order.
     """
-    return _through(spread(docs), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"), "ids", "array<int>", _encode, table, keep_cols)
+    same = text_col if text_col in keep_cols and docs.schema[text_col].dataType.simpleString() == "string" else None
+    return _through(spread(docs), F.col(text_col).cast("string").alias("_text"), same, "ids", "array<int>", _encode, table, keep_cols)
 
 
 def decode(encoded: DataFrame, table: PieceTable, ids_col: str = "ids", keep_cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(*keep_cols, decoded string). Gives back the encoded text, but that U+2581 in a text comes back as a space."""
-    return _through(encoded, F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias("_ids"), "decoded", "string", _decode, table, keep_cols)
+    return _through(encoded, F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias("_ids"), None, "decoded", "string", _decode, table.raw, keep_cols)
 
 
 def default_model_path() -> str:

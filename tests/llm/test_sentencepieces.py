@@ -36,7 +36,7 @@ def test_unigram_best_path():
     class Toy:
         ids = {"a": 0, "b": 1, "ab": 2, "ba": 3, "aba": 4}
         scores = [-2.0, -2.0, -2.5, -3.5, -4.4]
-        longest, unigram, byte_ids = 3, True, list(range(256))
+        endings, unigram, byte_ids = ids, True, list(range(256))
 
     e = TrieEncoder(Toy)
     e.encode_words(["ab", "aba", "abab", "b"])
