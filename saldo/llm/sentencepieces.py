@@ -151,7 +151,7 @@ class TrieEncoder:
             prev = word
 
 
-def _encode(batches, sent, keep_text):
+def _encode(batches, sent, keep_text, verify=False):
     table = sent.value
     if table.encoder is None:  # kept with the table for the worker's later tasks
         table.encoder = TrieEncoder(table)
@@ -169,21 +169,29 @@ def _encode(batches, sent, keep_text):
             rows = [b"".join(map(get, words)) for words in split]
             offs = np.concatenate([[0], np.cumsum([len(r) // 4 for r in rows])]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offs), pa.array(np.frombuffer(b"".join(rows), "<i4")))
-            kept = b.columns if keep_text else b.columns[1:]
+            kept = [c.slice(i, j - i) for c in (b.columns if keep_text else b.columns[1:])]
             names = ["ids", "_same", *b.schema.names[1:]] if keep_text else ["ids", *b.schema.names[1:]]
-            yield pa.RecordBatch.from_arrays([ids, *[c.slice(i, j - i) for c in kept]], names=names)
+            if verify:
+                back = [_text(np.frombuffer(r, "<i4").tolist(), table.raw) for r in rows]
+                kept.append(pa.array([x == (y or "") for x, y in zip(back, col.slice(i, j - i).to_pylist(), strict=True)]))
+                names.append("round_trip")
+            yield pa.RecordBatch.from_arrays([ids, *kept], names=names)
 
 
-def _decode(batches, sent, _):
+def _text(ids: list[int], raw: list[bytes]) -> str:
+    """The text of a row of ids: bytes joined, without the space that stands for the first mark."""
+    text = b"".join(map(raw.__getitem__, ids))
+    return (text[1:] if text[:1] == b" " else text).decode("utf-8", "replace")
+
+
+def _decode(batches, sent, _, verify=False):
     raw = sent.value
-    get = raw.__getitem__
     for b in batches:
         lists = b.column(0)
         texts = []
         for row in lists:
             ids = row.values.to_numpy().tolist() if row.is_valid and row.values is not None else []
-            text = b"".join(map(get, ids))
-            texts.append((text[1:] if text[:1] == b" " else text).decode("utf-8", "replace"))
+            texts.append(_text(ids, raw))
         yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *b.columns[1:]], names=["decoded", *b.schema.names[1:]])
 
 
@@ -191,7 +199,7 @@ def _decode(batches, sent, _):
 BATCH = 1000
 
 
-def _through(df: DataFrame, first: Column, same: str | None, name: str, kind: str, f, table, keep_cols) -> DataFrame:
+def _through(df: DataFrame, first: Column, same: str | None, name: str, kind: str, f, table, keep_cols, verify: bool = False) -> DataFrame:
     """df's column `first` through f in small Arrow batches, with keep_cols beside it; `same` is the kept column that equals
     `first`, if there is one, and so is not sent again."""
     conf = df.sparkSession.conf
@@ -203,18 +211,20 @@ def _through(df: DataFrame, first: Column, same: str | None, name: str, kind: st
     extra = "".join(f", `_k{i}` {df.schema[c].dataType.simpleString()}" for i, c in enumerate(others))
     if same is not None:
         extra = f", _same string{extra}"
-    out = src.mapInArrow(lambda it: f(it, sent, same is not None), f"{name} {kind}{extra}")
-    return out.select(*[(F.col("_same") if c == same else F.col(f"_k{others.index(c)}")).alias(c) for c in keep_cols], name)
+    out = src.mapInArrow(lambda it: f(it, sent, same is not None, verify), f"{name} {kind}{extra}{', round_trip boolean' if verify else ''}")
+    return out.select(*[(F.col("_same") if c == same else F.col(f"_k{others.index(c)}")).alias(c) for c in keep_cols], name, *["round_trip"] * verify)
 
 
-def encode(docs: DataFrame, table: PieceTable, text_col: str = "text", keep_cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def encode(docs: DataFrame, table: PieceTable, text_col: str = "text", keep_cols: tuple[str, ...] = ("doc_id",), verify: bool = False) -> DataFrame:
     """(*keep_cols, ids array<int>): the ids of each whole text, as the SentencePiece library gives them.
 
+    With `verify` there is a column round_trip besides: whether the ids decode to the text (null: empty), told in the same pass.
+
     Null and empty texts have no ids. Characters without a piece become the pieces of their bytes. Each batch's distinct
     words (runs of marks and what follows, which no piece crosses) are encoded once, in sorted order.
     """
     same = text_col if text_col in keep_cols and docs.schema[text_col].dataType.simpleString() == "string" else None
-    return _through(spread(docs), F.col(text_col).cast("string").alias("_text"), same, "ids", "array<int>", _encode, table, keep_cols)
+    return _through(spread(docs), F.col(text_col).cast("string").alias("_text"), same, "ids", "array<int>", _encode, table, keep_cols, verify)
 
 
 def decode(encoded: DataFrame, table: PieceTable, ids_col: str = "ids", keep_cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -435,7 +435,8 @@ def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep_cols)])
     named = spread(src.select("id", "text").filter("id is not null"))
     total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
-    parts = buckets = shards = int(max(16, total // shard_bytes))
+    parts = buckets = int(max(16, total // shard_bytes))
+    shards = 3 * parts  # a suffix array takes some ten times its text
     hot = hot_anchors(named, length, hot_share, hot_least)
     own = lambda df: df.repartition("key").sortWithinPartitions("key", "kind")
     asked = own(named.mapInArrow(lambda it: _requests(it, length, parts, buckets, hot), PACKED))

@@ -29,6 +29,8 @@ def test_documents(spark):
     assert got == {i: LIB.encode(t or "") for i, t in enumerate(texts)}
     back = {r.doc_id: r.decoded for r in decode(enc, TABLE).collect()}
     assert back == {i: t or "" for i, t in enumerate(texts)}
+    assert {(r.doc_id, r.round_trip) for r in encode(df, TABLE, verify=True).collect()} == {(i, True) for i in range(len(texts))}
+    assert [r.round_trip for r in encode(df.limit(1).withColumn("text", F.lit("a\u2581b")), TABLE, keep_cols=("text",), verify=True).collect()] == [False]
     assert encode(df.limit(0), TABLE).collect() == []
 
 
