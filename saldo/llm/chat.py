@@ -78,12 +78,24 @@ def mask_tokens(offsets: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, lis
     return mask, shared
 
 
-def _format(batches, sent, trained):
+_LOADED: dict[int, object] = {}
+
+
+def _tokenizer(content: str):
+    """The tokenizer of a file's content; a worker process builds it once, not in every task."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_str(sent.value)
-    tok.encode_special_tokens = True
+    key = hash(content)
+    if key not in _LOADED:
+        _LOADED.clear()
+        _LOADED[key] = Tokenizer.from_str(content)
+        _LOADED[key].encode_special_tokens = True
+    return _LOADED[key]
+
+
+def _format(batches, sent, trained):
+    tok = _tokenizer(sent.value)
     for b in batches:
         rows = [[(t["role"] or "", t["text"] or "") for t in turns] for turns in b.column(1).to_pylist()]
         made = [render(r) for r in rows]
