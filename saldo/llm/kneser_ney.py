@@ -1,13 +1,13 @@
-"""Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text."""
+"""Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text: words of order 3, unknown ones by their bytes."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from saldo.llm.common import cut, pieces, spread, text_buffer
+from saldo.llm.common import U64, cut, mix, pieces, prefix_hash, span_hash, spread, text_buffer
 
 #: Symbols of five bits: 0 before the text, a-z in either case, digits, white space, other ASCII, bytes above ASCII, controls.
 SYMBOL = np.array([1 + (c | 32) - 97 if 97 <= (c | 32) <= 122 and c < 128 else 27 if 48 <= c <= 57 else 28 if c in (9, 10, 13, 32) else 30 if c >= 128 else 31 if c < 32 or c == 127 else 29 for c in range(256)], np.int32)
@@ -52,15 +52,20 @@ def count_tables(texts: DataFrame) -> list[DataFrame]:
     return out[::-1]
 
 
+def discounts() -> list[Column]:
+    """d1, d2, d3 of modified Kneser-Ney from the counts of counts n1 to n4."""
+    y = F.coalesce(F.try_divide("n1", F.col("n1") + 2 * F.col("n2")), F.lit(0.5))
+    cut_at = lambda k, up, low: F.least(F.lit(float(k)), F.greatest(F.lit(0.05 * k), F.coalesce(k - (k + 1) * y * F.try_divide(up, low), F.lit(0.5 * k))))
+    return [cut_at(1, "n2", "n1").alias("d1"), cut_at(2, "n3", "n2").alias("d2"), cut_at(3, "n4", "n3").alias("d3")]
+
+
 def smoothed(counts: DataFrame) -> DataFrame:
     """(gram, own, spare): the discounted share of each n-gram in its context, and the mass its context leaves to the lower order.
 
     The three discounts come from the counts of counts; context totals are joined to the n-grams on the context.
     """
     n = counts.agg(*[F.sum((F.col("c") == k).cast("double")).alias(f"n{k}") for k in (1, 2, 3, 4)])
-    y = F.coalesce(F.try_divide("n1", F.col("n1") + 2 * F.col("n2")), F.lit(0.5))
-    cut_at = lambda k, up, low: F.least(F.lit(float(k)), F.greatest(F.lit(0.05 * k), F.coalesce(k - (k + 1) * y * F.try_divide(up, low), F.lit(0.5 * k))))
-    d = n.select(cut_at(1, "n2", "n1").alias("d1"), cut_at(2, "n3", "n2").alias("d2"), cut_at(3, "n4", "n3").alias("d3"))
+    d = n.select(*discounts())
     off = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
     rows = counts.crossJoin(F.broadcast(d)).withColumn("context", F.shiftright("gram", BITS)).withColumn("off", off)  # d is one row
     totals = rows.groupBy("context").agg(F.sum("c").alias("total"), F.sum("off").alias("left"))
@@ -86,33 +91,149 @@ def train_kneser_ney(texts: DataFrame) -> np.ndarray:
     return np.log(np.maximum(p, 1e-12)).astype(np.float32)
 
 
-def _perplexity(batches, model):
+#: How many bytes share each symbol: a folded symbol's probability is split evenly among them.
+SHARED = np.log(np.bincount(SYMBOL, minlength=1 << BITS)[SYMBOL])
+WORDS = ["w3", "w2", "w1"]
+BEGIN, END = -2, -1
+#: 0 in words (ASCII letters and digits, bytes above ASCII), 1 punctuation, 2 white space and controls.
+KIND = np.array([0 if c >= 128 or chr(c).isalnum() else 2 if c <= 32 or c == 127 else 1 for c in range(256)], np.int8)
+
+
+def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the tokens, and n+1 offsets into them by row. Nothing is folded.
+
+    A token is a word, one punctuation sign, one character of three bytes or more (scripts without spaces), or a gap other
+    than a single space.
+    """
+    if len(data) == 0:
+        empty = np.zeros(0, np.int64)
+        return empty, empty, np.zeros(len(at), np.int64)
+    kind, inner = KIND[data], (data & 0xC0) == 0x80
+    wide = data[np.maximum.accumulate(np.where(inner, 0, np.arange(len(data))))] >= 0xE0
+    first = np.ones(len(data), bool)
+    first[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 1) | (~inner[1:] & (wide[1:] | wide[:-1]))
+    first[at[at < len(data)]] = True
+    starts = np.flatnonzero(first)
+    ends = np.append(starts[1:], len(data))
+    some = (data[starts] != 32) | (ends - starts > 1)
+    starts, ends = starts[some], ends[some]
+    return starts, ends, np.searchsorted(starts, at)
+
+
+def _word_grams(batches, model):
+    """One row for each distinct run of three tokens of a text: how often it stands there, and the log probability of spelling its last."""
     table = model.value
     for b in batches:
         data, at = text_buffer(b.column(0))
-        out = np.full(b.num_rows, np.nan)
+        rid, m = b.column(1).to_numpy(), b.column(2).to_numpy()
         for i, j in pieces(at):
-            own = at[i : j + 1] - at[i]
-            logp = np.concatenate([[0.0], np.cumsum(table[grams(data[at[i] : at[j]], own)], dtype=np.float64)])
-            n = np.diff(own)
-            some = n > 0
-            out[i:j][some] = np.exp(-(np.diff(logp[own])[some] / n[some]))
-        yield pa.RecordBatch.from_arrays([pa.array(out, from_pandas=True), *b.columns[1:]], names=["perplexity", *b.schema.names[1:]])
+            part, own = data[at[i] : at[j]], at[i : j + 1] - at[i]
+            full = np.flatnonzero(np.diff(own) > 0)
+            if len(full) == 0:
+                continue
+            starts, ends, first = tokens(part, own)
+            spell = np.concatenate([[0.0], np.cumsum(table[grams(part, own)] - SHARED[part])])
+            n = np.diff(first)[full]
+            to = np.concatenate([[0], np.cumsum(n + 3)])  # two begin marks before a text, one end mark after it
+            word, logp, row = np.full(to[-1], BEGIN, np.int64), np.zeros(to[-1]), np.repeat(np.arange(len(full)), n + 3)
+            place = np.arange(len(starts)) + 3 * np.repeat(np.arange(len(full)), n) + 2
+            word[place] = span_hash(prefix_hash(part), starts, ends).view(np.int64)
+            logp[place] = spell[ends] - spell[starts]
+            word[to[1:] - 1] = END
+            last = np.flatnonzero(np.arange(to[-1]) - to[row] >= 2)
+            key = mix(word[last].view(U64) * U64(0x9E3779B97F4A7C15) + mix(word[last - 1].view(U64) * U64(0xC2B2AE3D27D4EB4F) + mix(word[last - 2].view(U64) + mix(row[last].astype(U64)))))
+            _, at_first, back, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+            take, r = last[at_first], row[last[at_first]]
+            size = np.zeros(len(take), np.int64)
+            lead = np.unique(r, return_index=True)
+            size[lead[1]] = (np.diff(own)[full] + 1)[lead[0]]
+            cols = [rid[i:j][full][r], m[i:j][full][r], word[take - 2], word[take - 1], word[take], times.astype(np.int32), np.bincount(back, logp[last]), size]
+            for k in range(0, len(take), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 50_000]) for c in cols], names=["rid", "m", *WORDS, "n", "spelled", "size"])
 
 
-def perplexity(docs: DataFrame, model: np.ndarray, text_col: str = "text", keep_cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(*keep_cols, perplexity double): over all bytes of each text; null for null and empty texts."""
-    src = spread(docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep_cols)]))
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # 4 MB, by construction
-    extra = "".join(f", `_k{i}` {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep_cols))
-    out = src.mapInArrow(lambda it: _perplexity(it, sent), f"perplexity double{extra}")
-    return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep_cols)], "perplexity")
+def word_grams(src: DataFrame, spelling: np.ndarray) -> DataFrame:
+    """(rid, m, w3, w2, w1, n, spelled, size) of the texts in src (_text, rid, m); size is a text's bytes and end mark, in one of its rows."""
+    sent = src.sparkSession.sparkContext.broadcast(spelling)  # 4 MB, by construction
+    return spread(src.select("_text", "rid", "m")).mapInArrow(lambda it: _word_grams(it, sent), "rid long, m int, w3 long, w2 long, w1 long, n int, spelled double, size long")
+
+
+def word_tables(runs: DataFrame) -> tuple[list[DataFrame], list[DataFrame], DataFrame]:
+    """Tables of the models of order 3: log probability of each run, what each context leaves to a shorter one, and what unknown words get.
+
+    `runs` has (m, w3, w2, w1, c), m the model. Modified Kneser-Ney, interpolated; lower orders count distinct
+    predecessors. All tables are keyed and sharded, as large as the trusted texts make them.
+    """
+    probs, spares, low, spare = [], [], None, None
+    counts = [cut(runs.groupBy("m", *WORDS).agg(F.sum("c").alias("c")))]
+    for k in (1, 2):
+        counts.append(cut(counts[-1].groupBy("m", *WORDS[k:]).agg(F.count("*").alias("c"))))
+    for k in (2, 1, 0):
+        c, words = counts[k], WORDS[k:]
+        n = c.groupBy("m").agg(*[F.sum((F.col("c") == i).cast("double")).alias(f"n{i}") for i in (1, 2, 3, 4)])
+        d = n.select("m", *discounts())
+        rows = c.join(F.broadcast(d), "m")  # three rows at most, one for each model
+        rows = rows.withColumn("off", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
+        context = ["m", *words[:-1]]
+        totals = rows.groupBy(*context).agg(F.sum("c").alias("total"), F.sum("off").alias("left"))
+        p = (F.col("c") - F.col("off")) / F.col("total")
+        rows = rows.join(F.broadcast(totals) if k == 2 else totals, context)
+        if low is not None:
+            rows, p = rows.join(low, ["m", *words[1:]]), p + F.col("left") / F.col("total") * F.col("p")
+        low = cut(rows.select("m", *words, p.alias("p"), F.col("c").alias("weight")))
+        probs.append(low)
+        left = totals.select(*context, F.log(F.col("left") / F.col("total")).alias("found"), F.col("total").alias("weight"))
+        if k == 2:
+            spare = left
+        else:
+            spares.append(cut(left))
+        low = low.drop("weight")
+    return [p.withColumn("found", F.log("p")).drop("p") for p in probs][::-1], spares[::-1], spare
+
+
+def look_up(q: DataFrame, table: DataFrame, keys: list[str], words: list[str], done: Column, most: int) -> DataFrame:
+    """q with the column `found` of the table's row whose `keys` equal `words` of q, null if there is none.
+
+    A table of up to `most` rows is broadcast. Beyond that both meet by a keyed join; keys with over a thousandth of the
+    weight of their model (a thousand at most) are broadcast apart, and what they or earlier tables have answered is dealt evenly by text.
+    """
+    table = table.select("m", *[F.col(k).alias(f"_{k}") for k in keys], "found", "weight")
+    same = lambda t: [F.col("q.m") == F.col(f"{t}.m"), *[F.col(f"q.{w}") == F.col(f"{t}._{k}") for k, w in zip(keys, words, strict=True)]]
+    if table.limit(most + 1).count() <= most:
+        return q.alias("q").join(F.broadcast(table.alias("t")), same("t"), "left").select("q.*", "t.found")
+    total = table.groupBy("m").agg((F.sum("weight") / 1000).alias("least"))
+    hot = table.join(F.broadcast(total), "m").filter("weight > least").drop("least", "weight")
+    q = q.alias("q").join(F.broadcast(hot.alias("h")), same("h"), "left").select("q.*", F.col("h.found").alias("_hot"))
+    q = q.withColumn("_deal", F.when(F.col("_hot").isNotNull() | done, F.xxhash64("rid", *WORDS)).otherwise(F.lit(0)))
+    table = table.drop("weight").withColumn("_deal", F.lit(0).cast("long"))
+    out = q.alias("q").join(table.alias("t"), [*same("t"), F.col("q._deal") == F.col("t._deal")], "left")
+    return out.select("q.*", F.coalesce("q._hot", "t.found").alias("found")).drop("_hot", "_deal")
+
+
+def perplexity(q: DataFrame, tables, most: int = 200_000) -> DataFrame:
+    """(rid, perplexity) by byte from the rows of `word_grams`, each under its model m.
+
+    A run that the trusted texts lack falls back on the shorter run, times what the context leaves to it; an unknown word takes its
+    share of what is left by its spelling.
+    """
+    probs, spares, spare = tables
+    q = q.withColumn("logp", F.lit(None).cast("double")).withColumn("back", F.lit(0.0))
+    for k in range(3):
+        q = look_up(q, probs[k], WORDS[k:], WORDS[k:], F.col("logp").isNotNull(), most)
+        q = q.withColumn("logp", F.coalesce("logp", F.col("back") + F.col("found"))).drop("found")
+        if k < 2:
+            q = look_up(q, spares[k], WORDS[k:-1], WORDS[k:-1], F.col("logp").isNotNull(), most)
+            q = q.withColumn("back", F.col("back") + F.coalesce("found", F.lit(0.0))).drop("found")
+    q = q.join(F.broadcast(spare.select("m", "found")), "m", "left")
+    logp = F.coalesce(F.col("logp") * F.col("n"), (F.col("back") + F.coalesce("found", F.lit(0.0))) * F.col("n") + F.col("spelled"))
+    return q.groupBy("rid").agg(F.exp(-F.sum(logp) / F.sum("size")).alias("perplexity"))
 
 
 def quality_filter(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.995, slack: float = 1.05, most_broadcast: int = 500_000) -> DataFrame:
     """(id_col, lang, perplexity, threshold, keep) for each row of `docs`.
 
-    The model counts every row whose id is in `trusted_ids` (one column, id_col). A row is kept if its perplexity is at
+    The model counts every row whose id is in `trusted_ids` (one column, id_col); a trusted row itself is scored under a model of
+    the half of them that its id is not in, as else its own runs would lower the thresholds. A row is kept if its perplexity is at
     most `slack` times the `quantile` of the trusted rows of its language; a language without trusted rows, or null,
     takes the quantile of all trusted rows. Null and empty texts have no perplexity and are not kept; nor is any row where
     nothing is trusted. Up to `most_broadcast` trusted ids are broadcast, so that texts stay where they are; beyond that they
@@ -121,9 +242,16 @@ def quality_filter(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_i
     ids = trusted_ids.select(F.col(id_col).cast("long").alias("_id")).filter("_id is not null").distinct()
     src = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
     few = ids.limit(most_broadcast + 1).count() <= most_broadcast
-    model = train_kneser_ney(src.join(F.broadcast(ids) if few else ids, "_id", "left_semi").select("_text"))
-    scored = cut(perplexity(src, model, "_text", ("_id", "_lang")))
-    good = scored.join(ids, "_id", "left_semi").filter("perplexity is not null")
+    ids = ids.withColumn("_m", (F.pmod(F.xxhash64("_id"), F.lit(2)) + 1).cast("int"))
+    src = src.join(F.broadcast(ids) if few else ids, "_id", "left").select("_id", "_lang", "_text", F.coalesce("_m", F.lit(0)).alias("m"), F.xxhash64("_id", "_lang", "_text").alias("rid"))
+    trusted = src.filter("m > 0")
+    spelling = train_kneser_ney(trusted.select("_text"))
+    runs = word_grams(trusted, spelling).select(F.explode(F.array(F.lit(0), 3 - F.col("m"))).alias("m"), *WORDS, F.col("n").alias("c"))
+    told = perplexity(word_grams(src, spelling), word_tables(runs))
+    some = F.coalesce(F.length("_text") > 0, F.lit(False)).alias("some")
+    scored = src.select("_id", "_lang", "rid", some).join(told, "rid", "left")
+    scored = cut(scored.select("_id", "_lang", F.when(F.col("some"), F.col("perplexity")).alias("perplexity")))
+    good = scored.join(F.broadcast(ids) if few else ids, "_id", "left_semi").filter("perplexity is not null")
     mark = lambda df: df.agg(F.percentile_approx("perplexity", quantile, 10_000).alias("q"))
     by_lang = mark(good.filter("_lang is not null").groupBy("_lang"))
     overall = mark(good).first()[0]

@@ -1,0 +1,92 @@
+import math
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from saldo.llm import kneser_ney as K
+
+
+def word_kneser_ney(texts):
+    """(log probability of a run of three or None for an unknown word, log share of unknown words), by dictionaries."""
+    counts = {3: Counter()}
+    for t in texts:
+        w = ["<", "<", *t.split(), ">"]
+        counts[3].update(zip(w, w[1:], w[2:], strict=False))
+    for n in (2, 1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    ds = {}
+    for n in counts:
+        c = Counter(counts[n].values())
+        y = c[1] / (c[1] + 2 * c[2]) if c[1] + 2 * c[2] else 0.5
+        ds[n] = [min(k, max(0.05 * k, k - (k + 1) * y * c[k + 1] / c[k] if c[k] else 0.5 * k)) for k in (1, 2, 3)]
+
+    def prob(g):
+        n = len(g)
+        inside = {h: v for h, v in counts[n].items() if h[:-1] == g[:-1]}
+        if not inside:
+            return prob(g[1:])
+        total, d = sum(inside.values()), lambda v: ds[n][min(v, 3) - 1]
+        left = sum(map(d, inside.values())) / total
+        low = prob(g[1:]) if n > 1 else (0 if g in inside else 1)
+        return (inside[g] - d(inside[g])) / total + left * low if g in inside else left * low
+
+    return prob
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_word_model_matches_the_formula(spark, most):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("the a big red house tree sees и мир 東".split()) for _ in range(30)) for _ in range(8)]
+    spelling = np.full(K.SIZE, math.log(1 / 31), np.float32)
+    frame = lambda ts: spark.createDataFrame([(t, i, 0) for i, t in enumerate(ts)], "_text string, rid long, m int")
+    tables = K.word_tables(K.word_grams(frame(texts), spelling).withColumnRenamed("n", "c"))
+    asked = [texts[0], "a big big red", "the novel tree", "мир tree novel a", "x"]
+    got = {r.rid: r.perplexity for r in K.perplexity(K.word_grams(frame(asked), spelling), tables, most).collect()}
+    prob = word_kneser_ney(texts)
+    known = set(" ".join(texts).split())
+    for i, t in enumerate(asked):
+        w = ["<", "<", *t.split(), ">"]
+        spelled = sum(-math.log(31) * len(x.encode()) - sum(K.SHARED[b] for b in x.encode()) for x in t.split() if x not in known)
+        total = sum(math.log(prob(g)) for g in zip(w, w[1:], w[2:], strict=False)) + spelled
+        assert math.isclose(got[i], math.exp(-total / (len(t.encode()) + 1)), rel_tol=1e-5)
+
+
+def test_tokens_cover_all_but_single_spaces():
+    text = "Ab, c  Ωμ!?東京a\n\nx"
+    data = np.frombuffer((text + "z").encode(), np.uint8)
+    starts, ends, first = K.tokens(data, np.array([0, 0, len(data) - 1, len(data)]))
+    got = [bytes(data[s:e]).decode() for s, e in zip(starts, ends, strict=True)]
+    assert got == ["Ab", ",", "c", "  ", "Ωμ", "!", "?", "東", "京", "a", "\n\n", "x", "z"] and first.tolist() == [0, 0, 12, 13]
+
+
+def test_junk_outside_ascii_and_word_salad_go(spark):
+    rng = random.Random(5)
+    cyr = ["мы видим большой дом", "он читает новую книгу", "она пишет длинное письмо", "река течёт через город"]
+    lat = ["we see the large house", "he reads a new book", "she writes one long letter", "that river runs through town"]
+    text = lambda parts: ". ".join(rng.choice(parts) for _ in range(20))
+    rows = [(i, text(cyr if i % 2 else lat), "ru" if i % 2 else "en") for i in range(120)]
+
+    def salad(t):
+        w = t.replace(".", "").split()
+        rng.shuffle(w)
+        return " ".join(w)
+
+    def shuffled(t):
+        return " ".join("".join(rng.sample(x, len(x))) for x in t.split())
+
+    rows += [(200 + i, salad(rows[i][1]), rows[i][2]) for i in range(10)] + [(300 + i, shuffled(rows[2 * i + 1][1]), "ru") for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.keep for r in K.quality_filter(df, df.filter("doc_id < 120 and doc_id % 3 > 0").select("doc_id")).collect()}
+    assert sum(got[i] for i in range(120)) >= 116
+    assert not any(got[i] for i in got if i >= 200)
+
+
+def test_equal_rows_and_texts_in_the_wrong_column(spark):
+    rows = [(i, "the big house sees a tree " * (3 + i % 3), "en") for i in range(20)] + [(3, "the big house sees a tree " * 3, "en")]
+    df = spark.createDataFrame([*rows, (50, None, "abc"), (50, "abc", None)], "doc_id long, text string, lang string")
+    got = K.quality_filter(df, df.filter("doc_id < 10").select("doc_id")).collect()
+    assert len(got) == 23 and len({r.perplexity for r in got if r.doc_id == 3}) == 1
+    assert [r.perplexity is None for r in sorted((r for r in got if r.doc_id == 50), key=lambda r: r.lang or "")] == [False, True]
