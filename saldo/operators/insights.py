@@ -29,20 +29,24 @@ def recurring(rows: DataFrame, keys: list[str], as_of: str, min_support: int = 3
     return df.withColumn("confidence", confidence).withColumn("pattern", F.when(F.col("support") < min_support, "Abstain").otherwise("Recurring"))
 
 
-def match_upcoming(patterns: DataFrame, upcoming: DataFrame, most: int = 10_000) -> DataFrame:
+def match_upcoming(patterns: DataFrame, upcoming: DataFrame, size: int = 4) -> DataFrame:
     """Patterns with the smallest upcoming id whose title contains the merchant or the other way round (null if none).
 
-    Containment has no equi-key, so the distinct titles are broadcast, in a nested-loop join, if there are at most `most`
-    of them; beyond it titles and merchants meet on their shared words first, which any containment at word bounds needs.
+    One way at every size, by equal keys: a string of `size` characters or more can only stand where its first `size`
+    characters do, so the contained side is keyed by these and the other by each of its distinct runs; contains decides.
+    A shorter string is keyed whole and meets the runs of its own length; the empty one stands in all.
     """
-    titles = upcoming.filter("status in ('Upcoming', 'Confirmed', 'Tentative')").groupBy(F.lower("title").alias("title")).agg(F.min("id").alias("upcoming_id"))
-    names = patterns.select("merchant").distinct()
-    hit = F.col("merchant").contains(F.col("title")) | F.col("title").contains(F.col("merchant"))
-    if titles.limit(most + 1).count() <= most:
-        pairs = names.join(F.broadcast(titles), hit)
-    else:
-        words = lambda c: F.explode(F.array_distinct(F.split(c, " ")))
-        pairs = names.withColumn("word", words("merchant")).join(titles.withColumn("word", words("title")), "word").filter(hit)
+    titles = upcoming.filter("status in ('Upcoming', 'Confirmed', 'Tentative')").groupBy(F.lower("title").alias("title")).agg(F.min("id").alias("upcoming_id")).filter("title is not null")
+    names = patterns.select("merchant").filter("merchant is not null").distinct()
+    head = lambda c: F.substring(c, 1, size)
+    starts = lambda c, n: F.when(F.length(c) >= n, F.sequence(F.lit(1), F.length(c) - n + 1)).otherwise(F.array().cast("array<int>"))
+    runs_of = lambda c, n: F.transform(starts(c, n), lambda i: F.substring(F.col(c), i, F.lit(n)))
+    runs = lambda c: F.explode(F.array_distinct(F.flatten(F.array(*[runs_of(c, n) for n in range(1, size + 1)]))))
+    inside = names.withColumn("key", head("merchant")).join(titles.withColumn("key", runs("title")), "key").filter(F.col("title").contains(F.col("merchant")))
+    around = titles.withColumn("key", head("title")).join(names.withColumn("key", runs("merchant")), "key").filter(F.col("merchant").contains(F.col("title")))
+    any_title = names.filter("merchant = ''").crossJoin(F.broadcast(titles.agg(F.min("upcoming_id").alias("upcoming_id"))))  # one row each
+    any_name = names.crossJoin(F.broadcast(titles.filter("title = ''").select("upcoming_id")))
+    pairs = inside.select("merchant", "upcoming_id").unionByName(around.select("merchant", "upcoming_id")).unionByName(any_title).unionByName(any_name)
     return patterns.join(pairs.groupBy("merchant").agg(F.min("upcoming_id").alias("upcoming_id")), "merchant", "left")
 
 
