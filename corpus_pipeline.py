@@ -25,10 +25,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each class of near copies, once. Rows without an id go."""
+    """Keeps the document with the smallest id of each class of near copies, once. Rows without an id are in no class and stay."""
     first = ngram_join.ngram_jaccard_join(docs).filter("doc_id = class_id").select("doc_id").distinct()
     kept = docs.join(first, "doc_id", "left_semi").select(*COLUMNS)
-    return kept.dropDuplicates(["doc_id"]) if ngram_join.has_repeats(docs.select(F.col("doc_id").alias("id"))) else kept
+    kept = kept.dropDuplicates(["doc_id"]) if ngram_join.has_repeats(docs.filter("doc_id is not null").select(F.col("doc_id").alias("id"))) else kept
+    return kept.unionByName(docs.filter("doc_id is null").select(*COLUMNS))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

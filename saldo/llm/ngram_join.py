@@ -152,13 +152,13 @@ def _compare(batches, threshold, tolerance):
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8,
-                       tolerance: float = 1e-6, block: int = 192) -> DataFrame:
+                       tolerance: float = 1e-6, block: int = 192, null_ids: bool = False) -> DataFrame:
     """One row per row of `docs`: (id_col, class_id, n_links).
 
     n_links counts the other rows whose set of `size`-word shingles has a Jaccard similarity of at least `threshold`;
     class_id is the smallest id reachable through such links. Words are runs of characters above the ASCII space. A text
-    of fewer words has one shingle, of all its words; null and empty texts link with nothing. Rows with a null id are
-    left out. Rows that repeat an id count as rows of their own. Other columns of any name are ignored.
+    of fewer words has one shingle, of all its words; null and empty texts link with nothing. Rows with a null id link
+    with nothing; with `null_ids` they are returned, with a null class_id and no links, else left out. Rows that repeat an id count as rows of their own. Other columns of any name are ignored.
 
     Texts with the same words are one representative with a multiplicity from the first shuffle on, so copies never meet.
     Candidates: 32 bands of 4 of 128 MinHash values (a pair at 0.8 is missed with probability 5e-8). A band's bucket is
@@ -167,7 +167,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     falls below `tolerance`, and what is left is verified on the exact sets. Only counts and one root for each text leave
     a block pair, never the pairs.
     """
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
+    every = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    src = every.filter("id is not null")
     told = cut(spread(src).mapInArrow(lambda it: _describe(it, size), "id long, d1 long, d2 long, sig binary"))
     reps = told.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("mult"), F.min_by("sig", "id").alias("sig"))
     reps = cut(reps)
@@ -192,6 +193,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
              .select("d1", "d2", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links")))
     full = told.select("id", "d1", "d2").join(known, ["d1", "d2"]).select("id", "class_id", "n_links")
     bare = src.filter(~F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x00-\\x20]")).select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    if null_ids:
+        bare = bare.unionByName(every.filter("id is null").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
     return full.unionByName(bare).withColumnRenamed("id", id_col)
 
 
