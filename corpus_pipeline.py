@@ -18,8 +18,13 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a letter and those whose best language has a probability under 0.5."""
+    """Drops texts without a letter and those whose best language has a probability under 0.5.
+
+    Where no row has both text and a language, there is no model: only null texts and those without a letter go.
+    """
     model = langid.train_language_model(docs.filter(fold(F.col("doc_id"), 4) != 2), "doc_id", "text", "lang")
+    if model is None:
+        return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).select(*COLUMNS)
     told = langid.detect_language(docs, model, keep_cols=tuple(COLUMNS))
     return told.filter("lang_pred != 'und' and score >= 0.5").select(*COLUMNS)
 
