@@ -229,7 +229,7 @@ def perplexity(q: DataFrame, tables, most: int = 200_000) -> DataFrame:
     return q.groupBy("rid").agg(F.exp(-F.sum(logp) / F.sum("size")).alias("perplexity"))
 
 
-def quality_filter(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.995, slack: float = 1.05, most_broadcast: int = 500_000) -> DataFrame:
+def quality_filter(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.995, slack: float = 1.05, most_broadcast: int = 500_000, most_languages: int = 100_000) -> DataFrame:
     """(id_col, lang, perplexity, threshold, keep) for each row of `docs`.
 
     The model counts every row whose id is in `trusted_ids` (one column, id_col); a trusted row itself is scored under a model of
@@ -237,7 +237,8 @@ def quality_filter(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_i
     most `slack` times the `quantile` of the trusted rows of its language; a language without trusted rows, or null,
     takes the quantile of all trusted rows. Null and empty texts have no perplexity and are not kept; nor is any row where
     nothing is trusted. Up to `most_broadcast` trusted ids are broadcast, so that texts stay where they are; beyond that they
-    meet by a keyed join.
+    meet by a keyed join. Thresholds of up to `most_languages` languages are broadcast; beyond that a language's rows are dealt
+    over 32 keys.
     """
     ids = trusted_ids.select(F.col(id_col).cast("long").alias("_id")).filter("_id is not null").distinct()
     src = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
@@ -256,6 +257,12 @@ def quality_filter(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_i
     by_lang = mark(good.filter("_lang is not null").groupBy("_lang"))
     overall = mark(good).first()[0]
     limit = F.coalesce(F.col("q"), F.lit(overall).cast("double")) * slack
-    return (scored.join(by_lang, "_lang", "left")
+    by_lang = cut(by_lang)  # one row for each language
+    if by_lang.limit(most_languages + 1).count() <= most_languages:
+        scored = scored.join(F.broadcast(by_lang), "_lang", "left")
+    else:
+        salt = F.pmod(F.xxhash64("_id", "perplexity"), F.lit(32))
+        scored = scored.withColumn("_salt", salt).join(by_lang.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(31).cast("long")))), ["_lang", "_salt"], "left")
+    return (scored
             .select(F.col("_id").alias(id_col), F.col("_lang").alias("lang"), "perplexity", limit.alias("threshold"),
                     F.coalesce(F.col("perplexity") <= limit, F.lit(False)).alias("keep")))
