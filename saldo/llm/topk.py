@@ -1,163 +1,223 @@
-"""Exact top-k search by inner product: score histograms locate each query's kth value."""
+"""Exact top-k search by inner product: global score histograms locate each query's kth value."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from saldo.llm.common import cut, spread
+from saldo.llm.common import U64, cut, keyed_groups, spread
 
 BINS = 1024
+LOW, HIGH = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+#: Blocks of rows: `tag` names a row, `kind` is the letter of the components' type.
+BLOCK = "dim int, query boolean, size long, kind string, ids binary, tags binary, vecs binary, peak double"
+
+
+def _whole(x: np.ndarray) -> np.ndarray:
+    """floor(64 x) in the narrowest integer type that holds it; components beyond int64 stay doubles, which are whole there."""
+    with np.errstate(over="ignore"):
+        v = np.floor(64.0 * x)
+    top = np.abs(v).max(initial=0)
+    if top >= 2.0**62:
+        return x.astype(np.float64)  # 64 x may be no double; _exact() multiplies
+    for kind in (np.int8, np.int16, np.int32):
+        if top <= np.iinfo(kind).max:
+            return v.astype(kind)
+    return v.astype(np.int64)
+
+
+def _exact(v: np.ndarray) -> np.ndarray:
+    """Components as Python integers."""
+    if v.dtype != np.float64:
+        return v.astype(object)
+    return np.array([int(np.floor(64.0 * x)) if abs(x) < 2.0**50 else 64 * int(x) for x in v.ravel().tolist()], object).reshape(v.shape)
+
+
+def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Integer inner products: by doubles where these are exact, by int64 where it holds them, else by Python integers, of
+    which those beyond int64 count as its nearest value."""
+    if q.dtype != np.float64 and x.dtype != np.float64:
+        reach = q.shape[1] * int(np.abs(q.astype(np.int64)).max(initial=0)) * int(np.abs(x.astype(np.int64)).max(initial=0))
+        if reach < 2**53:
+            return (q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64)
+        if reach < 2**63:
+            return q.astype(np.int64) @ x.astype(np.int64).T
+    return np.clip(_exact(q) @ _exact(x).T, LOW + 1, HIGH).astype(np.int64)
 
 
 def _pack(batches, block_rows, query_rows):
-    """Vectors of one length and group, in blocks of at most so many rows: ids and integer components, as bytes."""
-    held: dict[tuple[int, bool], list] = {}
+    """Rows in blocks of one length, group and magnitude: ids, tags and integer components as bytes.
 
-    def block(key, rows):
-        ids, vecs = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
-        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]]), pa.array([ids.tobytes()]), pa.array([vecs.tobytes()]), pa.array([int(np.abs(vecs).max(initial=0))], pa.int64())],
-                                          names=["dim", "query", "ids", "vecs", "peak"])
+    Huge components have blocks of their own, so that others keep the fast product."""
+    from pyspark import TaskContext
+
+    tag = TaskContext.get().partitionId() << 40
+    held: dict[tuple[int, bool, bool], list] = {}
+
+    def block(key, ids, tags, vecs):
+        v = _whole(vecs)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([key[0]], pa.int32()), pa.array([key[1]]), pa.array([len(ids)]), pa.array([v.dtype.char]), pa.array([ids.tobytes()]), pa.array([tags.tobytes()]),
+             pa.array([v.tobytes()]), pa.array([float(np.abs(vecs).max(initial=0))])], names=[c.split()[0] for c in BLOCK.split(", ")])
 
     for b in batches:
         ids, lists, query = b.column(0).to_numpy(), b.column(1), np.array(b.column(2).to_pylist(), bool)
-        offs = lists.offsets.to_numpy()
-        flat = lists.values.to_numpy()
+        offs, flat, tags = lists.offsets.to_numpy(), lists.values.to_numpy(), tag + np.arange(b.num_rows)
+        tag += b.num_rows
         size = np.diff(offs)
+        huge = np.maximum.reduceat(np.abs(flat[offs[0] : offs[-1]]), offs[:-1] - offs[0]) >= 2.0**15 if b.num_rows else query
         for d in np.unique(size):
             for q in (False, True):
-                rows = np.flatnonzero((size == d) & (query if q else True))  # a query is a candidate of the others, too
-                if not len(rows):
-                    continue
-                vecs = np.floor(64.0 * flat[offs[rows][:, None] + np.arange(d)])
-                if np.abs(vecs).max(initial=0) >= 2**31:
-                    raise ValueError("components beyond 2^25 are not supported")
-                key = (int(d), q)
-                held.setdefault(key, []).append((ids[rows], vecs.astype(np.int64)))
-                most = query_rows if q else block_rows
-                while sum(len(x[0]) for x in held[key]) >= most:
-                    i, v = np.concatenate([x[0] for x in held[key]]), np.concatenate([x[1] for x in held[key]])
-                    yield block(key, [(i[:most], v[:most])])
-                    held[key] = [(i[most:], v[most:])]
+                for h in (False, True):
+                    rows = np.flatnonzero((size == d) & (huge == h) & (query if q else True))  # a query is a candidate of the others, too
+                    if not len(rows):
+                        continue
+                    key, most = (int(d), q, h), query_rows if q else block_rows
+                    held.setdefault(key, []).append((ids[rows], tags[rows], flat[offs[rows][:, None] + np.arange(d)]))
+                    while sum(len(x[0]) for x in held[key]) >= most:
+                        parts = [np.concatenate(x) for x in zip(*held[key], strict=True)]
+                        yield block(key, *[x[:most] for x in parts])
+                        held[key] = [tuple(x[most:] for x in parts)]
     for key, rows in held.items():
         if sum(len(r[0]) for r in rows):
-            yield block(key, rows)
+            yield block(key, *[np.concatenate(x) for x in zip(*rows, strict=True)])
+
+
+class Block:
+    """A packed block as arrays."""
+
+    def __init__(self, row: dict):
+        self.ids, self.tags = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["tags"], np.int64)
+        self.vecs = np.frombuffer(row["vecs"], row["kind"]).reshape(len(self.ids), row["dim"])
+        if row["query"]:
+            self.low, self.width = np.frombuffer(row["lows"], np.int64), np.frombuffer(row["widths"], U64)
+
+
+def _cells(batches):
+    """(query block, its blocks of candidates, one at a time) of each cell; the queries of a cell come first."""
+    for _, t in keyed_groups(batches, "cell"):
+        rows = t.select([c for c in t.column_names if c != "cell"])
+        first = rows.slice(0, int(np.count_nonzero(np.array(rows.column("query").to_pylist(), bool))))
+        for q in first.to_pylist():
+            yield Block(q), (Block(rows.slice(i, 1).to_pylist()[0]) for i in range(first.num_rows, rows.num_rows))
+
+
+def _histograms(batches):
+    """Per query of a cell the counts of all its scores by bin of [low, low + BINS * width); the last bin counts what lies above."""
+    for q, candidates in _cells(batches):
+        total = np.zeros((len(q.ids), BINS + 1), np.int64)
+        for x in candidates:
+            s = _scores(q.vecs, x.vecs)
+            live = (s >= q.low[:, None]) & (q.tags[:, None] != x.tags[None])
+            bins = np.minimum((s.view(U64) - q.low.view(U64)[:, None]) // q.width[:, None], U64(BINS)).astype(np.int64)
+            bins += np.arange(len(q.ids))[:, None] * (BINS + 1)
+            total += np.bincount(bins[live], minlength=total.size).reshape(total.shape)
+        for i in range(0, len(q.ids), 256):
+            part = slice(i, i + 256)
+            yield pa.RecordBatch.from_arrays([pa.array(q.tags[part]), pa.array(q.ids[part]), pa.array(q.low[part]), pa.array(q.width[part].view(np.int64)), pa.array([x.astype(np.int32 if x.max(initial=0) < 2**31 else np.int64).tobytes() for x in total[part]], pa.binary())],
+                                             names=["tag", "query_id", "low", "width", "counts"])
+
+
+def _refine(batches, k):
+    """The bin of each query's kth score, from the summed histogram, as its next range. With fewer than k scores all are wanted."""
+    for tag, t in keyed_groups(batches, "tag"):
+        total = sum(np.frombuffer(x, np.int64 if len(x) > 4 * (BINS + 1) else np.int32).astype(np.int64) for x in t.column("counts").to_pylist())
+        low, width = t.column("low")[0].as_py(), t.column("width").to_numpy()[:1].view(U64)[0]
+        reached = np.flatnonzero(np.cumsum(total[::-1]) >= k)
+        if not len(reached):
+            low, width = LOW, 1
+        else:
+            low, width = low + (BINS - int(reached[0])) * int(width), -(-int(width) // BINS) if width > 1 else 1
+        yield pa.RecordBatch.from_arrays([pa.array([int(tag)], pa.int64()), pa.array([low], pa.int64()), pa.array([width], pa.int64())], names=["tag", "low", "width"])
 
 
-def _scores(q: np.ndarray, x: np.ndarray, dim: int) -> np.ndarray:
-    """Integer inner products; through doubles where these are exact."""
-    if dim * (int(np.abs(q).max(initial=0)) * int(np.abs(x).max(initial=0))) < 2**53:
-        return (q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64)
-    return q @ x.T
+def _select(batches, k):
+    """Scores above the query's kth value, and those equal to it with the smallest ids: k at most of a cell."""
+    for q, candidates in _cells(batches):
+        held = None
+        for x in candidates:
+            s = _scores(q.vecs, x.vecs)
+            row, col = np.nonzero((s >= q.low[:, None]) & (q.tags[:, None] != x.tags[None]))
+            got = (row, x.ids[col], s[row, col])
+            row, ids, s = got if held is None else (np.concatenate(c) for c in zip(held, got, strict=True))
+            order = np.lexsort((ids, -1 - s, row))  # -1 - s: falling scores without overflow
+            row, ids, s = row[order], ids[order], s[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            held = tuple(c[place < k] for c in (row, ids, s))
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(q.tags[held[0]]), pa.array(q.ids[held[0]]), pa.array(held[1]), pa.array(held[2])], names=["tag", "query_id", "vec_id", "score"])
 
 
-def _block_pairs(batches):
-    """(dim, query ids, candidate ids, scores) of each block pair; a query's own row scores the least int64."""
+def _query_rows(batches):
     for b in batches:
         for r in b.to_pylist():
-            q, x = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
-            d = r["dim"]
-            s = _scores(np.frombuffer(r["q_vecs"], np.int64).reshape(-1, d), np.frombuffer(r["vecs"], np.int64).reshape(-1, d), d)
-            s[q[:, None] == x[None]] = np.iinfo(np.int64).min
-            yield r, q, x, s
-
-
-OWN = np.iinfo(np.int64).min
-
-
-def _histograms(batches, k):
-    """Per query of a block pair: counts by bin of [low, low + BINS * width), from the top, as far as the block's own kth score
-    needs. What lies at or above the range's end counts into `above`; a block's scores below its own kth can't matter."""
-    for r, q, x, s in _block_pairs(batches):
-        lo, width = np.frombuffer(r["lows"], np.int64), np.frombuffer(r["widths"], np.int64)
-        if s.shape[1] > k:
-            s = -np.partition(-s, k - 1, axis=1)[:, :k]
-        live = (s != OWN) & (s >= lo[:, None])
-        row, col = np.nonzero(live)
-        bins = np.minimum((s[row, col] - lo[row]) // width[row], BINS)
-        pair, n = np.unique(row * (BINS + 1) + bins, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(q[pair // (BINS + 1)]), pa.array((pair % (BINS + 1)).astype(np.int32)), pa.array(n)], names=["query_id", "bin", "n"])
-
-
-def _select(batches, k):
-    """Scores above the query's kth value, and those equal to it with the smallest ids, k at most of a block."""
-    for r, q, x, s in _block_pairs(batches):
-        bound = np.frombuffer(r["lows"], np.int64)
-        order = np.argsort(x, kind="stable")
-        x, s = x[order], s[:, order]
-        above = (s > bound[:, None]) & (s != OWN)
-        equal = (s == bound[:, None]) & (s != OWN)
-        equal &= np.cumsum(equal, 1) <= k
-        row, col = np.nonzero(above | equal)
-        yield pa.RecordBatch.from_arrays([pa.array(q[row]), pa.array(x[col]), pa.array(s[row, col])], names=["query_id", "vec_id", "score"])
+            tags = np.frombuffer(r["tags"], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(tags), r["block"])), pa.array(tags), pa.array(np.arange(len(tags), dtype=np.int32))], names=["block", "tag", "pos"])
 
 
 def _attach(batches):
-    """Query blocks with each query's range, from rows (block, position, low, width)."""
+    """Query blocks with each query's range, from rows (pos, low, width)."""
     for b in batches:
         for r in b.to_pylist():
             ranges = sorted(r.pop("ranges"), key=lambda x: x["pos"])
             r["lows"] = np.array([x["low"] for x in ranges], np.int64).tobytes()
             r["widths"] = np.array([x["width"] for x in ranges], np.int64).tobytes()
-            yield pa.RecordBatch.from_pylist([r], schema=pa.schema([("dim", pa.int32()), ("block", pa.int64()), ("q_ids", pa.binary()), ("q_vecs", pa.binary()), ("lows", pa.binary()), ("widths", pa.binary())]))
-
-
-def _query_rows(batches):
-    for b in batches:
-        for r in b.to_pylist():
-            ids = np.frombuffer(r["q_ids"], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), r["block"])), pa.array(ids), pa.array(np.arange(len(ids), dtype=np.int32)), pa.array(np.full(len(ids), r["dim"], np.int32))], names=["block", "query_id", "pos", "dim"])
+            yield pa.RecordBatch.from_pylist([r], schema=pa.schema([("block", pa.int64()), ("lows", pa.binary()), ("widths", pa.binary())]))
 
 
 def top_k(vectors: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", query: str = "vec_id % 20 = 0", block: int = 4096, query_block: int = 1024) -> DataFrame:
     """(query_id, rank from 1, vec_id, score): each query's k highest integer inner products of floor(64 x).
 
-    Ties go to the smaller id; a row's own id is never its result, also where it is repeated. Rows that meet the SQL
-    condition `query` are the queries, all rows are candidates. Vectors that are null, empty, or hold null or non-finite
-    components, and rows with a null id, take no part; vectors of another length than the query's are no candidates.
-    Repeated ids other than the query's count as rows of their own.
-
-    Rows are packed into blocks; each block of the stated queries meets each block of candidates once in a round. A round
-    counts scores into BINS bins per query, of which a block sends those of its own k best; the global counts say in which
-    bin the kth score lies, and the next round splits that bin, until bins are one score wide. A last round returns the
-    scores above the kth, and the smallest ids among its equals.
+    Rows that meet the SQL condition `query` are the queries; all rows but the query's own are candidates. Ties go to the
+    smaller id. A repeated id stands for rows of their own: each is a query with k results of its own, and a candidate of the
+    others. Vectors that are null, empty, or hold null or non-finite components, and rows with a null id, take no part;
+    vectors of another length than the query's are no candidates. Any finite components are computed exactly; a score
+    beyond the range of a long counts as the nearest long. Other columns are ignored; an empty table gives no rows.
+
+    Rows are packed into blocks, in the narrowest integer type. A cell is a query block with a group of candidate blocks,
+    which its task passes one at a time; cells have keys of their own, so no key gathers more than that. A round scores
+    everything and counts all scores into BINS bins per query; the summed histogram says in which bin the kth score lies,
+    and the next round splits that bin, until bins are one score wide (two rounds for components of at most one, more for
+    larger ones). A last round filters what reaches the kth value and breaks ties.
     """
-    sc = vectors.sparkSession.sparkContext
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
     ok = F.col("vec").isNotNull() & (F.size("vec") > 0) & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     src = (vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), F.coalesce(F.expr(query), F.lit(False)).alias("query"))
            .filter(F.col("id").isNotNull() & ok))
-    packed = cut(spread(src).mapInArrow(lambda it: _pack(it, block, query_block), "dim int, query boolean, ids binary, vecs binary, peak long"))
-    base = packed.filter("not query").select("dim", F.xxhash64("ids").alias("base"), "ids", "vecs")
-    queries = cut(packed.filter("query").select("dim", F.xxhash64("ids", "vecs").alias("block"), F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs")))
-    peaks = packed.groupBy("dim").agg(F.max("peak").alias("peak"))
-    reach = F.col("dim").cast("long") * F.col("peak") * F.col("peak")
-    state = cut(queries.select("block", "q_ids", "dim").mapInArrow(_query_rows, "block long, query_id long, pos int, dim int").join(peaks, "dim")
-                .select("block", "query_id", "pos", (-reach).alias("low"), F.ceil((2 * reach + 1) / BINS).alias("width"), F.lit(k).cast("long").alias("need"), F.lit(False).alias("few")))
-
-    def pairs(state):
-        ranges = state.groupBy("block").agg(F.collect_list(F.struct("pos", "low", "width")).alias("ranges"))  # of one block: bounded
-        ranged = queries.join(ranges, "block").mapInArrow(_attach, "dim int, block long, q_ids binary, q_vecs binary, lows binary, widths binary")
-        return base.join(ranged, "dim").repartition(max(12, sc.defaultParallelism * 2), "base", "block").select("dim", "ids", "vecs", "q_ids", "q_vecs", "lows", "widths")
-
-    from pyspark.sql import Window
+    packed = cut(spread(src).mapInArrow(lambda it: _pack(it, block, query_block), BLOCK).withColumn("block", F.monotonically_increasing_id()))
+    # Numbers of the blocks and their sums are small tables, one row a block.
+    place = packed.select("block", "dim", "query", (F.row_number().over(Window.partitionBy("dim", "query").orderBy("block")) - 1).alias("place"))
+    sums = packed.groupBy("dim").agg(F.count_if("query").alias("n_q"), F.count_if(~F.col("query")).alias("n_x"), F.max("peak").alias("peak"))
+    groups = F.least(F.col("n_x"), F.greatest(F.ceil(2 * cores / F.col("n_q")), F.ceil(F.col("n_x") / 256)))
+    sums = cut(sums.filter("n_q > 0").withColumn("groups", groups))
+    known = packed.join(place.select("block", "place"), "block").join(sums.select("dim", "n_q", "groups"), "dim")
+    queries = cut(known.filter("query"))
+    dealt = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_q") - 1)).alias("q")
+    shared = [c for c in packed.columns if c not in ("block", "peak")]
+    bases = cut(known.filter("not query").select(*shared, F.pmod("place", "groups").alias("g"), "n_q")).select(*shared, "g", dealt)
+    reach = F.least(F.col("dim") * F.pow(64 * F.col("peak") + 1, F.lit(2)), F.lit(2.0**62))
+    state = (queries.select("block", "tags").mapInArrow(_query_rows, "block long, tag long, pos int").join(queries.select("block", "dim"), "block").join(sums.select("dim", "peak"), "dim")
+             .select("block", "tag", "pos", F.when(reach < 2.0**62, -F.ceil(reach)).otherwise(F.lit(LOW + 1)).alias("low"),
+                     F.when(reach < 2.0**62, F.ceil((2 * reach + 3) / BINS)).otherwise(F.lit(2**64 // BINS)).cast("long").alias("width")))
+    state = cut(state)
+
+    def cells(state):
+        ranges = state.groupBy("block").agg(F.collect_list(F.struct("pos", "low", "width")).alias("ranges")).mapInArrow(_attach, "block long, lows binary, widths binary")  # of one block: bounded
+        mine = queries.join(ranges, "block").select(*shared, F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("g"), F.col("place").cast("long").alias("q"), "lows", "widths")
+        both = mine.unionByName(bases, allowMissingColumns=True).withColumn("cell", F.concat_ws("/", "dim", "q", "g"))
+        return both.repartition(4 * cores, "cell").sortWithinPartitions("cell", F.desc("query")).drop("g", "q")
 
     while True:
         widest = state.agg(F.max("width")).first()[0]
         if widest is None:
             break
-        counts = pairs(state).mapInArrow(lambda it: _histograms(it, k), "query_id long, bin int, n long").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
-        down = Window.partitionBy("query_id").orderBy(F.desc("bin"))
-        cum = counts.withColumn("up", F.sum("n").over(down))
-        found = cum.filter(F.col("up") >= k).groupBy("query_id").agg(F.max("bin").alias("bin"))
-        nxt = (state.drop("need").join(found, "query_id", "left")
-               .select("block", "query_id", "pos", F.when(F.col("bin").isNull() | F.col("few"), F.col("low")).when(F.col("bin") == BINS, F.col("low")).otherwise(F.col("low") + F.col("bin") * F.col("width")).alias("low"),
-                       F.when(F.col("bin").isNull() | F.col("few"), F.lit(1)).otherwise(F.ceil(F.col("width") / BINS)).cast("long").alias("width"), F.lit(k).cast("long").alias("need"),
-                       (F.col("few") | F.col("bin").isNull()).alias("few")))
-        state = cut(nxt)
+        counts = cells(state).mapInArrow(_histograms, "tag long, query_id long, low long, width long, counts binary")
+        kth = counts.drop("query_id").repartition("tag").sortWithinPartitions("tag").mapInArrow(lambda it: _refine(it, k), "tag long, low long, width long")
+        state = cut(state.select("block", "tag", "pos").join(kth, "tag"))
         if widest == 1:
             break
-    best = pairs(state).mapInArrow(lambda it: _select(it, k), "query_id long, vec_id long, score long")
-    rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = cells(state).mapInArrow(lambda it: _select(it, k), "tag long, query_id long, vec_id long, score long")
+    rank = Window.partitionBy("tag").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -7,11 +7,11 @@ from saldo.llm.topk import top_k
 
 
 def brute(rows, k):
-    ok = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    ok = [(i, [math.floor(64 * x) if abs(x) < 2**50 else 64 * int(x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q in sorted({i for i, _ in ok if i % 20 == 0}):
-        for vec in [v for i, v in ok if i == q][:1]:
-            s = sorted((-sum(a * b for a, b in zip(vec, v)), i) for i, v in ok if i != q and len(v) == len(vec))
+    for n, (q, vec) in enumerate(ok):
+        if q % 20 == 0:
+            s = sorted((-min(2**63 - 1, max(1 - 2**63, sum(a * b for a, b in zip(vec, v)))), i) for m, (i, v) in enumerate(ok) if m != n and len(v) == len(vec))
             out += [(q, r, i, -x) for r, (x, i) in enumerate(s[:k], 1)]
     return sorted(out)
 
@@ -34,3 +34,22 @@ def test_few_and_none(spark):
     assert top_k(empty).collect() == []
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in top_k(df).collect()] == [(0, 1, 1, 64 * 128)]
+
+
+def test_large_components(spark):
+    rows = [(0, [4e7]), (1, [4e7]), (2, [1e3]), (20, [-4e7]), (40, [1.7e308]), (41, [-1.7e308]), (3, [0.3])]
+    rows += [(100 + i, [1e7 * (i + 1) / 3] * 64) for i in range(5)] + [(105 + i, [float(i)] * 64) for i in range(5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, top_k(df, 4, block=3, query_block=2).collect())) == brute(rows, 4)
+
+
+def test_repeated_ids_are_rows_of_their_own(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [2.0, 0.5]), (1, [0.25, 3.0]), (2, [1.0, 1.0])] * 2
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, top_k(df, 3, block=4, query_block=3).collect())) == brute(rows, 3)
+
+
+def test_many_scores_equal_to_the_kth(spark):
+    rows = [(i, [1.0, 0.0]) for i in range(300)] + [(i, [2.0, 0.0]) for i in range(1000, 1003)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    assert sorted(map(tuple, top_k(df, 5, block=32, query_block=4).collect())) == brute(rows, 5)
