@@ -20,7 +20,7 @@ def query(f):
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from saldo.llm.ngram_join import ngram_jaccard_join
 
-    return ngram_jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"), null_ids=True)
+    return ngram_jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"), null_ids=True).select("doc_id", "class_id", "n_links")
 
 
 @query

@@ -45,7 +45,7 @@ def test_against_brute_force(spark):
             n += 1
     rows += [(n, None), (n + 1, ""), (n + 2, "  \n"), (n + 3, "one"), (n + 4, "one"), (n + 5, "one two three four"), (n + 6, "x " * 3000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("rep", F.lit("clash")).withColumn("band", F.lit(1))
-    got = sorted(map(tuple, ngram_jaccard_join(df, block=7).collect()))
+    got = sorted(map(tuple, ngram_jaccard_join(df, block=7).select("doc_id", "class_id", "n_links").collect()))
     assert got == brute(rows)
 
 
@@ -53,9 +53,19 @@ def test_empty_table_and_null_ids(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_jaccard_join(df).collect() == []
     df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f")], "doc_id long, text string")
-    assert [tuple(r) for r in ngram_jaccard_join(df).collect()] == [(1, 1, 0)]
+    assert [tuple(r)[:3] for r in ngram_jaccard_join(df).collect()] == [(1, 1, 0)]
 
 
 def test_posterior_bounds():
     need = least_matches(0.8, 1e-6)
     assert list(need) == sorted(need) and need[0] >= 1 and need[-1] < 0.8 * 128
+
+
+def test_repeated_ids_are_rows_of_their_own(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(5, a), (5, b), (6, a + " more"), (7, b + " more"), (8, b), (8, b), (9, "x " + a), (9, "y " + a), (5, None), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_jaccard_join(df, block=2)
+    assert sorted(map(tuple, got.select("doc_id", "class_id", "n_links").collect())) == brute(rows)
+    kept = got.filter("kept").select("doc_id").collect()
+    assert sorted(r.doc_id for r in kept) == [5, 5, 5, 5]
