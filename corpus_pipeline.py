@@ -30,27 +30,34 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each class of near copies, once. Rows without an id are in no class and stay."""
-    first = ngram_join.ngram_jaccard_join(docs).filter("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").select(*COLUMNS)
-    kept = kept.dropDuplicates(["doc_id"]) if ngram_join.has_repeats(docs.filter("doc_id is not null").select(F.col("doc_id").alias("id"))) else kept
-    return kept.unionByName(docs.filter("doc_id is null").select(*COLUMNS))
+    """Keeps the first document, by id, of each class of near copies, once; ids that stand for several texts are told apart by them.
+
+    Texts without a word and rows without an id are in no class and stay. An empty table stays empty.
+    """
+    key = ngram_join.text_key("text").alias("text_key")
+    worded = F.col("doc_id").isNotNull() & ngram_join.has_words("text")
+    src = docs.filter(worded).select(*COLUMNS, key)
+    first = ngram_join.ngram_jaccard_join(docs.filter(worded)).filter("kept").select("doc_id", "text_key").distinct()
+    kept = src.join(first, ["doc_id", "text_key"], "left_semi")
+    if ngram_join.has_repeats(src.select(F.col("doc_id").alias("id"), "text_key")):
+        kept = kept.dropDuplicates(["doc_id", "text_key"])
+    return kept.select(*COLUMNS).unionByName(docs.filter(~worded).select(*COLUMNS))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages of 50 bytes and more that a smaller id has, at character bounds; texts with nothing left go."""
+    """Cuts passages of 50 bytes and more that a smaller id has, at character bounds; texts with nothing left (also null and empty ones) go."""
     out = suffix_dedup.suffix_array_dedup(docs, whole_characters=True, keep_cols=("lang", "source"))
     text = F.decode("kept", "UTF-8")
     return out.withColumn("text", text).filter("trim(text) != ''").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats documents so that sources weigh as the square root of their size, in random order."""
+    """Repeats documents so that sources weigh as the square root of their size, in random order. A null source is one of its own."""
     return mixing.mix_sources(docs).select(*COLUMNS)
 
 
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SentencePiece ids of each text, and whether decoding gives the text back."""
+    """SentencePiece ids of each text (none for null), and whether decoding gives the text back."""
     table = sentencepieces.PieceTable(sentencepieces.default_model_path())
     ids = sentencepieces.encode(docs, table, keep_cols=("doc_id", "source", "lang"), verify=True)
     return ids.select("doc_id", "source", "lang", "ids", F.size("ids").cast("long").alias("n_ids"), "round_trip")
@@ -69,11 +76,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on `documents`; each result is written as Parquet in the shared checkpoint folder and read again."""
+    """All stages on `documents`; each result is written as Parquet in the shared checkpoint folder and read again. A stage's
+    input is removed as soon as its result is written; the last result stays."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        if i:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{i - 1}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
     return docs
