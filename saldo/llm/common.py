@@ -17,11 +17,15 @@ _POWERS: dict[str, np.ndarray] = {}
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's spark.checkpoint.dir; a folder of our own only where none is set (tests)."""
+    """Use the cluster's spark.checkpoint.dir. Where none is set a local session (tests) takes a folder of its own; on a cluster
+    that is an error, as executors can't see the driver's folders."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="saldo-ckpt-"))
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="saldo-ckpt-"))
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -15,3 +15,15 @@ def test_rows_without_an_id_stay(spark, tmp_path):
     assert sum(r.doc_id is None for r in kept) == 2
     passages = corpus_pipeline.repeated_passages(spark, docs, "").collect()
     assert sorted(r.text for r in passages if r.doc_id is None) == ["a b c d e f"]
+
+
+def test_stage_keeps_different_texts_of_one_id(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(1, a), (1, b), (None, "c d e f g h"), (2, a + " more"), (3, b), (1, a), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en")).withColumn("source", F.lit("s")).withColumn("n_chars", F.length("text").cast("long"))
+    got = sorted([(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()], key=str)
+    assert got == sorted([(1, a), (1, b), (None, "c d e f g h"), (4, None)], key=str)
+    none = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        none = stage(spark, none, "")
+    assert none.count() == 0
