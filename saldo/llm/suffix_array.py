@@ -131,23 +131,24 @@ def suffix_array(t: np.ndarray, size: int) -> np.ndarray:
     return induce(t, small, lms, size)
 
 
-def long_prefixes(t: np.ndarray, sa: np.ndarray, length: int) -> np.ndarray:
-    """For each rank above 0, whether that suffix shares `length` symbols with the one before it.
+def permuted_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
+    """Permuted common prefixes of the bytes t: for each place in the text, how many symbols its suffix shares with the one
+    ranked before it, `most` at most.
 
-    Computed in text order over the permuted predecessor table, eight symbols at a time, as far as the prefixes agree.
+    Computed in text order over the permuted table of predecessors, eight bytes at a time, as far as the prefixes agree.
     """
     n = len(t)
     before = np.empty(n, np.int64)
     before[sa[1:]] = sa[:-1]
-    before[sa[0]] = n
-    eight = np.zeros(n + length + 8, np.uint8)
-    eight[:n] = t
-    words = np.lib.stride_tricks.as_strided(eight, (n + length + 1, 8), (1, 1))
-    words = np.ascontiguousarray(words).view(np.uint64).ravel()
-    live = np.flatnonzero(before + length <= n)
-    for j in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
-        live = live[(live + length <= n)] if j == 0 else live
-        live = live[words[live + j] == words[before[live] + j]]
-    out = np.zeros(n, bool)
-    out[live] = True
-    return out[sa]
+    padded = np.zeros(n + most + 16, np.uint8)
+    padded[:n] = t
+    eight = np.ascontiguousarray(np.lib.stride_tricks.as_strided(padded, (n + most + 8, 8), (1, 1))).view(np.uint64).ravel()
+    out, live = np.zeros(n, np.int64), np.sort(sa[1:])
+    for j in range(0, most, 8):
+        differ = eight[live + j] ^ eight[before[live] + j]
+        low = differ & (~differ + np.uint64(1))  # the lowest bit that differs: little-endian, so the first byte
+        out[live] += np.where(differ == 0, 8, np.log2(np.maximum(low, np.uint64(1)).astype(np.float64)).astype(np.int64) // 8)
+        live = live[differ == 0]
+    room = n - np.maximum(np.arange(n), before)  # padding is no symbol
+    room[sa[0]] = 0
+    return np.minimum(np.minimum(out, room), most)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from saldo.llm.common import U64, keyed_groups, mix, pieces, prefix_hash, span_hash, spread, text_buffer
-from saldo.llm.suffix_array import long_prefixes, suffix_array
+from saldo.llm.suffix_array import permuted_prefixes, suffix_array
 
 #: Bytes of an anchor. Any `length` bytes contain length - ANCHOR + 1 runs of so many bytes; their smallest hash is the anchor.
 ANCHOR = 20
@@ -85,12 +85,26 @@ def _rows(key, kind, blobs) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(key, pa.int32()), pa.array(kind, pa.int32()), pa.array(blobs, pa.binary())], names=["key", "kind", "blob"])
 
 
-def bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix(ids.astype(np.int64).view(U64) + U64(3)) % U64(buckets)).astype(np.int32)
+def bucket_of(rows: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(rows + U64(3)) % U64(buckets)).astype(np.int32)
+
+
+def row_names(ids: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """One number for a row from its id and, where ids repeat, the hash of its text (else 0: then the id's own number)."""
+    return mix(ids.astype(np.int64).view(U64) ^ mix(texts.astype(np.int64).view(U64)))
+
+
+def text_hashes(data: np.ndarray, at: np.ndarray, repeats: bool) -> np.ndarray:
+    """63 bits of a text's hash where some id stands in several rows, else 0."""
+    if not repeats or not len(data):
+        return np.zeros(len(at) - 1, np.int64)
+    return (span_hash(prefix_hash(data), at[:-1], at[1:]) >> U64(1)).view(np.int64)
 
 
 def _narrow(x: np.ndarray) -> bytes:
-    """Non-negative integers in as few bytes each as the largest needs, behind one byte that says how many."""
+    """Non-negative integers in as few bytes each as the largest needs (none for zeros), behind one byte that says how many."""
+    if not x.any():
+        return bytes(1)
     kind = np.dtype(np.min_scalar_type(int(x.max(initial=0))))
     return bytes([kind.itemsize]) + x.astype(kind).tobytes()
 
@@ -109,7 +123,7 @@ def _unpack(blob: bytes, kinds: str) -> list[np.ndarray]:
     for k in "n" + kinds:
         if k == "n":
             width = blob[at]
-            out.append(np.frombuffer(blob, f"u{width}", n, at + 1).astype(np.int64))
+            out.append(np.frombuffer(blob, f"u{width}", n, at + 1).astype(np.int64) if width else np.zeros(n, np.int64))
             at += 1 + n * width
         elif k == "h":
             out.append(np.frombuffer(blob, U64, n, at))
@@ -132,19 +146,19 @@ def _deal(key: np.ndarray, kind: int, ids: np.ndarray, *columns: np.ndarray, tai
     return _rows([int(key[x]) for x, _ in parts], [kind] * len(parts), [_pack(y - x, ids[x:y], *[c[x:y] for c in columns], tail=None if tail is None else tail[x:y]) for x, y in parts])
 
 
-def merged(ids: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Union of the spans [s, e) of each id."""
-    order = np.lexsort((s, ids))
-    ids, s, e = ids[order], s[order], e[order]
+def merged(ids: np.ndarray, texts: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Union of the spans [s, e) of each row (id, hash of its text)."""
+    order = np.lexsort((s, texts, ids))
+    ids, texts, s, e = ids[order], texts[order], s[order], e[order]
     if not len(ids):
-        return ids, s, e
-    new = np.concatenate([[True], ids[1:] != ids[:-1]])
+        return ids, texts, s, e
+    new = np.concatenate([[True], (ids[1:] != ids[:-1]) | (texts[1:] != texts[:-1])])
     shift = np.cumsum(new) * (int(e.max()) + 1)  # so that a running maximum doesn't reach into the next id
     top = np.maximum.accumulate(e + shift)
     new[1:] |= (s + shift)[1:] > top[:-1]
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(ids)) - 1
-    return ids[first], s[first], top[last] - shift[last]
+    return ids[first], texts[first], s[first], top[last] - shift[last]
 
 
 def _all_runs(data: np.ndarray, at: np.ndarray, length: int, hot: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -193,25 +207,25 @@ def hot_anchors(named: DataFrame, length: int, share: float = 0.01, least: int =
     return np.sort(got.column("h").to_numpy().astype(np.int64).view(U64))
 
 
-def _requests(batches, length, parts, buckets, hot):
+def _requests(batches, length, parts, buckets, hot, repeats):
     """Runs, dealt by anchor. Of equal runs in some megabytes of text only those of the smallest id are sent; the others are copies here already."""
     for ids, data, at in _portions(batches):
         row, s, n, h, c = _all_runs(data, at, length, hot)
         if not len(row):
             continue
-        owner = ids[row]
+        owner, text = ids[row], text_hashes(data, at, repeats)[row]
         order = np.lexsort((owner, c, h))
-        row, s, n, h, c, owner = (x[order] for x in (row, s, n, h, c, owner))
+        row, s, n, h, c, owner, text = (x[order] for x in (row, s, n, h, c, owner, text))
         first = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
         low = owner[np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))]
         gone = owner > low
         if gone.any():
             # spans go along under their text's bucket: the receiving step hands them on
-            i, x, y = merged(owner[gone], s[gone], (s + n - 1 + length)[gone])
-            yield _deal(bucket_of(i, buckets) % parts, GONE, i, x, y)
-        h, c, owner = h[~gone], c[~gone], owner[~gone]
+            i, z, x, y = merged(owner[gone], text[gone], s[gone], (s + n - 1 + length)[gone])
+            yield _deal(bucket_of(row_names(i, z), buckets) % parts, GONE, i, z, x, y)
+        h, c, owner, text = h[~gone], c[~gone], owner[~gone], text[~gone]
         rest = (h // U64(parts)).view(np.uint8).reshape(-1, 8)[:, :5]
-        yield _deal((h % U64(parts)).astype(np.int32), OPEN, owner, c, tail=rest)
+        yield _deal((h % U64(parts)).astype(np.int32), OPEN, owner, text, c, tail=rest)
 
 
 def _answers(batches, buckets, wanted):
@@ -221,17 +235,17 @@ def _answers(batches, buckets, wanted):
         asked, spans = [], []
         for kind, blob in zip(t.column("kind").to_pylist(), t.column("blob").to_pylist(), strict=True):
             if kind == OPEN:
-                asked.append(_unpack(blob, "ht"))
+                asked.append(_unpack(blob, "nht"))
             elif wanted == COPY:
-                spans.append(_unpack(blob, "nn"))
+                spans.append(_unpack(blob, "nnn"))
         if spans:
-            i, x, y = (np.concatenate(c) for c in zip(*spans, strict=True))
-            yield _deal(bucket_of(i, buckets), GONE, i, x, y)
+            i, z, x, y = (np.concatenate(c) for c in zip(*spans, strict=True))
+            yield _deal(bucket_of(row_names(i, z), buckets), GONE, i, z, x, y)
         if not asked:
             continue
-        ids, c, h = (np.concatenate(x) for x in zip(*asked, strict=True))
+        ids, texts, c, h = (np.concatenate(x) for x in zip(*asked, strict=True))
         order = np.lexsort((ids, c, h))
-        ids, c, h = ids[order], c[order], h[order]
+        ids, texts, c, h = ids[order], texts[order], c[order], h[order]
         new_h = np.concatenate([[True], h[1:] != h[:-1]])
         new_c = new_h | np.concatenate([[True], c[1:] != c[:-1]])
         low = ids[np.maximum.accumulate(np.where(new_c, np.arange(len(ids)), 0))]
@@ -244,13 +258,13 @@ def _answers(batches, buckets, wanted):
             several = np.add.reduceat(new_c.astype(np.int64), at) > 1
             mask = (ids == low) & (shared & several)[group]
         if mask.any():
-            yield _deal(bucket_of(ids[mask], buckets), wanted, ids[mask], c[mask])
+            yield _deal(bucket_of(row_names(ids[mask], texts[mask]), buckets), wanted, ids[mask], texts[mask], c[mask])
 
 
-def _texts(batches, buckets):
+def _texts(batches, buckets, repeats):
     """Whole rows (id, text, ..) packed by bucket."""
     for b in batches:
-        key = bucket_of(b.column(0).fill_null(0).to_numpy(), buckets)
+        key = bucket_of(row_names(b.column(0).fill_null(0).to_numpy(), text_hashes(*text_buffer(b.column(1)), repeats)), buckets)
         order = np.argsort(key, kind="stable")
         names = [f"f{i}" for i in range(b.num_columns)]
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(key[order])) + 1, [len(order)]]).tolist()
@@ -258,29 +272,31 @@ def _texts(batches, buckets):
         yield _rows([int(key[p[0]]) for p in parts], [TEXT] * len(parts), [_blob(**{n: c.take(pa.array(p)) for n, c in zip(names, b.columns, strict=True)}) for p in parts])
 
 
-def _join(ids: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return mix(ids.astype(np.int64).view(U64) * U64(0x9E3779B97F4A7C15) ^ c)
+def _join(rows: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return mix(rows * U64(0x9E3779B97F4A7C15) ^ c)
 
 
 class Notes:
-    """What a bucket was told of its texts: spans that are gone, and runs by id and hash."""
+    """What a bucket was told of its texts: spans that are gone, and runs, by row name."""
 
     def __init__(self, gone: list, runs: list):
         z = np.zeros(0, np.int64)
-        self.gone = tuple(np.concatenate(c) for c in zip(*gone, strict=True)) if gone else (z, z, z)
-        ids, c = (np.concatenate(x) for x in zip(*runs, strict=True)) if runs else (z, z.astype(U64))
-        self.ids, self.runs = np.unique(ids), np.unique(_join(ids, c))
-
-    def find(self, batch: pa.RecordBatch, ids: np.ndarray, length: int, hot: np.ndarray):
-        """Rows of the batch with noted runs: (ids, first window, windows, anchor, bytes, offsets, place in the bytes)."""
-        rows = np.flatnonzero(_inside(ids, self.ids))
+        i, t, s, e = (np.concatenate(c) for c in zip(*gone, strict=True)) if gone else (z, z, z, z)
+        self.gone = row_names(i, t), s, e
+        ids, texts, c = (np.concatenate(x) for x in zip(*runs, strict=True)) if runs else (z, z, z.astype(U64))
+        rows = row_names(ids, texts)
+        self.rows, self.runs = np.unique(rows), np.unique(_join(rows, c))
+
+    def find(self, batch: pa.RecordBatch, names: np.ndarray, length: int, hot: np.ndarray):
+        """Noted runs of the batch's rows: (row of the batch, first window, windows, anchor, bytes, offsets, place in the bytes)."""
+        rows = np.flatnonzero(_inside(names, self.rows))
         if not len(rows):
             return None
         data, at = text_buffer(batch.column(1).take(pa.array(rows)))
         row, s, n, h, c = _all_runs(data, at, length, hot)
-        hit = _inside(_join(ids[rows][row], c), self.runs)
+        hit = _inside(_join(names[rows][row], c), self.runs)
         row, s, n, h = row[hit], s[hit], n[hit], h[hit]
-        return ids[rows][row], s, n, h, data, at[row] + s
+        return rows[row], s, n, h, data, at[row] + s
 
 
 def _bucket_groups(batches):
@@ -291,37 +307,38 @@ def _bucket_groups(batches):
             if kind == TEXT:
                 texts.append(blob)
             elif kind == GONE:
-                gone.append(_unpack(blob, "nn"))
+                gone.append(_unpack(blob, "nnn"))
             else:
-                runs.append(_unpack(blob, "h"))
+                runs.append(_unpack(blob, "nh"))
         yield Notes(gone, runs), map(_open, texts)
 
 
-def _contexts(batches, length, shards, hot):
+def _contexts(batches, length, shards, hot, repeats):
     """The bytes of each OPEN run, dealt by anchor, a row for each bucket and shard."""
     for notes, texts in _bucket_groups(batches):
-        if not len(notes.ids):
+        if not len(notes.rows):
             continue
-        owner, start, anchor, size, body = [], [], [], [], []
+        owner, text, start, anchor, size, body = [], [], [], [], [], []
         for b in texts:
-            got = notes.find(b, b.column(0).to_numpy(), length, hot)
+            every, hashes = b.column(0).to_numpy(), text_hashes(*text_buffer(b.column(1)), repeats)
+            got = notes.find(b, row_names(every, hashes), length, hot)
             if got is None or not len(got[0]):
                 continue
-            ids, s, n, h, data, at = got
+            row, s, n, h, data, at = got
             m = n - 1 + length
             to = np.concatenate([[0], np.cumsum(m)])
             body.append(data[np.repeat(at - to[:-1], m) + np.arange(to[-1])])
-            for into, x in zip((owner, start, anchor, size), (ids, s, h, m), strict=True):
+            for into, x in zip((owner, text, start, anchor, size), (every[row], hashes[row], s, h, m), strict=True):
                 into.append(x)
         if not owner:
             continue
-        owner, start, anchor, size, body = (np.concatenate(x) for x in (owner, start, anchor, size, body))
+        owner, text, start, anchor, size, body = (np.concatenate(x) for x in (owner, text, start, anchor, size, body))
         ctx = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)])), pa.py_buffer(body)])
         key = (mix(anchor) % U64(shards)).astype(np.int32)
         order = np.argsort(key, kind="stable")
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(key[order])) + 1, [len(order)]]).tolist()
         parts = [order[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-        yield _rows([int(key[p[0]]) for p in parts], [OPEN] * len(parts), [_blob(id=owner[p], s=start[p].astype(np.int32), ctx=ctx.take(pa.array(p))) for p in parts])
+        yield _rows([int(key[p[0]]) for p in parts], [OPEN] * len(parts), [_blob(id=owner[p], text=text[p], s=start[p].astype(np.int32), ctx=ctx.take(pa.array(p))) for p in parts])
 
 
 def repeated_runs(ctx: list[bytes], low: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -338,7 +355,7 @@ def repeated_runs(ctx: list[bytes], low: np.ndarray, length: int) -> tuple[np.nd
     row = np.repeat(np.arange(len(ctx)), size + 1)
     fits = np.zeros(len(t), bool)
     fits[:-1] = at[1:][row] - 1 - np.arange(len(row)) >= length
-    shared = long_prefixes(folded, sa, length)
+    shared = permuted_prefixes(folded, sa, length)[sa] >= length
     shared[1:] &= fits[sa[1:]] & fits[sa[:-1]]
     shared[0] = False
     group = np.cumsum(~shared)
@@ -362,13 +379,13 @@ def _shards(batches, length, buckets):
     """Spans whose windows a smaller id has, from the suffix array of each shard, dealt by their text's bucket."""
     for _, t in keyed_groups(batches, "key"):
         got = [_open(x) for x in t.column("blob").to_pylist()]
-        ids = np.concatenate([x.column("id").to_numpy() for x in got])
+        ids, texts = (np.concatenate([x.column(c).to_numpy() for x in got]) for c in ("id", "text"))
         s = np.concatenate([x.column("s").to_numpy().astype(np.int64) for x in got])
         r, a, b, v = repeated_runs([c for x in got for c in x.column("ctx").to_pylist()], ids, length)
         k = v < ids[r]
         if k.any():
-            i, x, y = merged(ids[r[k]], s[r[k]] + a[k], s[r[k]] + b[k] - 1 + length)
-            yield _deal(bucket_of(i, buckets), GONE, i, x, y)
+            i, z, x, y = merged(ids[r[k]], texts[r[k]], s[r[k]] + a[k], s[r[k]] + b[k] - 1 + length)
+            yield _deal(bucket_of(row_names(i, z), buckets), GONE, i, z, x, y)
 
 
 def _up(text: bytes, x: int) -> int:
@@ -383,20 +400,20 @@ def _down(text: bytes, y: int) -> int:
     return y
 
 
-def _apply(batches, length, chars, hot):
+def _apply(batches, length, chars, hot, repeats):
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for notes, texts in _bucket_groups(batches):
         for b in texts:
             ids = b.column(0)
-            known = ids.fill_null(0).to_numpy()
+            data, at = text_buffer(b.column(1))
+            known = row_names(ids.fill_null(0).to_numpy(), text_hashes(data, at, repeats))
             gone = notes.gone
             got = notes.find(b, known, length, hot)
             if got is not None:
-                gone = tuple(np.concatenate(x) for x in zip(gone, (got[0], got[1], got[1] + got[2] - 1 + length), strict=True))
-            i, s, e = merged(*gone)
+                gone = tuple(np.concatenate(x) for x in zip(gone, (known[got[0]], got[1], got[1] + got[2] - 1 + length), strict=True))
+            i, _, s, e = merged(gone[0], np.zeros(len(gone[0]), np.int64), *gone[1:])
             lo, hi = np.searchsorted(i, known), np.searchsorted(i, known, "right")
             valid = ids.is_valid().to_pylist()
-            data, at = text_buffer(b.column(1))
             raw = data.tobytes()
             kept, spans = [], []
             for r in range(b.num_rows):
@@ -416,21 +433,22 @@ def _apply(batches, length, chars, hot):
 
 
 def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, whole_characters: bool = False,
-                       keep_cols: tuple[str, ...] = (), shard_bytes: int = 8_000_000, hot_share: float = 0.01, hot_least: int = 32) -> DataFrame:
+                       keep_cols: tuple[str, ...] = (), shard_bytes: int = 8_000_000, hot_share: float = 0.01, hot_least: int = 32, most_parts: int = 20_000) -> DataFrame:
     """Each row of `docs` without the bytes covered by a `length`-byte string that also starts in a row with a smaller id.
 
     Returns (id_col, n_bytes long, spans array<struct<start,end>>, kept binary, *keep_cols). Strings are judged on the
-    input, never across rows; null text counts as empty. An id stands for one text: rows repeated with their id share one
-    result. Rows with a null id come back whole and are no source. `whole_characters` shrinks each span to whole UTF-8
+    input, never across rows; null text counts as empty. Rows that repeat an id, with the same text or another, are judged one by
+    one against smaller ids, never against each other. Rows with a null id come back whole and are no source. `whole_characters` shrinks each span to whole UTF-8
     characters, so that what is kept is valid text.
 
     Every window of `length` bytes has an anchor, the smallest hash of the 20-byte runs in it, so equal windows have equal
     anchors. Where an anchor is hot (`hot_share` of a sample of rows has it) each of its windows stands for itself, so that no
-    shard gathers what stands around a very common line. Neighbouring windows with one anchor are a run. Runs are dealt by anchor, equal ones of a batch once. Of runs
-    with the same bytes the smallest id's stands for all. Where several kinds have one anchor, the bytes of the first of
-    each kind go to that anchor's shard. A shard is one generalized suffix array, built by induced sorting; its permuted
-    common prefixes of `length` bytes and more give the classes of equal windows, and each class its smallest id. The
-    spans found then meet the texts by a bucket of the id. Between the steps packed, compressed columns travel.
+    shard gathers what stands around a very common line. Neighbouring windows with one anchor are a run. Runs are dealt by
+    anchor, equal ones of a batch once. Of runs with the same bytes the smallest id's stands for all. Where several kinds have
+    one anchor, the bytes of the first of each kind go to that anchor's shard. A shard is one generalized suffix array, built by
+    induced sorting; its permuted common prefixes of `length` bytes and more give the classes of equal windows, and each class
+    its smallest id. The spans found then meet the texts by a bucket of the row. Between the steps packed, compressed columns
+    travel, in about one partition for each `shard_bytes` of text (`most_parts` at most).
     """
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep_cols)])
     named = spread(src.select("id", "text").filter("id is not null"))
@@ -438,14 +456,15 @@ def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     parts = buckets = int(max(16, total // shard_bytes))
     shards = 3 * parts  # a suffix array takes some ten times its text
     hot = hot_anchors(named, length, hot_share, hot_least)
-    own = lambda df: df.repartition("key").sortWithinPartitions("key", "kind")
-    asked = own(named.mapInArrow(lambda it: _requests(it, length, parts, buckets, hot), PACKED))
+    repeats = named.groupBy("id").count().filter("count > 1").limit(1).count() > 0  # decides what is sent, not what comes out
+    own = lambda df: df.repartition(min(parts, most_parts), "key").sortWithinPartitions("key", "kind")
+    asked = own(named.mapInArrow(lambda it: _requests(it, length, parts, buckets, hot, repeats), PACKED))
     notes = lambda kind: asked.mapInArrow(lambda it: _answers(it, buckets, kind), PACKED)
-    plain = named.mapInArrow(lambda it: _texts(it, buckets), PACKED)
-    open_runs = own(notes(OPEN).unionByName(plain)).mapInArrow(lambda it: _contexts(it, length, shards, hot), PACKED)
+    plain = named.mapInArrow(lambda it: _texts(it, buckets, repeats), PACKED)
+    open_runs = own(notes(OPEN).unionByName(plain)).mapInArrow(lambda it: _contexts(it, length, shards, hot, repeats), PACKED)
     found = own(open_runs).mapInArrow(lambda it: _shards(it, length, buckets), PACKED)
-    full = spread(src).mapInArrow(lambda it: _texts(it, buckets), PACKED)
+    full = spread(src).mapInArrow(lambda it: _texts(it, buckets, repeats), PACKED)
     extra = "".join(f", `_k{i}` {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep_cols))
     out = own(notes(COPY).unionByName(found).unionByName(full)).mapInArrow(
-        lambda it: _apply(it, length, whole_characters, hot), f"id long, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary{extra}")
+        lambda it: _apply(it, length, whole_characters, hot, repeats), f"id long, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary{extra}")
     return out.select(F.col("id").alias(id_col), "n_bytes", "spans", "kept", *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep_cols)])

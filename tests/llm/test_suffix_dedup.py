@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import saldo.llm.suffix_array as sa_module
-from saldo.llm.suffix_array import suffix_array
+from saldo.llm.suffix_array import permuted_prefixes, suffix_array
 from saldo.llm.suffix_dedup import suffix_array_dedup
 
 
@@ -60,6 +60,26 @@ def test_empty_null_ids_and_repeats(spark):
     assert sorted(got, key=str) == sorted([(None, 70, 0, t.encode()), (5, 70, 0, t.encode()), (5, 70, 0, t.encode()), (9, 71, 1, b"x")], key=str)
 
 
+def test_repeated_ids_with_other_texts(spark):
+    rng = random.Random(8)
+    make = lambda n: "".join(rng.choice("abcdefg ") for _ in range(n))
+    p, q, r = make(80), make(80), make(70)
+    rows = [(1, p), (5, p + q), (5, q + "zz"), (5, q + "zz"), (6, q), (6, r), (7, r + make(10) + p), (7, make(5) + r), (7, None), (8, make(300)), (8, q + q)]
+    assert result(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 3), max_size=120), st.integers(1, 20))
+def test_permuted_prefixes(symbols, most):
+    t = [*symbols, 0]
+    order = sorted(range(len(t)), key=lambda i: t[i:])
+    want = [0] * len(t)
+    for a, b in zip(order, order[1:], strict=False):
+        while want[b] < min(most, len(t) - max(a, b)) and t[a + want[b]] == t[b + want[b]]:
+            want[b] += 1
+    assert permuted_prefixes(np.array(t, np.uint8), np.array(order), most).tolist() == want
+
+
 def test_whole_characters(spark):
     t = "é" * 40
     df = spark.createDataFrame([(1, t), (2, "x" + t[:30] + "y")], "doc_id long, text string")
