@@ -1,4 +1,4 @@
-"""Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text: words of order 3, unknown ones by their bytes."""
+"""Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text, over n-grams of whole bytes."""
 
 from __future__ import annotations
 
@@ -7,49 +7,44 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from saldo.llm.common import U64, cut, mix, pieces, prefix_hash, span_hash, spread, text_buffer
+from saldo.llm.common import U64, cut, keyed_groups, pieces, spread, text_buffer
 
-#: Symbols of five bits: 0 before the text, a-z in either case, digits, white space, other ASCII, bytes above ASCII, controls.
-SYMBOL = np.array([1 + (c | 32) - 97 if 97 <= (c | 32) <= 122 and c < 128 else 27 if 48 <= c <= 57 else 28 if c in (9, 10, 13, 32) else 30 if c >= 128 else 31 if c < 32 or c == 127 else 29 for c in range(256)], np.int32)
-ORDER, BITS = 4, 5
-#: So many n-grams there are at most: the model that is sent to the executors is 4 MB whatever the corpus.
-SIZE = 1 << (ORDER * BITS)
+#: A symbol is a byte plus one, 0 before the text: nine bits; six of them and a few more bits for the kind of a row fit a long.
+ORDER, BITS = 6, 9
+#: What an unknown byte costs under the empty context: all 256 are alike.
+UNIFORM = float(np.log(1 / 256))
+_ODD = U64(0x9E3779B97F4A7C15)
 
 
 def grams(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Code of the n-gram that ends at each byte; before the text stands symbol 0."""
-    s = SYMBOL[data]
-    place = np.arange(len(s)) - np.repeat(at[:-1], np.diff(at))
-    out = s.copy()
-    for back in range(1, ORDER):
-        before = np.zeros_like(s)
-        before[back:] = s[:-back]
-        before[place < back] = 0
-        out |= before << (BITS * back)
-    return out
+    """Code of the n-gram of ORDER symbols that ends at each byte, the last symbol in the lowest bits."""
+    gap = ORDER - 1
+    place = np.arange(len(data)) + gap * (np.repeat(np.arange(len(at) - 1), np.diff(at)) + 1)
+    s = np.zeros(len(data) + gap * len(at), np.int64)
+    s[place] = data.astype(np.int64) + 1
+    back = lambda x, n: np.concatenate([np.zeros(n, np.int64), x[:-n]])
+    two = s | back(s, 1) << BITS
+    three = two | back(s, 2) << 2 * BITS
+    return (three | back(three, 3) << 3 * BITS)[place]
+
+
+def tagged(gram, model, kind):
+    """Key of a table's row: a gram of 54 bits, four bits for the kind (twice the order; one more: what its context leaves), the model."""
+    return gram | kind << 54 | model << 58
 
 
 def _counts(batches):
-    total = np.zeros(SIZE, np.int64)
     for b in batches:
         data, at = text_buffer(b.column(0))
-        for i, j in pieces(at):
-            part = grams(data[at[i] : at[j]], at[i : j + 1] - at[i])
-            if len(part):
-                total += np.bincount(part, minlength=SIZE)
-    seen = np.flatnonzero(total)
-    for part in np.array_split(seen, len(seen) // 50_000 + 1):
-        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["gram", "c"])
-
-
-def count_tables(texts: DataFrame) -> list[DataFrame]:
-    """(gram, c) of orders 1 to ORDER: raw counts for the highest, the number of distinct symbols before for the others."""
-    top = spread(texts).mapInArrow(_counts, "gram int, c long").groupBy("gram").agg(F.sum("c").alias("c"))
-    out = [cut(top)]  # SIZE rows at most; the other orders come from it, not from the texts again
-    for order in range(ORDER - 1, 0, -1):
-        short = F.col("gram").bitwiseAND((1 << (BITS * order)) - 1)
-        out.append(out[-1].groupBy(short.alias("gram")).agg(F.count("*").alias("c")))
-    return out[::-1]
+        model = b.column(1).to_numpy()
+        for i, j in pieces(at, 1 << 23):
+            g = grams(data[at[i] : at[j]], at[i : j + 1] - at[i])
+            m = np.repeat(model[i:j], np.diff(at[i : j + 1]))
+            for x in np.unique(m):
+                gram, n = np.unique(g[m == x], return_counts=True)
+                for k in range(0, len(gram), 100_000):
+                    part = slice(k, k + 100_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram[part]), x, np.int32)), pa.array(gram[part]), pa.array(n[part])], names=["m", "gram", "c"])
 
 
 def discounts() -> list[Column]:
@@ -59,205 +54,203 @@ def discounts() -> list[Column]:
     return [cut_at(1, "n2", "n1").alias("d1"), cut_at(2, "n3", "n2").alias("d2"), cut_at(3, "n4", "n3").alias("d3")]
 
 
-def smoothed(counts: DataFrame) -> DataFrame:
-    """(gram, own, spare): the discounted share of each n-gram in its context, and the mass its context leaves to the lower order.
+def kneser_ney_tables(texts: DataFrame) -> DataFrame:
+    """(m, kind, gram, value float) of the models m of `texts` (_text, m): for each order k the log probability of every n-gram seen
+    (kind 2 k), and the log share that every context seen leaves to the next shorter one (kind 2 k + 1, gram = context).
 
-    The three discounts come from the counts of counts; context totals are joined to the n-grams on the context.
+    Counts of the highest order are aggregated in the tasks before they are shuffled; lower orders count distinct predecessors.
+    Every step is keyed by model and gram, context or suffix, of which one has 257 rows at most, so no key is hot; all tables
+    are as large as the trusted texts make them.
     """
-    n = counts.agg(*[F.sum((F.col("c") == k).cast("double")).alias(f"n{k}") for k in (1, 2, 3, 4)])
-    d = n.select(*discounts())
-    off = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-    rows = counts.crossJoin(F.broadcast(d)).withColumn("context", F.shiftright("gram", BITS)).withColumn("off", off)  # d is one row
-    totals = rows.groupBy("context").agg(F.sum("c").alias("total"), F.sum("off").alias("left"))
-    return rows.join(totals, "context").select("gram", ((F.col("c") - F.col("off")) / F.col("total")).alias("own"), (F.col("left") / F.col("total")).alias("spare"))
+    top = spread(texts.select("_text", "m")).mapInArrow(_counts, "m int, gram long, c long").groupBy("m", "gram").agg(F.sum("c").alias("c"))
+    counts = [cut(top)]
+    for k in range(ORDER - 1, 0, -1):
+        short = F.col("gram").bitwiseAND((1 << BITS * k) - 1)
+        counts.append(counts[-1].groupBy("m", short.alias("gram")).agg(F.count("*").alias("c")))
+    low, out = None, []
+    for k in range(1, ORDER + 1):
+        c = counts[ORDER - k]
+        n = c.groupBy("m").agg(*[F.sum((F.col("c") == i).cast("double")).alias(f"n{i}") for i in (1, 2, 3, 4)])
+        rows = c.join(F.broadcast(n.select("m", *discounts())), "m").withColumn("context", F.shiftright("gram", BITS))  # one row for each model
+        off = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
+        rows = rows.select("m", "gram", "context", "c", off.alias("off"))
+        totals = rows.groupBy("m", "context").agg(F.sum("c").alias("total"), F.sum("off").alias("left"))
+        rows = rows.join(totals, ["m", "context"])
+        own, spare = (F.col("c") - F.col("off")) / F.col("total"), F.col("left") / F.col("total")
+        if low is None:
+            p = own + spare / 256
+        else:
+            rows = rows.withColumn("suffix", F.col("gram").bitwiseAND((1 << BITS * (k - 1)) - 1)).join(low.withColumnRenamed("gram", "suffix"), ["m", "suffix"])
+            p = own + spare * F.col("p")
+        low = rows.select("m", "gram", p.alias("p"))
+        if k < ORDER:
+            low = cut(low)
+        out.append(low.select("m", F.lit(2 * k).alias("kind"), "gram", F.log("p").cast("float").alias("value")))
+        out.append(totals.select("m", F.lit(2 * k + 1).alias("kind"), F.col("context").alias("gram"), F.log(spare).cast("float").alias("value")))
+    table = out[0]
+    for t in out[1:]:
+        table = table.unionByName(t)
+    return cut(table)
+
+
+class Table:
+    """Rows by key, sorted by a product of the key, with the place of each range of products: a key is found in a probe or two."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.shift = U64(64 - max(1, int(len(keys)).bit_length() + 1))
+        product = keys.view(U64) * _ODD
+        order = np.argsort(product)
+        self.keys, self.values = keys[order], values[order].astype(np.float32)
+        self.first = np.searchsorted(product[order] >> self.shift, np.arange((1 << (64 - int(self.shift))) + 1, dtype=U64)).astype(np.int32)
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """The value of each key, NaN where there is none."""
+        at = (key.view(U64) * _ODD >> self.shift).view(np.int64)
+        pos, end = self.first[at], self.first[at + 1]
+        out = np.full(len(key), np.nan)
+        live = np.flatnonzero(pos < end)
+        while len(live):
+            p = pos[live]
+            hit = self.keys[p] == key[live]
+            out[live[hit]] = self.values[p[hit]]
+            live = live[~hit]
+            pos[live] += 1
+            live = live[pos[live] < end[live]]
+        return out
+
+
+def log_probs(table: Table, gram: np.ndarray, model: np.ndarray) -> np.ndarray:
+    """Log probability of the last symbol of each gram after the others: what the longest seen part of it has, after what its unseen
+    longer contexts leave."""
+    back, out, live = np.zeros(len(gram)), np.zeros(len(gram)), np.arange(len(gram))
+    for k in range(ORDER, 0, -1):
+        g, m = gram[live] & ((1 << BITS * k) - 1), model[live]
+        found = table.find(tagged(g, m, 2 * k))
+        hit = ~np.isnan(found)
+        out[live[hit]] = back[live[hit]] + found[hit]
+        live, g, m = live[~hit], g[~hit], m[~hit]
+        if not len(live):
+            return out
+        back[live] += np.nan_to_num(table.find(tagged(g >> BITS, m, 2 * k + 1)))
+    out[live] = back[live] + UNIFORM
+    return out
 
 
-def train_kneser_ney(texts: DataFrame) -> np.ndarray:
-    """Log probability of the last symbol after the others, for each of the SIZE n-grams, seen or not.
+def _perplexities(data: np.ndarray, at: np.ndarray, model: np.ndarray, lookup) -> np.ndarray:
+    """Perplexity by byte of each row's whole text; NaN for an empty one."""
+    out = np.full(len(at) - 1, np.nan)
+    for i, j in pieces(at):
+        n = np.diff(at[i : j + 1])
+        logp = lookup(grams(data[at[i] : at[j]], at[i : j + 1] - at[i]), np.repeat(model[i:j].astype(np.int64), n))
+        total = np.concatenate([[0.0], np.cumsum(logp)])
+        some = n > 0
+        out[i:j][some] = np.exp(-(total[at[i + 1 : j + 1] - at[i]] - total[at[i:j] - at[i]])[some] / n[some])
+    return out
 
-    `texts` has one text column, and all of it is counted. The joined tables hold SIZE rows at most, so the driver
-    gathers no more than that; it interpolates them order by order.
-    """
-    p = np.full(1 << BITS, 1.0 / 31)
-    p[0] = 0
-    for order, counts in enumerate(count_tables(texts), 1):
-        t = smoothed(counts).toArrow()
-        own, spare = np.zeros(1 << (BITS * order)), np.ones(1 << (BITS * (order - 1)))
-        gram = t.column("gram").to_numpy()
-        own[gram] = t.column("own").to_numpy()
-        spare[gram >> BITS] = t.column("spare").to_numpy()
-        lower = p[np.arange(len(own)) & (len(p) - 1)]
-        p = own + np.repeat(spare, 1 << BITS) * lower
-    return np.log(np.maximum(p, 1e-12)).astype(np.float32)
-
-
-#: How many bytes share each symbol: a folded symbol's probability is split evenly among them.
-SHARED = np.log(np.bincount(SYMBOL, minlength=1 << BITS)[SYMBOL])
-WORDS = ["w3", "w2", "w1"]
-BEGIN, END = -2, -1
-#: 0 in words (ASCII letters and digits, bytes above ASCII), 1 punctuation, 2 white space and controls.
-KIND = np.array([0 if c >= 128 or chr(c).isalnum() else 2 if c <= 32 or c == 127 else 1 for c in range(256)], np.int8)
-
-
-def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the tokens, and n+1 offsets into them by row. Nothing is folded.
-
-    A token is a word, one punctuation sign, one character of three bytes or more (scripts without spaces), or a gap other
-    than a single space.
-    """
-    if len(data) == 0:
-        empty = np.zeros(0, np.int64)
-        return empty, empty, np.zeros(len(at), np.int64)
-    kind, inner = KIND[data], (data & 0xC0) == 0x80
-    wide = data[np.maximum.accumulate(np.where(inner, 0, np.arange(len(data))))] >= 0xE0
-    first = np.ones(len(data), bool)
-    first[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 1) | (~inner[1:] & (wide[1:] | wide[:-1]))
-    first[at[at < len(data)]] = True
-    starts = np.flatnonzero(first)
-    ends = np.append(starts[1:], len(data))
-    some = (data[starts] != 32) | (ends - starts > 1)
-    starts, ends = starts[some], ends[some]
-    return starts, ends, np.searchsorted(starts, at)
-
-
-def _word_grams(batches, model):
-    """One row for each distinct run of three tokens of a text: how often it stands there, and the log probability of spelling its last."""
-    table = model.value
+
+def _score(batches, sent):
+    for b in batches:
+        p = _perplexities(*text_buffer(b.column(0)), b.column(1).to_numpy(), lambda g, m: log_probs(sent.value, g, m))
+        yield pa.RecordBatch.from_arrays([pa.array(p, from_pandas=True), *b.columns[1:]], names=["perplexity", *b.schema.names[1:]])
+
+
+def _asked(batches):
+    """The distinct n-grams of each piece of a bucket's texts."""
     for b in batches:
         data, at = text_buffer(b.column(0))
-        rid, m = b.column(1).to_numpy(), b.column(2).to_numpy()
-        for i, j in pieces(at):
-            part, own = data[at[i] : at[j]], at[i : j + 1] - at[i]
-            full = np.flatnonzero(np.diff(own) > 0)
-            if len(full) == 0:
-                continue
-            starts, ends, first = tokens(part, own)
-            spell = np.concatenate([[0.0], np.cumsum(table[grams(part, own)] - SHARED[part])])
-            n = np.diff(first)[full]
-            to = np.concatenate([[0], np.cumsum(n + 3)])  # two begin marks before a text, one end mark after it
-            word, logp, row = np.full(to[-1], BEGIN, np.int64), np.zeros(to[-1]), np.repeat(np.arange(len(full)), n + 3)
-            place = np.arange(len(starts)) + 3 * np.repeat(np.arange(len(full)), n) + 2
-            word[place] = span_hash(prefix_hash(part), starts, ends).view(np.int64)
-            logp[place] = spell[ends] - spell[starts]
-            word[to[1:] - 1] = END
-            last = np.flatnonzero(np.arange(to[-1]) - to[row] >= 2)
-            key = mix(word[last].view(U64) * U64(0x9E3779B97F4A7C15) + mix(word[last - 1].view(U64) * U64(0xC2B2AE3D27D4EB4F) + mix(word[last - 2].view(U64) + mix(row[last].astype(U64)))))
-            _, at_first, back, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-            take, r = last[at_first], row[last[at_first]]
-            size = np.zeros(len(take), np.int64)
-            lead = np.unique(r, return_index=True)
-            size[lead[1]] = (np.diff(own)[full] + 1)[lead[0]]
-            cols = [rid[i:j][full][r], m[i:j][full][r], word[take - 2], word[take - 1], word[take], times.astype(np.int32), np.bincount(back, logp[last]), size]
-            for k in range(0, len(take), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 50_000]) for c in cols], names=["rid", "m", *WORDS, "n", "spelled", "size"])
-
-
-def word_grams(src: DataFrame, spelling: np.ndarray) -> DataFrame:
-    """(rid, m, w3, w2, w1, n, spelled, size) of the texts in src (_text, rid, m); size is a text's bytes and end mark, in one of its rows."""
-    sent = src.sparkSession.sparkContext.broadcast(spelling)  # 4 MB, by construction
-    return spread(src.select("_text", "rid", "m")).mapInArrow(lambda it: _word_grams(it, sent), "rid long, m int, w3 long, w2 long, w1 long, n int, spelled double, size long")
-
-
-def word_tables(runs: DataFrame) -> tuple[list[DataFrame], list[DataFrame], DataFrame]:
-    """Tables of the models of order 3: log probability of each run, what each context leaves to a shorter one, and what unknown words get.
-
-    `runs` has (m, w3, w2, w1, c), m the model. Modified Kneser-Ney, interpolated; lower orders count distinct
-    predecessors. All tables are keyed and sharded, as large as the trusted texts make them.
-    """
-    probs, spares, low, spare = [], [], None, None
-    counts = [cut(runs.groupBy("m", *WORDS).agg(F.sum("c").alias("c")))]
-    for k in (1, 2):
-        counts.append(cut(counts[-1].groupBy("m", *WORDS[k:]).agg(F.count("*").alias("c"))))
-    for k in (2, 1, 0):
-        c, words = counts[k], WORDS[k:]
-        n = c.groupBy("m").agg(*[F.sum((F.col("c") == i).cast("double")).alias(f"n{i}") for i in (1, 2, 3, 4)])
-        d = n.select("m", *discounts())
-        rows = c.join(F.broadcast(d), "m")  # three rows at most, one for each model
-        rows = rows.withColumn("off", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
-        context = ["m", *words[:-1]]
-        totals = rows.groupBy(*context).agg(F.sum("c").alias("total"), F.sum("off").alias("left"))
-        p = (F.col("c") - F.col("off")) / F.col("total")
-        rows = rows.join(F.broadcast(totals) if k == 2 else totals, context)
-        if low is not None:
-            rows, p = rows.join(low, ["m", *words[1:]]), p + F.col("left") / F.col("total") * F.col("p")
-        low = cut(rows.select("m", *words, p.alias("p"), F.col("c").alias("weight")))
-        probs.append(low)
-        left = totals.select(*context, F.log(F.col("left") / F.col("total")).alias("found"), F.col("total").alias("weight"))
-        if k == 2:
-            spare = left
-        else:
-            spares.append(cut(left))
-        low = low.drop("weight")
-    return [p.withColumn("found", F.log("p")).drop("p") for p in probs][::-1], spares[::-1], spare
+        model, bucket = b.column(1).to_numpy().astype(np.int64), b.column(2).to_numpy()
+        for x in np.unique(bucket):
+            rows = np.flatnonzero(bucket == x)
+            part, own = text_buffer(b.column(0).take(pa.array(rows)))
+            for i, j in pieces(own, 1 << 22):
+                g = grams(part[own[i] : own[j]], own[i : j + 1] - own[i])
+                key = np.unique(tagged(g, np.repeat(model[rows[i:j]], np.diff(own[i : j + 1])), 0))
+                for k in range(0, len(key), 100_000):
+                    part_key = key[k : k + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part_key), x)), pa.array(part_key)], names=["bucket", "key"])
+
+
+def _score_bucket(batches):
+    """Texts of a bucket under the answers that stand before them."""
+    for _, t in keyed_groups(batches, "bucket"):
+        text = np.array(t.column("is_text").to_pylist(), bool)
+        told, docs = t.filter(pa.array(~text)), t.filter(pa.array(text))
+        table = Table(told.column("key").to_numpy(), told.column("value").to_numpy())
+        lookup = lambda g, m: table.find(tagged(g, m, 0))  # noqa: E731, B023
+        for b in docs.to_batches():
+            data, at = text_buffer(b.column(b.schema.get_field_index("_text")))
+            p = _perplexities(data, at, b.column(b.schema.get_field_index("m")).to_numpy(), lookup)
+            yield pa.RecordBatch.from_arrays([pa.array(p, from_pandas=True), *[b.column(b.schema.get_field_index(c)) for c in ("m", "_id", "_lang", "_trusted")]], names=["perplexity", "m", "_id", "_lang", "_trusted"])
+
+
+def resolve(asked: DataFrame, table: DataFrame) -> DataFrame:
+    """(key, value double) for each distinct key (gram and model) of `asked`, by joins with the sharded tables from the longest
+    n-grams down; rows that an order has answered don't go on to the next. Orders one and two are bounded by the alphabet, and broadcast."""
+    q = asked.select("key", F.shiftright("key", 58).cast("int").alias("m"), F.col("key").bitwiseAND((1 << 54) - 1).alias("gram"), F.lit(0.0).alias("back"))
+    done = []
+    for k in range(ORDER, 0, -1):
+        side = (lambda df: F.broadcast(df)) if k <= 2 else (lambda df: df)
+        prob = table.filter(F.col("kind") == 2 * k).select("m", F.col("gram").alias("_g"), F.col("value").cast("double").alias("found"))
+        left = table.filter(F.col("kind") == 2 * k + 1).select("m", F.col("gram").alias("_g"), F.col("value").cast("double").alias("spare"))
+        q = cut(q.withColumn("_g", F.col("gram").bitwiseAND((1 << BITS * k) - 1)).join(side(prob), ["m", "_g"], "left"))
+        done.append(q.filter("found is not null").select("key", (F.col("back") + F.col("found")).alias("value")))
+        q = q.filter("found is null").withColumn("_g", F.shiftright("_g", BITS)).join(side(left), ["m", "_g"], "left")
+        q = q.select("key", "m", "gram", (F.col("back") + F.coalesce("spare", F.lit(0.0))).alias("back"))
+    out = q.select("key", (F.col("back") + UNIFORM).alias("value"))
+    for d in done:
+        out = out.unionByName(d)
+    return out
 
 
-def look_up(q: DataFrame, table: DataFrame, keys: list[str], words: list[str], done: Column, most: int) -> DataFrame:
-    """q with the column `found` of the table's row whose `keys` equal `words` of q, null if there is none.
+def perplexity(src: DataFrame, table: DataFrame, most_broadcast: int = 8_000_000, bucket_bytes: int = 32_000_000) -> DataFrame:
+    """`src` (_text, m, _id, _lang, _trusted) without its text, and with the perplexity of each row under model m.
 
-    A table of up to `most` rows is broadcast. Beyond that both meet by a keyed join; keys with over a thousandth of the
-    weight of their model (a thousand at most) are broadcast apart, and what they or earlier tables have answered is dealt evenly by text.
+    Tables of up to `most_broadcast` rows (12 bytes each) are broadcast, so that texts stay where they are. Beyond that the texts
+    are dealt into buckets of about `bucket_bytes`; each bucket asks for its distinct n-grams once, all buckets' distinct ones
+    meet the tables by keyed joins, and the answers go back to the buckets. Both ways give the same numbers.
     """
-    table = table.select("m", *[F.col(k).alias(f"_{k}") for k in keys], "found", "weight")
-    same = lambda t: [F.col("q.m") == F.col(f"{t}.m"), *[F.col(f"q.{w}") == F.col(f"{t}._{k}") for k, w in zip(keys, words, strict=True)]]
-    if table.limit(most + 1).count() <= most:
-        return q.alias("q").join(F.broadcast(table.alias("t")), same("t"), "left").select("q.*", "t.found")
-    total = table.groupBy("m").agg((F.sum("weight") / 1000).alias("least"))
-    hot = table.join(F.broadcast(total), "m").filter("weight > least").drop("least", "weight")
-    q = q.alias("q").join(F.broadcast(hot.alias("h")), same("h"), "left").select("q.*", F.col("h.found").alias("_hot"))
-    q = q.withColumn("_deal", F.when(F.col("_hot").isNotNull() | done, F.xxhash64("rid", *WORDS)).otherwise(F.lit(0)))
-    table = table.drop("weight").withColumn("_deal", F.lit(0).cast("long"))
-    out = q.alias("q").join(table.alias("t"), [*same("t"), F.col("q._deal") == F.col("t._deal")], "left")
-    return out.select("q.*", F.coalesce("q._hot", "t.found").alias("found")).drop("_hot", "_deal")
-
-
-def perplexity(q: DataFrame, tables, most: int = 200_000) -> DataFrame:
-    """(rid, perplexity) by byte from the rows of `word_grams`, each under its model m.
-
-    A run that the trusted texts lack falls back on the shorter run, times what the context leaves to it; an unknown word takes its
-    share of what is left by its spelling.
-    """
-    probs, spares, spare = tables
-    q = q.withColumn("logp", F.lit(None).cast("double")).withColumn("back", F.lit(0.0))
-    for k in range(3):
-        q = look_up(q, probs[k], WORDS[k:], WORDS[k:], F.col("logp").isNotNull(), most)
-        q = q.withColumn("logp", F.coalesce("logp", F.col("back") + F.col("found"))).drop("found")
-        if k < 2:
-            q = look_up(q, spares[k], WORDS[k:-1], WORDS[k:-1], F.col("logp").isNotNull(), most)
-            q = q.withColumn("back", F.col("back") + F.coalesce("found", F.lit(0.0))).drop("found")
-    q = q.join(F.broadcast(spare.select("m", "found")), "m", "left")
-    logp = F.coalesce(F.col("logp") * F.col("n"), (F.col("back") + F.coalesce("found", F.lit(0.0))) * F.col("n") + F.col("spelled"))
-    return q.groupBy("rid").agg(F.exp(-F.sum(logp) / F.sum("size")).alias("perplexity"))
-
-
-def quality_filter(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.995, slack: float = 1.05, most_broadcast: int = 500_000, most_languages: int = 100_000) -> DataFrame:
+    rest = ["m", "_id", "_lang", "_trusted"]
+    kinds = "perplexity double, m int, _id long, _lang string, _trusted boolean"
+    if table.count() <= most_broadcast:
+        got = table.select(F.col("gram").bitwiseOR(F.shiftleft(F.col("kind").cast("long"), 54)).bitwiseOR(F.shiftleft(F.col("m").cast("long"), 58)).alias("key"), "value").toArrow()
+        sent = src.sparkSession.sparkContext.broadcast(Table(got.column("key").to_numpy(), got.column("value").to_numpy()))
+        return spread(src.select("_text", *rest)).mapInArrow(lambda it: _score(it, sent), kinds)
+    total = src.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    buckets = int(max(4, total // bucket_bytes))
+    dealt = src.withColumn("bucket", F.pmod(F.xxhash64("_id", "_lang", "_text"), F.lit(buckets)))
+    asked = cut(dealt.repartition(buckets, "bucket").select("_text", "m", "bucket").mapInArrow(_asked, "bucket long, key long").distinct())
+    answers = asked.join(resolve(asked.select("key").distinct(), table), "key").select("bucket", "key", "value", F.lit(False).alias("is_text"))
+    both = answers.unionByName(dealt.withColumn("is_text", F.lit(True)), allowMissingColumns=True)
+    return both.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_score_bucket, kinds)
+
+
+def quality_filter(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.995, slack: float = 1.05, most_ids: int = 500_000,
+                   most_languages: int = 100_000, most_broadcast: int = 8_000_000) -> DataFrame:
     """(id_col, lang, perplexity, threshold, keep) for each row of `docs`.
 
-    The model counts every row whose id is in `trusted_ids` (one column, id_col); a trusted row itself is scored under a model of
-    the half of them that its id is not in, as else its own runs would lower the thresholds. A row is kept if its perplexity is at
-    most `slack` times the `quantile` of the trusted rows of its language; a language without trusted rows, or null,
-    takes the quantile of all trusted rows. Null and empty texts have no perplexity and are not kept; nor is any row where
-    nothing is trusted. Up to `most_broadcast` trusted ids are broadcast, so that texts stay where they are; beyond that they
-    meet by a keyed join. Thresholds of up to `most_languages` languages are broadcast; beyond that a language's rows are dealt
-    over 32 keys.
+    The rows whose id is in `trusted_ids` (one column, id_col) are dealt into two halves by a hash of the id, and a model of
+    order six over whole bytes is counted on each. Every row is scored under the half that its id is not in, so that trusted
+    rows set the thresholds by texts that their model hasn't seen. A row is kept if its perplexity is at most `slack` times the
+    `quantile` (ties included) of the trusted rows of its language; a language without trusted rows, or null, takes the quantile
+    of all trusted rows. Null and empty texts have no perplexity and are not kept; nor is any row where nothing is trusted.
+    Repeated rows and ids are rows of their own; rows with a null id are scored, but never trusted. Other columns are ignored.
+
+    Up to `most_ids` trusted ids are broadcast, so that texts stay where they are; beyond that they meet by a keyed join.
+    Thresholds of up to `most_languages` languages are broadcast; beyond that a language's rows are dealt over 32 keys.
     """
     ids = trusted_ids.select(F.col(id_col).cast("long").alias("_id")).filter("_id is not null").distinct()
-    src = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
-    few = ids.limit(most_broadcast + 1).count() <= most_broadcast
-    ids = ids.withColumn("_m", (F.pmod(F.xxhash64("_id"), F.lit(2)) + 1).cast("int"))
-    src = src.join(F.broadcast(ids) if few else ids, "_id", "left").select("_id", "_lang", "_text", F.coalesce("_m", F.lit(0)).alias("m"), F.xxhash64("_id", "_lang", "_text").alias("rid"))
-    trusted = src.filter("m > 0")
-    spelling = train_kneser_ney(trusted.select("_text"))
-    runs = word_grams(trusted, spelling).select(F.explode(F.array(F.lit(0), 3 - F.col("m"))).alias("m"), *WORDS, F.col("n").alias("c"))
-    told = perplexity(word_grams(src, spelling), word_tables(runs))
-    some = F.coalesce(F.length("_text") > 0, F.lit(False)).alias("some")
-    scored = src.select("_id", "_lang", "rid", some).join(told, "rid", "left")
-    scored = cut(scored.select("_id", "_lang", F.when(F.col("some"), F.col("perplexity")).alias("perplexity")))
-    good = scored.join(F.broadcast(ids) if few else ids, "_id", "left_semi").filter("perplexity is not null")
+    few = ids.limit(most_ids + 1).count() <= most_ids
+    ids = ids.withColumn("_trusted", F.lit(True))
+    half = F.coalesce(F.pmod(F.xxhash64("_id"), F.lit(2)), F.lit(0)).cast("int")
+    src = (docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
+           .join(F.broadcast(ids) if few else ids, "_id", "left").select("_id", "_lang", "_text", F.coalesce("_trusted", F.lit(False)).alias("_trusted"), (1 - half).alias("m")))
+    tables = kneser_ney_tables(src.filter("_trusted").select("_text", (1 - F.col("m")).alias("m")))
+    scored = cut(perplexity(src, tables, most_broadcast))
+    good = scored.filter("_trusted and perplexity is not null")
     mark = lambda df: df.agg(F.percentile_approx("perplexity", quantile, 10_000).alias("q"))
-    by_lang = mark(good.filter("_lang is not null").groupBy("_lang"))
+    by_lang = cut(mark(good.filter("_lang is not null").groupBy("_lang")))  # one row for each language
     overall = mark(good).first()[0]
     limit = F.coalesce(F.col("q"), F.lit(overall).cast("double")) * slack
-    by_lang = cut(by_lang)  # one row for each language
     if by_lang.limit(most_languages + 1).count() <= most_languages:
         scored = scored.join(F.broadcast(by_lang), "_lang", "left")
     else:

@@ -73,57 +73,6 @@ def test_non_negative_risk_learns_rare_words():
     assert m.weights[3] > 1 and abs(m.weights[6]) < 1e-9
 
 
-def plain_kneser_ney(texts):
-    """The textbook formula on symbols, with the same discount bounds, by dictionaries."""
-    top = Counter()
-    for t in texts:
-        s = [0] * (K.ORDER - 1) + [int(K.SYMBOL[b]) for b in t.encode()]
-        for i in range(K.ORDER - 1, len(s)):
-            top[tuple(s[i - K.ORDER + 1 : i + 1])] += 1
-    counts = {K.ORDER: top}
-    for n in range(K.ORDER - 1, 0, -1):
-        counts[n] = Counter(g[1:] for g in counts[n + 1])
-
-    def discount(n):
-        c = Counter(min(v, 5) for v in counts[n].values())
-        y = c[1] / (c[1] + 2 * c[2]) if c[1] + 2 * c[2] else 0.5
-        out = []
-        for k in (1, 2, 3):
-            d = k - (k + 1) * y * c[k + 1] / c[k] if c[k] else 0.5 * k
-            out.append(min(k, max(0.05 * k, d)))
-        return out
-
-    ds = {n: discount(n) for n in counts}
-
-    def prob(g):
-        if not g:
-            return 1 / 31
-        n = len(g)
-        inside = {h: v for h, v in counts[n].items() if h[:-1] == g[:-1]}
-        if not inside:
-            return prob(g[1:])
-        total = sum(inside.values())
-        d = lambda v: ds[n][min(v, 3) - 1]
-        own = (inside[g] - d(inside[g])) / total if g in inside else 0
-        return own + sum(map(d, inside.values())) / total * prob(g[1:])
-
-    return prob
-
-
-def test_kneser_ney_matches_the_formula(spark):
-    texts = [sentence("en", 30) for _ in range(4)] + ["Zürich 12!"]
-    table = K.train_kneser_ney(spark.createDataFrame([(t,) for t in texts], "text string"))
-    prob = plain_kneser_ney(texts)
-    for t in [texts[0][:40], "xq the z", "9 hou"]:
-        data = np.frombuffer(t.encode(), np.uint8)
-        got = table[K.grams(data, np.array([0, len(data)]))]
-        s = [0] * (K.ORDER - 1) + K.SYMBOL[data].tolist()
-        want = [math.log(prob(tuple(s[i - K.ORDER + 1 : i + 1]))) for i in range(K.ORDER - 1, len(s))]
-        assert np.allclose(got, want, atol=1e-4)
-    rows = np.exp(table.reshape(-1, 32)[:, 1:]).sum(1)
-    assert np.allclose(rows, 1, atol=1e-3)  # every context sums to one
-
-
 def test_quality_filter(spark):
     rows = [(i, sentence("en", 50), "en") for i in range(80)] + [(i, sentence("de", 50), "de") for i in range(80, 160)]
     rows += [(200, "$$$ #%% xqzj " * 20, "en"), (201, None, "en"), (202, "", "de"), (203, sentence("en"), None), (204, sentence("en", 20_000), "xx"), (None, "zzz", "en"), (1, rows[1][1], "en")]
