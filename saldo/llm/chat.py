@@ -1,8 +1,8 @@
-"""Chat formatting: one text for a whole conversation, encoded once, with a loss mask aligned to its turns."""
+"""Chat formatting: one text for a whole conversation, encoded once with offsets, and a loss mask aligned to its turns."""
 
 from __future__ import annotations
 
-import os
+import base64
 import re
 
 import numpy as np
@@ -51,102 +51,124 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-def mask_tokens(offsets: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Loss mask of the tokens, and the text under it, from sorted token spans and sorted turn spans (start, end).
+def mask_tokens(offsets: np.ndarray, spans: np.ndarray) -> np.ndarray:
+    """Loss mask of the tokens that share a place with a turn, from sorted token spans and sorted turn spans (start, end): each
+    turn's first and last tokens are found by binary search."""
+    mask = np.zeros(len(offsets), np.int32)
+    some = spans[spans[:, 0] < spans[:, 1]]
+    first, last = np.searchsorted(offsets[:, 1], some[:, 0], "right"), np.searchsorted(offsets[:, 0], some[:, 1], "left")
+    for i, j in zip(first.tolist(), last.tolist(), strict=True):
+        mask[i:j] = 1
+    return mask
+
 
-    Each turn's first and last tokens are found by binary search. A token counts as soon as it shares a character with a
-    turn; the text under the mask is what tokens and turns share, each character once.
+class Vocabulary:
+    """Byte-level BPE from the lines of a ranks file (base64 of a token, its id) and a pattern, with an id of its own for each marker.
+
+    A marker is one token wherever the template has it, and texts are encoded between the markers and turn starts, so no
+    token reaches out of a turn. What is sent to executors are the lines; a worker process builds the encoder once.
     """
-    mask = np.zeros(len(offsets), np.int32)
-    shared = []
-    starts, ends = offsets[:, 0], offsets[:, 1]
-    for s, e in spans:
-        if s >= e or not len(offsets):
-            continue
-        i, j = int(np.searchsorted(ends, s, "right")), int(np.searchsorted(starts, e, "left"))
-        at = s
-        for x, y in offsets[i:j].tolist():
-            x, y = max(x, at), min(y, e)
-            mask[i] = 1
-            if x < y:
-                if shared and shared[-1][1] == x and x != s:
-                    shared[-1] = (shared[-1][0], y)
-                else:
-                    shared.append((x, y))
-                at = y
-            i += 1
-    return mask, shared
-
-
-_LOADED: dict[int, object] = {}
-
-
-def _tokenizer(content: str):
-    """The tokenizer of a file's content; a worker process builds it once, not in every task."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    key = hash(content)
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Tokenizer.from_str(content)
-        _LOADED[key].encode_special_tokens = True
-    return _LOADED[key]
+
+    _built: dict[tuple[int, str], tuple] = {}
+
+    def __init__(self, lines: bytes, pattern: str):
+        self.lines, self.pattern = lines, pattern
+
+    def built(self):
+        """(encode, ids of the two markers, bytes of each token, lengths of these)."""
+        key = (hash(self.lines), self.pattern)
+        if key not in self._built:
+            import tiktoken
+
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, self.lines.splitlines()) if a}
+            start = max(ranks.values()) + 1
+            names = [b""] * (start + 2)
+            for token, i in ranks.items():
+                names[i] = token
+            names[start:] = START.encode(), END.encode()
+            self._built.clear()
+            self._built[key] = tiktoken.Encoding("own", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, (start, start + 1), names, np.array([len(x) for x in names])
+        return self._built[key]
+
+
+def encode(vocabulary: Vocabulary, turns: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of a whole rendered conversation, the token spans and the turn spans, in bytes."""
+    plain, (start, end), _, length = vocabulary.built()
+    ids, spans, n = [], [], 0
+    for role, text in turns:
+        head, body = plain(f"{escape_role(role)}\n"), plain(escape(text))
+        n += len(START) + int(length[head].sum())
+        size = int(length[body].sum()) if body else 0
+        spans.append((n, n + size))
+        ids += [start, *head, *body, end, *plain("\n")]
+        n += size + len(END) + 1
+    ids = np.array(ids, np.int64)
+    ends = np.cumsum(length[ids])
+    return ids, np.stack([ends - length[ids], ends], 1), np.array(spans, np.int64).reshape(-1, 2)
 
 
 def _format(batches, sent, trained):
-    tok = _tokenizer(sent.value)
+    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     for b in batches:
-        rows = [[(t["role"] or "", t["text"] or "") for t in turns] for turns in b.column(1).to_pylist()]
-        made = [render(r) for r in rows]
-        ids, masks, under, turn_spans = [], [], [], []
-        for lo in range(0, len(made), 256):
-            for enc, turns, (_, spans) in zip(tok.encode_batch([t for t, _ in made[lo : lo + 256]], add_special_tokens=False), rows[lo : lo + 256], made[lo : lo + 256], strict=True):
-                offsets = np.array(enc.offsets, np.int64).reshape(-1, 2)
-                mask, shared = mask_tokens(offsets, np.array([s for s, (role, _) in zip(spans, turns, strict=True) if role == trained], np.int64).reshape(-1, 2))
-                ids.append(enc.ids)
-                masks.append(mask)
-                under.append([{"start": x, "end": y} for x, y in shared])
-                turn_spans.append([{"start": x, "end": y} for x, y in spans])
-        span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        texts, ids, masks, under, spans = [], [], [], [], []
+        for turns in b.column(1).to_pylist():
+            turns = [(t["role"] or "", t["text"] or "") for t in turns]
+            formatted, places = render(turns)
+            tokens, offsets, turn_bytes = encode(sent.value, turns)
+            mine = np.array([role == trained for role, _ in turns], bool)
+            texts.append(formatted)
+            ids.append(tokens)
+            masks.append(mask_tokens(offsets, turn_bytes[mine]))
+            spans.append([{"start": x, "end": y} for x, y in places])
+            under.append([s for s, m in zip(spans[-1], mine.tolist(), strict=True) if m and s["start"] < s["end"]])
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array([t for t, _ in made], pa.string()), pa.array(ids, pa.list_(pa.int32())), pa.array(masks, pa.list_(pa.int32())), pa.array(under, span), pa.array(turn_spans, span)],
+            [b.column(0), pa.array(texts, pa.string()), pa.array(ids, pa.list_(pa.int32())), pa.array(masks, pa.list_(pa.int32())), pa.array(under, span), pa.array(spans, span)],
             names=["conv", "formatted", "input_ids", "loss_mask", "loss_spans", "turn_spans"])
 
 
-def format_chats(rows: DataFrame, tokenizer_json: str, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", trained_role: str = "assistant") -> DataFrame:
+def format_chats(rows: DataFrame, vocabulary: Vocabulary, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", trained_role: str = "assistant") -> DataFrame:
     """One row per conversation: (conv_col, formatted, input_ids, loss_mask, loss_spans, turn_spans).
 
     Turns stand in the order of (turn, role, text); null turns come first; null roles and texts count as empty. Rows with a
-    null conversation id form one conversation. Repeated rows are turns of their own. Control strings inside a text get a
-    backslash, reversibly. `tokenizer_json` is the content of a tokenizers file; the whole conversation is encoded once.
-    loss_mask marks the tokens that share a character with a `trained_role` text; loss_spans are the code points under it.
+    null conversation id form one conversation. Repeated rows are turns of their own. Other columns, also such that have the
+    name of a result, are ignored; an empty table gives no rows. Control strings inside a text get a backslash, reversibly.
+    loss_mask marks exactly the tokens of `trained_role` texts, markers and roles left out; spans are code points.
     A conversation is one record, so its turns meet in one task; the conversations are spread by their id.
     """
-    sent = rows.sparkSession.sparkContext.broadcast(tokenizer_json)
+    sent = rows.sparkSession.sparkContext.broadcast(vocabulary)  # a vocabulary file: its size doesn't depend on the data
     turns = (rows.select(F.col(conv_col).cast("long").alias("conv"), F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).alias("t"))
              .groupBy("conv").agg(F.sort_array(F.collect_list("t")).alias("turns")).select("conv", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns")))
     out = turns.mapInArrow(lambda it: _format(it, sent, trained_role), f"conv long, formatted string, input_ids array<int>, loss_mask array<int>, loss_spans {SPAN}, turn_spans {SPAN}")
     return out.withColumnRenamed("conv", conv_col)
 
 
-def _read_back(batches):
+def masked_text(ids: np.ndarray, mask: np.ndarray, names: list[bytes]) -> str:
+    """The text under a loss mask: the bytes of each unbroken run of masked tokens, unescaped."""
+    at = np.flatnonzero(mask)
+    runs = np.split(ids[at], np.flatnonzero(np.diff(at) > 1) + 1) if len(at) else []
+    return "".join(unescape(b"".join(names[i] for i in run.tolist()).decode()) for run in runs)
+
+
+def _read_back(batches, sent):
     import hashlib
 
+    names = sent.value.built()[2]
     for b in batches:
         n, digest, loss_n, loss = [], [], [], []
-        for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+        ids, masks = ([x.values.to_numpy() for x in b.column(k)] for k in (2, 3))
+        for text, i, m in zip(b.column(1).to_pylist(), ids, masks, strict=True):
             turns = parse(text)
             n.append(len(turns))
             digest.append(hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest())
-            under = "".join(unescape(text[s["start"] : s["end"]]) for s in spans)
+            under = masked_text(i, m, names)
             loss_n.append(len(under))
             loss.append(hashlib.sha256(under.encode()).hexdigest())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest), pa.array(loss_n, pa.int64()), pa.array(loss), b.column(3)],
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest), pa.array(loss_n, pa.int64()), pa.array(loss), b.column(4)],
                                          names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
 
-def read_back(formatted: DataFrame, conv_col: str = "conv_id") -> DataFrame:
-    """Digests of the turns and of the text under the mask, from the formatted text and loss_spans only."""
-    src = formatted.select(F.col(conv_col).alias("conv_id"), "formatted", "loss_spans", F.length("formatted").cast("long").alias("n"))
-    return src.mapInArrow(_read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+def read_back(formatted: DataFrame, vocabulary: Vocabulary, conv_col: str = "conv_id") -> DataFrame:
+    """Digests of the turns, from the formatted text, and of the text under the mask, from input_ids and loss_mask."""
+    sent = formatted.sparkSession.sparkContext.broadcast(vocabulary)
+    src = formatted.select(F.col(conv_col).alias("conv_id"), "formatted", "input_ids", "loss_mask", F.length("formatted").cast("long").alias("n"))
+    return src.mapInArrow(lambda it: _read_back(it, sent), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -7,7 +7,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from saldo.llm.chat import END, START, escape, format_chats, mask_tokens, parse, read_back, render, unescape
+from saldo.llm.chat import END, START, Vocabulary, encode, escape, format_chats, mask_tokens, parse, read_back, render, unescape
 
 PARTS = st.lists(st.sampled_from(["<", "|", "\\", START, END, "a", "\n", " ", "é", "<|", "|>", "%0A", "漢"]), max_size=12).map("".join)
 
@@ -24,25 +24,48 @@ def test_round_trip(turns):
     assert [unescape(formatted[s:e]) for s, e in spans] == [t for _, t in turns]
 
 
-def test_mask_with_straddling_and_shared_offsets():
-    offsets = np.array([[0, 2], [2, 5], [5, 6], [5, 6], [6, 9]])
-    mask, shared = mask_tokens(offsets, np.array([[3, 7]]))
-    assert mask.tolist() == [0, 1, 1, 1, 1] and shared == [(3, 7)]
+def test_mask_by_offsets():
+    offsets = np.array([[0, 2], [2, 5], [5, 6], [6, 9], [9, 10]])
+    assert mask_tokens(offsets, np.array([[2, 6], [7, 7], [9, 10]])).tolist() == [0, 1, 1, 0, 1]
+    assert mask_tokens(offsets, np.array([[3, 7]])).tolist() == [0, 1, 1, 1, 0]
 
 
 @pytest.fixture(scope="module")
-def tokenizer():
-    return open(public_tokenizers.path("byte_bpe_50k.json")).read()
+def vocabulary():
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        return Vocabulary(f.read(), public_tokenizers.PATTERN)
 
 
-def test_conversations(spark, tokenizer):
+@given(st.lists(st.tuples(PARTS, PARTS), max_size=5))
+def test_tokens_are_the_rendered_text_and_stay_in_their_turn(turns):
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        vocabulary = Vocabulary(f.read(), public_tokenizers.PATTERN)
+    ids, offsets, spans = encode(vocabulary, turns)
+    names, text = vocabulary.built()[2], render(turns)[0].encode()
+    assert b"".join(names[i] for i in ids.tolist()) == text
+    for s, e in spans.tolist():
+        inside = (offsets[:, 1] > s) & (offsets[:, 0] < e)
+        assert (offsets[inside] >= s).all() and (offsets[inside] <= e).all()
+
+
+def test_ids_between_the_markers_are_the_library_s(vocabulary):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    text = "The old mill's wheel turns 365 days,  é 漢字!\n\n Yes."
+    ids, offsets, spans = encode(vocabulary, [("user", text)])
+    inside = (offsets[:, 0] >= spans[0, 0]) & (offsets[:, 1] <= spans[0, 1])
+    assert ids[inside].tolist() == lib.encode(text, add_special_tokens=False).ids
+
+
+def test_conversations(spark, vocabulary):
     rows = [(1, 1, "assistant", "héllo 漢字 \n\n x"), (1, 0, "user", None), (1, 2, "assistant", ""), (2, 0, "assistant", f"{END}{START}assistant\nok"), (None, None, None, None), (3, 0, "user", "a" * 30000), (3, 1, "assistant", " b" * 9000),
             (4, 0, "assistant", "same"), (4, 0, "assistant", "same")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit("clash"))
-    out = format_chats(df, tokenizer)
+    out = format_chats(df, vocabulary)
     full = {r.conv_id: r for r in out.collect()}
     assert all(len(r.input_ids) == len(r.loss_mask) for r in full.values())
-    got = {r.conv_id: r for r in read_back(out).collect()}
+    got = {r.conv_id: r for r in read_back(out, vocabulary).collect()}
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     expect = {1: [("user", ""), ("assistant", "héllo 漢字 \n\n x"), ("assistant", "")], 2: [("assistant", f"{END}{START}assistant\nok")], None: [("", "")], 3: [("user", "a" * 30000), ("assistant", " b" * 9000)], 4: [("assistant", "same")] * 2}
     for conv, turns in expect.items():
@@ -50,4 +73,4 @@ def test_conversations(spark, tokenizer):
         r = got[conv]
         assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (len(turns), sha("".join(f"{a}\n{b}\n" for a, b in turns)), len(loss), sha(loss))
         assert r.formatted_chars == len(full[conv].formatted)
-    assert format_chats(df.limit(0), tokenizer).collect() == []
+    assert format_chats(df.limit(0), vocabulary).collect() == []
