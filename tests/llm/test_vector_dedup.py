@@ -57,3 +57,11 @@ def test_bound_keeps_all_pairs():
     i, j = close_pairs(u, u, x, x, 0.98, True)
     want = {(a, b) for a in range(60) for b in range(a + 1, 60) if u[a] @ u[b] >= 0.98}
     assert set(zip(i.tolist(), j.tolist())) == want
+
+
+def test_repeated_ids_and_extreme_components(spark):
+    a, b, c = [1.0, 0.0, 0.1], [0.0, 1.0, 0.1], [1e300, 0.0, 1e299]
+    rows = [(5, a, 1), (5, b, 1), (6, [2.0, 0.0, 0.21], 1), (7, [0.0, 3.0, 0.3], 1), (8, b, 1), (8, b, 1), (2, c, 1), (9, [1e-300, 0.0, 1e-301], 1), (3, a, 2)]
+    got = vector_near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), tile=2, partners=2)
+    small = [(i, [x / max(map(abs, v)) for x in v], g) for i, v, g in rows]
+    assert sorted(map(tuple, got.collect())) == brute(small)
