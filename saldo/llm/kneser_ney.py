@@ -37,7 +37,7 @@ def _counts(batches):
     for b in batches:
         data, at = text_buffer(b.column(0))
         model = b.column(1).to_numpy()
-        for i, j in pieces(at, 1 << 23):
+        for i, j in pieces(at, 1 << 21):
             g = grams(data[at[i] : at[j]], at[i : j + 1] - at[i])
             m = np.repeat(model[i:j], np.diff(at[i : j + 1]))
             for x in np.unique(m):
