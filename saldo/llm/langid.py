@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saldo.llm.common import pieces, spread, text_buffer
+from saldo.llm.common import U64, mix, pieces, spread, text_buffer
 
 WINDOW, DIM, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 16
 REACH = max(WIDTHS)
@@ -99,21 +99,24 @@ def _sample_windows(batches, per_text, seed):
     for b in batches:
         data, at = text_buffer(b.column(0))
         x, row = windows(data, at)
-        rng = np.random.default_rng(seed + len(data))
-        pick = np.sort(np.concatenate([rng.choice(w, min(per_text, len(w)), replace=False) for w in np.split(np.arange(len(row)), np.flatnonzero(np.diff(row)) + 1)])) if len(row) else row
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        luck = mix(b.column(2).to_numpy().view(U64)[row] + mix(place.astype(U64) + U64(seed)))  # of the row and the window alone
+        order = np.lexsort((luck, row))
+        pick = np.sort(order[np.arange(len(row)) - np.searchsorted(row, row) < per_text])
         yield pa.RecordBatch.from_arrays([pa.array([x[k].tobytes() for k in pick], pa.binary()), b.column(1).take(pa.array(row[pick]))], names=["window", "lang"])
 
 
 def train_language_model(rows: DataFrame, id_col: str, text_col: str, lang_col: str, texts_per_language: int = 500, windows_per_text: int = 4,
-                         epochs: int = 12, seed: int = 7) -> ByteCnn | None:
-    """Fit on a bounded sample: about `texts_per_language` texts of each language, chosen by a hash of the id over all
-    rows, and `windows_per_text` windows anywhere in each. None if no row has text and a language."""
-    src = rows.select(F.xxhash64(F.lit(seed), F.col(id_col)).alias("h"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text is not null and text != '' and lang is not null")
-    counts = {r.lang: r.n for r in src.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+                         epochs: int = 12, seed: int = 7, most_languages: int = 1000) -> ByteCnn | None:
+    """Fit on a bounded sample: about `texts_per_language` texts of each of the `most_languages` most frequent languages, chosen by
+    a hash of id and text over all rows (null ids included; repeated rows once), and `windows_per_text` windows anywhere in each,
+    chosen by a hash of row and window. None if no row has text and a language. Other columns are ignored."""
+    src = rows.select(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text is not null and text != '' and lang is not null")
+    counts = {r.lang: r.n for r in src.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
     if not counts:
         return None
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, texts_per_language / n)))])
-    chosen = src.filter((F.pmod("h", F.lit(1_000_003)) / F.lit(1_000_003.0)) < share[F.col("lang")]).select("text", "lang")
+    chosen = src.filter((F.pmod("h", F.lit(1_000_003)) / F.lit(1_000_003.0)) < share[F.col("lang")]).select("text", "lang", "h").dropDuplicates(["h", "lang"])
     got = chosen.mapInArrow(lambda it: _sample_windows(it, windows_per_text, seed), "window binary, lang string").orderBy("lang", "window").toArrow()
     labels = sorted(set(got.column("lang").to_pylist()))
     x = np.frombuffer(b"".join(got.column("window").to_pylist()), np.uint8).reshape(-1, WINDOW)
@@ -150,7 +153,8 @@ def detect_language(docs: DataFrame, model: ByteCnn | None, text_col: str = "tex
 
     A text is cut into windows of 256 bytes, batched through the network; its logits are the mean of its windows',
     weighted by their bytes, and score is the softmax of the best. `und`, with score 0, where the text is null, empty or
-    without a letter, or where there is no model. Nothing but the text enters a prediction.
+    without a letter, or where there is no model. Nothing but the text enters a prediction: rows that repeat an id or have none
+    are told like any other. An empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     known = text.rlike(r"\p{L}") if model is not None else F.lit(False)

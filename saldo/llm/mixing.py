@@ -36,28 +36,39 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     number of rows out; the number of rows in if it is not given. Each row of a source comes Poisson(rate) times, rate =
     total * share / rows of the source: the count inverts the Poisson distribution at a uniform number hashed from the
     seed, the id and the text of the source, so it is the same wherever the row is computed. Rows with equal id and source
-    share their count; a null id or source counts as empty text, and a null source is a source of its own. The rows are
-    dealt over all partitions by a hash of their random key and sorted by it within each.
+    share their count; rows with a null id are told apart by a hash of all their columns, and a null source is a source of its
+    own. An input column named copy_no or shuffle_key gives way to the result's; columns of any other name stay as they are. An
+    empty table gives no rows. The rows are dealt over all partitions by a hash of their random key and sorted by it within each.
 
     Source counts are aggregated before the shuffle. Their table is broadcast if it has at most `most_sources` rows, so that
     the rows need not move by source; beyond that it is a keyed join, whose hot keys Spark can split.
     """
-    sizes = docs.groupBy(F.col(source_col).alias("_mix_source")).agg(F.count("*").alias("_mix_n"))
+    names = docs.columns
+    mix = "_mix"
+    while any(c.startswith(mix) for c in names):
+        mix += "_"
+    row = F.col(f"{mix}_row")
+    plain = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    id_source = [F.coalesce(row[id_col].cast("string"), F.concat(F.lit("null "), F.xxhash64(*[row[c] for c in plain]).cast("string"))), row[source_col]]
+    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias(f"{mix}_row"))  # so that no name of ours meets one of theirs
+    source = row[source_col]
+    sizes = docs.groupBy(source.alias("source")).agg(F.count("*").alias("n"))
     if weights is None:
-        want = F.pow(F.col("_mix_n").cast("double"), F.lit(power))
+        want = F.pow(F.col("n").cast("double"), F.lit(power))
     else:
         pairs = [x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))]
-        want = F.coalesce(F.create_map(*pairs)[F.col("_mix_source")], F.lit(0.0)) if pairs else F.lit(0.0)
-    whole = sizes.select("_mix_n", want.alias("_mix_want")).agg(F.sum("_mix_n").cast("double").alias("_mix_rows"), F.sum("_mix_want").alias("_mix_all"))
-    expected = F.col("_mix_rows") if total is None else F.lit(float(total))
-    rates = (sizes.withColumn("_mix_want", want).crossJoin(F.broadcast(whole))  # one row
-             .withColumn("_mix_rate", F.coalesce(F.try_divide(expected * F.col("_mix_want"), F.col("_mix_all")) / F.col("_mix_n"), F.lit(0.0)))
-             .select("_mix_source", F.when(F.col("_mix_rate") > 0, poisson_cdf(F.col("_mix_rate"))).otherwise(F.array(F.lit(1.0))).alias("_mix_cdf")))
+        want = F.coalesce(F.create_map(*pairs)[F.col("source")], F.lit(0.0)) if pairs else F.lit(0.0)
+    whole = sizes.select("n", want.alias("want")).agg(F.sum("n").cast("double").alias("rows"), F.sum("want").alias("all"))
+    expected = F.col("rows") if total is None else F.lit(float(total))
+    rates = (sizes.withColumn("want", want).crossJoin(F.broadcast(whole))  # one row
+             .withColumn("rate", F.coalesce(F.try_divide(expected * F.col("want"), F.col("all")) / F.col("n"), F.lit(0.0)))
+             .select(F.col("source").alias(f"{mix}_source"), F.when(F.col("rate") > 0, poisson_cdf(F.col("rate"))).otherwise(F.array(F.lit(1.0))).alias(f"{mix}_cdf")))
     if sizes.limit(most_sources + 1).count() <= most_sources:
         rates = F.broadcast(rates)
-    u = uniform(F.lit(seed), F.lit("count"), id_col, source_col)
-    counted = (docs.join(rates, docs[source_col].eqNullSafe(F.col("_mix_source"))).withColumn("_mix_u", u)
-               .withColumn("_mix_count", F.size(F.filter("_mix_cdf", lambda c: c < F.col("_mix_u")))).filter("_mix_count > 0").drop("_mix_source", "_mix_cdf", "_mix_u"))
-    rows = counted.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_mix_count")))).drop("_mix_count")
-    keyed = rows.withColumn("shuffle_key", uniform(F.lit(seed), F.lit("order"), id_col, source_col, "copy_no"))
-    return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key", id_col, "copy_no")
+    u = uniform(F.lit(seed), F.lit("count"), *id_source)
+    counted = (docs.join(rates, source.eqNullSafe(F.col(f"{mix}_source"))).withColumn(f"{mix}_u", u)
+               .withColumn(f"{mix}_count", F.size(F.filter(f"{mix}_cdf", lambda c: c < F.col(f"{mix}_u")))).filter(F.col(f"{mix}_count") > 0))
+    rows = counted.select(f"{mix}_row", F.explode(F.sequence(F.lit(1), F.col(f"{mix}_count"))).alias("copy_no"))
+    keyed = rows.withColumn("shuffle_key", uniform(F.lit(seed), F.lit("order"), *id_source, F.col("copy_no")))
+    dealt = keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key", row[id_col], "copy_no")
+    return dealt.select(*[row[c].alias(c) for c in names if c not in ("copy_no", "shuffle_key")], "copy_no", "shuffle_key")

@@ -195,16 +195,9 @@ def _decode(batches, sent, _, verify=False):
         yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *b.columns[1:]], names=["decoded", *b.schema.names[1:]])
 
 
-#: Rows of an Arrow batch: texts and ids stand in memory outside the heap several times while they pass.
-BATCH = 1000
-
-
 def _through(df: DataFrame, first: Column, same: str | None, name: str, kind: str, f, table, keep_cols, verify: bool = False) -> DataFrame:
-    """df's column `first` through f in small Arrow batches, with keep_cols beside it; `same` is the kept column that equals
-    `first`, if there is one, and so is not sent again."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+    """df's column `first` through f, with keep_cols beside it; `same` is the kept column that equals `first`, if there is one,
+    and so is not sent again."""
     sent = df.sparkSession.sparkContext.broadcast(table)  # the model file's pieces: its size doesn't depend on the data
     others = [c for c in keep_cols if c != same]
     src = df.select(first, *[F.col(c).alias(f"_k{i}") for i, c in enumerate(others)])
@@ -220,7 +213,8 @@ def encode(docs: DataFrame, table: PieceTable, text_col: str = "text", keep_cols
 
     With `verify` there is a column round_trip besides: whether the ids decode to the text (null: empty), told in the same pass.
 
-    Null and empty texts have no ids. Characters without a piece become the pieces of their bytes. Each batch's distinct
+    Null and empty texts have no ids; rows that repeat an id or have none are encoded like any other, and an empty table gives no
+    rows. Characters without a piece become the pieces of their bytes. Each batch's distinct
     words (runs of marks and what follows, which no piece crosses) are encoded once, in sorted order.
     """
     same = text_col if text_col in keep_cols and docs.schema[text_col].dataType.simpleString() == "string" else None

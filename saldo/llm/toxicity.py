@@ -113,7 +113,10 @@ def train_toxicity_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_
                          most_unlabelled: int = 12_000, prior: float | None = None, seed: int = 11) -> PuModel:
     """Fit on a bounded sample of `docs` chosen by a hash of the id: about `most_positive` rows with label 1 in `labels`
     (id_col, label_col) and `most_unlabelled` of the others, whatever their label. `prior` defaults to the share of 1 among
-    the labelled rows. The choice is made on ids and labels; only the chosen ids, a bounded number, meet the texts."""
+    the labelled rows, which is right if rows were chosen for labelling at random: else give it. The choice is made on ids and
+    labels; only the chosen ids, a bounded number, meet the texts. Rows with a null id are never learned from; of an id's several
+    labels the largest counts, and all rows of a chosen id are learned. Without a row of either kind nothing is told apart, and
+    every score is low."""
     label = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).groupBy("id").agg(F.max("y").alias("y"))
     rows = docs.select(F.col(id_col).alias("id")).join(label, "id", "left").withColumn("h", F.xxhash64(F.lit(seed), "id"))
     seen = rows.agg(F.count("*"), F.sum(F.when(F.col("y") == 1, 1).otherwise(0)), F.count("y")).first()
@@ -143,7 +146,8 @@ def _score(batches, model):
 def score_toxicity(docs: DataFrame, model: PuModel, text_col: str = "text", keep_cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(*keep_cols, score double): the modelled probability that label 1 applies, from all words of the text.
 
-    Null and empty texts get the score of a text without words. Nothing but the text enters a score.
+    Null and empty texts get the score of a text without words. Nothing but the text enters a score: rows that repeat an id or have
+    none are scored like any other. An empty table gives no rows.
     """
     src = spread(docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep_cols)]))
     extra = "".join(f", `_k{i}` {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep_cols))

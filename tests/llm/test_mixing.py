@@ -39,3 +39,15 @@ def test_nulls_empty_repeats_and_clashes(spark):
     assert sum(r.doc_id == 2 for r in out) % 2 == 0
     assert mix_sources(df.limit(0)).collect() == []
     assert mix_sources(df, weights={}).collect() == []
+
+
+def test_columns_that_clash_and_null_ids(spark):
+    rows = [(i if i % 4 else None, "a", i, 0.5, "y", 1, f"t{i}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, copy_no int, shuffle_key double, _mix_cdf string, n int, `odd name.x` string")
+    out = mix_sources(df, total=800.0)
+    assert out.columns == ["doc_id", "source", "_mix_cdf", "n", "odd name.x", "copy_no", "shuffle_key"]
+    got = out.collect()
+    assert {(r._mix_cdf, r.n) for r in got} == {("y", 1)} and min(r.copy_no for r in got) == 1
+    lost = [r for r in got if r.doc_id is None]
+    assert len({r.shuffle_key for r in lost}) == len(lost) > 100  # null ids don't share their numbers
+    assert sorted(map(str, mix_sources(df.repartition(5), total=800.0).collect())) == sorted(map(str, got))

@@ -1,13 +1,13 @@
 import math
 import random
-from collections import Counter
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from saldo.llm import kneser_ney as K
 from saldo.llm.langid import WINDOW, ByteCnn, detect_language, train_language_model, windows
-from saldo.llm.toxicity import PuModel, score_toxicity, train_toxicity_model
+from saldo.llm.toxicity import FOLD, STYLE, PuModel, score_toxicity, train_toxicity_model, word_features
 
 rng = random.Random(9)
 WORDS = {"en": ["the", "house", "and", "with", "think", "which"], "de": ["das", "haus", "und", "mit", "größe", "nicht"], "fr": ["la", "maison", "et", "avec", "été", "où"]}
@@ -38,6 +38,55 @@ def test_language_held_out_and_edges(spark):
     assert train_language_model(odd.withColumn("lang", F.lit(None).cast("string")), "doc_id", "text", "lang") is None
 
 
+def test_sample_does_not_depend_on_partitions(spark):
+    rows = [(i, sentence(lang, 400), lang) for i, lang in enumerate(list(WORDS) * 30)] + [(None, "null id", "en")] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    a, b = (train_language_model(df.repartition(n), "doc_id", "text", "lang", texts_per_language=20, windows_per_text=2, epochs=1) for n in (1, 7))
+    assert all((a.p[k] == b.p[k]).all() for k in a.p)
+    few = train_language_model(df, "doc_id", "text", "lang", epochs=1, most_languages=2)
+    assert few.labels == sorted(few.labels) and len(few.labels) == 2
+
+
+def test_language_scores_match_the_plain_network(spark):
+    rows = [(i, sentence(lang, 90), lang) for i, lang in enumerate(list(WORDS) * 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = train_language_model(df, "doc_id", "text", "lang", epochs=2)
+
+    def plain(text):
+        data, total = text.encode(), np.zeros(len(m.labels))
+        for at in range(0, len(data), WINDOW):
+            part = data[at : at + WINDOW]
+            x = [*part, *bytes(WINDOW - len(part)), 0, 0, 0]
+            e = [m.p["emb"][c] for c in x]
+            z = m.p["base"].astype(float).copy()
+            for f in range(m.p["conv"].shape[1]):
+                best = max(float(np.concatenate(e[i : i + 4]) @ m.p["conv"][:, f]) for i in range(WINDOW))
+                z += max(best + m.p["bias"][f], 0) * m.p["out"][f]
+            total += z * sum(c != 0 for c in part)
+        p = np.exp(total / len(data) - (total / len(data)).max())
+        return m.labels[int(p.argmax())], float((p / p.sum()).max())
+
+    got = {r.doc_id: r for r in detect_language(df, m).collect()}
+    for i in (0, 1, 2):
+        lang, score = plain(rows[i][1])
+        assert got[i].lang_pred == lang and abs(got[i].score - score) < 1e-3
+
+
+def test_toxicity_scores_match_plain_sums(spark):
+    bias, rnd = -1.5, np.random.default_rng(1)
+    model = PuModel(rnd.normal(0, 1, 1 << 18) * (rnd.random(1 << 18) < 0.5), bias)
+    texts = ["One one two THREE!!", "", None, "a " * 300 + "!", "é 漢 x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in score_toxicity(df, model).collect():
+        data = np.frombuffer((texts[r.doc_id] or "").encode(), np.uint8)
+        words = set(word_features(data, np.array([0, len(data)]))[0].tolist())
+        single = set()
+        for w in re.findall(rb"[0-9a-z\x80-\xff]+", bytes(FOLD[data])):
+            single |= {b for b in word_features(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[0].tolist() if b < STYLE}
+        assert single == {b for b in words if b < STYLE}
+        assert abs(r.score - 1 / (1 + math.exp(-(bias + sum(model.weights[list(words)]))))) < 1e-9
+
+
 def test_network_gradient():
     net = ByteCnn(["a", "b"], seed=3)
     x = np.random.default_rng(0).integers(1, 255, (40, WINDOW)).astype(np.uint8)
