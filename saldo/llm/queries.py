@@ -23,6 +23,22 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"), null_ids=True).select("doc_id", "class_id", "n_links")
 
 
+SQL["op1_ngram_jaccard_join"] = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x00-\x20]+') AS w FROM documents),
+s AS (
+  SELECT r, unnest(list_distinct(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS g
+  FROM d WHERE doc_id IS NOT NULL AND len(w) > 0),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY a.r, b.r),
+l AS (SELECT x, y FROM p JOIN n m ON m.r = x JOIN n o ON o.r = y WHERE c >= 0.8 * (m.n + o.n - c)),
+reach(x, y) AS (SELECT x, y FROM l UNION SELECT reach.x, l.y FROM reach JOIN l ON reach.y = l.x),
+low AS (SELECT x, min(d.doc_id) AS low FROM reach JOIN d ON d.r = y GROUP BY x),
+k AS (SELECT x, count(*) AS k FROM l GROUP BY x)
+SELECT doc_id, least(doc_id, coalesce(low, doc_id)) AS class_id, CAST(coalesce(k, 0) AS BIGINT) AS n_links
+FROM d LEFT JOIN low ON low.x = r LEFT JOIN k ON k.x = r
+"""
+
+
 @query
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from saldo.llm.suffix_dedup import suffix_array_dedup
@@ -32,6 +48,22 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+SQL["op5_suffix_array_dedup"] = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT r, doc_id, b, unnest(range(0, octet_length(b) - 49)) AS i FROM d WHERE doc_id IS NOT NULL),
+v AS (SELECT r, doc_id, i, b[i + 1:i + 50] AS s FROM w),
+m AS (SELECT s, min(doc_id) AS low FROM v GROUP BY s),
+g AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM v JOIN m USING (s) WHERE doc_id > low),
+k AS (SELECT r, i, sum(CASE WHEN i <= before + 50 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS run FROM g),
+p AS (SELECT r, min(i) AS s, max(i) + 50 AS e FROM k GROUP BY r, run),
+q AS (SELECT r, s, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 0) AS last FROM p),
+t AS (SELECT r, count(*) AS n_spans, sum(e - s) AS n_removed, max(e) AS last, string_agg(hex(b[last + 1:s]), '' ORDER BY s) AS kept FROM q JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || hex(b[coalesce(last, 0) + 1:]))) AS kept_sha256
+FROM d LEFT JOIN t USING (r)
+"""
+
+
 def fold(column, n: int):
     """crc32 of the id as text, modulo n; 0 for a null id."""
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % n, F.lit(0))
