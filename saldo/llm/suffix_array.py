@@ -4,10 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Up to this alphabet size a bucket is induced as a whole with numpy; beyond it (the recursion) suffix by suffix.
-WIDE = 512
-
-
 def suffix_types(t: np.ndarray) -> np.ndarray:
     """True where the suffix is smaller than the next one. t ends with a unique smallest symbol."""
     n = len(t)
@@ -70,45 +66,37 @@ def _bucketwise(t: np.ndarray, small: np.ndarray, lms: np.ndarray, size: int) ->
     return np.concatenate([x for c in range(size) for x in (larger[c], smaller[c][::-1])])
 
 
-def _suffixwise(t: np.ndarray, small: np.ndarray, lms: np.ndarray, size: int) -> np.ndarray:
-    """The same for large alphabets, where most buckets hold a few suffixes: one linear pass each way."""
-    n = len(t)
-    count = np.bincount(t, minlength=size)
-    ends = np.cumsum(count)
-    sa, text, is_small = [-1] * n, t.tolist(), small.tolist()
-    tail = ends.tolist()
-    for p in lms[::-1].tolist():
-        c = text[p]
-        tail[c] -= 1
-        sa[tail[c]] = p
-    head = (ends - count).tolist()
-    for i in range(n):
-        p = sa[i] - 1
-        if p >= 0 and not is_small[p]:
-            c = text[p]
-            sa[head[c]] = p
-            head[c] += 1
-    tail = ends.tolist()
-    for i in range(n - 1, -1, -1):
-        p = sa[i] - 1
-        if p >= 0 and is_small[p]:
-            c = text[p]
-            tail[c] -= 1
-            sa[tail[c]] = p
-    sa[0] = n - 1
-    return np.array(sa, np.int64)
-
-
-def suffix_array(t: np.ndarray, size: int) -> np.ndarray:
-    """Order of all suffixes of t, whose symbols are below `size` and whose last symbol, 0, stands there alone."""
+def _ranks(names: np.ndarray, kinds: int, most: int | None) -> np.ndarray:
+    """Order of the suffixes of a string of names: pairs of neighbours are named anew, each time twice as long, until all names differ
+    or they cover `most` of the first names."""
+    n, width = len(names), 1
+    order = np.argsort(names, kind="stable")
+    while kinds < n and (most is None or width < most):
+        after = np.zeros(n, np.int64)
+        after[: n - width] = names[width:] + 1
+        key = names * (kinds + 1) + after
+        order = np.argsort(key, kind="stable")
+        new = np.concatenate([[0], np.cumsum(key[order[1:]] != key[order[:-1]])])
+        names = np.empty(n, np.int64)
+        names[order] = new
+        kinds, width = int(new[-1]) + 1, 2 * width
+    return order
+
+
+def suffix_array(t: np.ndarray, size: int, depth: int | None = None) -> np.ndarray:
+    """Order of all suffixes of t, whose symbols are below `size` and whose last symbol, 0, stands there alone; with `depth` by their
+    first so many symbols at least.
+
+    Leftmost-smaller substrings are sorted by one induction and named; the string of their names, half as long at most, is
+    sorted by doubling; a second induction from their order gives that of all suffixes, in linear time.
+    """
     n = len(t)
     if n < 3:
         return np.argsort(t, kind="stable")
-    induce = _bucketwise if size <= WIDE else _suffixwise
     small = suffix_types(t)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     if len(lms) > 1:
-        sa = induce(t, small, lms, size)
+        sa = _bucketwise(t, small, lms, size)
         is_lms = np.zeros(n, bool)
         is_lms[lms] = True
         ordered = sa[is_lms[sa]]
@@ -124,11 +112,8 @@ def suffix_array(t: np.ndarray, size: int) -> np.ndarray:
             new[same] = np.add.reduceat(t[np.repeat(a[same], m) + j] != t[np.repeat(b[same], m) + j], offs[:-1]) > 0
         name = np.empty(n, np.int64)
         name[ordered] = np.concatenate([[0], np.cumsum(new)])
-        kinds = int(new.sum()) + 1
-        reduced = name[lms]
-        order = np.argsort(reduced, kind="stable") if kinds == len(lms) else suffix_array(reduced, kinds)
-        lms = lms[order]
-    return induce(t, small, lms, size)
+        lms = lms[_ranks(name[lms], int(new.sum()) + 1, None if depth is None else depth // 2 + 2)]  # a name covers two symbols at least
+    return _bucketwise(t, small, lms, size)
 
 
 def permuted_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:

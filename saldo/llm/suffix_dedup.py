@@ -349,7 +349,7 @@ def repeated_runs(ctx: list[bytes], low: np.ndarray, length: int) -> tuple[np.nd
     joined = np.frombuffer(b"\0".join(ctx) + b"\0", np.uint8)
     t[:-1] = joined.astype(np.int64) + 2
     t[at[1:] - 1] = 1  # a mark after each text, below every byte
-    sa = suffix_array(t, 258)
+    sa = suffix_array(t, 258, length)
     folded = np.zeros(len(t), np.uint8)
     folded[:-1] = joined
     row = np.repeat(np.arange(len(ctx)), size + 1)
