@@ -66,7 +66,7 @@ def kneser_ney_tables(texts: DataFrame) -> DataFrame:
     counts = [cut(top)]
     for k in range(ORDER - 1, 0, -1):
         short = F.col("gram").bitwiseAND((1 << BITS * k) - 1)
-        counts.append(counts[-1].groupBy("m", short.alias("gram")).agg(F.count("*").alias("c")))
+        counts.append(cut(counts[-1].groupBy("m", short.alias("gram")).agg(F.count("*").alias("c"))))
     low, out = None, []
     for k in range(1, ORDER + 1):
         c = counts[ORDER - k]
@@ -82,26 +82,27 @@ def kneser_ney_tables(texts: DataFrame) -> DataFrame:
         else:
             rows = rows.withColumn("suffix", F.col("gram").bitwiseAND((1 << BITS * (k - 1)) - 1)).join(low.withColumnRenamed("gram", "suffix"), ["m", "suffix"])
             p = own + spare * F.col("p")
-        low = rows.select("m", "gram", p.alias("p"))
-        if k < ORDER:
-            low = cut(low)
+        low = cut(rows.select("m", "gram", p.alias("p")))
         out.append(low.select("m", F.lit(2 * k).alias("kind"), "gram", F.log("p").cast("float").alias("value")))
         out.append(totals.select("m", F.lit(2 * k + 1).alias("kind"), F.col("context").alias("gram"), F.log(spare).cast("float").alias("value")))
     table = out[0]
     for t in out[1:]:
         table = table.unionByName(t)
-    return cut(table)
+    return table
 
 
 class Table:
     """Rows by key, sorted by a product of the key, with the place of each range of products: a key is found in a probe or two."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.shift = U64(64 - max(1, int(len(keys)).bit_length() + 1))
-        product = keys.view(U64) * _ODD
-        order = np.argsort(product)
-        self.keys, self.values = keys[order], values[order].astype(np.float32)
-        self.first = np.searchsorted(product[order] >> self.shift, np.arange((1 << (64 - int(self.shift))) + 1, dtype=U64)).astype(np.int32)
+        bits = max(1, int(len(keys)).bit_length())
+        self.shift = U64(64 - bits)
+        order = np.argsort(keys.view(U64) * _ODD)
+        self.keys, self.values = keys[order], values[order].astype(np.float32, copy=False)
+        del order
+        each = np.bincount((self.keys.view(U64) * _ODD >> self.shift).view(np.int64), minlength=1 << bits)
+        self.first = np.zeros((1 << bits) + 1, np.int32)
+        np.cumsum(each, out=self.first[1:])
 
     def find(self, key: np.ndarray) -> np.ndarray:
         """The value of each key, NaN where there is none."""
@@ -213,7 +214,9 @@ def perplexity(src: DataFrame, table: DataFrame, most_broadcast: int = 8_000_000
     kinds = "perplexity double, m int, _id long, _lang string, _trusted boolean"
     if table.count() <= most_broadcast:
         got = table.select(F.col("gram").bitwiseOR(F.shiftleft(F.col("kind").cast("long"), 54)).bitwiseOR(F.shiftleft(F.col("m").cast("long"), 58)).alias("key"), "value").toArrow()
-        sent = src.sparkSession.sparkContext.broadcast(Table(got.column("key").to_numpy(), got.column("value").to_numpy()))
+        keys, values = (got.column(c).to_numpy() for c in ("key", "value"))
+        del got
+        sent = src.sparkSession.sparkContext.broadcast(Table(keys, values))
         return spread(src.select("_text", *rest)).mapInArrow(lambda it: _score(it, sent), kinds)
     total = src.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     buckets = int(max(4, total // bucket_bytes))
