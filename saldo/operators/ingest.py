@@ -140,7 +140,9 @@ def duplicate_tiers(candidates: DataFrame, ledger: DataFrame) -> DataFrame:
     by_ref = candidates.select("id", "source_ref").join(refs, "source_ref").select("id", F.lit(1).alias("rank"), "match")
     own = sides(tx.select(F.col("id").alias("match"), "date", "transaction_type", "amount", "account_from", "account_to")).select("match", "date", "transaction_type", "amount", "account")
     c = sides(candidates).select("id", F.col("date").alias("day"), F.col("transaction_type").alias("kind"), "amount", "account")
-    near = c.withColumn("date", F.explode(F.array(F.date_sub("day", 1), F.col("day"), F.date_add("day", 1)))).join(own, ["date", "amount", "account"])
+    # Only the smallest id of each type can win: four rows at most for a (date, amount, account), before days are exploded.
+    firsts = own.groupBy("date", "amount", "account", "transaction_type").agg(F.min("match").alias("match"))
+    near = c.withColumn("date", F.explode(F.array(F.date_sub("day", 1), F.col("day"), F.date_add("day", 1)))).join(firsts, ["date", "amount", "account"])
     by_fact = near.select("id", F.when((F.col("date") == F.col("day")) & (F.col("kind") == F.col("transaction_type")), 2).otherwise(3).alias("rank"), "match")
     best = by_ref.unionByName(by_fact).groupBy("id").agg(F.min(F.struct("rank", "match")).alias("b"))
     tier = F.when(F.col("b.rank") == 1, "SourceRef").when(F.col("b.rank") == 2, "Exact").when(F.col("b.rank") == 3, "Probable").otherwise("None")
@@ -169,23 +171,64 @@ def correlate(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     clean = lambda c: F.nullif(F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(c), F.lit(""))), "[^a-z0-9]+", " ")), F.lit(""))
     same = (F.col("event_kind") == F.col("e_kind")) & (F.col("financial_class") == F.col("e_class")) & (F.col("amount").cast(MONEY) == F.col("e_amount").cast(MONEY)) & F.coalesce(clean("merchant") == clean("e_merchant"), F.lit(True))
     ok = (F.col("evidence_role") != "PRIMARY_PAYMENT") | F.coalesce(same, F.lit(False))
+    # Only the first event of a key can win, so that the join meets one row a key.
+    fields = ["event_id", "e_kind", "e_class", "e_amount", "e_merchant"]
+    have = have.groupBy("by", "key").agg(F.min(F.struct(*fields)).alias("first")).select("by", "key", *[F.col(f"first.{c}").alias(c) for c in fields])
     best = want.join(have, ["by", "key"]).groupBy("id").agg(F.min(F.struct("rank", "event_id", "by", ok.alias("ok"))).alias("m"))
     return incoming.select("id").join(best, "id", "left").select("id", F.col("m.event_id").alias("matched_event"), F.col("m.by").alias("matched_by"), F.col("m.ok").alias("compatible"))
 
 
-def match_evidence(evidence: DataFrame, ledger: DataFrame, days: int = 2) -> DataFrame:
-    """(evidence_id, ledger_id, match_class): the first ledger row (by date, id) with the same amount within `days`.
+# The classes of the audit of evidence against the ledger; the two that no rule gives stay at zero.
+AUDIT_CLASSES = ["MATCHED_EXACT", "MATCHED_LIKELY", "EMAIL_EVENT_MISSING_FROM_LEDGER", "LEDGER_EVENT_WITHOUT_EMAIL_EVIDENCE", "POSSIBLE_LEDGER_DUPLICATE", "PARTIAL_TRANSFER_MATCH", "CLASSIFICATION_CONFLICT",
+                 "CATEGORY_CONFLICT", "AMOUNT_CONFLICT", "AMBIGUOUS"]
+LEDGER_KEY = ["date", "transaction_type", "amount", "account_from", "account_to"]
 
-    EXACT_MATCH on the same date with the merchant in the description (an empty merchant counts as found), else DATE_MATCH
-    on the same date, else NEAR_MATCH; UNMATCHED without one. The band is exploded to days, so the join is on equal keys.
+
+def match_evidence(evidence: DataFrame, ledger: DataFrame) -> DataFrame:
+    """(evidence_id, ledger_id, match_class) of evidence (id, date, amount, event_kind, financial_class, reference, merchant, category).
+
+    Candidates are ledger rows (id, date, transaction_type, amount, category, description) of the same amount within two days, by
+    date and id. The first decides of which a rule holds: a move between own accounts booked as an expense, or an investment
+    booked as income or expense, is a CLASSIFICATION_CONFLICT; on the same date, with the reference or the merchant in the
+    description or without a reference, it is MATCHED_EXACT, or a CATEGORY_CONFLICT where both name another category; within a
+    day it is MATCHED_LIKELY. Candidates but no rule: AMBIGUOUS; no candidate: EMAIL_EVENT_MISSING_FROM_LEDGER. Ignored and
+    failed events have no row.
+
+    Two days off only the first row that conflicts can decide, nearer the first row of the day always does. So the ledger is
+    reduced to one row for each date and amount, and evidence meets five of them at most.
     """
-    e = evidence.withColumn("date_", F.explode(F.sequence(F.date_sub("date", days), F.date_add("date", days))))
-    t = ledger.select(F.col("id").alias("ledger_id"), F.col("date").alias("date_"), "amount", F.lower("description").alias("note"))
-    found = F.col("note").contains(F.coalesce(F.col("merchant"), F.lit("")))
-    rank = F.when((F.col("date_") == F.col("date")) & found, 1).when(F.col("date_") == F.col("date"), 2).otherwise(3)
-    best = e.join(t, ["date_", "amount"]).groupBy("id").agg(F.min(F.struct(rank.alias("rank"), "date_", "ledger_id")).alias("b"))
-    name = F.when(F.col("b.rank") == 1, "EXACT_MATCH").when(F.col("b.rank") == 2, "DATE_MATCH").when(F.col("b.rank") == 3, "NEAR_MATCH").otherwise("UNMATCHED")
-    return evidence.select("id").join(best, "id", "left").select(F.col("id").alias("evidence_id"), F.col("b.ledger_id").alias("ledger_id"), name.alias("match_class"))
+    kind = F.col("transaction_type")
+    first = F.min(F.struct("id", "transaction_type", F.coalesce("category", F.lit("")).alias("category"), F.coalesce("description", F.lit("")).alias("note")))
+    days = ledger.groupBy(F.col("date").alias("day"), "amount").agg(first.alias("c"), F.min(F.when(kind == "Expense", F.col("id"))).alias("expense"), F.min(F.when(kind.isin("Expense", "Income"), F.col("id"))).alias("booked"))
+    e = evidence.filter(~F.coalesce(F.col("financial_class").isin("Ignore", "NON_TRANSACTION", "FAILED_ATTEMPT"), F.lit(False)))
+    e = e.select("id", "date", "amount", "event_kind", *[F.coalesce(c, F.lit("")).alias(c) for c in ("reference", "merchant", "category")])
+    near = e.withColumn("day", F.explode(F.sequence(F.date_sub("date", 2), F.date_add("date", 2)))).join(days, ["day", "amount"])
+    own, invested = F.col("event_kind").isin("TOPUP", "CASH_WITHDRAWAL", "OWN_TRANSFER"), F.col("event_kind") == "INVESTMENT_MOVEMENT"
+    off = F.abs(F.datediff("day", "date"))
+    conflict = F.coalesce((own & (F.col("c.transaction_type") == "Expense")) | (invested & F.col("c.transaction_type").isin("Expense", "Income")), F.lit(False))
+    named = ((F.col("reference") != "") & F.col("c.note").contains(F.col("reference"))) | F.lower("c.note").contains(F.lower("merchant")) | (F.col("reference") == "")
+    other = (F.col("c.category") != "") & (F.col("category") != "") & (F.col("c.category") != F.col("category"))
+    far = F.when(own, F.col("expense")).when(invested, F.col("booked"))
+    name = F.when((off == 2) | conflict, "CLASSIFICATION_CONFLICT").when((off == 0) & named, F.when(other, "CATEGORY_CONFLICT").otherwise("MATCHED_EXACT")).otherwise("MATCHED_LIKELY")
+    found = F.when(off < 2, F.col("c.id")).otherwise(far)
+    best = near.groupBy("id").agg(F.min(F.when(found.isNotNull(), F.struct(F.col("day").alias("day"), found.alias("ledger_id"), name.alias("match_class")))).alias("b"), F.lit(True).alias("some"))
+    match = F.when(F.col("some").isNull(), "EMAIL_EVENT_MISSING_FROM_LEDGER").otherwise(F.coalesce("b.match_class", F.lit("AMBIGUOUS")))
+    return e.select("id").join(best, "id", "left").select(F.col("id").alias("evidence_id"), F.col("b.ledger_id").alias("ledger_id"), match.alias("match_class"))
+
+
+def audit(evidence: DataFrame, ledger: DataFrame) -> DataFrame:
+    """(match_class, n) for each of AUDIT_CLASSES: matches of the evidence, ledger rows that none matched, and repeated ledger rows."""
+    matched = match_evidence(evidence, ledger)
+    alone = ledger.select("id").join(matched.select(F.col("ledger_id").alias("id")), "id", "left_anti").agg(F.lit("LEDGER_EVENT_WITHOUT_EMAIL_EVIDENCE").alias("match_class"), F.count("*").alias("n"))
+    again = duplicate_groups(ledger).agg(F.lit("POSSIBLE_LEDGER_DUPLICATE").alias("match_class"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n"))
+    n = matched.groupBy("match_class").agg(F.count("*").alias("n")).unionByName(alone).unionByName(again)
+    names = ledger.sparkSession.createDataFrame([(c,) for c in AUDIT_CLASSES], "match_class string")
+    return names.join(n, "match_class", "left").select("match_class", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def duplicate_groups(ledger: DataFrame) -> DataFrame:
+    """Ledger rows that agree in date, type, amount and both accounts: the key and how many there are, two at least."""
+    return ledger.groupBy(*LEDGER_KEY).agg(F.count("*").alias("n")).filter("n > 1")
 
 
 def review(actions: DataFrame) -> DataFrame:

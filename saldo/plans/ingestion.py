@@ -24,21 +24,21 @@ def messages(spark, d):
     e = raw_events(spark, d)
     body = F.element_at(F.array(*map(F.lit, BODIES)), (F.col("id") % len(BODIES) + 1).cast("int"))
     body = F.replace(F.replace(body, F.lit("{a}"), F.col("amount").cast("string")), F.lit("{i}"), F.concat(F.lit("R"), (F.col("id") % 3000).cast("string")))
-    return e.select("id", "source", "external_id", "date", "ts", "user_id", F.element_at(F.array(*map(F.lit, SENDERS)), (F.col("user_id") % len(SENDERS) + 1).cast("int")).alias("sender"), F.lit("notification").alias("subject"), body.alias("body"))
+    return e.select("id", "source", "external_id", "date", "ts", "user_id", "merchant", F.element_at(F.array(*map(F.lit, SENDERS)), (F.col("user_id") % len(SENDERS) + 1).cast("int")).alias("sender"), F.lit("notification").alias("subject"), body.alias("body"))
 
 
 def _list(xs):
     return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
 
 
-MSG = f"""messages AS (SELECT id, source, external_id, date, ts, user_id, {_list(SENDERS)}[user_id % {len(SENDERS)} + 1] AS sender, replace(replace({_list(BODIES)}[id % {len(BODIES)} + 1], '{{a}}', CAST(amount AS VARCHAR)), '{{i}}', 'R' || (id % 3000)) AS body FROM raws)"""
+MSG = f"""messages AS (SELECT id, source, external_id, date, ts, user_id, merchant, {_list(SENDERS)}[user_id % {len(SENDERS)} + 1] AS sender, replace(replace({_list(BODIES)}[id % {len(BODIES)} + 1], '{{a}}', CAST(amount AS VARCHAR)), '{{i}}', 'R' || (id % 3000)) AS body FROM raws)"""
 HIT = [f"contains(sender, '{s}') AND " + (f"regexp_matches(lower('notification ' || body), '{p}')" if p else "TRUE") for s, p, *_ in G.RULES]
 CLASSED = "classed AS (SELECT *, CASE" + "".join(f" WHEN {h} THEN {i}" for i, h in enumerate(HIT)) + " END AS rule FROM messages)"
 RULE = "rules(rule, event_kind, financial_class, confidence, evidence_role) AS (VALUES " + ", ".join(f"({i}, '{k}', '{c}', CAST({n} AS DOUBLE), '{r}')" for i, (_, _, k, c, n, r) in enumerate(G.RULES)) + ")"
 RAW = "coalesce(" + ", ".join(f"nullif(regexp_extract(body, '{p}', 1), '')" for p in G.AMOUNT_AT) + ")"
 PLAIN = f"TRY_CAST(CASE WHEN regexp_matches({RAW}, ',\\d{{2}}$') THEN replace(replace({RAW}, '.', ''), ',', '.') WHEN regexp_matches({RAW}, '\\.\\d{{2}}$') THEN replace({RAW}, ',', '') ELSE replace(replace({RAW}, '.', ''), ',', '') END AS DECIMAL(18,2))"
 REF = r"regexp_extract(body, '(?i)(?:no\.?\s*referensi|no\.?\s*ref|reference|order id|no\.?\s*pesanan|id transaksi)\s*:?\s*([a-zA-Z0-9.\-]+)', 1)"
-EVENTS = f"events_ AS (SELECT c.id, c.source, c.external_id, c.date, c.ts, c.user_id, r.event_kind, r.financial_class, r.confidence, r.evidence_role, CASE WHEN r.event_kind <> 'NON_TRANSACTION' AND {PLAIN} > 0 THEN {PLAIN} END AS amount, {REF} AS reference FROM classed c JOIN rules r USING (rule))"
+EVENTS = f"events_ AS (SELECT c.id, c.source, c.external_id, c.date, c.ts, c.user_id, c.merchant, r.event_kind, r.financial_class, r.confidence, r.evidence_role, CASE WHEN r.event_kind <> 'NON_TRANSACTION' AND {PLAIN} > 0 THEN {PLAIN} END AS amount, {REF} AS reference FROM classed c JOIN rules r USING (rule))"
 
 
 @query(_with(["raws"], [MSG, CLASSED, RULE, EVENTS], f"""SELECT id, event_kind, financial_class, confidence, evidence_role, {D('amount')} AS amount, reference, CASE WHEN financial_class = 'Ignore' THEN 'Ignored' WHEN confidence >= 0.85 AND amount > 0 AND financial_class <> 'Pending Review' THEN 'AutoApproved' ELSE 'Pending' END AS status FROM events_"""))
@@ -47,15 +47,23 @@ def classify_messages(spark, d):
     return c.select("id", "event_kind", "financial_class", "confidence", "evidence_role", F.col("amount").cast("double").alias("amount"), "reference", G.auto_approve(F.col("confidence"), F.col("amount"), F.col("event_kind"), F.col("financial_class")).alias("status"))
 
 
-@query(_with(["raws"], [MSG, CLASSED, RULE, EVENTS], """SELECT a.id, b.event_id AS matched_event, b.by_ AS matched_by, b.ok AS compatible FROM (SELECT * FROM events_ WHERE id % 3 = 1) a LEFT JOIN (
-  SELECT id, event_id, by_, ok FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY rank, event_id, by_, ok) AS rn FROM (
-    SELECT i.id, k.event_id, r.rank, r.by_, i.evidence_role <> 'PRIMARY_PAYMENT' OR coalesce(i.event_kind = k.event_kind AND i.financial_class = k.financial_class AND i.amount = k.amount, FALSE) AS ok
-    FROM (SELECT *, substr(sha256(source || '|' || external_id), 1, 32) AS event_id FROM events_ WHERE id % 3 = 1) i
-    CROSS JOIN (VALUES (1, 'reference'), (3, 'event_id')) r(rank, by_)
-    JOIN (SELECT *, substr(sha256(source || '|' || external_id), 1, 32) AS event_id FROM events_ WHERE id % 3 = 0) k ON CASE WHEN r.by_ = 'reference' THEN i.reference <> '' AND i.reference = k.reference ELSE i.event_id = k.event_id END)) WHERE rn = 1) b USING (id)"""))
+#: What came before is the canonical state, the rest comes in.
+SPLIT = "2024-01-16"
+CORR = f"""c AS (SELECT id, ts < TIMESTAMP '{SPLIT} 00:00:00' AS old, event_kind, financial_class, amount, evidence_role, reference, CASE WHEN id % 4 = 0 THEN 'O' || (id % 500) ELSE '' END AS order_id, CASE WHEN id % 2 = 0 THEN merchant END AS merchant,
+  substr(sha256(source || '|' || external_id), 1, 32) AS event_id FROM events_),
+keyed AS (SELECT c.*, 1 AS rank, 'reference' AS by_, reference AS key FROM c UNION ALL SELECT c.*, 2, 'order_id', order_id FROM c UNION ALL SELECT c.*, 3, 'event_id', event_id FROM c),
+kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY by_, key ORDER BY event_id, event_kind, financial_class, amount NULLS FIRST, merchant NULLS FIRST) AS rn FROM keyed WHERE old AND key <> '') WHERE rn = 1),
+hit AS (SELECT i.id, k.event_id, i.by_, i.evidence_role <> 'PRIMARY_PAYMENT' OR coalesce(i.event_kind = k.event_kind AND i.financial_class = k.financial_class AND i.amount = k.amount AND coalesce(lower(i.merchant) = lower(k.merchant), TRUE), FALSE) AS ok,
+  row_number() OVER (PARTITION BY i.id ORDER BY i.rank) AS rn FROM keyed i JOIN kept k ON i.by_ = k.by_ AND i.key = k.key WHERE NOT i.old)"""
+
+
+@query(_with(["raws"], [MSG, CLASSED, RULE, EVENTS, CORR], "SELECT c.id, h.event_id AS matched_event, h.by_ AS matched_by, h.ok AS compatible FROM c LEFT JOIN hit h ON h.id = c.id AND h.rn = 1 WHERE NOT c.old"))
 def canonical_correlate(spark, d):
-    e = G.classify(messages(spark, d)).withColumn("event_id", G.event_key(F.col("source"), F.col("external_id"))).withColumn("order_id", F.lit("")).withColumn("merchant", F.lit(None).cast("string"))
-    return G.correlate(e.filter("id % 3 = 1"), e.filter("id % 3 = 0"))
+    k = F.col("id")
+    e = (G.classify(messages(spark, d)).withColumn("event_id", G.event_key(F.col("source"), F.col("external_id"))).withColumn("order_id", F.when(k % 4 == 0, F.concat(F.lit("O"), (k % 500).cast("string"))).otherwise(""))
+         .withColumn("merchant", F.when(k % 2 == 0, F.col("merchant"))))
+    old = F.col("ts") < F.lit(f"{SPLIT} 00:00:00").cast("timestamp_ntz")
+    return G.correlate(e.filter(~old), e.filter(old))
 
 
 @query(_with(["raws"], [MSG, CLASSED, RULE, EVENTS], "SELECT id, outcome FROM (SELECT id, CASE WHEN row_number() OVER (PARTITION BY source, external_id ORDER BY ts, id) > 1 THEN 'duplicate' ELSE 'new' END AS outcome FROM events_)"))
@@ -78,13 +86,13 @@ def review_first_wins(spark, d):
     return G.review(a).select("id", "outcome")
 
 
-CAND = """cands AS (SELECT id, date + CASE WHEN id % 4 = 1 THEN 1 WHEN id % 4 = 2 THEN 5 ELSE 0 END AS date, transaction_type, amount, account_from, account_to, CASE WHEN id % 8 = 5 THEN source_refs ELSE 'import:none:' || id END AS source_ref FROM tx WHERE id % 6 = 1)"""
+CAND = """cands AS (SELECT id, date + CASE WHEN id % 4 = 1 THEN 1 WHEN id % 4 = 2 THEN 5 ELSE 0 END AS date, transaction_type, amount, account_from, account_to, CASE WHEN id % 8 = 5 THEN source_refs ELSE 'import:none:' || id END AS source_ref FROM tx)"""
 
 
 def _candidates(spark, d):
     k = F.col("id")
     shift = F.when(k % 4 == 1, 1).when(k % 4 == 2, 5).otherwise(0)
-    return transactions(spark, d).filter(k % 6 == 1).select("id", F.date_add("date", shift).alias("date"), "transaction_type", "amount", "account_from", "account_to", F.when(k % 8 == 5, F.col("source_refs")).otherwise(F.concat(F.lit("import:none:"), k.cast("string"))).alias("source_ref"))
+    return transactions(spark, d).select("id", F.date_add("date", shift).alias("date"), "transaction_type", "amount", "account_from", "account_to", F.when(k % 8 == 5, F.col("source_refs")).otherwise(F.concat(F.lit("import:none:"), k.cast("string"))).alias("source_ref"))
 
 
 SIDES = """own AS (SELECT id AS match, date, transaction_type, amount, account_from AS account FROM tx WHERE NOT is_deleted AND account_from <> '' UNION SELECT id, date, transaction_type, amount, account_to FROM tx WHERE NOT is_deleted AND account_to <> ''),
@@ -104,34 +112,54 @@ def import_batch_stats(spark, d):
     return G.import_stats(t.select((F.col("id") % 7).alias("batch"), F.when(F.col("tier").isin("SourceRef", "Exact"), "duplicate").otherwise("parsed").alias("outcome")))
 
 
-EVID = "evid AS (SELECT id, date + CAST(id % 6 AS INTEGER) - 3 AS date, amount, CASE id % 3 WHEN 0 THEN '' WHEN 1 THEN 'kopi' ELSE 'padang' END AS merchant FROM tx WHERE id % 5 = 2)"
-MATCHED = """matched AS (SELECT e.id, min(struct_pack(r := CASE WHEN t.date = e.date AND contains(lower(t.description), e.merchant) THEN 1 WHEN t.date = e.date THEN 2 ELSE 3 END, d := t.date, l := t.id)) AS b FROM evid e JOIN tx t ON NOT t.is_deleted AND t.amount = e.amount AND t.date BETWEEN e.date - 2 AND e.date + 2 GROUP BY e.id)"""
+KINDS = ["MERCHANT_PAYMENT", "TOPUP", "CASH_WITHDRAWAL", "OWN_TRANSFER", "INVESTMENT_MOVEMENT", "EXTERNAL_TRANSFER", "FAILED_ATTEMPT"]
+#: Evidence of every ledger row, a few days off and with a kind, reference, merchant and category by its id.
+EVID = f"""evid AS (SELECT id, date + CAST(id % 6 AS INTEGER) - 3 AS date, CASE WHEN id % 10 = 9 THEN amount + 1 ELSE amount END AS amount, {_list(KINDS)}[id % {len(KINDS)} + 1] AS event_kind, CASE WHEN id % 13 = 0 THEN 'Ignore' ELSE 'Expense' END AS financial_class,
+  CASE id % 3 WHEN 0 THEN '' WHEN 1 THEN 'TRX#99812' ELSE 'R' || id END AS reference, CASE id % 5 WHEN 0 THEN 'Kopi' WHEN 1 THEN 'padang' ELSE 'unknown shop' END AS merchant, CASE WHEN id % 4 = 0 THEN 'Health' ELSE '' END AS category FROM tx)"""
+#: The ledger with every tenth row booked twice.
+BOOKED = "booked AS (SELECT id, date, transaction_type, amount, account_from, account_to, category, description FROM tx WHERE NOT is_deleted UNION ALL SELECT id + 1000000000, date, transaction_type, amount, account_from, account_to, category, description FROM tx WHERE NOT is_deleted AND id % 10 = 3)"
+MATCHED = """ruled AS (SELECT e.id, t.id AS ledger_id, t.date AS day, CASE
+  WHEN e.event_kind IN ('TOPUP', 'CASH_WITHDRAWAL', 'OWN_TRANSFER') AND t.transaction_type = 'Expense' THEN 'CLASSIFICATION_CONFLICT'
+  WHEN e.event_kind = 'INVESTMENT_MOVEMENT' AND t.transaction_type IN ('Expense', 'Income') THEN 'CLASSIFICATION_CONFLICT'
+  WHEN t.date = e.date AND (e.reference <> '' AND contains(t.description, e.reference) OR contains(lower(t.description), lower(e.merchant)) OR e.reference = '') THEN CASE WHEN t.category <> '' AND e.category <> '' AND t.category <> e.category THEN 'CATEGORY_CONFLICT' ELSE 'MATCHED_EXACT' END
+  WHEN abs(t.date - e.date) <= 1 THEN 'MATCHED_LIKELY' END AS match_class
+  FROM evid e JOIN booked t ON t.amount = e.amount AND t.date BETWEEN e.date - 2 AND e.date + 2 WHERE e.financial_class <> 'Ignore'),
+decided AS (SELECT id, ledger_id, match_class FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY day, ledger_id) AS rn FROM ruled WHERE match_class IS NOT NULL) WHERE rn = 1),
+matched AS (SELECT e.id AS evidence_id, d.ledger_id, coalesce(d.match_class, CASE WHEN EXISTS (SELECT 1 FROM ruled r WHERE r.id = e.id) THEN 'AMBIGUOUS' ELSE 'EMAIL_EVENT_MISSING_FROM_LEDGER' END) AS match_class FROM evid e LEFT JOIN decided d USING (id) WHERE e.financial_class <> 'Ignore')"""
+REPEATED = "repeated AS (SELECT count(*) AS n FROM booked GROUP BY date, transaction_type, amount, account_from, account_to HAVING count(*) > 1)"
 
 
 def _evidence(spark, d):
     k = F.col("id")
-    return transactions(spark, d).filter(k % 5 == 2).select("id", F.date_add("date", (k % 6 - 3).cast("int")).alias("date"), "amount", F.when(k % 3 == 0, "").when(k % 3 == 1, "kopi").otherwise("padang").alias("merchant"))
+    return transactions(spark, d).select("id", F.date_add("date", (k % 6 - 3).cast("int")).alias("date"), F.when(k % 10 == 9, F.col("amount") + 1).otherwise(F.col("amount")).cast("decimal(18,2)").alias("amount"), F.element_at(F.array(*map(F.lit, KINDS)), (k % len(KINDS) + 1).cast("int")).alias("event_kind"),
+                                         F.when(k % 13 == 0, "Ignore").otherwise("Expense").alias("financial_class"), F.when(k % 3 == 0, "").when(k % 3 == 1, "TRX#99812").otherwise(F.concat(F.lit("R"), k.cast("string"))).alias("reference"),
+                                         F.when(k % 5 == 0, "Kopi").when(k % 5 == 1, "padang").otherwise("unknown shop").alias("merchant"), F.when(k % 4 == 0, "Health").otherwise("").alias("category"))
+
+
+def _booked(spark, d):
+    t = L.live(transactions(spark, d)).select("id", *G.LEDGER_KEY, "category", "description")
+    return t.unionByName(t.filter("id % 10 = 3").withColumn("id", F.col("id") + 1000000000))
 
 
-@query(_with(["tx"], [EVID, MATCHED], "SELECT e.id AS evidence_id, b.l AS ledger_id, CASE b.r WHEN 1 THEN 'EXACT_MATCH' WHEN 2 THEN 'DATE_MATCH' WHEN 3 THEN 'NEAR_MATCH' ELSE 'UNMATCHED' END AS match_class FROM evid e LEFT JOIN matched USING (id)"))
+@query(_with(["tx"], [EVID, BOOKED, MATCHED], "SELECT evidence_id, ledger_id, match_class FROM matched"))
 def ledger_evidence_match(spark, d):
-    return G.match_evidence(_evidence(spark, d), L.live(transactions(spark, d)))
+    return G.match_evidence(_evidence(spark, d), _booked(spark, d))
 
 
-@query(_with(["tx"], [EVID, MATCHED], "SELECT CASE b.r WHEN 1 THEN 'EXACT_MATCH' WHEN 2 THEN 'DATE_MATCH' WHEN 3 THEN 'NEAR_MATCH' ELSE 'UNMATCHED' END AS match_class, CAST(count(*) AS BIGINT) AS n FROM evid e LEFT JOIN matched USING (id) GROUP BY 1"))
+@query(_with(["tx"], [EVID, BOOKED, MATCHED, REPEATED, "counted AS (SELECT match_class, count(*) AS n FROM matched GROUP BY 1 UNION ALL SELECT 'LEDGER_EVENT_WITHOUT_EMAIL_EVIDENCE', count(*) FROM booked b WHERE NOT EXISTS (SELECT 1 FROM decided d WHERE d.ledger_id = b.id) UNION ALL SELECT 'POSSIBLE_LEDGER_DUPLICATE', sum(n - 1) FROM repeated)"],
+    f"SELECT match_class, CAST(coalesce(n, 0) AS BIGINT) AS n FROM (SELECT unnest({_list(G.AUDIT_CLASSES)}) AS match_class) LEFT JOIN counted USING (match_class)"))
 def match_histogram(spark, d):
-    return ledger_evidence_match(spark, d).groupBy("match_class").agg(F.count("*").alias("n"))
+    return G.audit(_evidence(spark, d), _booked(spark, d))
 
 
-@query(_with(["tx"], [EVID, MATCHED], "SELECT id, date FROM tx t WHERE NOT is_deleted AND NOT EXISTS (SELECT 1 FROM matched m WHERE m.b.l = t.id)"))
+@query(_with(["tx"], [EVID, BOOKED, MATCHED], "SELECT id, date FROM booked b WHERE NOT EXISTS (SELECT 1 FROM decided d WHERE d.ledger_id = b.id)"))
 def ledger_without_evidence(spark, d):
-    return L.live(transactions(spark, d)).select("id", "date").join(ledger_evidence_match(spark, d).filter("ledger_id is not null").select(F.col("ledger_id").alias("id")), "id", "left_anti")
+    return _booked(spark, d).select("id", "date").join(ledger_evidence_match(spark, d).select(F.col("ledger_id").alias("id")), "id", "left_anti")
 
 
-@query(with_tables("tx", body="SELECT CAST(count(*) AS BIGINT) AS groups, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS extra FROM (SELECT count(*) AS n FROM tx WHERE NOT is_deleted GROUP BY date, transaction_type, account_from, account_to HAVING count(*) > 1)"))
+@query(_with(["tx"], [BOOKED, REPEATED], "SELECT CAST(count(*) AS BIGINT) AS groups, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS extra FROM repeated"))
 def ledger_duplicate_groups(spark, d):
-    g = L.live(transactions(spark, d)).groupBy("date", "transaction_type", "account_from", "account_to").agg(F.count("*").alias("n")).filter("n > 1")
-    return g.agg(F.count("*").alias("groups"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("extra"))
+    return G.duplicate_groups(_booked(spark, d)).agg(F.count("*").alias("groups"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("extra"))
 
 
 @query(_with(["raws"], [MSG, CLASSED, RULE, EVENTS], "SELECT id FROM events_ e WHERE NOT EXISTS (SELECT 1 FROM events_ k WHERE k.reference = e.reference AND k.id <> e.id AND e.reference <> '') AND reference <> ''"))

@@ -21,20 +21,20 @@ def validation_rejects(spark, d):
 
 
 @query(with_tables("accounts", "tx", body=f"""SELECT name, {D('current_balance')} AS before, {D("CASE WHEN current_balance IS NULL OR kind IN ('External', 'Investment') THEN current_balance ELSE current_balance + coalesce(delta, 0) END")} AS after FROM accounts LEFT JOIN (
-SELECT account, sum(delta) AS delta FROM (SELECT account_from AS account, amount AS delta FROM tx WHERE NOT is_deleted AND id % 29 = 0 UNION ALL SELECT account_to, -amount FROM tx WHERE NOT is_deleted AND id % 29 = 0
- UNION ALL SELECT account_from, -(amount + 10) FROM tx WHERE NOT is_deleted AND id % 29 = 0 AND id % 2 = 0 UNION ALL SELECT account_to, amount + 10 FROM tx WHERE NOT is_deleted AND id % 29 = 0 AND id % 2 = 0) WHERE account <> '' GROUP BY account) ON account = name"""))
+SELECT account, sum(delta) AS delta FROM (SELECT account_from AS account, amount AS delta FROM tx WHERE NOT is_deleted UNION ALL SELECT account_to, -amount FROM tx WHERE NOT is_deleted
+ UNION ALL SELECT account_from, -(amount + 10) FROM tx WHERE NOT is_deleted AND id % 2 = 0 UNION ALL SELECT account_to, amount + 10 FROM tx WHERE NOT is_deleted AND id % 2 = 0) WHERE account <> '' GROUP BY account) ON account = name"""))
 def balance_mutation(spark, d):
-    old = transactions(spark, d).filter("id % 29 = 0")
+    old = transactions(spark, d)
     new = old.withColumn("amount", F.col("amount") + 10).withColumn("is_deleted", F.col("is_deleted") | (F.col("id") % 2 == 1))  # odd ones are deleted, the others edited
     out = C.apply_balances(accounts(spark, d), C.balance_deltas(old, new))
     return out.select("name", F.col("current_balance").cast("double").alias("before"), F.col("new_balance").cast("double").alias("after"))
 
 
 @query(with_tables("tx", body=f"""SELECT t.id AS reversal_of_id, CASE transaction_type WHEN 'Expense' THEN 'Income' WHEN 'Income' THEN 'Expense' ELSE 'Transfer' END AS transaction_type, account_to AS account_from, account_from AS account_to, {D('amount')} AS amount
-FROM tx t WHERE NOT is_deleted AND reversal_of_id IS NULL AND id % 6 = 4 AND NOT EXISTS (SELECT 1 FROM tx r WHERE NOT r.is_deleted AND r.reversal_of_id = t.id)"""))
+FROM tx t WHERE NOT is_deleted AND reversal_of_id IS NULL AND NOT EXISTS (SELECT 1 FROM tx r WHERE NOT r.is_deleted AND r.reversal_of_id = t.id)"""))
 def reversals(spark, d):
     t = transactions(spark, d)
-    return C.reversal(t, t.filter("id % 6 = 4")).select("reversal_of_id", "transaction_type", "account_from", "account_to", F.col("amount").cast("double").alias("amount"))
+    return C.reversal(t, t).select("reversal_of_id", "transaction_type", "account_from", "account_to", F.col("amount").cast("double").alias("amount"))
 
 
 @query(with_tables("raws", body="""SELECT id, version, amount FROM (SELECT id, version, amount, row_number() OVER (PARTITION BY id ORDER BY version DESC) AS rn, deleted FROM (
@@ -62,26 +62,31 @@ def debt_commands(spark, d):
 
 @query(with_tables("upcoming", "allocs", "raws", body=f"""SELECT 'transaction' AS part, CAST(count(*) AS BIGINT) AS n, {D('coalesce(sum(amount), 0)')} AS amount FROM ok UNION ALL SELECT 'debt_event', count(*), {D('coalesce(sum(amount), 0)')} FROM ok WHERE debt_id IS NOT NULL
 UNION ALL SELECT 'allocation', (SELECT count(*) FROM allocs WHERE status = 'Active' AND covers_upcoming_id IN (SELECT id FROM ok)), 0 UNION ALL SELECT 'reject', (SELECT count(*) FROM req) - (SELECT count(*) FROM ok), 0""").replace("\nSELECT 'transaction'", """,
-req AS (SELECT id AS request_no, id % 1500 AS upcoming_id FROM raws WHERE id % 4 = 1),
+req AS (SELECT id AS request_no, id % 1500 AS upcoming_id FROM raws),
 ok AS (SELECT u.* FROM upcoming u WHERE u.status = 'Upcoming' AND u.id IN (SELECT upcoming_id FROM req))
 SELECT 'transaction'""", 1))
 def pay_upcoming(spark, d):
-    req = raw_events(spark, d).filter("id % 4 = 1").select(F.col("id").alias("request_no"), (F.col("id") % 1500).alias("upcoming_id"), F.lit("BCA Main").alias("account"), "date")
+    req = raw_events(spark, d).select(F.col("id").alias("request_no"), (F.col("id") % 1500).alias("upcoming_id"), F.lit("BCA Main").alias("account"), "date")
     parts = C.pay_upcoming(req, upcoming(spark, d), allocations(spark, d))
     row = lambda name, df, amount=None: df.agg(F.lit(name).alias("part"), F.count("*").alias("n"), L.total(amount if amount is not None else F.lit(0)).alias("amount"))
     return row("transaction", parts["transactions"], F.col("amount")).unionByName(row("debt_event", parts["debt_events"], F.col("amount"))).unionByName(row("allocation", parts["allocations"])).unionByName(row("reject", parts["rejects"]))
 
 
-@query(with_tables("raws", body="""SELECT id AS request_no, CASE WHEN base IS NULL THEN 'new' WHEN base <> h THEN 'conflict' WHEN old IS NOT NULL AND running THEN 'in_progress' ELSE 'replay' END AS outcome FROM (SELECT id, h, running, old, coalesce(old, CASE WHEN rn > 1 THEN fst END) AS base FROM (
-SELECT r.id, sha256(CAST(r.k % 3 AS VARCHAR)) AS h, s.h AS old, s.running, row_number() OVER w AS rn, first_value(sha256(CAST(r.k % 3 AS VARCHAR))) OVER w AS fst FROM (SELECT *, id % 2000 AS key FROM raws WHERE id % 2 = 1) r
-LEFT JOIN (SELECT id % 2000 AS key, sha256(CAST(k % 3 AS VARCHAR)) AS h, k % 7 = 0 AS running FROM raws WHERE id % 2 = 0 AND id < 2000 OR id % 10 = 5 AND id < 2000) s ON s.key = r.key WINDOW w AS (PARTITION BY r.source, r.key ORDER BY r.id)))"""))
+#: Requests before this moment are stored ones, a key's first of a scope; the others come in.
+STORED = "2024-01-11"
+
+
+@query(with_tables("raws", body=f"""SELECT id AS request_no, CASE WHEN base IS NULL THEN 'new' WHEN base <> h THEN 'conflict' WHEN old IS NOT NULL AND running THEN 'in_progress' ELSE 'replay' END AS outcome FROM (SELECT id, h, running, old, coalesce(old, CASE WHEN rn > 1 THEN fst END) AS base FROM (
+SELECT r.id, r.h, s.h AS old, s.running, row_number() OVER w AS rn, first_value(r.h) OVER w AS fst FROM (SELECT * FROM keyed WHERE NOT stored) r
+LEFT JOIN (SELECT source, key, arg_min(h, id) AS h, arg_min(k % 7 = 0, id) AS running FROM keyed WHERE stored GROUP BY source, key) s ON s.source = r.source AND s.key = r.key WINDOW w AS (PARTITION BY r.source, r.key ORDER BY r.id)))""").replace("\nSELECT id AS request_no", f""",
+keyed AS (SELECT *, id % 2000 AS key, sha256(CAST(k % 3 AS VARCHAR)) AS h, ts < TIMESTAMP '{STORED} 00:00:00' AS stored FROM raws)
+SELECT id AS request_no""", 1))
 def idempotency_replay(spark, d):
-    e = raw_events(spark, d)
-    key, body = (F.col("id") % 2000).alias("key"), (F.col("k") % 3).cast("string")
-    req = e.filter("id % 2 = 1").select(F.col("id").alias("request_no"), F.col("source").alias("scope"), key, body.alias("payload"))
-    stored = e.filter("(id % 2 = 0 or id % 10 = 5) and id < 2000").select(key, F.sha2(body, 256).alias("request_hash"), F.when(F.col("k") % 7 == 0, "IN_PROGRESS").otherwise("COMPLETED").alias("state"))
-    scopes = e.select(F.col("source").alias("scope")).distinct()
-    return C.idempotent(req, stored.join(scopes)).select("request_no", "outcome")  # every stored key counts in each of the few scopes
+    body, stored = (F.col("k") % 3).cast("string"), F.col("ts") < F.lit(f"{STORED} 00:00:00").cast("timestamp_ntz")
+    e = raw_events(spark, d).withColumn("key", F.col("id") % 2000).withColumnRenamed("source", "scope")
+    req = e.filter(~stored).select(F.col("id").alias("request_no"), "scope", "key", body.alias("payload"))
+    done = e.filter(stored).groupBy("scope", "key").agg(F.min_by(F.sha2(body, 256), "id").alias("request_hash"), F.min_by(F.when(F.col("k") % 7 == 0, "IN_PROGRESS").otherwise("COMPLETED"), "id").alias("state"))
+    return C.idempotent(req, done).select("request_no", "outcome")
 
 
 @query(with_tables("budgets", "raws", body="""SELECT request_no, CASE WHEN b.current_budget IS NULL THEN 'unknown' WHEN asked > b.current_budget + 0.005 THEN 'short' ELSE 'moved' END AS outcome FROM (
