@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from saldo.operators.folds import fold
+
 MONEY = "decimal(18,2)"
 TYPES, CONTEXTS = ("Income", "Expense", "Transfer"), ("Personal", "Pass-through", "Third-party")
-# The sign of a debt event and the cash side it has, by debt kind and event type.
-SIGNS = [("Custody", "Opening", 1, "Income"), ("Custody", "Settle", -1, "Expense"), ("Receivable", "Opening", 1, "Expense"), ("Receivable", "Settle", -1, "Income"), ("Receivable", "WriteOff", -1, None),
-         ("Payable", "Opening", 1, "Income"), ("Payable", "Settle", -1, "Expense"), ("Payable", "WriteOff", -1, None)]
+# The sign of a debt event and the cash side it has, by debt kind and event type; custody can't be written off.
+SIGNS = [("Custody", "Increase", 1, "Income"), ("Custody", "Settlement", -1, "Expense"), ("Receivable", "Increase", 1, "Expense"), ("Receivable", "Settlement", -1, "Income"), ("Receivable", "WriteOff", -1, None),
+         ("Payable", "Increase", 1, "Income"), ("Payable", "Settlement", -1, "Expense"), ("Payable", "WriteOff", -1, None)]
 
 
 def reject_reason() -> Column:
@@ -65,23 +67,24 @@ def reversal(tx: DataFrame, targets: DataFrame) -> DataFrame:
     return df.select(F.col("id").alias("reversal_of_id"), "date", kind.alias("transaction_type"), "amount", F.col("account_to").alias("account_from"), F.col("account_from").alias("account_to"), F.concat(F.lit("[Reversal] "), "description").alias("description"), "category", "money_context", F.lit("Confirmed").alias("status"))
 
 
-def debt_commands(requests: DataFrame, debts: DataFrame, outstanding: DataFrame, events: DataFrame) -> DataFrame:
+def debt_commands(requests: DataFrame, debts: DataFrame, outstanding: DataFrame, events: DataFrame, coverage: DataFrame) -> DataFrame:
     """Outcome of debt event requests (request_no, debt_id, event_type, amount, operation_key).
 
-    The sign table decides effect and cash side; a pair outside it is `not_allowed`. A used operation key is a `replay`. A
-    negative effect beyond what is outstanding at that point, in request order, is `exceeds`.
+    The sign table decides effect and cash side; a pair outside it is `not_allowed`, an amount of nothing or less `amount`. The key of an
+    event of the debt, or of an applied request before, is a `replay`. A negative effect beyond what is outstanding at that point is
+    `exceeds`; a settlement that leaves a payable less than its active `coverage` (debt_id, covered) is `covered`. Refused requests
+    change nothing for those after them.
     """
-    spark = requests.sparkSession
-    signs = spark.createDataFrame(SIGNS, "kind string, event_type string, effect int, cash string")
-    used = events.select("operation_key").filter("operation_key is not null").distinct().withColumn("_used", F.lit(True))
-    df = (requests.join(debts.select(F.col("id").alias("debt_id"), "kind"), "debt_id", "left").join(F.broadcast(signs), ["kind", "event_type"], "left").join(used, "operation_key", "left")
-          .join(outstanding.select("debt_id", F.col("outstanding").alias("_open")), "debt_id", "left"))
-    again = F.row_number().over(Window.partitionBy("operation_key").orderBy("request_no")) > 1
-    w = Window.partitionBy("debt_id").orderBy("request_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    df = df.withColumn("_replay", F.coalesce(F.col("_used"), F.lit(False)) | (F.col("operation_key").isNotNull() & again)).withColumn("_signed", F.when(F.col("_replay") | F.col("effect").isNull(), F.lit(0)).otherwise(F.col("effect") * F.col("amount")))
-    after = F.coalesce("_open", F.lit(0)) + F.sum("_signed").over(w)
-    out = F.when(F.col("kind").isNull(), "unknown_debt").when(F.col("_replay"), "replay").when(F.col("effect").isNull(), "not_allowed").when((F.col("effect") < 0) & (after < -0.005), "exceeds").otherwise("applied")
-    return df.withColumn("outcome", out).select("request_no", "debt_id", "event_type", "amount", "effect", "cash", "outcome")
+    signs = requests.sparkSession.createDataFrame(SIGNS, "kind string, event_type string, effect int, cash string")
+    used = events.select("debt_id", "operation_key").filter("operation_key is not null").distinct().withColumn("_used", F.lit(True))
+    df = (requests.join(debts.select(F.col("id").alias("debt_id"), "kind"), "debt_id", "left").join(F.broadcast(signs), ["kind", "event_type"], "left").join(used, ["debt_id", "operation_key"], "left")
+          .join(outstanding.select("debt_id", F.col("outstanding").alias("_open")), "debt_id", "left").join(coverage.select("debt_id", F.col("covered").alias("_covered")), "debt_id", "left"))
+    valid = F.col("effect").isNotNull() & (F.col("amount") > 0) & F.col("_used").isNull()
+    guard = F.when((F.col("kind") == "Payable") & (F.col("event_type") == "Settlement"), F.coalesce("_covered", F.lit(0))).otherwise(F.lit(0))
+    told = fold(df, ["debt_id"], "request_no", F.coalesce("_open", F.lit(0)), F.when(valid, F.col("effect") * F.col("amount")), guard, "operation_key")
+    out = (F.when(F.col("kind").isNull(), "unknown_debt").when(F.col("_used").isNotNull() | F.col("replay"), "replay").when(F.col("effect").isNull(), "not_allowed").when(F.col("amount") <= 0, "amount").when(F.col("applied"), "applied")
+           .when(F.col("before") - F.col("amount") < 0, "exceeds").otherwise("covered"))
+    return told.withColumn("outcome", out).select("request_no", "debt_id", "event_type", "amount", "effect", "cash", "outcome")
 
 
 def pay_upcoming(requests: DataFrame, upcoming: DataFrame, allocations: DataFrame) -> dict[str, DataFrame]:
@@ -116,22 +119,24 @@ def idempotent(requests: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def reallocate(requests: DataFrame, budgets: DataFrame) -> DataFrame:
-    """Budget moves (request_no, month, source, target, amount) with outcome moved, or short where the source had less at that point (earlier requests of the batch count as made), or unknown."""
-    w = Window.partitionBy("month", "source").orderBy("request_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    j = requests.join(budgets.select("month", F.col("category").alias("source"), "current_budget"), ["month", "source"], "left").withColumn("asked", F.sum("amount").over(w))
-    return j.withColumn("outcome", F.when(F.col("current_budget").isNull(), "unknown").when(F.col("asked") > F.col("current_budget") + 0.005, "short").otherwise("moved")).drop("asked", "current_budget")
+    """Budget moves (request_no, month, source, target, amount) with outcome moved, short where the source had less at that point, or
+    unknown. Moves made before count, refused ones don't; what a source gets as another's target doesn't come into the batch."""
+    j = requests.join(budgets.select("month", F.col("category").alias("source"), "current_budget"), ["month", "source"], "left")
+    told = fold(j, ["month", "source"], "request_no", F.col("current_budget"), -F.col("amount"))
+    return told.withColumn("outcome", F.when(F.col("current_budget").isNull(), "unknown").when(F.col("applied"), "moved").otherwise("short")).drop("current_budget", "applied", "replay", "before")
 
 
 def goal_moves(requests: DataFrame, goals: DataFrame) -> DataFrame:
-    """Fund, release and spend requests (request_no, goal_id, op, amount) with the running allocation of each goal and an outcome.
+    """Fund, release and spend requests (request_no, goal_id, op, amount) with the goal's allocation after each and an outcome.
 
-    Only active goals move; releasing or spending more than is allocated at that point is `exceeds`. Later requests of a
-    goal see all earlier ones as made.
+    Only active goals move; releasing or spending more than is allocated at that point is `exceeds`. Refused requests change nothing.
     """
     signed = F.when(F.col("op") == "fund", F.col("amount")).otherwise(-F.col("amount"))
-    w = Window.partitionBy("goal_id").orderBy("request_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    j = requests.join(goals.select(F.col("id").alias("goal_id"), "allocated_amount", "status"), "goal_id", "left").withColumn("after", (F.col("allocated_amount") + F.sum(signed).over(w)).cast(MONEY))
-    return j.withColumn("outcome", F.when(F.col("status").isNull(), "unknown").when(F.col("status") != "Active", "inactive").when(F.col("amount") <= 0, "amount").when((F.col("op") != "fund") & (F.col("after") < -0.005), "exceeds").otherwise("applied")).drop("status", "allocated_amount")
+    j = requests.join(goals.select(F.col("id").alias("goal_id"), "allocated_amount", "status"), "goal_id", "left")
+    told = fold(j, ["goal_id"], "request_no", F.col("allocated_amount"), F.when((F.col("status") == "Active") & (F.col("amount") > 0), signed))
+    out = F.when(F.col("status").isNull(), "unknown").when(F.col("status") != "Active", "inactive").when(F.col("amount") <= 0, "amount").when(F.col("applied"), "applied").otherwise("exceeds")
+    after = (F.col("before") + F.when(F.col("applied"), signed).otherwise(F.lit(0))).cast(MONEY)
+    return told.withColumn("outcome", out).withColumn("after", after).drop("status", "allocated_amount", "applied", "replay", "before")
 
 
 def status_changes(requests: DataFrame, rows: DataFrame, allowed: dict[str, tuple[str, ...]]) -> DataFrame:

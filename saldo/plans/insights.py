@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from saldo.functions import text as T
@@ -48,9 +49,9 @@ LEDGER_ROWS = f"""rows_ AS (SELECT id, date, amount, {normalize_sql('description
   WHERE NOT is_deleted AND money_context = 'Personal' AND {POSTED} AND transaction_type IN ('Income', 'Expense') AND reversal_of_id IS NULL AND NOT contains(description, '['))"""
 
 
-def _ledger_rows(spark, d):
+def _ledger_rows(spark, d, *more):
     cohort = ~F.col("is_deleted") & (F.col("money_context") == "Personal") & F.col("status").isin(*L.POSTED) & F.col("transaction_type").isin("Income", "Expense") & F.col("reversal_of_id").isNull() & ~F.col("description").contains("[")
-    return transactions(spark, d).filter(cohort).select("id", "date", "amount", T.normalize_merchant("description").alias("merchant"), "transaction_type", "category", F.when(F.col("transaction_type") == "Income", F.col("account_to")).otherwise(F.col("account_from")).alias("account"))
+    return transactions(spark, d).filter(cohort).select("id", "date", "amount", T.normalize_merchant("description").alias("merchant"), "transaction_type", "category", F.when(F.col("transaction_type") == "Income", F.col("account_to")).otherwise(F.col("account_from")).alias("account"), *more)
 
 
 @query(_with(["tx"], _patterns_sql(LEDGER_ROWS, "merchant, transaction_type, category, account", AS_OF), f"SELECT merchant, transaction_type, category, account, {PATTERN_OUT} FROM p"))
@@ -83,9 +84,13 @@ def forecast_curve(spark, d):
 
 
 def _curve(spark, d):
+    return I.forecast(*_sure(spark, d), AS_OF, 30)
+
+
+def _sure(spark, d):
     opening = accounts(spark, d).filter("active and kind = 'Owned'").agg(F.coalesce(F.sum("current_balance"), F.lit(0)).cast("decimal(28,2)").alias("opening"))
     ev = upcoming(spark, d).filter("status in ('Upcoming', 'Confirmed')").select(F.col("due_date").alias("date"), F.col("id").alias("seq"), (-F.col("amount")).alias("signed"), F.when(F.col("status") == "Confirmed", "1 confirmed").otherwise("2 expected").alias("kind"))
-    return I.forecast(opening, ev, AS_OF, 30)
+    return opening, ev
 
 
 @query(_with(["accounts", "upcoming"], ["opening AS (SELECT coalesce(sum(current_balance), 0) AS opening FROM accounts WHERE active AND kind = 'Owned')",
@@ -98,6 +103,43 @@ def forecast_summary(spark, d):
     return c.agg(F.sum("n").alias("events"), (-F.sum("signed")).cast("double").alias("outflow"), low.cast("double").alias("lowest"), (low < 0).alias("short"))
 
 
+#: A payment every thirty days of each account, some with changing amounts, some planned already.
+SUBSCRIBED = ["Langganan musik", "Langganan red bolt", "Bayar listrik", "Gaji"]
+MONTHLY = f"""rows_ AS (SELECT c_custkey * 10 + k AS id, DATE '{AS_OF}' - 20 - CAST(c_custkey % 9 AS INTEGER) - CAST(30 * k AS INTEGER) AS date, CAST((100 + c_custkey % 50) * CASE WHEN c_custkey % 3 = 0 THEN 1 + k ELSE 1 END AS DECIMAL(18,2)) AS amount, d AS description, {normalize_sql('d')} AS merchant,
+  CASE WHEN c_custkey % 4 = 3 THEN 'Income' ELSE 'Expense' END AS transaction_type, c_name AS account FROM (SELECT *, ['{"', '".join(SUBSCRIBED)}'][c_custkey % 4 + 1] AS d, unnest(range(0, 6)) AS k FROM (SELECT c_custkey, c_name FROM customer)))"""
+PLANNED = f"""est AS (SELECT next_date AS date, '3 estimated' AS kind, sum(CASE WHEN transaction_type = 'Income' THEN 1 ELSE -1 END * CAST(round(median_amount, 2) AS DECIMAL(18,2))) AS signed, count(*) AS n FROM (SELECT p.*, t.title FROM p JOIN (SELECT merchant, transaction_type, account, arg_max(description, date) AS title FROM rows_ GROUP BY ALL) t USING (merchant, transaction_type, account)) p
+  WHERE confidence = 'high' AND next_date BETWEEN DATE '{AS_OF}' AND DATE '{AS_OF}' + 30 AND NOT EXISTS (SELECT 1 FROM (SELECT lower(title) AS low, {normalize_sql('title')} AS norm FROM upcoming WHERE status IN ('Upcoming', 'Confirmed', 'Tentative')) u
+    WHERE norm <> '' AND contains(p.merchant, norm) OR p.merchant <> '' AND contains(norm, p.merchant) OR contains(lower(p.title), low)) GROUP BY 1)"""
+
+
+def _monthly(spark, d):
+    c = F.col("c_custkey")
+    t = read(spark, d, "customer").select("c_custkey", "c_name", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("k"), F.element_at(F.array(*map(F.lit, SUBSCRIBED)), (c % 4 + 1).cast("int")).alias("description"))
+    return t.select((c * 10 + F.col("k")).alias("id"), F.date_sub(F.date_sub(F.lit(AS_OF).cast("date"), (20 + c % 9).cast("int")), (30 * F.col("k")).cast("int")).alias("date"), ((100 + c % 50) * F.when(c % 3 == 0, 1 + F.col("k")).otherwise(1)).cast("decimal(18,2)").alias("amount"),
+                    "description", T.normalize_merchant("description").alias("merchant"), F.when(c % 4 == 3, "Income").otherwise("Expense").alias("transaction_type"), F.col("c_name").alias("account"))
+
+
+@query(_with(["accounts", "upcoming"], _patterns_sql(MONTHLY, "merchant, transaction_type, account", AS_OF) + [PLANNED, "opening AS (SELECT coalesce(sum(current_balance), 0) AS opening FROM accounts WHERE active AND kind = 'Owned')",
+    f"ev AS (SELECT due_date AS date, CASE WHEN status = 'Confirmed' THEN '1 confirmed' ELSE '2 expected' END AS kind, sum(-amount) AS signed, count(*) AS n FROM upcoming WHERE status IN ('Upcoming', 'Confirmed') AND due_date BETWEEN DATE '{AS_OF}' AND DATE '{AS_OF}' + 30 GROUP BY 1, 2 UNION ALL SELECT date, kind, signed, n FROM est)",
+    "c AS (SELECT ev.*, opening, opening + sum(signed) OVER (ORDER BY date, kind) AS balance, opening + sum(CASE WHEN kind <> '3 estimated' THEN signed ELSE 0 END) OVER (ORDER BY date, kind) AS sure FROM ev, opening)"],
+    f"SELECT date, kind, CAST(n AS BIGINT) AS n, {D('sure')} AS confirmed_balance, {D('least(opening, min(sure) OVER (ORDER BY date, kind))')} AS confirmed_lowest, {D('balance')} AS estimated_balance, {D('least(opening, min(balance) OVER (ORDER BY date, kind))')} AS estimated_lowest FROM c"))
+def forecast_estimated(spark, d):
+    patterns = I.planned(I.recurring(_monthly(spark, d), ["merchant", "transaction_type", "account"], AS_OF), upcoming(spark, d))
+    opening, sure = _sure(spark, d)
+    more = I.estimated_events(patterns, AS_OF, 30).withColumn("kind", F.lit("3 estimated"))
+    c = I.forecast(opening, sure.unionByName(more), AS_OF, 30)
+    w = Window.orderBy("date", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row a day and kind
+    c = c.withColumn("sure", F.col("opening") + F.sum(F.when(F.col("kind") != "3 estimated", F.col("signed")).otherwise(F.lit(0))).over(w)).withColumn("sure_lowest", F.least("opening", F.min("sure").over(w)))
+    return c.select("date", "kind", "n", *[F.col(a).cast("double").alias(b) for a, b in (("sure", "confirmed_balance"), ("sure_lowest", "confirmed_lowest"), ("balance", "estimated_balance"), ("lowest", "estimated_lowest"))])
+
+
+@query(_with(["tx"], _patterns_sql(LEDGER_ROWS.replace("SELECT id, date", "SELECT id, description, date", 1), "merchant, transaction_type, category, account", AS_OF) + [f"t AS (SELECT merchant, transaction_type, category, account, arg_max(description, (date, id)) AS title FROM rows_ WHERE date <= DATE '{AS_OF}' GROUP BY ALL)"],
+    "SELECT merchant, transaction_type, category, account, CAST(support AS BIGINT) AS support, title FROM p JOIN t USING (merchant, transaction_type, category, account)"))
+def recurring_titles(spark, d):
+    keys = ["merchant", "transaction_type", "category", "account"]
+    return I.recurring(_ledger_rows(spark, d, "description"), keys, AS_OF).select(*keys, "support", "title")
+
+
 SUGGEST = """n AS (SELECT merchant, {f} AS v, count(*) AS n FROM rows_ WHERE date <= DATE '{day}' AND {f} <> '' GROUP BY 1, 2),
 r AS (SELECT *, sum(n) OVER (PARTITION BY merchant) AS support, row_number() OVER (PARTITION BY merchant ORDER BY n DESC, v) AS rn, lead(n) OVER (PARTITION BY merchant ORDER BY n DESC, v) AS second FROM n)"""
 

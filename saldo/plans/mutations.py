@@ -47,17 +47,27 @@ def current_versions(spark, d):
 
 
 SIGN = "signs(kind, event_type, effect) AS (VALUES " + ", ".join(f"('{k}', '{e}', {s})" for k, e, s, _ in C.SIGNS) + ")"
+EVENT_TYPES = ["Increase", "Settlement", "WriteOff"]
 
 
-@query(_with(["debts", "devents", "raws"], [OUT, SIGN, """req AS (SELECT r.id AS request_no, r.user_id AS debt_id, ['Opening', 'Settle', 'WriteOff'][r.k % 3 + 1] AS event_type, CAST(r.amount * 100000 AS DECIMAL(18,2)) AS amount, 'op' || (r.id % 7000) AS operation_key FROM raws r)""",
-    "j AS (SELECT req.*, d.kind, s.effect, coalesce(o.outstanding, 0) AS open_, row_number() OVER (PARTITION BY operation_key ORDER BY request_no) > 1 AS replay FROM req LEFT JOIN debts d ON d.id = req.debt_id LEFT JOIN signs s ON s.kind = d.kind AND s.event_type = req.event_type LEFT JOIN outs o ON o.debt_id = req.debt_id)",
-    "a AS (SELECT *, open_ + sum(CASE WHEN replay OR effect IS NULL THEN 0 ELSE effect * amount END) OVER (PARTITION BY debt_id ORDER BY request_no) AS after FROM j)"],
-    "SELECT request_no, CASE WHEN kind IS NULL THEN 'unknown_debt' WHEN replay THEN 'replay' WHEN effect IS NULL THEN 'not_allowed' WHEN effect < 0 AND after < -0.005 THEN 'exceeds' ELSE 'applied' END AS outcome FROM a"))
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(_recursive(_with(["debts", "devents", "raws", "upcoming", "allocs"], [OUT, SIGN, """covered AS (SELECT u.debt_id, sum(a.amount) AS covered FROM allocs a JOIN upcoming u ON u.id = a.covers_upcoming_id WHERE a.status = 'Active' AND u.status = 'Upcoming' AND u.debt_id IS NOT NULL GROUP BY u.debt_id)""",
+    """req AS (SELECT r.id AS request_no, r.user_id AS debt_id, ['Increase', 'Settlement', 'WriteOff'][r.k % 3 + 1] AS event_type, CAST(r.amount * 100000 AS DECIMAL(18,2)) AS amount, 'op' || (r.id % 700) AS operation_key, row_number() OVER (PARTITION BY r.user_id ORDER BY r.id) AS n FROM raws r)""",
+    "j AS (SELECT req.*, d.kind, s.effect, CASE WHEN d.kind = 'Payable' AND req.event_type = 'Settlement' THEN coalesce(c.covered, 0) ELSE 0 END AS guard FROM req LEFT JOIN debts d ON d.id = req.debt_id LEFT JOIN signs s ON s.kind = d.kind AND s.event_type = req.event_type LEFT JOIN covered c ON c.debt_id = req.debt_id)",
+    """f AS (SELECT r.debt_id, CAST(0 AS BIGINT) AS n, CAST(coalesce(o.outstanding, 0) AS DECIMAL(28,2)) AS open_, CAST([] AS VARCHAR[]) AS done, CAST(NULL AS BIGINT) AS request_no, CAST(NULL AS VARCHAR) AS outcome FROM (SELECT DISTINCT debt_id FROM req) r LEFT JOIN outs o ON o.debt_id = r.debt_id
+  UNION ALL SELECT debt_id, n, CASE WHEN outcome = 'applied' THEN open_ + effect * amount ELSE open_ END, CASE WHEN outcome = 'applied' THEN list_append(done, operation_key) ELSE done END, request_no, outcome FROM (
+    SELECT j.*, f.open_, f.done, CASE WHEN kind IS NULL THEN 'unknown_debt' WHEN list_contains(f.done, operation_key) THEN 'replay' WHEN effect IS NULL THEN 'not_allowed' WHEN amount <= 0 THEN 'amount' WHEN effect < 0 AND amount > f.open_ THEN 'exceeds'
+      WHEN effect < 0 AND f.open_ - amount < guard THEN 'covered' ELSE 'applied' END AS outcome FROM f JOIN j ON j.debt_id = f.debt_id AND j.n = f.n + 1))"""],
+    "SELECT request_no, outcome FROM f WHERE n > 0")))
 def debt_commands(spark, d):
-    k = F.col("k") % 3
-    req = raw_events(spark, d).select(F.col("id").alias("request_no"), F.col("user_id").alias("debt_id"), F.when(k == 0, "Opening").when(k == 1, "Settle").otherwise("WriteOff").alias("event_type"), (F.col("amount") * 100000).cast("decimal(18,2)").alias("amount"), F.concat(F.lit("op"), (F.col("id") % 7000).cast("string")).alias("operation_key"))
+    req = raw_events(spark, d).select(F.col("id").alias("request_no"), F.col("user_id").alias("debt_id"), F.element_at(F.array(*map(F.lit, EVENT_TYPES)), (F.col("k") % 3 + 1).cast("int")).alias("event_type"), (F.col("amount") * 100000).cast("decimal(18,2)").alias("amount"), F.concat(F.lit("op"), (F.col("id") % 700).cast("string")).alias("operation_key"))
     ev = debt_events(spark, d)
-    return C.debt_commands(req, debts(spark, d), O.outstanding(ev), ev.withColumn("operation_key", F.lit(None).cast("string"))).select("request_no", "outcome")
+    due = upcoming(spark, d).filter("status = 'Upcoming' and debt_id is not null").select(F.col("id").alias("covers_upcoming_id"), "debt_id")
+    covered = allocations(spark, d).filter("status = 'Active'").join(due, "covers_upcoming_id").groupBy("debt_id").agg(F.sum("amount").alias("covered"))
+    return C.debt_commands(req, debts(spark, d), O.outstanding(ev), ev.withColumn("operation_key", F.lit(None).cast("string")), covered).select("request_no", "outcome")
 
 
 @query(with_tables("upcoming", "allocs", "raws", body=f"""SELECT 'transaction' AS part, CAST(count(*) AS BIGINT) AS n, {D('coalesce(sum(amount), 0)')} AS amount FROM ok UNION ALL SELECT 'debt_event', count(*), {D('coalesce(sum(amount), 0)')} FROM ok WHERE debt_id IS NOT NULL
@@ -89,18 +99,22 @@ def idempotency_replay(spark, d):
     return C.idempotent(req, done).select("request_no", "outcome")
 
 
-@query(with_tables("budgets", "raws", body="""SELECT request_no, CASE WHEN b.current_budget IS NULL THEN 'unknown' WHEN asked > b.current_budget + 0.005 THEN 'short' ELSE 'moved' END AS outcome FROM (
-SELECT *, sum(amount) OVER (PARTITION BY month, source ORDER BY request_no) AS asked FROM (SELECT id AS request_no, '1999-' || lpad(CAST(id % 12 + 1 AS VARCHAR), 2, '0') AS month, ['Health', 'Shopping', 'None'][k % 3 + 1] AS source, CAST(amount * 100 AS DECIMAL(18,2)) AS amount FROM raws)) r
-LEFT JOIN budgets b ON b.month = r.month AND b.category = r.source"""))
+@query(_recursive(_with(["budgets", "raws"], ["r AS (SELECT id AS request_no, '1999-' || lpad(CAST(id % 12 + 1 AS VARCHAR), 2, '0') AS month, ['Health', 'Shopping', 'None'][k % 3 + 1] AS source, CAST(amount * 100 AS DECIMAL(18,2)) AS amount FROM raws)",
+    "req AS (SELECT *, row_number() OVER (PARTITION BY month, source ORDER BY request_no) AS n FROM r)",
+    """f AS (SELECT q.month, q.source, CAST(0 AS BIGINT) AS n, b.current_budget AS bal, CAST(NULL AS BIGINT) AS request_no, CAST(NULL AS VARCHAR) AS outcome FROM (SELECT DISTINCT month, source FROM req) q LEFT JOIN budgets b ON b.month = q.month AND b.category = q.source
+  UNION ALL SELECT q.month, q.source, q.n, CASE WHEN f.bal >= q.amount THEN CAST(f.bal - q.amount AS DECIMAL(18,2)) ELSE f.bal END, q.request_no, CASE WHEN f.bal IS NULL THEN 'unknown' WHEN q.amount > f.bal THEN 'short' ELSE 'moved' END FROM f JOIN req q ON q.month = f.month AND q.source = f.source AND q.n = f.n + 1)"""],
+    "SELECT request_no, outcome FROM f WHERE n > 0")))
 def budget_reallocations(spark, d):
     k = F.col("k") % 3
     req = raw_events(spark, d).select(F.col("id").alias("request_no"), F.concat(F.lit("1999-"), F.lpad((F.col("id") % 12 + 1).cast("string"), 2, "0")).alias("month"), F.when(k == 0, "Health").when(k == 1, "Shopping").otherwise("None").alias("source"), (F.col("amount") * 100).cast("decimal(18,2)").alias("amount"))
     return C.reallocate(req, budgets(spark, d)).select("request_no", "outcome")
 
 
-@query(with_tables("goals", "raws", body="""SELECT request_no, CASE WHEN status IS NULL THEN 'unknown' WHEN status <> 'Active' THEN 'inactive' WHEN op <> 'fund' AND after < -0.005 THEN 'exceeds' ELSE 'applied' END AS outcome FROM (
-SELECT r.*, g.status, g.allocated_amount + sum(CASE WHEN op = 'fund' THEN r.amount ELSE -r.amount END) OVER (PARTITION BY goal_id ORDER BY request_no) AS after
-FROM (SELECT id AS request_no, id % 30 AS goal_id, ['fund', 'release', 'spend'][k % 3 + 1] AS op, amount FROM raws) r LEFT JOIN goals g ON g.id = r.goal_id)"""))
+@query(_recursive(_with(["goals", "raws"], ["req AS (SELECT id AS request_no, id % 30 AS goal_id, ['fund', 'release', 'spend'][k % 3 + 1] AS op, amount, row_number() OVER (PARTITION BY id % 30 ORDER BY id) AS n FROM raws)",
+    """f AS (SELECT q.goal_id, CAST(0 AS BIGINT) AS n, g.status, CAST(g.allocated_amount AS DECIMAL(28,2)) AS bal, CAST(NULL AS BIGINT) AS request_no, CAST(NULL AS VARCHAR) AS outcome FROM (SELECT DISTINCT goal_id FROM req) q LEFT JOIN goals g ON g.id = q.goal_id
+  UNION ALL SELECT goal_id, n, status, CAST(CASE WHEN outcome <> 'applied' THEN bal WHEN op = 'fund' THEN bal + amount ELSE bal - amount END AS DECIMAL(28,2)), request_no, outcome FROM (
+    SELECT q.*, f.status, f.bal, CASE WHEN f.status IS NULL THEN 'unknown' WHEN f.status <> 'Active' THEN 'inactive' WHEN q.amount <= 0 THEN 'amount' WHEN q.op <> 'fund' AND q.amount > f.bal THEN 'exceeds' ELSE 'applied' END AS outcome FROM f JOIN req q ON q.goal_id = f.goal_id AND q.n = f.n + 1))"""],
+    "SELECT request_no, outcome FROM f WHERE n > 0")))
 def goal_moves(spark, d):
     k = F.col("k") % 3
     req = raw_events(spark, d).select(F.col("id").alias("request_no"), (F.col("id") % 30).alias("goal_id"), F.when(k == 0, "fund").when(k == 1, "release").otherwise("spend").alias("op"), "amount")

@@ -156,11 +156,36 @@ def test_bulk_approval(spark):
 
 
 def test_debt_commands_and_payment(spark):
-    ev = spark.createDataFrame([(1, 1, Decimal(100), "Opening", "k0")], "debt_id long, effect int, amount decimal(18,2), event_type string, operation_key string")
-    debts = spark.createDataFrame([(1, "a", "Custody")], "id long, person_name string, kind string")
-    req = spark.createDataFrame([(1, 1, "Settle", Decimal(60), "k1"), (2, 1, "Settle", Decimal(60), "k1"), (3, 1, "WriteOff", Decimal(1), "k2"), (4, 1, "Settle", Decimal(60), "k3"), (5, 9, "Settle", Decimal(1), "k4"), (6, 1, "Opening", Decimal(1), "k0")], "request_no long, debt_id long, event_type string, amount decimal(18,2), operation_key string")
-    got = {r.request_no: r.outcome for r in C.debt_commands(req, debts, O.outstanding(ev), ev).collect()}
-    assert got == {1: "applied", 2: "replay", 3: "not_allowed", 4: "exceeds", 5: "unknown_debt", 6: "replay"}
+    ev = spark.createDataFrame([(1, 1, Decimal(100), "Opening", "k0"), (2, 1, Decimal(100), "Opening", "j0")], "debt_id long, effect int, amount decimal(18,2), event_type string, operation_key string")
+    debts = spark.createDataFrame([(1, "a", "Custody"), (2, "b", "Payable")], "id long, person_name string, kind string")
+    rows = [(1, 1, "Settlement", 60, "k1"), (2, 1, "Settlement", 60, "k1"), (3, 1, "WriteOff", 1, "k2"), (4, 1, "Settlement", 60, "k3"), (5, 9, "Settlement", 1, "k4"), (6, 1, "Increase", 1, "k0"),
+            (7, 1, "Settlement", 40, "k3"), (8, 1, "Increase", 0, None), (9, 2, "Settlement", 80, "j1"), (10, 2, "Settlement", 70, "j1"), (11, 2, "WriteOff", 30, None), (12, 1, "Increase", 5, None), (13, 1, "Settlement", 5, None)]
+    req = spark.createDataFrame([(a, b, c, Decimal(x), k) for a, b, c, x, k in rows], "request_no long, debt_id long, event_type string, amount decimal(18,2), operation_key string")
+    covered = spark.createDataFrame([(2, Decimal(30))], "debt_id long, covered decimal(18,2)")
+    got = {r.request_no: r.outcome for r in C.debt_commands(req, debts, O.outstanding(ev), ev, covered).collect()}
+    assert got == {1: "applied", 2: "replay", 3: "not_allowed", 4: "exceeds", 5: "unknown_debt", 6: "replay", 7: "applied", 8: "amount", 9: "covered", 10: "applied", 11: "applied", 12: "applied", 13: "applied"}
+
+
+def test_audit_of_evidence(spark):
+    ledger = spark.createDataFrame([(1, D("2026-01-10"), "Expense", Decimal(50), "a", "", "Food", "Kopi TRX1"), (2, D("2026-01-10"), "Expense", Decimal(50), "a", "", "Food", "lain"), (3, D("2026-01-12"), "Income", Decimal(70), "", "a", "", "gaji"), (4, D("2026-01-20"), "Transfer", Decimal(9), "a", "b", "", "x"),
+                                    (5, D("2026-01-20"), "Transfer", Decimal(9), "a", "b", "", "y")], "id long, date date, transaction_type string, amount decimal(18,2), account_from string, account_to string, category string, description string")
+    rows = [(1, "2026-01-10", 50, "MERCHANT_PAYMENT", "Expense", "TRX1", "zzz", ""), (2, "2026-01-10", 50, "MERCHANT_PAYMENT", "Expense", "none", "zzz", ""), (3, "2026-01-12", 50, "TOPUP", "Top-up", "", "", ""), (4, "2026-01-12", 50, "MERCHANT_PAYMENT", "Expense", "", "", ""), (5, "2026-01-10", 50, "X", "Expense", "", "", "Fuel"),
+            (6, "2026-01-11", 70, "INVESTMENT_MOVEMENT", "x", "", "", ""), (7, "2026-01-11", 70, "X", "x", "", "", ""), (8, "2026-02-01", 70, "X", "x", "", "", ""), (9, "2026-01-10", 50, "X", "Ignore", "", "", "")]
+    ev = spark.createDataFrame([(i, D(d), Decimal(a), k, c, r, m, g) for i, d, a, k, c, r, m, g in rows], "id long, date date, amount decimal(18,2), event_kind string, financial_class string, reference string, merchant string, category string")
+    got = {r.evidence_id: (r.ledger_id, r.match_class) for r in G.match_evidence(ev, ledger).collect()}
+    assert got == {1: (1, "MATCHED_EXACT"), 2: (1, "MATCHED_LIKELY"), 3: (1, "CLASSIFICATION_CONFLICT"), 4: (None, "AMBIGUOUS"), 5: (1, "CATEGORY_CONFLICT"), 6: (3, "CLASSIFICATION_CONFLICT"), 7: (3, "MATCHED_LIKELY"), 8: (None, "EMAIL_EVENT_MISSING_FROM_LEDGER")}
+    n = {r.match_class: r.n for r in G.audit(ev, ledger).collect()}
+    assert n["POSSIBLE_LEDGER_DUPLICATE"] == 2 and n["LEDGER_EVENT_WITHOUT_EMAIL_EVIDENCE"] == 3 and n["AMOUNT_CONFLICT"] == 0 and set(n) == set(G.AUDIT_CLASSES)
+
+
+def test_planned_and_estimated(spark):
+    rows = [(f"m{i}", t, "Expense", D("2026-08-20"), 10.0, "high") for i, t in enumerate(["Bayar Netflix 22-08-2026", "Kopi", "Sewa kos"])]
+    p = spark.createDataFrame(rows, "merchant string, title string, transaction_type string, next_date date, median_amount double, confidence string").withColumn("merchant", F.element_at(F.array(F.lit("netflix"), F.lit("kopi"), F.lit("kos")), F.substring("merchant", 2, 1).cast("int") + 1))
+    up = spark.createDataFrame([(7, "Netflix keluarga", "Upcoming"), (9, "sewa", "Tentative"), (1, "kopi", "Paid")], "id long, title string, status string")
+    got = I.planned(p, up)
+    assert {r.merchant: r.upcoming_id for r in got.collect()} == {"netflix": 7, "kopi": None, "kos": 9}
+    est = I.estimated_events(got, "2026-08-19", 7).collect()
+    assert [(r.date, r.signed) for r in est] == [(D("2026-08-20"), Decimal("-10.00"))]
 
 
 def test_review(spark):
