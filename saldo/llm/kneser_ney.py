@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from saldo.llm.common import U64, cut, keyed_groups, pieces, spread, text_buffer
+from saldo.llm.common import U64, cut, keyed_groups, mix, pieces, spread, text_buffer
 
 #: A symbol is a byte plus one, 0 before the text: nine bits; six of them and a few more bits for the kind of a row fit a long.
 ORDER, BITS = 6, 9
@@ -33,18 +33,70 @@ def tagged(gram, model, kind):
     return gram | kind << 54 | model << 58
 
 
-def _counts(batches):
+def _pack(keys: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted keys by their differences, and their counts, byte by byte of the same rank, compressed: some three bytes a key."""
+    planes = lambda x: x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+    return len(keys).to_bytes(8, "little") + pa.compress(planes(np.diff(keys, prepend=0)) + planes(n.astype(np.int64)), codec="zstd", asbytes=True)
+
+
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    size = int.from_bytes(blob[:8], "little")
+    planes = np.frombuffer(pa.decompress(blob[8:], decompressed_size=16 * size, codec="zstd", asbytes=True), np.uint8).reshape(2, 8, size)
+    rows = [np.ascontiguousarray(x.T).view(np.int64).ravel() for x in planes]
+    return np.cumsum(rows[0]), rows[1]
+
+
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else order
+    return keys[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def _counts(batches, shards):
+    """Counts of the n-grams of some megabytes of text, a packed row for each shard. Grams with equal first halves have one shard, so
+    that differences are small."""
+    held, size = [], 0
+
+    def deal():
+        key, n = _summed(*[np.concatenate(x) for x in zip(*held, strict=True)])
+        shard = (mix((key >> 3 * BITS).view(U64)) % U64(shards)).astype(np.int32)
+        order = np.argsort(shard, kind="stable")
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(shard[order])) + 1, [len(order)]]).tolist()
+        parts = [order[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array([int(shard[p[0]]) for p in parts], pa.int32()), pa.array([_pack(key[p], n[p]) for p in parts], pa.binary())], names=["shard", "blob"])
+
     for b in batches:
         data, at = text_buffer(b.column(0))
-        model = b.column(1).to_numpy()
+        model = b.column(1).to_numpy().astype(np.int64)
         for i, j in pieces(at, 1 << 21):
             g = grams(data[at[i] : at[j]], at[i : j + 1] - at[i])
-            m = np.repeat(model[i:j], np.diff(at[i : j + 1]))
-            for x in np.unique(m):
-                gram, n = np.unique(g[m == x], return_counts=True)
-                for k in range(0, len(gram), 100_000):
-                    part = slice(k, k + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram[part]), x, np.int32)), pa.array(gram[part]), pa.array(n[part])], names=["m", "gram", "c"])
+            if not len(g):
+                continue
+            held.append(np.unique(tagged(g, np.repeat(model[i:j], np.diff(at[i : j + 1])), 0), return_counts=True))
+            size += len(held[-1][0])
+            if size > 2_000_000:
+                yield deal()
+                held, size = [], 0
+    if held:
+        yield deal()
+
+
+def _shard_counts(batches):
+    """Summed counts of a shard; what is held grows with its distinct n-grams only."""
+    for _, t in keyed_groups(batches, "shard"):
+        held, size = [], 0
+        for blob in t.column("blob").to_pylist():
+            held.append(_unpack(blob))
+            size += len(held[-1][0])
+            if size > 4_000_000:
+                held = [_summed(*[np.concatenate(x) for x in zip(*held, strict=True)])]
+                size = 0
+        key, n = _summed(*[np.concatenate(x) for x in zip(*held, strict=True)])
+        for k in range(0, len(key), 100_000):
+            part = slice(k, k + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array((key[part] >> 58).astype(np.int32)), pa.array(key[part] & ((1 << 54) - 1)), pa.array(n[part])], names=["m", "gram", "c"])
 
 
 def discounts() -> list[Column]:
@@ -54,16 +106,17 @@ def discounts() -> list[Column]:
     return [cut_at(1, "n2", "n1").alias("d1"), cut_at(2, "n3", "n2").alias("d2"), cut_at(3, "n4", "n3").alias("d3")]
 
 
-def kneser_ney_tables(texts: DataFrame) -> DataFrame:
-    """(m, kind, gram, value float) of the models m of `texts` (_text, m): for each order k the log probability of every n-gram seen
+def kneser_ney_tables(texts: DataFrame) -> tuple[DataFrame, int]:
+    """(m, kind, gram, value float) of the models m of `texts` (_text, m), and a bound of the number of rows: for each order k the log probability of every n-gram seen
     (kind 2 k), and the log share that every context seen leaves to the next shorter one (kind 2 k + 1, gram = context).
 
-    Counts of the highest order are aggregated in the tasks before they are shuffled; lower orders count distinct predecessors.
+    Counts of the highest order are aggregated in the tasks and packed before they are shuffled to their shards; lower orders count distinct predecessors.
     Every step is keyed by model and gram, context or suffix, of which one has 257 rows at most, so no key is hot; all tables
     are as large as the trusted texts make them.
     """
-    top = spread(texts.select("_text", "m")).mapInArrow(_counts, "m int, gram long, c long").groupBy("m", "gram").agg(F.sum("c").alias("c"))
-    counts = [cut(top)]
+    shards = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = spread(texts.select("_text", "m")).mapInArrow(lambda it: _counts(it, shards), "shard int, blob binary")
+    counts = [cut(packed.repartition("shard").sortWithinPartitions("shard").mapInArrow(_shard_counts, "m int, gram long, c long"))]
     for k in range(ORDER - 1, 0, -1):
         short = F.col("gram").bitwiseAND((1 << BITS * k) - 1)
         counts.append(cut(counts[-1].groupBy("m", short.alias("gram")).agg(F.count("*").alias("c"))))
@@ -82,13 +135,15 @@ def kneser_ney_tables(texts: DataFrame) -> DataFrame:
         else:
             rows = rows.withColumn("suffix", F.col("gram").bitwiseAND((1 << BITS * (k - 1)) - 1)).join(low.withColumnRenamed("gram", "suffix"), ["m", "suffix"])
             p = own + spare * F.col("p")
-        low = cut(rows.select("m", "gram", p.alias("p")))
+        low = rows.select("m", "gram", p.alias("p"))
+        if k < ORDER:
+            low = cut(low)
         out.append(low.select("m", F.lit(2 * k).alias("kind"), "gram", F.log("p").cast("float").alias("value")))
         out.append(totals.select("m", F.lit(2 * k + 1).alias("kind"), F.col("context").alias("gram"), F.log(spare).cast("float").alias("value")))
     table = out[0]
     for t in out[1:]:
         table = table.unionByName(t)
-    return table
+    return table, 2 * sum(c.count() for c in counts)  # an order has no more contexts than n-grams
 
 
 class Table:
@@ -203,21 +258,22 @@ def resolve(asked: DataFrame, table: DataFrame) -> DataFrame:
     return out
 
 
-def perplexity(src: DataFrame, table: DataFrame, most_broadcast: int = 8_000_000, bucket_bytes: int = 32_000_000) -> DataFrame:
+def perplexity(src: DataFrame, table: DataFrame, size: int, most_broadcast: int = 12_000_000, bucket_bytes: int = 32_000_000) -> DataFrame:
     """`src` (_text, m, _id, _lang, _trusted) without its text, and with the perplexity of each row under model m.
 
-    Tables of up to `most_broadcast` rows (12 bytes each) are broadcast, so that texts stay where they are. Beyond that the texts
+    Tables of `size` rows, up to `most_broadcast` (12 bytes each), are broadcast, so that texts stay where they are. Beyond that the texts
     are dealt into buckets of about `bucket_bytes`; each bucket asks for its distinct n-grams once, all buckets' distinct ones
     meet the tables by keyed joins, and the answers go back to the buckets. Both ways give the same numbers.
     """
     rest = ["m", "_id", "_lang", "_trusted"]
     kinds = "perplexity double, m int, _id long, _lang string, _trusted boolean"
-    if table.count() <= most_broadcast:
+    if size <= most_broadcast:
         got = table.select(F.col("gram").bitwiseOR(F.shiftleft(F.col("kind").cast("long"), 54)).bitwiseOR(F.shiftleft(F.col("m").cast("long"), 58)).alias("key"), "value").toArrow()
         keys, values = (got.column(c).to_numpy() for c in ("key", "value"))
         del got
         sent = src.sparkSession.sparkContext.broadcast(Table(keys, values))
         return spread(src.select("_text", *rest)).mapInArrow(lambda it: _score(it, sent), kinds)
+    table = cut(table)
     total = src.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     buckets = int(max(4, total // bucket_bytes))
     dealt = src.withColumn("bucket", F.pmod(F.xxhash64("_id", "_lang", "_text"), F.lit(buckets)))
@@ -228,7 +284,7 @@ def perplexity(src: DataFrame, table: DataFrame, most_broadcast: int = 8_000_000
 
 
 def quality_filter(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.995, slack: float = 1.05, most_ids: int = 500_000,
-                   most_languages: int = 100_000, most_broadcast: int = 8_000_000) -> DataFrame:
+                   most_languages: int = 100_000, most_broadcast: int = 12_000_000) -> DataFrame:
     """(id_col, lang, perplexity, threshold, keep) for each row of `docs`.
 
     The rows whose id is in `trusted_ids` (one column, id_col) are dealt into two halves by a hash of the id, and a model of
@@ -247,8 +303,8 @@ def quality_filter(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_i
     half = F.coalesce(F.pmod(F.xxhash64("_id"), F.lit(2)), F.lit(0)).cast("int")
     src = (docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
            .join(F.broadcast(ids) if few else ids, "_id", "left").select("_id", "_lang", "_text", F.coalesce("_trusted", F.lit(False)).alias("_trusted"), (1 - half).alias("m")))
-    tables = kneser_ney_tables(src.filter("_trusted").select("_text", (1 - F.col("m")).alias("m")))
-    scored = cut(perplexity(src, tables, most_broadcast))
+    tables, size = kneser_ney_tables(src.filter("_trusted").select("_text", (1 - F.col("m")).alias("m")))
+    scored = cut(perplexity(src, tables, size, most_broadcast))
     good = scored.filter("_trusted and perplexity is not null")
     mark = lambda df: df.agg(F.percentile_approx("perplexity", quantile, 10_000).alias("q"))
     by_lang = cut(mark(good.filter("_lang is not null").groupBy("_lang")))  # one row for each language
