@@ -14,8 +14,9 @@ from saldo.llm.common import pieces as row_ranges
 from saldo.llm.common import spread, text_buffer
 
 MARK = "▁"
-#: Words whose ids a task keeps from batch to batch; beyond it the table starts anew.
-REMEMBERED = 400_000
+#: Size of the words whose ids a worker keeps from batch to batch (characters, and OVERHEAD for each word); beyond it the table
+#: starts anew. Long words weigh as much as they take, so texts without spaces don't fill a worker.
+REMEMBERED, OVERHEAD = 6_000_000, 20
 #: Piece pairs whose separation a task keeps.
 PAIRS = 300_000
 
@@ -72,6 +73,7 @@ class TrieEncoder:
         self.apart: dict[int, bool] = {}
         self.names = {i: p for p, i in table.ids.items()}
         self.memo: dict[str, bytes] = {}
+        self.held = 0
 
     def merge(self, text: str) -> list[str]:
         """Plain BPE of a short text: the best-scored adjacent pair first, leftmost of equals."""
@@ -162,9 +164,12 @@ def _encode(batches, sent, keep_text, verify=False):
         _, at = text_buffer(col)
         for i, j in row_ranges(at, 1 << 20):
             split = [cut_words((MARK + x.replace(" ", MARK))) if x else [] for x in col.slice(i, j - i).to_pylist()]
-            if len(encoder.memo) > REMEMBERED:
+            if encoder.held > REMEMBERED:
                 encoder.memo.clear()
-            encoder.encode_words({w for words in split for w in words} - encoder.memo.keys())
+                encoder.held = 0
+            fresh = {w for words in split for w in words} - encoder.memo.keys()
+            encoder.encode_words(fresh)
+            encoder.held += sum(map(len, fresh)) + OVERHEAD * len(fresh)
             get = encoder.memo.__getitem__
             rows = [b"".join(map(get, words)) for words in split]
             offs = np.concatenate([[0], np.cumsum([len(r) // 4 for r in rows])]).astype(np.int32)
