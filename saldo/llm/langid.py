@@ -124,7 +124,7 @@ def train_language_model(rows: DataFrame, id_col: str, text_col: str, lang_col:
     return ByteCnn(labels, seed).fit(x, y, epochs, seed=seed)
 
 
-def _predict(batches, model):
+def _predict(batches, model, keep_text):
     for b in batches:
         data, at = text_buffer(b.column(0))
         known = np.array(b.column(1).to_pylist(), bool)
@@ -145,7 +145,8 @@ def _predict(batches, model):
         names = np.array(model.labels, object)[best]
         names[~known] = "und"
         score = np.where(known, prob[np.arange(n), best], 0.0)
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(score), *b.columns[2:]], names=["lang_pred", "score", *b.schema.names[2:]])
+        kept, called = (b.columns[2:] + b.columns[:1], [*b.schema.names[2:], "_text"]) if keep_text else (b.columns[2:], b.schema.names[2:])
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(score), *kept], names=["lang_pred", "score", *called])
 
 
 def detect_language(docs: DataFrame, model: ByteCnn | None, text_col: str = "text", keep_cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -156,10 +157,12 @@ def detect_language(docs: DataFrame, model: ByteCnn | None, text_col: str = "tex
     without a letter, or where there is no model. Nothing but the text enters a prediction: rows that repeat an id or have none
     are told like any other. An empty table gives no rows.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    known = text.rlike(r"\p{L}") if model is not None else F.lit(False)
-    src = spread(docs.select(text.alias("_text"), known.alias("_known"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep_cols)]))
+    text = F.col(text_col).cast("string")
+    known = F.coalesce(text.rlike(r"\p{L}"), F.lit(False)) if model is not None else F.lit(False)
+    same = text_col if text_col in keep_cols and docs.schema[text_col].dataType.simpleString() == "string" else None  # sent once
+    others = [c for c in keep_cols if c != same]
+    src = spread(docs.select(text.alias("_text"), known.alias("_known"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(others)]))
     model = model or ByteCnn(["und"])
-    extra = "".join(f", `_k{i}` {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep_cols))
-    out = src.mapInArrow(lambda it: _predict(it, model), f"lang_pred string, score double{extra}")
-    return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep_cols)], "lang_pred", "score")
+    extra = "".join(f", `_k{i}` {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(others)) + ", _text string" * (same is not None)
+    out = src.mapInArrow(lambda it: _predict(it, model, same is not None), f"lang_pred string, score double{extra}")
+    return out.select(*[F.col("_text" if c == same else f"_k{others.index(c)}").alias(c) for c in keep_cols], "lang_pred", "score")
