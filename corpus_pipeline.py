@@ -15,6 +15,14 @@ from saldo.llm.common import ensure_checkpoint_dir
 from saldo.llm.queries import fold
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Rows of whole texts in an Arrow batch: with Spark's 10 000 a batch of the stages after each other fills an executor's buffers.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """The pipeline's session sends 1000 rows a batch, unless it has a size of its own."""
+    if spark.conf.get(BATCH, "0") == "0":
+        spark.conf.set(BATCH, "1000")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,6 +30,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Where no row has both text and a language, there is no model: only null texts and those without a letter go.
     """
+    small_batches(spark)
     model = langid.train_language_model(docs.filter(fold(F.col("doc_id"), 4) != 2), "doc_id", "text", "lang")
     if model is None:
         return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).select(*COLUMNS)
@@ -58,6 +67,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SentencePiece ids of each text (none for null), and whether decoding gives the text back."""
+    small_batches(spark)
     table = sentencepieces.PieceTable(sentencepieces.default_model_path())
     ids = sentencepieces.encode(docs, table, keep_cols=("doc_id", "source", "lang"), verify=True)
     return ids.select("doc_id", "source", "lang", "ids", F.size("ids").cast("long").alias("n_ids"), "round_trip")
@@ -79,6 +89,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on `documents`; each result is written as Parquet in the shared checkpoint folder and read again. A stage's
     input is removed as soon as its result is written; the last result stays."""
     ensure_checkpoint_dir(spark)
+    own = spark.conf.get(BATCH, "0")
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
@@ -87,4 +98,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if i:
             old = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{i - 1}")
             old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+    if own == "0":
+        spark.conf.unset(BATCH)
     return docs
