@@ -201,3 +201,11 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = PieceTable(default_model_path())
     ids = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), table, verify=True)  # decoded in the same pass
     return ids.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), "round_trip")
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from saldo.llm.conversation_repair import damage, repair_conversations, with_digest
+
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return with_digest(repair_conversations(damage(turns)))
