@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from saldo.llm.common import cut, keyed_groups, pieces, spread, text_buffer
+from saldo.llm.common import MASKS, cut, eights, keyed_groups, pieces, spread, text_buffer, word_digests
 
 LEAST_DOCUMENTS, SMOOTHING, SCALE, TOP = 30, 5, 1_000_000_000, 50
 #: Kept (source, term) counts of a shard, about.
@@ -23,7 +23,6 @@ _BYTES = np.arange(256)
 _LETTER = (_BYTES >= 0x80) | ((_BYTES | 0x20) >= ord("a")) & ((_BYTES | 0x20) <= ord("z"))
 #: Lower-case byte of a word's byte, 0 for the others.
 TABLE = np.where(_LETTER, np.where(_BYTES < 0x80, _BYTES | 0x20, _BYTES), 0).astype(np.uint8)
-_MASKS = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
 
 
 def word_bounds(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -41,28 +40,12 @@ def word_bounds(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return folded, starts, np.flatnonzero(last) + 1, np.searchsorted(at, starts, "right") - 1
 
 
-def eights(folded: np.ndarray) -> np.ndarray:
-    """The eight bytes from each place on, as an integer."""
-    return np.ndarray((len(folded) + 1,), "<u8", np.concatenate([folded, np.zeros(8, np.uint8)]), 0, (1,))
-
-
-def digests(folded, starts, ends, digest) -> np.ndarray:
-    """A digest of every word; one of up to eight bytes, which are an integer, is computed once for all its places."""
-    raw, size = folded.tobytes(), ends - starts
-    out, short = np.empty(len(starts), np.uint64), size <= 8
-    of = lambda at: np.array([digest(raw[s:e]) for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], np.uint64)
-    _, first, back = np.unique(eights(folded)[starts[short]] & _MASKS[size[short]], return_index=True, return_inverse=True)
-    out[short] = of(np.flatnonzero(short)[first])[back]
-    out[~short] = of(np.flatnonzero(~short))
-    return out
-
-
 def same_bytes(folded: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Whether data[a:a+size] equals data[b:b+size], eight bytes at a time."""
     words = eights(folded)
     same, live, k = np.ones(len(a), bool), np.arange(len(a)), 0
     while len(live):
-        differs = (words[a[live] + k] ^ words[b[live] + k]) & _MASKS[np.minimum(size[live] - k, 8)]
+        differs = (words[a[live] + k] ^ words[b[live] + k]) & MASKS[np.minimum(size[live] - k, 8)]
         same[live[differs != 0]] = False
         k += 8
         live = live[size[live] > k]
@@ -76,7 +59,7 @@ def group_words(folded, starts, ends, rows, groups, digest=xxhash.xxh3_64_intdig
     if not len(starts):
         return np.zeros((4, 0), np.int64)
     size, group = ends - starts, groups[rows]
-    key = digests(folded, starts, ends, digest)
+    key = word_digests(folded, starts, ends, digest)
     key ^= group.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)  # one run is of one group, but for chance, which the check below finds
     bits = np.uint64(int(len(key)).bit_length())  # the low bits give way to the word's place, so that values are sorted and rows stay in order
     packed = np.sort(key >> bits << bits | np.arange(len(key), dtype=np.uint64))

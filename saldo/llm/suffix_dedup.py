@@ -1,4 +1,5 @@
-"""Removal of passages that repeat across documents, exact to the byte, by sharded suffix arrays."""
+"""Removal of passages that repeat across documents, by sharded suffix arrays; equal runs of bytes are told by hashes with bases drawn for
+each call (see SpanHash for the chance that two different runs count as equal)."""
 
 from __future__ import annotations
 
@@ -7,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saldo.llm.common import U64, keyed_groups, mix, pieces, prefix_hash, span_hash, spread, text_buffer
+from saldo.llm.common import U64, SpanHash, keyed_groups, mix, pieces, prefix_hash, span_hash, spread, text_buffer
 from saldo.llm.suffix_array import permuted_prefixes, suffix_array
 
 #: Bytes of an anchor. Any `length` bytes contain length - ANCHOR + 1 runs of so many bytes; their smallest hash is the anchor.
@@ -27,7 +28,7 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
-def window_runs(data: np.ndarray, at: np.ndarray, length: int, hot: np.ndarray) -> tuple[np.ndarray, ...]:
+def window_runs(data: np.ndarray, at: np.ndarray, length: int, hot: np.ndarray, hashes: SpanHash) -> tuple[np.ndarray, ...]:
     """Maximal runs of neighbouring windows of `length` bytes, each within one row, that have the same anchor.
 
     Returns the first window's start, the number of windows, the anchor, and a hash of all bytes of the run. Where the
@@ -57,7 +58,7 @@ def window_runs(data: np.ndarray, at: np.ndarray, length: int, hot: np.ndarray)
         s = s[of] + np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)
         count, anchor, often = np.where(often, 1, count)[of], anchor[of], often[of]
         anchor[often] = span_hash(sums, s[often], s[often] + length)
-    return s, count, anchor, mix(span_hash(sums, s, s + count - 1 + length) + U64(5))
+    return s, count, anchor, hashes.of(hashes.sums(data), s, s + count - 1 + length)
 
 
 def _inside(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -94,11 +95,11 @@ def row_names(ids: np.ndarray, texts: np.ndarray) -> np.ndarray:
     return mix(ids.astype(np.int64).view(U64) ^ mix(texts.astype(np.int64).view(U64)))
 
 
-def text_hashes(data: np.ndarray, at: np.ndarray, repeats: bool) -> np.ndarray:
+def text_hashes(data: np.ndarray, at: np.ndarray, repeats: bool, hashes: SpanHash) -> np.ndarray:
     """63 bits of a text's hash where some id stands in several rows, else 0."""
     if not repeats or not len(data):
         return np.zeros(len(at) - 1, np.int64)
-    return (span_hash(prefix_hash(data), at[:-1], at[1:]) >> U64(1)).view(np.int64)
+    return (hashes.of(hashes.sums(data), at[:-1], at[1:]) >> U64(1)).view(np.int64)
 
 
 def _narrow(x: np.ndarray) -> bytes:
@@ -161,12 +162,12 @@ def merged(ids: np.ndarray, texts: np.ndarray, s: np.ndarray, e: np.ndarray) ->
     return ids[first], texts[first], s[first], top[last] - shift[last]
 
 
-def _all_runs(data: np.ndarray, at: np.ndarray, length: int, hot: np.ndarray) -> tuple[np.ndarray, ...]:
+def _all_runs(data: np.ndarray, at: np.ndarray, length: int, hot: np.ndarray, hashes: SpanHash) -> tuple[np.ndarray, ...]:
     """(row, start in the row, windows, anchor, run hash) of all runs of a batch."""
     out = []
     for i, j in pieces(at, 1 << 17):
         local = at[i : j + 1] - at[i]
-        s, n, h, c = window_runs(data[at[i] : at[j]], local, length, hot)
+        s, n, h, c = window_runs(data[at[i] : at[j]], local, length, hot, hashes)
         row = np.searchsorted(local, s, "right") - 1
         out.append((row + i, s - local[row], n, h, c))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 5
@@ -181,11 +182,11 @@ def _portions(batches, most: int = 1 << 23):
             yield ids[i:j], data[at[i] : at[j]], at[i : j + 1] - at[i]
 
 
-def _sampled_anchors(batches, length):
+def _sampled_anchors(batches, length, hashes):
     """(anchor, number of rows that have it) of each portion."""
     none = np.zeros(0, U64)
     for _, data, at in _portions(batches):
-        row, _, _, h, _ = _all_runs(data, at, length, none)
+        row, _, _, h, _ = _all_runs(data, at, length, none, hashes)
         if not len(h):
             continue
         order = np.lexsort((row, h))
@@ -195,7 +196,7 @@ def _sampled_anchors(batches, length):
         yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n)], names=["h", "n"])
 
 
-def hot_anchors(named: DataFrame, length: int, share: float = 0.01, least: int = 32, sample: int = 20_000) -> np.ndarray:
+def hot_anchors(named: DataFrame, length: int, hashes: SpanHash, share: float = 0.01, least: int = 32, sample: int = 20_000) -> np.ndarray:
     """Anchors that a hundredth of a sample of about `sample` rows has, sorted. They only decide how runs are dealt: no result
     depends on them. At most 1 / share times a row's mean number of anchors."""
     n = named.count()
@@ -203,17 +204,17 @@ def hot_anchors(named: DataFrame, length: int, share: float = 0.01, least: int =
         return np.zeros(0, U64)
     part = named.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < int(np.ceil(1_000_003 * min(1.0, sample / n))))
     most = max(least, int(share * min(n, sample)))
-    got = part.mapInArrow(lambda it: _sampled_anchors(it, length), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= most).select("h").toArrow()
+    got = part.mapInArrow(lambda it: _sampled_anchors(it, length, hashes), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= most).select("h").toArrow()
     return np.sort(got.column("h").to_numpy().astype(np.int64).view(U64))
 
 
-def _requests(batches, length, parts, buckets, hot, repeats):
+def _requests(batches, length, parts, buckets, hot, repeats, hashes):
     """Runs, dealt by anchor. Of equal runs in some megabytes of text only those of the smallest id are sent; the others are copies here already."""
     for ids, data, at in _portions(batches):
-        row, s, n, h, c = _all_runs(data, at, length, hot)
+        row, s, n, h, c = _all_runs(data, at, length, hot, hashes)
         if not len(row):
             continue
-        owner, text = ids[row], text_hashes(data, at, repeats)[row]
+        owner, text = ids[row], text_hashes(data, at, repeats, hashes)[row]
         order = np.lexsort((owner, c, h))
         row, s, n, h, c, owner, text = (x[order] for x in (row, s, n, h, c, owner, text))
         first = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
@@ -261,10 +262,10 @@ def _answers(batches, buckets, wanted):
             yield _deal(bucket_of(row_names(ids[mask], texts[mask]), buckets), wanted, ids[mask], texts[mask], c[mask])
 
 
-def _texts(batches, buckets, repeats):
+def _texts(batches, buckets, repeats, hashes):
     """Whole rows (id, text, ..) packed by bucket."""
     for b in batches:
-        key = bucket_of(row_names(b.column(0).fill_null(0).to_numpy(), text_hashes(*text_buffer(b.column(1)), repeats)), buckets)
+        key = bucket_of(row_names(b.column(0).fill_null(0).to_numpy(), text_hashes(*text_buffer(b.column(1)), repeats, hashes)), buckets)
         order = np.argsort(key, kind="stable")
         names = [f"f{i}" for i in range(b.num_columns)]
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(key[order])) + 1, [len(order)]]).tolist()
@@ -287,13 +288,13 @@ class Notes:
         rows = row_names(ids, texts)
         self.rows, self.runs = np.unique(rows), np.unique(_join(rows, c))
 
-    def find(self, batch: pa.RecordBatch, names: np.ndarray, length: int, hot: np.ndarray):
+    def find(self, batch: pa.RecordBatch, names: np.ndarray, length: int, hot: np.ndarray, hashes: SpanHash):
         """Noted runs of the batch's rows: (row of the batch, first window, windows, anchor, bytes, offsets, place in the bytes)."""
         rows = np.flatnonzero(_inside(names, self.rows))
         if not len(rows):
             return None
         data, at = text_buffer(batch.column(1).take(pa.array(rows)))
-        row, s, n, h, c = _all_runs(data, at, length, hot)
+        row, s, n, h, c = _all_runs(data, at, length, hot, hashes)
         hit = _inside(_join(names[rows][row], c), self.runs)
         row, s, n, h = row[hit], s[hit], n[hit], h[hit]
         return rows[row], s, n, h, data, at[row] + s
@@ -313,22 +314,22 @@ def _bucket_groups(batches):
         yield Notes(gone, runs), map(_open, texts)
 
 
-def _contexts(batches, length, shards, hot, repeats):
+def _contexts(batches, length, shards, hot, repeats, hashes):
     """The bytes of each OPEN run, dealt by anchor, a row for each bucket and shard."""
     for notes, texts in _bucket_groups(batches):
         if not len(notes.rows):
             continue
         owner, text, start, anchor, size, body = [], [], [], [], [], []
         for b in texts:
-            every, hashes = b.column(0).to_numpy(), text_hashes(*text_buffer(b.column(1)), repeats)
-            got = notes.find(b, row_names(every, hashes), length, hot)
+            every, told = b.column(0).to_numpy(), text_hashes(*text_buffer(b.column(1)), repeats, hashes)
+            got = notes.find(b, row_names(every, told), length, hot, hashes)
             if got is None or not len(got[0]):
                 continue
             row, s, n, h, data, at = got
             m = n - 1 + length
             to = np.concatenate([[0], np.cumsum(m)])
             body.append(data[np.repeat(at - to[:-1], m) + np.arange(to[-1])])
-            for into, x in zip((owner, text, start, anchor, size), (every[row], hashes[row], s, h, m), strict=True):
+            for into, x in zip((owner, text, start, anchor, size), (every[row], told[row], s, h, m), strict=True):
                 into.append(x)
         if not owner:
             continue
@@ -400,15 +401,15 @@ def _down(text: bytes, y: int) -> int:
     return y
 
 
-def _apply(batches, length, chars, hot, repeats):
+def _apply(batches, length, chars, hot, repeats, hashes):
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for notes, texts in _bucket_groups(batches):
         for b in texts:
             ids = b.column(0)
             data, at = text_buffer(b.column(1))
-            known = row_names(ids.fill_null(0).to_numpy(), text_hashes(data, at, repeats))
+            known = row_names(ids.fill_null(0).to_numpy(), text_hashes(data, at, repeats, hashes))
             gone = notes.gone
-            got = notes.find(b, known, length, hot)
+            got = notes.find(b, known, length, hot, hashes)
             if got is not None:
                 gone = tuple(np.concatenate(x) for x in zip(gone, (known[got[0]], got[1], got[1] + got[2] - 1 + length), strict=True))
             i, _, s, e = merged(gone[0], np.zeros(len(gone[0]), np.int64), *gone[1:])
@@ -455,16 +456,17 @@ def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     parts = buckets = int(max(16, total // shard_bytes))
     shards = 3 * parts  # a suffix array takes some ten times its text
-    hot = hot_anchors(named, length, hot_share, hot_least)
+    hashes = SpanHash()
+    hot = hot_anchors(named, length, hashes, hot_share, hot_least)
     repeats = named.groupBy("id").count().filter("count > 1").limit(1).count() > 0  # decides what is sent, not what comes out
     own = lambda df: df.repartition(min(parts, most_parts), "key").sortWithinPartitions("key", "kind")
-    asked = own(named.mapInArrow(lambda it: _requests(it, length, parts, buckets, hot, repeats), PACKED))
+    asked = own(named.mapInArrow(lambda it: _requests(it, length, parts, buckets, hot, repeats, hashes), PACKED))
     notes = lambda kind: asked.mapInArrow(lambda it: _answers(it, buckets, kind), PACKED)
-    plain = named.mapInArrow(lambda it: _texts(it, buckets, repeats), PACKED)
-    open_runs = own(notes(OPEN).unionByName(plain)).mapInArrow(lambda it: _contexts(it, length, shards, hot, repeats), PACKED)
+    plain = named.mapInArrow(lambda it: _texts(it, buckets, repeats, hashes), PACKED)
+    open_runs = own(notes(OPEN).unionByName(plain)).mapInArrow(lambda it: _contexts(it, length, shards, hot, repeats, hashes), PACKED)
     found = own(open_runs).mapInArrow(lambda it: _shards(it, length, buckets), PACKED)
-    full = spread(src).mapInArrow(lambda it: _texts(it, buckets, repeats), PACKED)
+    full = spread(src).mapInArrow(lambda it: _texts(it, buckets, repeats, hashes), PACKED)
     extra = "".join(f", `_k{i}` {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep_cols))
     out = own(notes(COPY).unionByName(found).unionByName(full)).mapInArrow(
-        lambda it: _apply(it, length, whole_characters, hot, repeats), f"id long, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary{extra}")
+        lambda it: _apply(it, length, whole_characters, hot, repeats, hashes), f"id long, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary{extra}")
     return out.select(F.col("id").alias(id_col), "n_bytes", "spans", "kept", *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep_cols)])
