@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from saldo.llm.common import MASKS, cut, eights, keyed_groups, pieces, spread, text_buffer, word_digests
 
 LEAST_DOCUMENTS, SMOOTHING, SCALE, TOP = 30, 5, 1_000_000_000, 50
-#: Kept (source, term) counts of a shard, about.
-SHARD = 500_000
+#: Kept (source, term) counts of a shard, about; as many as pairs of sources at least, so that pairs don't outgrow the counts.
+SHARD = 1 << 15
 _BYTES = np.arange(256)
 _LETTER = (_BYTES >= 0x80) | ((_BYTES | 0x20) >= ord("a")) & ((_BYTES | 0x20) <= ord("z"))
 #: Lower-case byte of a word's byte, 0 for the others.
@@ -194,7 +194,7 @@ def source_divergence(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, t
                .filter(F.col("all_docs") >= least_documents).select("lang", "source", "term", "n", "all_n"))
     vocabulary = kept.groupBy("lang", "term").agg(F.first("all_n").alias("all_n")).groupBy("lang").agg(F.count("*").alias("terms"), F.sum("all_n").alias("lang_n"))
     totals = groups.join(kept.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("cells")), ["lang", "source"], "left").na.fill(0, ["total", "cells"])
-    shards = totals.groupBy("lang").agg(F.greatest(F.ceil(F.sum("cells") / shard), F.lit(1)).alias("shards"))
+    shards = totals.groupBy("lang").agg(F.greatest(F.ceil(F.sum("cells") / F.greatest(F.lit(shard), F.count("*") * F.count("*"))), F.lit(1)).alias("shards"))
     sizes = cut(totals.join(vocabulary, "lang", "left").na.fill(0, ["terms", "lang_n"]).join(shards, "lang").drop("cells"))
     known = kept.join(few(sizes), ["lang", "source"])
 
