@@ -1,13 +1,10 @@
-"""Structured Streaming: message ingestion, replay guard, review state, freshness, bounded backfill."""
+"""Structured Streaming: message ingestion, replay guard, freshness, bounded backfill."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from saldo.operators import ingest as G
 
@@ -61,30 +58,6 @@ def daily_counts(messages: DataFrame, late: str = "1 day") -> DataFrame:
     return messages.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("day"), "source").agg(F.count("*").alias("n"))
 
 
-def _decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """First terminal action wins; the same again is idempotent, another is locked."""
-    winner, seen = state.get if state.exists else ("", "")
-    known = set(filter(None, seen.split("\x1f")))
-    for pdf in batches:
-        out = []
-        for row in pdf.sort_values(["ts", "callback_id"]).itertuples():
-            if row.callback_id in known:
-                what = "replay"
-            elif not winner:
-                winner, what = row.action, "applied"
-            else:
-                what = "idempotent" if row.action == winner else "locked"
-            known.add(row.callback_id)
-            out.append((key[0], row.callback_id, what))
-        yield pd.DataFrame(out, columns=["candidate_id", "callback_id", "outcome"])
-    state.update((winner, "\x1f".join(sorted(known))))
-
-
-def review_stream(actions: DataFrame) -> DataFrame:
-    """Outcomes of a stream of review actions (callback_id, candidate_id, action, ts), with the state of each candidate."""
-    return actions.groupBy("candidate_id").applyInPandasWithState(_decide, "candidate_id long, callback_id string, outcome string", "winner string, seen string", "append", GroupStateTimeout.NoTimeout)
-
-
 def signed(rows: DataFrame, secret: str) -> DataFrame:
     """Adds `signature_ok`: whether `signature` is the HMAC-SHA256 of ts.nonce.body. No built-in has it, so it is an Arrow UDF."""
     import hashlib

@@ -48,14 +48,6 @@ def test_guard_window_and_freshness(spark, tmp_path):
     assert len(collect(spark, N.daily_counts(m), "daily", tmp_path, "complete")) == 2
 
 
-def test_review_state(spark, tmp_path):
-    for rows in ([("c1", "approve", 1), ("c2", "approve", 2)], [("c3", "reject", 3), ("c1", "approve", 4)]):
-        write(tmp_path / "a", [{"callback_id": c, "candidate_id": 7, "action": a, "ts": t} for c, a, t in rows])
-    df = spark.readStream.schema("callback_id string, candidate_id long, action string, ts long").option("maxFilesPerTrigger", 1).json(str(tmp_path / "a"))
-    got = sorted((r.callback_id, r.outcome) for r in collect(spark, N.review_stream(df), "reviewed", tmp_path))
-    assert got == [("c1", "applied"), ("c1", "replay"), ("c2", "idempotent"), ("c3", "locked")]
-
-
 def test_signature_and_precheck(spark):
     good = hmac.new(b"key", b"5.n.body", hashlib.sha256).hexdigest()
     df = spark.createDataFrame([("5", "n", "body", good), ("5", "n", "body!", good), ("5", "n", None, None)], "ts string, nonce string, body string, signature string")
