@@ -42,23 +42,6 @@ def upsert(state: DataFrame, requests: DataFrame, key: str = "id") -> DataFrame:
     return requests.withColumn("_n", n).join(top, key, "left").withColumn("version", (F.coalesce("_top", F.lit(0)) + F.col("_n")).cast("int")).drop("_n", "_top")
 
 
-def balance_deltas(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(account, delta): what saving `new` over `old` (same ids; deleted rows count as gone) does to each account."""
-    def moves(df, sign):
-        live = df.filter("not is_deleted")
-        side = lambda c, s: live.select(F.col(c).alias("account"), (F.col("amount") * (s * sign)).alias("delta"))
-        return side("account_from", -1).unionByName(side("account_to", 1))
-
-    return moves(old, -1).unionByName(moves(new, 1)).filter("coalesce(account, '') != ''").groupBy("account").agg(F.sum("delta").cast(MONEY).alias("delta")).filter("delta != 0")
-
-
-def apply_balances(accounts: DataFrame, deltas: DataFrame) -> DataFrame:
-    """Accounts with the deltas applied; External and Investment accounts, and those without a balance, keep theirs."""
-    takes = F.col("current_balance").isNotNull() & ~F.col("kind").isin("External", "Investment")
-    j = accounts.join(deltas, accounts.name == deltas.account, "left")
-    return j.withColumn("new_balance", F.when(takes, F.col("current_balance") + F.coalesce("delta", F.lit(0))).otherwise(F.col("current_balance")).cast(MONEY)).drop("account", "delta")
-
-
 def reversal(tx: DataFrame, targets: DataFrame) -> DataFrame:
     """Offsetting rows for posted targets: income and expense swap, transfers and adjustments go back as transfers. Targets that are deleted, reversals, or reversed already get none."""
     done = tx.filter("reversal_of_id is not null and not is_deleted").select(F.col("reversal_of_id").alias("id")).distinct()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from saldo.operators import books as B
 from saldo.operators import commands as C
 from saldo.operators import ledger as L
 from saldo.operators import obligations as O
@@ -20,16 +21,68 @@ def validation_rejects(spark, d):
     return C.validate(t).select("id", "reject_reason")
 
 
-@query(with_tables("accounts", "tx", body=f"""SELECT name, {D('current_balance')} AS before, {D("CASE WHEN current_balance IS NULL OR kind IN ('External', 'Investment') THEN current_balance ELSE current_balance + coalesce(delta, 0) END")} AS after FROM accounts LEFT JOIN (
-SELECT account, sum(delta) AS delta FROM (SELECT account_from AS account, amount AS delta FROM tx WHERE NOT is_deleted UNION ALL SELECT account_to, -amount FROM tx WHERE NOT is_deleted
- UNION ALL SELECT account_from, -(amount + 10) FROM tx WHERE NOT is_deleted AND id % 2 = 0 UNION ALL SELECT account_to, amount + 10 FROM tx WHERE NOT is_deleted AND id % 2 = 0) WHERE account <> '' GROUP BY account) ON account = name"""))
+#: Two requests for each transaction: an update (10 more; every third 1500 days later, every seventh with its sides swapped), then a delete
+#: of the odd ones and a new expense of 25 beside the even ones.
+BOOK = ["""req AS (SELECT id * 2 AS request_no, 'update' AS op, id, CASE WHEN id % 3 = 0 THEN date + 1500 ELSE date END AS date, transaction_type, CAST(amount + 10 AS DECIMAL(18,2)) AS amount,
+    CASE WHEN id % 7 = 0 THEN account_to ELSE account_from END AS account_from, CASE WHEN id % 7 = 0 THEN account_from ELSE account_to END AS account_to, money_context FROM tx
+  UNION ALL SELECT id * 2 + 1, CASE WHEN id % 2 = 1 THEN 'delete' ELSE 'create' END, CASE WHEN id % 2 = 1 THEN id ELSE id + 1000000000 END, date, 'Expense', CAST(25 AS DECIMAL(18,2)), CASE WHEN account_from <> '' THEN account_from ELSE account_to END, '', 'Personal' FROM tx)""",
+    """told AS (SELECT r.*, CASE WHEN op = 'delete' THEN NULL WHEN transaction_type NOT IN ('Income', 'Expense', 'Transfer') THEN 'type' WHEN r.amount = 0 THEN 'amount' WHEN money_context NOT IN ('Personal', 'Pass-through', 'Third-party') THEN 'context'
+    WHEN transaction_type = 'Expense' AND account_from = '' THEN 'from' WHEN transaction_type = 'Income' AND account_to = '' THEN 'to' WHEN transaction_type = 'Transfer' AND (account_from = '' OR account_to = '') THEN 'both' WHEN transaction_type = 'Transfer' AND account_from = account_to THEN 'same'
+    WHEN transaction_type IN ('Expense', 'Transfer') AND f.name IS NULL THEN 'from_missing' WHEN transaction_type IN ('Expense', 'Transfer') AND NOT f.active THEN 'from_inactive'
+    WHEN transaction_type = 'Transfer' AND t.name IS NULL THEN 'to_missing' WHEN transaction_type IN ('Income', 'Transfer') AND NOT t.active THEN 'to_inactive' END AS reject_reason
+    FROM req r LEFT JOIN accounts f ON f.name = r.account_from LEFT JOIN accounts t ON t.name = r.account_to)""",
+    "kept AS (SELECT request_no, op, id, date, transaction_type, amount, account_from, account_to FROM told WHERE reject_reason IS NULL)",
+    """chain AS (SELECT k.*, o.date AS o_date, o.transaction_type AS o_type, o.amount AS o_amount, o.account_from AS o_from, o.account_to AS o_to, o.id IS NOT NULL AS there FROM kept k LEFT JOIN (
+      SELECT -1 AS request_no, id, date, transaction_type, amount, account_from, account_to FROM tx UNION ALL SELECT request_no, id, date, transaction_type, amount, account_from, account_to FROM kept WHERE op = 'update') o
+    ON k.op <> 'create' AND o.id = k.id AND o.request_no < k.request_no QUALIFY row_number() OVER (PARTITION BY k.request_no ORDER BY o.request_no DESC) = 1)""",
+    "saved AS (SELECT *, CASE op WHEN 'create' THEN TRUE WHEN 'delete' THEN there ELSE NOT there OR o_type <> transaction_type OR abs(o_amount - amount) >= 0.005 OR o_from <> account_from OR o_to <> account_to END AS changed FROM chain)",
+    """moves AS (SELECT request_no, 0 AS step, o_from AS account, o_amount AS delta, CASE WHEN op = 'update' THEN date ELSE o_date END AS date FROM saved WHERE changed AND there AND o_type IN ('Expense', 'Transfer')
+  UNION ALL SELECT request_no, 1, o_to, -o_amount, CASE WHEN op = 'update' THEN date ELSE o_date END FROM saved WHERE changed AND there AND o_type IN ('Income', 'Transfer')
+  UNION ALL SELECT request_no, 2, account_from, -amount, date FROM saved WHERE changed AND op <> 'delete' AND transaction_type IN ('Expense', 'Transfer')
+  UNION ALL SELECT request_no, 3, account_to, amount, date FROM saved WHERE changed AND op <> 'delete' AND transaction_type IN ('Income', 'Transfer'))""",
+    """history AS (SELECT m.account, m.request_no, m.step, a.current_balance + sum(m.delta) OVER (PARTITION BY m.account ORDER BY m.request_no, m.step) AS balance, m.date AS snapshot_date
+    FROM moves m JOIN accounts a ON a.name = m.account WHERE a.current_balance IS NOT NULL AND a.kind NOT IN ('External', 'Investment') AND m.date >= a.balance_date)"""]
+
+
+def _book(spark, d):
+    t = transactions(spark, d)
+    own, k = F.col("account_from"), F.col("id")
+    facts = lambda *c: t.select(*c, F.lit("derived").alias("budget_rule_version"), F.lit(False).alias("exclude_from_budget"), F.lit("").alias("exclusion_reason"))
+    edits = facts((k * 2).alias("request_no"), F.lit("update").alias("op"), "id", F.when(k % 3 == 0, F.date_add("date", 1500)).otherwise(F.col("date")).alias("date"), "transaction_type", (F.col("amount") + 10).cast("decimal(18,2)").alias("amount"),
+                  F.when(k % 7 == 0, F.col("account_to")).otherwise(own).alias("account_from"), F.when(k % 7 == 0, own).otherwise(F.col("account_to")).alias("account_to"), "money_context")
+    odd = k % 2 == 1
+    more = facts((k * 2 + 1).alias("request_no"), F.when(odd, "delete").otherwise("create").alias("op"), F.when(odd, k).otherwise(k + 1_000_000_000).alias("id"), "date", F.lit("Expense").alias("transaction_type"), F.lit(25).cast("decimal(18,2)").alias("amount"),
+                 F.when(own != "", own).otherwise(F.col("account_to")).alias("account_from"), F.lit("").alias("account_to"), F.lit("Personal").alias("money_context"))
+    return B.account_rejects(edits.unionByName(more), accounts(spark, d)), t
+
+
+def _saved(spark, d):
+    req, t = _book(spark, d)
+    return B.save_transactions(req.filter("reject_reason is null"), t)
+
+
+@query(_with(["accounts", "tx"], BOOK, f"""SELECT a.name, {D('a.current_balance')} AS before, {D('coalesce(h.balance, a.current_balance)')} AS after FROM accounts a LEFT JOIN (SELECT account, arg_max(balance, request_no * 4 + step) AS balance FROM history GROUP BY account) h ON h.account = a.name"""))
 def balance_mutation(spark, d):
-    old = transactions(spark, d)
-    new = old.withColumn("amount", F.col("amount") + 10).withColumn("is_deleted", F.col("is_deleted") | (F.col("id") % 2 == 1))  # odd ones are deleted, the others edited
-    out = C.apply_balances(accounts(spark, d), C.balance_deltas(old, new))
+    a = accounts(spark, d)
+    out = B.balances_after(a, B.balance_history(B.mutations(_saved(spark, d)), a))
     return out.select("name", F.col("current_balance").cast("double").alias("before"), F.col("new_balance").cast("double").alias("after"))
 
 
+@query(_with(["accounts", "tx"], BOOK, f"SELECT account, request_no, CAST(step AS INTEGER) AS step, {D('balance')} AS balance, snapshot_date FROM history"))
+def balance_history(spark, d):
+    h = B.balance_history(B.mutations(_saved(spark, d)), accounts(spark, d))
+    return h.select("account", "request_no", "step", F.col("balance").cast("double").alias("balance"), "snapshot_date")
+
+
+@query(_with(["accounts", "tx"], BOOK, f"""SELECT t.request_no, CASE WHEN t.reject_reason IS NOT NULL THEN 'REJECTED' WHEN s.op = 'create' THEN 'CREATE' WHEN NOT s.there THEN NULL WHEN s.op = 'update' THEN 'UPDATE' ELSE 'SOFT_DELETE' END AS action, t.reject_reason,
+  coalesce(s.changed, FALSE) AS changed, {D('s.o_amount')} AS old_amount FROM told t LEFT JOIN saved s USING (request_no)"""))
+def transaction_audit(spark, d):
+    req, _ = _book(spark, d)
+    saved = _saved(spark, d).select("request_no", "action", "changed", F.col("old.amount").cast("double").alias("old_amount"))
+    told = req.select("request_no", "reject_reason").join(saved, "request_no", "left")
+    return told.select("request_no", F.when(F.col("reject_reason").isNotNull(), "REJECTED").otherwise(F.col("action")).alias("action"), "reject_reason", F.coalesce("changed", F.lit(False)).alias("changed"), "old_amount")
+
+
 @query(with_tables("tx", body=f"""SELECT t.id AS reversal_of_id, CASE transaction_type WHEN 'Expense' THEN 'Income' WHEN 'Income' THEN 'Expense' ELSE 'Transfer' END AS transaction_type, account_to AS account_from, account_from AS account_to, {D('amount')} AS amount
 FROM tx t WHERE NOT is_deleted AND reversal_of_id IS NULL AND NOT EXISTS (SELECT 1 FROM tx r WHERE NOT r.is_deleted AND r.reversal_of_id = t.id)"""))
 def reversals(spark, d):
