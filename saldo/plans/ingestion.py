@@ -9,6 +9,7 @@ from saldo.functions import money as M
 from saldo.functions import text as T
 from saldo.operators import ingest as G
 from saldo.operators import ledger as L
+from saldo.operators.guard import hmac_sha256, verify
 from saldo.plans.core import D, _with
 from saldo.plans.insights import normalize_sql
 from saldo.plans.registry import query
@@ -76,6 +77,26 @@ def nonce_dedupe(spark, d):
     return raw_events(spark, d).groupBy("source", "external_id").agg(F.min("id").alias("id"), F.count("*").alias("n"))
 
 
+#: Requests of every event: some too old or new, unsigned, badly signed or without a time; those of a quarter of an hour share a nonce.
+SECRET = "fixture secret"
+REQUESTS = """req AS (SELECT id, epoch_ms(ts) AS received, 'n' || (epoch_ms(ts) // 900000) AS nonce, CASE WHEN id % 19 = 0 THEN '' WHEN id % 17 = 0 THEN 'soon' ELSE CAST(epoch_ms(ts) + CASE id % 9 WHEN 0 THEN 300001 WHEN 1 THEN -300000 ELSE id % 9 * 1000 END AS VARCHAR) || CASE WHEN id % 23 = 0 THEN 'x' ELSE '' END END AS timestamp FROM raws),
+first_fault AS (SELECT *, CASE WHEN timestamp = '' OR id % 29 = 0 THEN 'MISSING_HEADERS' WHEN timestamp = 'soon' THEN 'INVALID_TIMESTAMP' WHEN abs(received - CAST(rtrim(timestamp, 'x') AS BIGINT)) > 300000 THEN 'EXPIRED_TIMESTAMP' WHEN id % 11 = 0 THEN 'INVALID_SIGNATURE' END AS fault FROM req),
+good AS (SELECT id, nonce, received, CAST(rtrim(timestamp, 'x') AS BIGINT) AS sent, row_number() OVER (PARTITION BY nonce ORDER BY received, id) AS n FROM first_fault WHERE fault IS NULL),
+f AS (SELECT id, nonce, n, sent AS reserved, 'VALID' AS outcome FROM good WHERE n = 1
+  UNION ALL SELECT g.id, g.nonce, g.n, CASE WHEN f.reserved < g.received - 600000 THEN g.sent ELSE f.reserved END, CASE WHEN f.reserved < g.received - 600000 THEN 'VALID' ELSE 'NONCE_REPLAY' END FROM f JOIN good g ON g.nonce = f.nonce AND g.n = f.n + 1)"""
+
+
+@query(_with(["raws"], [REQUESTS], "SELECT q.id, coalesce(q.fault, f.outcome) AS outcome FROM first_fault q LEFT JOIN f USING (id)").replace("WITH ", "WITH RECURSIVE ", 1))
+def request_guard(spark, d):
+    k, received = F.col("id"), F.unix_millis(F.col("ts").cast("timestamp"))
+    off = F.when(k % 9 == 0, 300_001).when(k % 9 == 1, -300_000).otherwise(k % 9 * 1000)
+    named = F.when(k % 19 == 0, "").when(k % 17 == 0, "soon").otherwise(F.concat((F.col("received") + off).cast("string"), F.when(k % 23 == 0, "x").otherwise("")))
+    e = raw_events(spark, d).select("id", received.alias("received"), "merchant").withColumn("timestamp", named).withColumn("nonce", F.concat(F.lit("n"), F.floor(F.col("received") / 900_000).cast("string")))
+    sign = hmac_sha256(SECRET, F.concat_ws(".", "timestamp", "nonce", "merchant"))
+    signature = F.when(k % 29 == 0, F.lit(None)).when(k % 11 == 0, F.reverse(sign)).when(k % 13 == 0, F.upper(sign)).otherwise(sign)
+    return verify(e.withColumn("signature", signature).withColumnRenamed("merchant", "body"), SECRET, ["id"]).select("id", "outcome")
+
+
 ACTIONS = "actions AS (SELECT 'cb' || (id % 6000) AS callback_id, id % 2500 AS candidate_id, CASE WHEN k % 2 = 0 THEN 'approve' ELSE 'reject' END AS action, ts, id FROM raws)"
 
 
