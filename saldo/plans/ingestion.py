@@ -9,6 +9,7 @@ from saldo.functions import money as M
 from saldo.functions import text as T
 from saldo.operators import ingest as G
 from saldo.operators import ledger as L
+from saldo.operators.canonical import SCHEMAS, canonicalize, cut
 from saldo.operators.guard import hmac_sha256, verify
 from saldo.plans.core import D, _with
 from saldo.plans.insights import normalize_sql
@@ -67,6 +68,20 @@ def canonical_correlate(spark, d):
     return G.correlate(e.filter(~old), e.filter(old))
 
 
+@query(None)
+def canonical_ingest(spark, d):
+    """Outcome of every classified message, taken up in two batches: which of them SQL would have to find one message after the other."""
+    k = F.col("id")
+    e = (G.classify(messages(spark, d)).select(k.alias("n"), "ts", "source", "external_id", "reference", F.when(k % 4 == 0, F.concat(F.lit("O"), (k % 500).cast("string"))).otherwise("").alias("order_id"), G.event_key(F.col("source"), F.col("external_id")).alias("event_id"),
+         "event_kind", "financial_class", F.when(F.col("event_kind").startswith("INCOMING"), "IN").otherwise("OUT").alias("direction"), "amount", F.when(k % 2 == 0, F.col("merchant")).alias("merchant"), "evidence_role"))
+    old = F.col("ts") < F.lit(f"{SPLIT} 00:00:00").cast("timestamp_ntz")
+    none = [spark.createDataFrame([], SCHEMAS[t]) for t in ("raws", "events", "evidence")]
+    first = {t: cut(df) for t, df in canonicalize(e.filter(old).drop("ts"), *none).items()}
+    then = canonicalize(e.filter(~old).drop("ts"), *[first[t] for t in ("raws", "events", "evidence")])
+    told = first["outcomes"].withColumn("batch", F.lit(1)).unionByName(then["outcomes"].withColumn("batch", F.lit(2)))
+    return told.select("batch", F.col("n").alias("id"), "source", "external_id", "outcome", "event_id")
+
+
 @query(_with(["raws"], [MSG, CLASSED, RULE, EVENTS], "SELECT id, outcome FROM (SELECT id, CASE WHEN row_number() OVER (PARTITION BY source, external_id ORDER BY ts, id) > 1 THEN 'duplicate' ELSE 'new' END AS outcome FROM events_)"))
 def idempotent_ingest(spark, d):
     return G.first_seen(messages(spark, d), ["source", "external_id"], ["ts", "id"]).select("id", "outcome")

@@ -45,5 +45,9 @@ def test_same_rows(spark, duck, name):
     assert plain([tuple(r) for r in df.collect()], df.columns) == plain(con.fetchall(), names)
 
 
-def test_every_query_has_sql():
-    assert set(QUERIES) == set(SQL)
+#: Queries that SQL would answer one row after the other; a plain loop in the named test gives their rows.
+LOOPS = {"canonical_ingest": "test_canonical"}
+
+
+def test_every_query_has_sql_or_a_loop():
+    assert set(QUERIES) == set(SQL) | set(LOOPS)
