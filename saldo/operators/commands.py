@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from saldo.operators.folds import fold
+from saldo.operators.folds import fold, fold_moves
 
 MONEY = "decimal(18,2)"
 TYPES, CONTEXTS = ("Income", "Expense", "Transfer"), ("Personal", "Pass-through", "Third-party")
@@ -102,11 +102,9 @@ def idempotent(requests: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def reallocate(requests: DataFrame, budgets: DataFrame) -> DataFrame:
-    """Budget moves (request_no, month, source, target, amount) with outcome moved, short where the source had less at that point, or
-    unknown. Moves made before count, refused ones don't; what a source gets as another's target doesn't come into the batch."""
-    j = requests.join(budgets.select("month", F.col("category").alias("source"), "current_budget"), ["month", "source"], "left")
-    told = fold(j, ["month", "source"], "request_no", F.col("current_budget"), -F.col("amount"))
-    return told.withColumn("outcome", F.when(F.col("current_budget").isNull(), "unknown").when(F.col("applied"), "moved").otherwise("short")).drop("current_budget", "applied", "replay", "before")
+    """Budget moves (request_no, month, source, target, amount) in order: `invalid` without two categories and an amount, `unknown` where the
+    month lacks one of them, `short` where the source has less at that point, what it got before included; else `moved`."""
+    return fold_moves(requests, budgets.select("month", F.col("category").alias("name"), F.col("current_budget").alias("balance")), ["month"], "request_no")
 
 
 def goal_moves(requests: DataFrame, goals: DataFrame) -> DataFrame:

@@ -48,3 +48,48 @@ def fold(rows: DataFrame, keys: list[str], order: str, start: Column, delta: Col
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     out = df.repartition("_deal").sortWithinPartitions("_deal", "_key", order).drop("_deal").mapInArrow(_fold, f"{schema}, _before long, applied boolean, replay boolean")
     return out.withColumn("before", (F.col("_before").cast("decimal(20,0)") / 100).cast(MONEY)).drop("_before")
+
+
+def _moves(batches):
+    now, held = object(), {}
+    for b in batches:
+        key, kind, source, target, cents = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("_key", "_kind", "source", "target", "_cents"))
+        outcome, left, there = [], [], []
+        for k, what, a, z, n in zip(key, kind, source, target, cents, strict=True):
+            if k != now:
+                now, held = k, {}
+            if what == 0:
+                held[a] = n
+                said = None
+            elif not a or not z or a == z or n is None or n <= 0:
+                said = "invalid"
+            elif a not in held or z not in held:
+                said = "unknown"
+            elif held[a] < n:
+                said = "short"
+            else:
+                held[a] -= n
+                held[z] += n
+                said = "moved"
+            outcome.append(said)
+            left.append(held.get(a))
+            there.append(held.get(z))
+        rest = [c for c in b.schema.names if c not in ("_key", "_cents")]
+        told = pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in rest], pa.array(outcome, pa.string()), pa.array(left, pa.int64()), pa.array(there, pa.int64())], names=[*rest, "outcome", "_left", "_there"])
+        yield told.filter(pa.array([x == 1 for x in kind]))
+
+
+def fold_moves(requests: DataFrame, balances: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Moves (keys, order, source, target, amount) between the balances (keys, name, balance) of a key, in order: a move sees what those before
+    it have left, as a source and as a target. Adds outcome (moved, short, unknown, invalid) and source_after and target_after.
+
+    A key's balances come first in a sorted stream, its requests after them: what is held is a number for each of its names.
+    """
+    cents = lambda c: (c.cast(MONEY) * 100).cast("long").alias("_cents")
+    key = F.to_json(F.struct(*keys)).alias("_key")
+    first = balances.select(*keys, F.lit(None).cast(requests.schema[order].dataType).alias(order), F.col("name").alias("source"), F.lit(None).cast("string").alias("target"), F.lit(0).alias("_kind"), key, cents(F.col("balance")))
+    rows = first.unionByName(requests.select(*keys, order, "source", "target", F.lit(1).alias("_kind"), key, cents(F.col("amount"))))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name not in ("_key", "_cents"))
+    out = rows.repartition("_key").sortWithinPartitions("_key", "_kind", order).mapInArrow(_moves, f"{schema}, outcome string, _left long, _there long")
+    back = lambda c: (F.col(c).cast("decimal(20,0)") / 100).cast(MONEY)
+    return out.select(*keys, order, "source", "target", "outcome", back("_left").alias("source_after"), back("_there").alias("target_after"))

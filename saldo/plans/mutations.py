@@ -152,15 +152,24 @@ def idempotency_replay(spark, d):
     return C.idempotent(req, done).select("request_no", "outcome")
 
 
-@query(_recursive(_with(["budgets", "raws"], ["r AS (SELECT id AS request_no, '1999-' || lpad(CAST(id % 12 + 1 AS VARCHAR), 2, '0') AS month, ['Health', 'Shopping', 'None'][k % 3 + 1] AS source, CAST(amount * 100 AS DECIMAL(18,2)) AS amount FROM raws)",
-    "req AS (SELECT *, row_number() OVER (PARTITION BY month, source ORDER BY request_no) AS n FROM r)",
-    """f AS (SELECT q.month, q.source, CAST(0 AS BIGINT) AS n, b.current_budget AS bal, CAST(NULL AS BIGINT) AS request_no, CAST(NULL AS VARCHAR) AS outcome FROM (SELECT DISTINCT month, source FROM req) q LEFT JOIN budgets b ON b.month = q.month AND b.category = q.source
-  UNION ALL SELECT q.month, q.source, q.n, CASE WHEN f.bal >= q.amount THEN CAST(f.bal - q.amount AS DECIMAL(18,2)) ELSE f.bal END, q.request_no, CASE WHEN f.bal IS NULL THEN 'unknown' WHEN q.amount > f.bal THEN 'short' ELSE 'moved' END FROM f JOIN req q ON q.month = f.month AND q.source = f.source AND q.n = f.n + 1)"""],
-    "SELECT request_no, outcome FROM f WHERE n > 0")))
+#: A move of every event, between categories of a month, one of which no month has; amounts up to some budgets.
+SPENT_ON = ["Health", "Main Meals", "None", "Fuel", "Electronics", "Other / Miscellaneous"]
+
+
+@query(_recursive(_with(["budgets", "raws"], [f"""r AS (SELECT id AS request_no, '1997-' || lpad(CAST(id % 12 + 1 AS VARCHAR), 2, '0') AS month, {SPENT_ON}[id * 7 % 6 + 1] AS source, {SPENT_ON}[id // 5 % 6 + 1] AS target, CAST(CASE WHEN id % 31 = 0 THEN 0 ELSE amount * 30000 END AS DECIMAL(18,2)) AS amount FROM raws)""",
+    "req AS (SELECT *, row_number() OVER (PARTITION BY month ORDER BY request_no) AS n FROM r)",
+    "have AS (SELECT month, map(list(category), list(CAST(current_budget AS DECIMAL(18,2)))) AS held FROM budgets GROUP BY month)",
+    """f AS (SELECT q.month, CAST(0 AS BIGINT) AS n, h.held, CAST(NULL AS BIGINT) AS request_no, CAST(NULL AS VARCHAR) AS outcome, CAST(NULL AS DECIMAL(18,2)) AS source_after, CAST(NULL AS DECIMAL(18,2)) AS target_after FROM (SELECT DISTINCT month FROM req) q LEFT JOIN have h ON h.month = q.month
+  UNION ALL SELECT month, n, CASE WHEN outcome = 'moved' THEN map_concat(held, MAP([source, target], [CAST(s - amount AS DECIMAL(18,2)), CAST(t + amount AS DECIMAL(18,2))])) ELSE held END, request_no, outcome, CAST(CASE WHEN outcome = 'moved' THEN s - amount ELSE s END AS DECIMAL(18,2)), CAST(CASE WHEN outcome = 'moved' THEN t + amount ELSE t END AS DECIMAL(18,2)) FROM (
+    SELECT *, CASE WHEN source = target OR amount <= 0 THEN 'invalid' WHEN s IS NULL OR t IS NULL THEN 'unknown' WHEN s < amount THEN 'short' ELSE 'moved' END AS outcome FROM (
+      SELECT q.*, f.held, f.held[q.source] AS s, f.held[q.target] AS t FROM f JOIN req q ON q.month = f.month AND q.n = f.n + 1)))"""],
+    f"SELECT request_no, outcome, {D('source_after')} AS source_after, {D('target_after')} AS target_after FROM f WHERE n > 0")))
 def budget_reallocations(spark, d):
-    k = F.col("k") % 3
-    req = raw_events(spark, d).select(F.col("id").alias("request_no"), F.concat(F.lit("1999-"), F.lpad((F.col("id") % 12 + 1).cast("string"), 2, "0")).alias("month"), F.when(k == 0, "Health").when(k == 1, "Shopping").otherwise("None").alias("source"), (F.col("amount") * 100).cast("decimal(18,2)").alias("amount"))
-    return C.reallocate(req, budgets(spark, d)).select("request_no", "outcome")
+    k, names = F.col("id"), F.array(*map(F.lit, SPENT_ON))
+    at = lambda n: F.element_at(names, (n % 6 + 1).cast("int"))
+    req = raw_events(spark, d).select(k.alias("request_no"), F.concat(F.lit("1997-"), F.lpad((k % 12 + 1).cast("string"), 2, "0")).alias("month"), at(k * 7).alias("source"), at(F.floor(k / 5)).alias("target"),
+                                      F.when(k % 31 == 0, F.lit(0)).otherwise(F.col("amount") * 30000).cast("decimal(18,2)").alias("amount"))
+    return C.reallocate(req, budgets(spark, d)).select("request_no", "outcome", F.col("source_after").cast("double").alias("source_after"), F.col("target_after").cast("double").alias("target_after"))
 
 
 @query(_recursive(_with(["goals", "raws"], ["req AS (SELECT id AS request_no, id % 30 AS goal_id, ['fund', 'release', 'spend'][k % 3 + 1] AS op, amount, row_number() OVER (PARTITION BY id % 30 ORDER BY id) AS n FROM raws)",
