@@ -8,6 +8,7 @@ from saldo.operators import books as B
 from saldo.operators import commands as C
 from saldo.operators import ledger as L
 from saldo.operators import obligations as O
+from saldo.operators import reversals as V
 from saldo.plans.core import OUT, D, _with
 from saldo.plans.registry import query
 from saldo.sources.ledger import accounts, allocations, budgets, debt_events, debts, goals, raw_events, transactions, upcoming, with_tables
@@ -123,6 +124,40 @@ def debt_commands(spark, d):
     return C.debt_commands(req, debts(spark, d), O.outstanding(ev), ev.withColumn("operation_key", F.lit(None).cast("string")), covered).select("request_no", "outcome")
 
 
+#: Two requests for every debt event, a third of them with a key that events of a debt share; every tenth event is a correction of the one before.
+TODAY = "1999-06-15"
+DEBT_LOG = ["""log AS (SELECT transaction_id, line, min(debt_id) AS debt_id, max(amount) AS amount, transaction_id * 8 + line AS event_id, CASE WHEN line = 3 THEN transaction_id * 8 + 2 END AS reversal_of_id FROM devents GROUP BY transaction_id, line)""",
+    """rq AS (SELECT event_id * 2 + c AS request_no, event_id, CASE WHEN (event_id + c) % 3 = 0 THEN 'k' || debt_id || '-' || (event_id + c) % 40 WHEN (event_id + c) % 3 = 1 THEN 'u' || event_id * 2 + c END AS operation_key, debt_id FROM log, (VALUES (0), (1)) v(c))""",
+    """jq AS (SELECT q.*, CASE WHEN l.reversal_of_id IS NOT NULL THEN 'correction' WHEN EXISTS (SELECT 1 FROM log r WHERE r.reversal_of_id = q.event_id) THEN 'reversed' END AS early, row_number() OVER (PARTITION BY q.debt_id ORDER BY request_no) AS n FROM rq q JOIN log l ON l.event_id = q.event_id)""",
+    """f AS (SELECT debt_id, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS gone, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS BIGINT) AS request_no, CAST(NULL AS VARCHAR) AS outcome FROM (SELECT DISTINCT debt_id FROM jq)
+  UNION ALL SELECT debt_id, n, CASE WHEN outcome = 'applied' THEN list_append(gone, event_id) ELSE gone END, CASE WHEN outcome = 'applied' AND operation_key IS NOT NULL THEN list_append(used, operation_key) ELSE used END, request_no, outcome FROM (
+    SELECT j.*, f.gone, f.used, CASE WHEN early IS NOT NULL THEN early WHEN list_contains(f.gone, j.event_id) THEN 'reversed' WHEN list_contains(f.used, j.operation_key) THEN 'replay' ELSE 'applied' END AS outcome FROM f JOIN jq j ON j.debt_id = f.debt_id AND j.n = f.n + 1))"""]
+
+
+def _debt_log(spark, d):
+    one = debt_events(spark, d).groupBy("transaction_id", "line").agg(F.min("debt_id").alias("debt_id"), F.max("amount").alias("amount"), F.min("effect").alias("effect"), F.min("event_type").alias("event_type"))
+    e = one.withColumn("event_id", F.col("transaction_id") * 8 + F.col("line")).withColumn("operation_key", F.lit(None).cast("string"))
+    third = F.col("line") == 3
+    e = e.withColumn("reversal_of_id", F.when(third, F.col("transaction_id") * 8 + 2)).withColumn("event_type", F.when(third, "Correction").otherwise(F.col("event_type")))
+    n, c = F.col("event_id") + F.col("c"), F.col("event_id") * 2 + F.col("c")
+    key = F.when(n % 3 == 0, F.concat(F.lit("k"), F.col("debt_id").cast("string"), F.lit("-"), (n % 40).cast("string"))).when(n % 3 == 1, F.concat(F.lit("u"), c.cast("string")))
+    return e, e.select("event_id", "debt_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("c")).select(c.alias("request_no"), "event_id", key.alias("operation_key"))
+
+
+@query(_recursive(_with(["devents"], DEBT_LOG, "SELECT request_no, outcome FROM f WHERE n > 0")))
+def debt_reversals(spark, d):
+    e, requests = _debt_log(spark, d)
+    return V.reverse_debt_events(requests, e, transactions(spark, d), TODAY)["outcomes"]
+
+
+@query(_recursive(_with(["devents", "tx"], DEBT_LOG, f"""SELECT f.request_no, l.event_id AS reversal_of_event, CASE WHEN t.transaction_type = 'Income' THEN 'Expense' ELSE 'Income' END AS transaction_type, t.account_to AS account_from, t.account_from AS account_to,
+  CASE WHEN t.account_to <> '' THEN t.account_to ELSE t.account_from END AS account, {D("CASE WHEN t.transaction_type = 'Income' THEN -l.amount ELSE l.amount END")} AS delta FROM f JOIN jq j ON j.request_no = f.request_no JOIN log l ON l.event_id = j.event_id JOIN tx t ON t.id = l.transaction_id WHERE f.n > 0 AND f.outcome = 'applied'""")))
+def debt_reversal_cash(spark, d):
+    e, requests = _debt_log(spark, d)
+    cash = V.reverse_debt_events(requests, e, transactions(spark, d), TODAY)["cash"]
+    return cash.select("request_no", "reversal_of_event", "transaction_type", "account_from", "account_to", "account", F.col("delta").cast("double").alias("delta"))
+
+
 @query(with_tables("upcoming", "allocs", "raws", body=f"""SELECT 'transaction' AS part, CAST(count(*) AS BIGINT) AS n, {D('coalesce(sum(amount), 0)')} AS amount FROM ok UNION ALL SELECT 'debt_event', count(*), {D('coalesce(sum(amount), 0)')} FROM ok WHERE debt_id IS NOT NULL
 UNION ALL SELECT 'allocation', (SELECT count(*) FROM allocs WHERE status = 'Active' AND covers_upcoming_id IN (SELECT id FROM ok)), 0 UNION ALL SELECT 'reject', (SELECT count(*) FROM req) - (SELECT count(*) FROM ok), 0""").replace("\nSELECT 'transaction'", """,
 req AS (SELECT id AS request_no, id % 1500 AS upcoming_id FROM raws),
