@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from saldo.operators import ledger as L
 from saldo.operators import obligations as O
+from saldo.operators import reconcile as K
 from saldo.plans.registry import query
-from saldo.sources.ledger import AS_OF, MONTH, accounts, allocations, budgets, debt_events, debts, goals, snapshots, transactions, upcoming, with_tables
+from saldo.sources.ledger import AS_OF, MONTH, account_name, accounts, allocations, budgets, debt_events, debts, goals, raw_events, snapshots, transactions, upcoming, with_tables
 
 POSTED = "status IN ('Confirmed', 'Auto-classified')"
 NOT_REC = "NOT starts_with(lower(description), '[rekonsiliasi]')"
@@ -114,6 +115,50 @@ def reconcile_actions(spark, d):
     return df.select("account", L.reconcile_action(F.col("actual"), F.col("expected"), F.col("current_balance")).alias("action"), F.when(F.abs(gap) >= 0.005, gap).otherwise(F.lit(0)).cast("double").alias("adjustment"))
 
 
+#: An observed balance for each event: of its user's account what the book or the cache says, an amount of its own, or none.
+CHAIN = [*_book(None, True), """req AS (SELECT id AS request_no, account, force, CASE WHEN k % 7 = 0 THEN NULL WHEN k % 3 = 0 THEN e WHEN k % 3 = 1 THEN c ELSE amount END AS actual FROM (
+  SELECT r.id, r.k, r.amount, 'Customer#' || lpad(CAST(r.user_id * 11 % 190 AS VARCHAR), 9, '0') AS account, r.id % 5 = 0 AS force FROM raws r) q LEFT JOIN (SELECT account AS a, expected AS e, current_balance AS c FROM book) b ON b.a = q.account)""",
+    "numbered AS (SELECT req.*, b.account IS NOT NULL AS known, b.expected, b.current_balance, row_number() OVER (PARTITION BY req.account ORDER BY request_no) AS n FROM req LEFT JOIN book b ON b.account = req.account)",
+    """f AS (SELECT account, CAST(0 AS BIGINT) AS n, min(expected) AS e, min(current_balance) AS c, CAST(NULL AS BIGINT) AS request_no, CAST(NULL AS DECIMAL(18,2)) AS actual, CAST(NULL AS VARCHAR) AS action, CAST(NULL AS DECIMAL(38,2)) AS expected, CAST(NULL AS DECIMAL(18,2)) AS cached FROM numbered GROUP BY account
+  UNION ALL SELECT account, n, CASE WHEN action IN ('unknown_account', 'invalid', 'refused') THEN e ELSE actual END, CASE WHEN action IN ('unknown_account', 'invalid', 'refused') THEN c ELSE actual END, request_no, actual, action, e, c FROM (
+    SELECT x.account, x.n, x.request_no, x.actual, f.e, f.c, CASE WHEN NOT x.known THEN 'unknown_account' WHEN x.actual IS NULL THEN 'invalid' WHEN f.e IS NULL AND NOT x.force THEN 'refused' WHEN f.e IS NULL THEN 'anchor_established'
+      WHEN abs(x.actual - f.e) >= 0.005 THEN 'ledger_adjusted' WHEN f.c IS NULL OR abs(x.actual - f.c) >= 0.005 THEN 'cache_repaired' ELSE 'confirmed_in_sync' END AS action FROM f JOIN numbered x ON x.account = f.account AND x.n = f.n + 1))""",
+    "chain AS (SELECT *, action NOT IN ('unknown_account', 'invalid', 'refused') AS taken FROM f WHERE n > 0)"]
+
+
+def _chain_sql(body):
+    return _with(["accounts", "tx", "snaps", "raws"], CHAIN, body).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _chain(spark, d):
+    book = L.reconstruct(accounts(spark, d), transactions(spark, d), snapshots(spark, d)).select("account", "expected", "current_balance", "status")
+    own = raw_events(spark, d).select(F.col("id").alias("request_no"), account_name(F.col("user_id") * 11 % 190).alias("account"), (F.col("id") % 5 == 0).alias("force"), "k", "amount")
+    told = F.when(F.col("k") % 7 == 0, None).when(F.col("k") % 3 == 0, F.col("expected")).when(F.col("k") % 3 == 1, F.col("current_balance")).otherwise(F.col("amount"))
+    return K.reconcile_chain(own.join(book.drop("status"), "account", "left").select("request_no", "account", told.alias("actual"), "force"), book)
+
+
+@query(_chain_sql(f"SELECT request_no, account, action, {D('expected')} AS expected, {D('CASE WHEN taken THEN coalesce(actual - expected, 0) END')} AS difference FROM chain"))
+def reconcile_chain(spark, d):
+    return _chain(spark, d).select("request_no", "account", "action", F.col("expected").cast("double").alias("expected"), F.col("difference").cast("double").alias("difference"))
+
+
+@query(_chain_sql(f"""SELECT 'transaction' AS row_kind, request_no, CASE WHEN actual > expected THEN '' ELSE account END AS source, CASE WHEN actual > expected THEN account ELSE '' END AS target, {D('abs(actual - expected)')} AS amount, 'Adjustment' AS label FROM chain WHERE action = 'ledger_adjusted'
+UNION ALL SELECT 'snapshot', request_no, account, '', {D('actual')}, CASE action WHEN 'anchor_established' THEN 'manual_anchor' ELSE 'reconciliation' END FROM chain WHERE action IN ('anchor_established', 'ledger_adjusted', 'cache_repaired')
+UNION ALL SELECT 'audit', request_no, account, '', {D('coalesce(expected, actual)')}, CAST(DATE '{AS_OF}' AS VARCHAR) FROM chain WHERE taken"""))
+def reconcile_rows(spark, d):
+    c, text = _chain(spark, d), lambda x: F.lit(x)
+    tx = K.adjustments(c, AS_OF).select(text("transaction").alias("row_kind"), "request_no", F.col("account_from").alias("source"), F.col("account_to").alias("target"), F.col("amount").cast("double").alias("amount"), F.col("transaction_type").alias("label"))
+    snap = K.anchors_set(c, AS_OF).select(text("snapshot").alias("row_kind"), "request_no", F.col("account_name").alias("source"), text("").alias("target"), F.col("balance").cast("double").alias("amount"), F.col("snapshot_kind").alias("label"))
+    audit = K.audit_rows(c, AS_OF).select(text("audit").alias("row_kind"), "request_no", F.col("account_name").alias("source"), text("").alias("target"), F.col("book_balance").cast("double").alias("amount"), F.col("date_created").cast("string").alias("label"))
+    return tx.unionByName(snap).unionByName(audit)
+
+
+@query(_chain_sql(f"""SELECT a.name, {D('coalesce(l.actual, a.current_balance)')} AS balance, CASE WHEN l.anchored THEN DATE '{AS_OF}' ELSE a.balance_date END AS balance_date, CASE WHEN l.account IS NOT NULL THEN DATE '{AS_OF}' END AS last_reconciled_at
+FROM accounts a LEFT JOIN (SELECT account, arg_max(actual, request_no) AS actual, bool_or(action = 'anchor_established') AS anchored FROM chain WHERE taken GROUP BY account) l ON l.account = a.name"""))
+def reconciled_accounts(spark, d):
+    return K.accounts_after(accounts(spark, d), _chain(spark, d), AS_OF).select("name", F.col("current_balance").cast("double").alias("balance"), "balance_date", "last_reconciled_at")
+
+
 OUT = "outs AS (SELECT debt_id, sum(effect * amount) AS outstanding, max(CASE WHEN event_type = 'WriteOff' THEN 1 ELSE 0 END) AS written_off FROM devents GROUP BY debt_id)"
 DS = """ds AS (SELECT d.id, d.person_name, d.kind, coalesce(o.outstanding, 0) AS outstanding, CASE WHEN coalesce(o.outstanding, 0) < -0.005 THEN 'Invalid' WHEN abs(coalesce(o.outstanding, 0)) <= 0.005 THEN CASE WHEN coalesce(written_off, 0) = 1 THEN 'WrittenOff' ELSE 'Settled' END ELSE 'Active' END AS status FROM debts d LEFT JOIN outs o ON o.debt_id = d.id)"""
 
