@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from saldo.llm.common import U64, cut, keyed_groups, mix, pieces, spread, text_buffer
@@ -106,9 +106,10 @@ def discounts() -> list[Column]:
     return [cut_at(1, "n2", "n1").alias("d1"), cut_at(2, "n3", "n2").alias("d2"), cut_at(3, "n4", "n3").alias("d3")]
 
 
-def kneser_ney_tables(texts: DataFrame) -> tuple[DataFrame, int]:
-    """(m, kind, gram, value float) of the models m of `texts` (_text, m), and a bound of the number of rows: for each order k the log probability of every n-gram seen
-    (kind 2 k), and the log share that every context seen leaves to the next shorter one (kind 2 k + 1, gram = context).
+def kneser_ney_tables(texts: DataFrame) -> tuple[DataFrame, int, list[int]]:
+    """(m, kind, gram, value float) of the models m of `texts` (_text, m), a bound of the number of rows, and the models that have text: for each order k
+    the log probability of every n-gram seen (kind 2 k), and the log share that every context seen leaves to the next shorter one
+    (kind 2 k + 1, gram = context). Shares are made of counts, so that no sum depends on the order of rows.
 
     Counts of the highest order are aggregated in the tasks and packed before they are shuffled to their shards; lower orders count distinct predecessors.
     Every step is keyed by model and gram, context or suffix, of which one has 257 rows at most, so no key is hot; all tables
@@ -126,9 +127,9 @@ def kneser_ney_tables(texts: DataFrame) -> tuple[DataFrame, int]:
         n = c.groupBy("m").agg(*[F.sum((F.col("c") == i).cast("double")).alias(f"n{i}") for i in (1, 2, 3, 4)])
         rows = c.join(F.broadcast(n.select("m", *discounts())), "m").withColumn("context", F.shiftright("gram", BITS))  # one row for each model
         off = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        rows = rows.select("m", "gram", "context", "c", off.alias("off"))
-        totals = rows.groupBy("m", "context").agg(F.sum("c").alias("total"), F.sum("off").alias("left"))
-        rows = rows.join(totals, ["m", "context"])
+        left = F.count_if(F.col("c") == 1) * F.max("d1") + F.count_if(F.col("c") == 2) * F.max("d2") + F.count_if(F.col("c") > 2) * F.max("d3")
+        totals = rows.groupBy("m", "context").agg(F.sum("c").alias("total"), left.alias("left"))
+        rows = rows.select("m", "gram", "context", "c", off.alias("off")).join(totals, ["m", "context"])
         own, spare = (F.col("c") - F.col("off")) / F.col("total"), F.col("left") / F.col("total")
         if low is None:
             p = own + spare / 256
@@ -143,7 +144,8 @@ def kneser_ney_tables(texts: DataFrame) -> tuple[DataFrame, int]:
     table = out[0]
     for t in out[1:]:
         table = table.unionByName(t)
-    return table, 2 * sum(c.count() for c in counts)  # an order has no more contexts than n-grams
+    models = sorted(x.m for x in counts[-1].select("m").distinct().collect())
+    return table, 2 * sum(c.count() for c in counts), models  # an order has no more contexts than n-grams
 
 
 class Table:
@@ -153,7 +155,7 @@ class Table:
         bits = max(1, int(len(keys)).bit_length())
         self.shift = U64(64 - bits)
         order = np.argsort(keys.view(U64) * _ODD)
-        self.keys, self.values = keys[order], values[order].astype(np.float32, copy=False)
+        self.keys, self.values = keys[order], values[order]
         del order
         each = np.bincount((self.keys.view(U64) * _ODD >> self.shift).view(np.int64), minlength=1 << bits)
         self.first = np.zeros((1 << bits) + 1, np.int32)
@@ -198,9 +200,9 @@ def _perplexities(data: np.ndarray, at: np.ndarray, model: np.ndarray, lookup) -
     for i, j in pieces(at):
         n = np.diff(at[i : j + 1])
         logp = lookup(grams(data[at[i] : at[j]], at[i : j + 1] - at[i]), np.repeat(model[i:j].astype(np.int64), n))
-        total = np.concatenate([[0.0], np.cumsum(logp)])
         some = n > 0
-        out[i:j][some] = np.exp(-(total[at[i + 1 : j + 1] - at[i]] - total[at[i:j] - at[i]])[some] / n[some])
+        if some.any():  # a sum for each text, which its neighbours don't touch
+            out[i:j][some] = np.exp(-np.add.reduceat(logp, (at[i:j] - at[i])[some]) / n[some])
     return out
 
 
@@ -258,7 +260,7 @@ def resolve(asked: DataFrame, table: DataFrame) -> DataFrame:
     return out
 
 
-def perplexity(src: DataFrame, table: DataFrame, size: int, most_broadcast: int = 12_000_000, bucket_bytes: int = 32_000_000) -> DataFrame:
+def perplexity(src: DataFrame, table: DataFrame, size: int, most_broadcast: int = 12_000_000, bucket_bytes: int = 24_000_000) -> DataFrame:
     """`src` (_text, m, _id, _lang, _trusted) without its text, and with the perplexity of each row under model m.
 
     Tables of `size` rows, up to `most_broadcast` (12 bytes each), are broadcast, so that texts stay where they are. Beyond that the texts
@@ -283,13 +285,32 @@ def perplexity(src: DataFrame, table: DataFrame, size: int, most_broadcast: int
     return both.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_score_bucket, kinds)
 
 
+def order_statistic(values: DataFrame, key: str, column: str, quantile: float) -> DataFrame:
+    """(key, q): the value at place ceil(quantile * n) of the n values of each key, exactly, however the rows are partitioned.
+
+    Values are counted in bins of 1/1024, the bin of that place is found among the counts, and then only its rows are counted by
+    value: no task gets more than a key's bins, or the distinct values of one bin.
+    """
+    def at(counts, by, place):
+        upto = F.sum("_n").over(Window.partitionBy(key).orderBy(by))
+        ranked = counts.withColumn("_place", place).withColumn("_upto", upto)
+        return ranked.filter("_upto >= _place and _upto - _n < _place").withColumn("_place", F.col("_place") - F.col("_upto") + F.col("_n"))
+
+    binned = values.select(key, column, F.floor(F.col(column) * 1024).alias("_bin"))
+    total = F.sum("_n").over(Window.partitionBy(key))
+    bins = at(binned.groupBy(key, "_bin").agg(F.count("*").alias("_n")), "_bin", F.greatest(F.lit(1), F.ceil(F.lit(float(quantile)) * total)))
+    rows = binned.join(bins.select(key, "_bin", "_place"), [key, "_bin"]).groupBy(key, column).agg(F.count("*").alias("_n"), F.max("_place").alias("_place"))
+    return at(rows, column, F.col("_place")).select(key, F.col(column).alias("q"))
+
+
 def quality_filter(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.995, slack: float = 1.05, most_ids: int = 500_000,
                    most_languages: int = 100_000, most_broadcast: int = 12_000_000) -> DataFrame:
     """(id_col, lang, perplexity, threshold, keep) for each row of `docs`.
 
     The rows whose id is in `trusted_ids` (one column, id_col) are dealt into two halves by a hash of the id, and a model of
     order six over whole bytes is counted on each. Every row is scored under the half that its id is not in, so that trusted
-    rows set the thresholds by texts that their model hasn't seen. A row is kept if its perplexity is at most `slack` times the
+    rows set the thresholds by texts that their model hasn't seen. Where only one half has text, its model scores every row, the
+    trusted ones too. A row is kept if its perplexity is at most `slack` times the
     `quantile` (ties included) of the trusted rows of its language; a language without trusted rows, or null, takes the quantile
     of all trusted rows. Null and empty texts have no perplexity and are not kept; nor is any row where nothing is trusted.
     Repeated rows and ids are rows of their own; rows with a null id are scored, but never trusted. Other columns are ignored.
@@ -303,13 +324,14 @@ def quality_filter(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_i
     half = F.coalesce(F.pmod(F.xxhash64("_id"), F.lit(2)), F.lit(0)).cast("int")
     src = (docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
            .join(F.broadcast(ids) if few else ids, "_id", "left").select("_id", "_lang", "_text", F.coalesce("_trusted", F.lit(False)).alias("_trusted"), (1 - half).alias("m")))
-    tables, size = kneser_ney_tables(src.filter("_trusted").select("_text", (1 - F.col("m")).alias("m")))
+    tables, size, models = kneser_ney_tables(src.filter("_trusted").select("_text", (1 - F.col("m")).alias("m")))
+    if len(models) == 1:
+        src = src.withColumn("m", F.lit(models[0]))
     scored = cut(perplexity(src, tables, size, most_broadcast))
     good = scored.filter("_trusted and perplexity is not null")
-    mark = lambda df: df.agg(F.percentile_approx("perplexity", quantile, 10_000).alias("q"))
-    by_lang = cut(mark(good.filter("_lang is not null").groupBy("_lang")))  # one row for each language
-    overall = mark(good).first()[0]
-    limit = F.coalesce(F.col("q"), F.lit(overall).cast("double")) * slack
+    by_lang = cut(order_statistic(good.filter("_lang is not null"), "_lang", "perplexity", quantile))  # one row for each language
+    overall = order_statistic(good.withColumn("_all", F.lit(0)), "_all", "perplexity", quantile).first()
+    limit = F.coalesce(F.col("q"), F.lit(overall and overall.q).cast("double")) * slack
     if by_lang.limit(most_languages + 1).count() <= most_languages:
         scored = scored.join(F.broadcast(by_lang), "_lang", "left")
     else:
