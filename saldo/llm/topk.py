@@ -11,6 +11,10 @@ from saldo.llm.common import U64, cut, keyed_groups, spread
 
 BINS = 1024
 LOW, HIGH = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+#: A score beyond a long is ordered by its bytes, moved above zero: 64 x is under 2^1030, so that any inner product is under 2^2111.
+WIDE_BYTES = 264
+#: Components of the candidates of a cell, which its task holds.
+CELL_BYTES = 32_000_000
 #: Blocks of rows: `tag` names a row, `kind` is the letter of the components' type.
 BLOCK = "dim int, query boolean, size long, kind string, ids binary, tags binary, vecs binary, peak double"
 
@@ -35,16 +39,36 @@ def _exact(v: np.ndarray) -> np.ndarray:
     return np.array([int(np.floor(64.0 * x)) if abs(x) < 2.0**50 else 64 * int(x) for x in v.ravel().tolist()], object).reshape(v.shape)
 
 
-def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Integer inner products: by doubles where these are exact, by int64 where it holds them, else by Python integers, of
-    which those beyond int64 count as its nearest value."""
+def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Integer inner products: by doubles where these are exact, by int64 where it holds them, else by Python integers."""
     if q.dtype != np.float64 and x.dtype != np.float64:
         reach = q.shape[1] * int(np.abs(q.astype(np.int64)).max(initial=0)) * int(np.abs(x.astype(np.int64)).max(initial=0))
         if reach < 2**53:
             return (q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64)
         if reach < 2**63:
             return q.astype(np.int64) @ x.astype(np.int64).T
-    return np.clip(_exact(q) @ _exact(x).T, LOW + 1, HIGH).astype(np.int64)
+    return _exact(q) @ _exact(x).T
+
+
+def _scores(products: np.ndarray) -> np.ndarray:
+    """Products as int64, those beyond it as its nearest value: the order is kept, only ties are added."""
+    return products if products.dtype == np.int64 else np.clip(products, LOW + 1, HIGH).astype(np.int64)
+
+
+def _behind(products: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """What orders equal scores, smallest first: the exact product of those at the ends of the range, negated; 0 for the rest."""
+    out = np.zeros(len(scores), np.int64)
+    ends = np.flatnonzero((scores == HIGH) | (scores <= LOW + 1))
+    if len(ends):
+        out = out.astype(object)
+        out[ends] = [-int(v) for v in products[ends].tolist()]
+    return out
+
+
+def _wide(behind: np.ndarray) -> pa.Array:
+    """Exact products of the scores at the ends as bytes in their order; null for the rest."""
+    offset = 1 << (8 * WIDE_BYTES - 1)
+    return pa.array([None if v == 0 else (offset - v).to_bytes(WIDE_BYTES, "big") for v in behind.tolist()], pa.binary())
 
 
 def _pack(batches, block_rows, query_rows):
@@ -109,7 +133,7 @@ def _histograms(batches):
     for q, candidates in _cells(batches):
         total = np.zeros((len(q.ids), BINS + 1), np.int64)
         for x in candidates:
-            s = _scores(q.vecs, x.vecs)
+            s = _scores(_products(q.vecs, x.vecs))
             live = (s >= q.low[:, None]) & (q.tags[:, None] != x.tags[None])
             bins = np.minimum((s.view(U64) - q.low.view(U64)[:, None]) // q.width[:, None], U64(BINS)).astype(np.int64)
             bins += np.arange(len(q.ids))[:, None] * (BINS + 1)
@@ -138,16 +162,17 @@ def _select(batches, k):
     for q, candidates in _cells(batches):
         held = None
         for x in candidates:
-            s = _scores(q.vecs, x.vecs)
+            products = _products(q.vecs, x.vecs)
+            s = _scores(products)
             row, col = np.nonzero((s >= q.low[:, None]) & (q.tags[:, None] != x.tags[None]))
-            got = (row, x.ids[col], s[row, col])
-            row, ids, s = got if held is None else (np.concatenate(c) for c in zip(held, got, strict=True))
-            order = np.lexsort((ids, -1 - s, row))  # -1 - s: falling scores without overflow
-            row, ids, s = row[order], ids[order], s[order]
+            got = (row, x.ids[col], s[row, col], _behind(products[row, col], s[row, col]))
+            row, ids, s, behind = got if held is None else (np.concatenate(c) for c in zip(held, got, strict=True))
+            order = np.lexsort((ids, behind, -1 - s, row))  # -1 - s: falling scores without overflow
+            row, ids, s, behind = row[order], ids[order], s[order], behind[order]
             place = np.arange(len(row)) - np.searchsorted(row, row)
-            held = tuple(c[place < k] for c in (row, ids, s))
+            held = tuple(c[place < k] for c in (row, ids, s, behind))
         if held is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(q.tags[held[0]]), pa.array(q.ids[held[0]]), pa.array(held[1]), pa.array(held[2])], names=["tag", "query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(q.tags[held[0]]), pa.array(q.ids[held[0]]), pa.array(held[1]), pa.array(held[2]), _wide(held[3])], names=["tag", "query_id", "vec_id", "score", "wide"])
 
 
 def _query_rows(batches):
@@ -173,11 +198,11 @@ def top_k(vectors: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str
     Rows that meet the SQL condition `query` are the queries; all rows but the query's own are candidates. Ties go to the
     smaller id. A repeated id stands for rows of their own: each is a query with k results of its own, and a candidate of the
     others. Vectors that are null, empty, or hold null or non-finite components, and rows with a null id, take no part;
-    vectors of another length than the query's are no candidates. Any finite components are computed exactly; a score
-    beyond the range of a long counts as the nearest long. Other columns are ignored; an empty table gives no rows.
+    vectors of another length than the query's are no candidates. Any finite components are computed and ranked exactly; a score
+    beyond the range of a long is told as the nearest long. Other columns are ignored; an empty table gives no rows.
 
-    Rows are packed into blocks, in the narrowest integer type. A cell is a query block with a group of candidate blocks,
-    which its task passes one at a time; cells have keys of their own, so no key gathers more than that. A round scores
+    Rows are packed into blocks, in the narrowest integer type. A cell is a query block with a group of candidate blocks of some
+    CELL_BYTES on average, which its task holds packed and scores one at a time; cells have keys of their own, so no key gathers more than that. A round scores
     everything and counts all scores into BINS bins per query; the summed histogram says in which bin the kth score lies,
     and the next round splits that bin, until bins are one score wide (two rounds for components of at most one, more for
     larger ones). A last round filters what reaches the kth value and breaks ties.
@@ -189,8 +214,8 @@ def top_k(vectors: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str
     packed = cut(spread(src).mapInArrow(lambda it: _pack(it, block, query_block), BLOCK).withColumn("block", F.monotonically_increasing_id()))
     # Numbers of the blocks and their sums are small tables, one row a block.
     place = packed.select("block", "dim", "query", (F.row_number().over(Window.partitionBy("dim", "query").orderBy("block")) - 1).alias("place"))
-    sums = packed.groupBy("dim").agg(F.count_if("query").alias("n_q"), F.count_if(~F.col("query")).alias("n_x"), F.max("peak").alias("peak"))
-    groups = F.least(F.col("n_x"), F.greatest(F.ceil(2 * cores / F.col("n_q")), F.ceil(F.col("n_x") / 256)))
+    sums = packed.groupBy("dim").agg(F.count_if("query").alias("n_q"), F.count_if(~F.col("query")).alias("n_x"), F.max("peak").alias("peak"), F.sum(F.when(~F.col("query"), F.octet_length("vecs"))).alias("bytes"))
+    groups = F.least(F.col("n_x"), F.greatest(F.ceil(2 * cores / F.col("n_q")), F.ceil(F.col("n_x") / 256), F.ceil(F.col("bytes") / CELL_BYTES)))
     sums = cut(sums.filter("n_q > 0").withColumn("groups", groups))
     known = packed.join(place.select("block", "place"), "block").join(sums.select("dim", "n_q", "groups"), "dim")
     queries = cut(known.filter("query"))
@@ -218,6 +243,6 @@ def top_k(vectors: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str
         state = cut(state.select("block", "tag", "pos").join(kth, "tag"))
         if widest == 1:
             break
-    best = cells(state).mapInArrow(lambda it: _select(it, k), "tag long, query_id long, vec_id long, score long")
-    rank = Window.partitionBy("tag").orderBy(F.desc("score"), "vec_id")
+    best = cells(state).mapInArrow(lambda it: _select(it, k), "tag long, query_id long, vec_id long, score long, wide binary")
+    rank = Window.partitionBy("tag").orderBy(F.desc("score"), F.desc("wide"), "vec_id")
     return best.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

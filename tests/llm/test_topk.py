@@ -11,8 +11,8 @@ def brute(rows, k):
     out = []
     for n, (q, vec) in enumerate(ok):
         if q % 20 == 0:
-            s = sorted((-min(2**63 - 1, max(1 - 2**63, sum(a * b for a, b in zip(vec, v)))), i) for m, (i, v) in enumerate(ok) if m != n and len(v) == len(vec))
-            out += [(q, r, i, -x) for r, (x, i) in enumerate(s[:k], 1)]
+            s = sorted((-sum(a * b for a, b in zip(vec, v)), i) for m, (i, v) in enumerate(ok) if m != n and len(v) == len(vec))
+            out += [(q, r, i, min(2**63 - 1, max(1 - 2**63, -x))) for r, (x, i) in enumerate(s[:k], 1)]
     return sorted(out)
 
 
@@ -53,3 +53,12 @@ def test_many_scores_equal_to_the_kth(spark):
     rows = [(i, [1.0, 0.0]) for i in range(300)] + [(i, [2.0, 0.0]) for i in range(1000, 1003)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
     assert sorted(map(tuple, top_k(df, 5, block=32, query_block=4).collect())) == brute(rows, 5)
+
+
+def test_scores_beyond_a_long_are_ranked_exactly(spark):
+    rows = [(20, [1e9]), (1, [1e11]), (2, [1e12]), (3, [1e12]), (4, [5e11]), (5, [2.0]), (40, [-1e9]), (60, [1.7e308]), (6, [-1e12]), (7, [-3e13])] + [(100 + 2 * i + 1, [1e11 + i]) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    for k, block in ((4, 5), (30, 4096)):
+        got = sorted(map(tuple, top_k(df, k, block=block, query_block=2).collect()))
+        assert got == brute(rows, k)
+    assert [r[2] for r in got if r[0] == 20][:3] == [60, 2, 3]
