@@ -125,11 +125,16 @@ def kneser_ney_tables(texts: DataFrame) -> tuple[DataFrame, int, list[int]]:
     for k in range(1, ORDER + 1):
         c = counts[ORDER - k]
         n = c.groupBy("m").agg(*[F.sum((F.col("c") == i).cast("double")).alias(f"n{i}") for i in (1, 2, 3, 4)])
-        rows = c.join(F.broadcast(n.select("m", *discounts())), "m").withColumn("context", F.shiftright("gram", BITS))  # one row for each model
+        marks = F.broadcast(n.select("m", *discounts()))  # one row for each model
         off = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        left = F.count_if(F.col("c") == 1) * F.max("d1") + F.count_if(F.col("c") == 2) * F.max("d2") + F.count_if(F.col("c") > 2) * F.max("d3")
-        totals = rows.groupBy("m", "context").agg(F.sum("c").alias("total"), left.alias("left"))
-        rows = rows.select("m", "gram", "context", "c", off.alias("off")).join(totals, ["m", "context"])
+        context = F.shiftright("gram", BITS).alias("context")
+        rows = c.join(marks, "m").select("m", "gram", context, "c", off.alias("off"))
+        # how many rows of a context have a count of one, two and more: 257 at most, so that one long holds the three
+        kinds = F.sum(F.when(F.col("c") == 1, 1).when(F.col("c") == 2, 1 << 10).otherwise(1 << 20).cast("long"))
+        totals = c.groupBy("m", context).agg(F.sum("c").alias("total"), kinds.alias("kinds")).join(marks, "m")
+        part = lambda i: F.shiftright("kinds", 10 * i).bitwiseAND(1023)
+        totals = totals.select("m", "context", "total", (part(0) * F.col("d1") + part(1) * F.col("d2") + part(2) * F.col("d3")).alias("left"))
+        rows = rows.join(totals, ["m", "context"])
         own, spare = (F.col("c") - F.col("off")) / F.col("total"), F.col("left") / F.col("total")
         if low is None:
             p = own + spare / 256
