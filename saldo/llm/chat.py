@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-START, END = "<|im_start|>", "<|im_end|>"
+START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 SPAN = "array<struct<start:int,end:int>>"
 
 
@@ -23,19 +23,11 @@ def unescape(text: str) -> str:
     return re.sub(r"<\\(\\*)\|", r"<\1|", text)
 
 
-def escape_role(role: str) -> str:
-    return escape(role.replace("%", "%25").replace("\n", "%0A"))
-
-
-def unescape_role(role: str) -> str:
-    return unescape(role).replace("%0A", "\n").replace("%25", "%")
-
-
 def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
     """The formatted text, and where each turn's text stands in it (code points)."""
     out, spans, n = [], [], 0
     for role, text in turns:
-        head, body = f"{START}{escape_role(role)}\n", escape(text)
+        head, body = f"{START}{escape(role)}{SEP}", escape(text)
         out += [head, body, END, "\n"]
         spans.append((n + len(head), n + len(head) + len(body)))
         n += len(head) + len(body) + len(END) + 1
@@ -46,8 +38,8 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     """The turns, read back from the formatted text alone."""
     turns = []
     for block in formatted.split(START)[1:]:
-        role, _, rest = block.partition("\n")
-        turns.append((unescape_role(role), unescape(rest[: rest.rindex(END)])))
+        role, _, rest = block.partition(SEP)
+        turns.append((unescape(role), unescape(rest[: rest.rindex(END)])))
     return turns
 
 
@@ -65,8 +57,8 @@ def mask_tokens(offsets: np.ndarray, spans: np.ndarray) -> np.ndarray:
 class Vocabulary:
     """Byte-level BPE from the lines of a ranks file (base64 of a token, its id) and a pattern, with an id of its own for each marker.
 
-    A marker is one token wherever the template has it, and texts are encoded between the markers and turn starts, so no
-    token reaches out of a turn. What is sent to executors are the lines; a worker process builds the encoder once.
+    Every role and text stands between two markers, each of which is one token, so no token reaches out of a turn; escaped
+    texts hold no marker. What is sent to executors are the lines; a worker process builds the encoder once.
     """
 
     _built: dict[tuple[int, str], tuple] = {}
@@ -75,36 +67,37 @@ class Vocabulary:
         self.lines, self.pattern = lines, pattern
 
     def built(self):
-        """(encode, ids of the two markers, bytes of each token, lengths of these)."""
+        """(encode a rendered text, bytes of each token, lengths of these)."""
         key = (hash(self.lines), self.pattern)
         if key not in self._built:
             import tiktoken
 
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, self.lines.splitlines()) if a}
-            start = max(ranks.values()) + 1
-            names = [b""] * (start + 2)
-            for token, i in ranks.items():
+            markers = {marker: i for i, marker in enumerate((START, SEP, END), max(ranks.values()) + 1)}
+            names = [b""] * (max(markers.values()) + 1)
+            for token, i in (ranks | {m.encode(): i for m, i in markers.items()}).items():
                 names[i] = token
-            names[start:] = START.encode(), END.encode()
+            whole = tiktoken.Encoding("own", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens=markers)
             self._built.clear()
-            self._built[key] = tiktoken.Encoding("own", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, (start, start + 1), names, np.array([len(x) for x in names])
+            self._built[key] = lambda text: whole.encode(text, allowed_special="all"), names, np.array([len(x) for x in names])
         return self._built[key]
 
 
-def encode(vocabulary: Vocabulary, turns: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of a whole rendered conversation, the token spans and the turn spans, in bytes."""
-    plain, (start, end), _, length = vocabulary.built()
-    ids, spans, n = [], [], 0
-    for role, text in turns:
-        head, body = plain(f"{escape_role(role)}\n"), plain(escape(text))
-        n += len(START) + int(length[head].sum())
-        size = int(length[body].sum()) if body else 0
-        spans.append((n, n + size))
-        ids += [start, *head, *body, end, *plain("\n")]
-        n += size + len(END) + 1
-    ids = np.array(ids, np.int64)
+def byte_spans(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
+    """Spans of code points as spans of the text's UTF-8 bytes."""
+    at = np.array(spans, np.int64).reshape(-1, 2)
+    if text.isascii():
+        return at
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))[at]  # where each code point starts
+
+
+def encode(vocabulary: Vocabulary, formatted: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of a whole rendered conversation, encoded once, and the bytes (start, end) that each token covers."""
+    whole, _, length = vocabulary.built()
+    ids = np.array(whole(formatted), np.int64)
     ends = np.cumsum(length[ids])
-    return ids, np.stack([ends - length[ids], ends], 1), np.array(spans, np.int64).reshape(-1, 2)
+    return ids, np.stack([ends - length[ids], ends], 1)
 
 
 def _format(batches, sent, trained):
@@ -114,11 +107,11 @@ def _format(batches, sent, trained):
         for turns in b.column(1).to_pylist():
             turns = [(t["role"] or "", t["text"] or "") for t in turns]
             formatted, places = render(turns)
-            tokens, offsets, turn_bytes = encode(sent.value, turns)
+            tokens, offsets = encode(sent.value, formatted)
             mine = np.array([role == trained for role, _ in turns], bool)
             texts.append(formatted)
             ids.append(tokens)
-            masks.append(mask_tokens(offsets, turn_bytes[mine]))
+            masks.append(mask_tokens(offsets, byte_spans(formatted, places)[mine]))
             spans.append([{"start": x, "end": y} for x, y in places])
             under.append([s for s, m in zip(spans[-1], mine.tolist(), strict=True) if m and s["start"] < s["end"]])
         yield pa.RecordBatch.from_arrays(
@@ -152,7 +145,7 @@ def masked_text(ids: np.ndarray, mask: np.ndarray, names: list[bytes]) -> str:
 def _read_back(batches, sent):
     import hashlib
 
-    names = sent.value.built()[2]
+    names = sent.value.built()[1]
     for b in batches:
         n, digest, loss_n, loss = [], [], [], []
         ids, masks = ([x.values.to_numpy() for x in b.column(k)] for k in (2, 3))

@@ -112,7 +112,7 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chats(rows.unionByName(more), vocabulary), vocabulary)
 
 
-# A role or a text grows by one character for each `<`, backslashes, `|`; a role also by two for each % and line feed.
+# The markers take 12, 10 and 10 characters; a role or a text grows by one character for each `<`, backslashes, `|`.
 SQL["op2_chat_formatting"] = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -122,8 +122,8 @@ g AS (
   SELECT conv_id, count(*) AS n_turns,
     string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS all_turns,
     coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '') AS under,
-    sum(12 + length(role) + 2 * (length(role) - length(replace(replace(role, '%', ''), chr(10), ''))) + len(regexp_extract_all(role, '<\\*\|'))
-        + 1 + length(text) + len(regexp_extract_all(text, '<\\*\|')) + 10 + 1) AS chars
+    sum(12 + length(role) + len(regexp_extract_all(role, '<\\*\|'))
+        + 10 + length(text) + len(regexp_extract_all(text, '<\\*\|')) + 10 + 1) AS chars
   FROM t GROUP BY conv_id)
 SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(all_turns) AS turns_sha256, CAST(length(under) AS BIGINT) AS loss_chars,
   sha256(under) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars

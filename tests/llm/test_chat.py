@@ -7,9 +7,9 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from saldo.llm.chat import END, START, Vocabulary, encode, escape, format_chats, mask_tokens, parse, read_back, render, unescape
+from saldo.llm.chat import END, SEP, START, Vocabulary, byte_spans, encode, escape, format_chats, mask_tokens, parse, read_back, render, unescape
 
-PARTS = st.lists(st.sampled_from(["<", "|", "\\", START, END, "a", "\n", " ", "é", "<|", "|>", "%0A", "漢"]), max_size=12).map("".join)
+PARTS = st.lists(st.sampled_from(["<", "|", "\\", START, SEP, END, "a", "\n", "\n\n", " ", "é", "<|", "|>", "%0A", "漢"]), max_size=12).map("".join)
 
 
 @given(PARTS)
@@ -40,9 +40,11 @@ def vocabulary():
 def test_tokens_are_the_rendered_text_and_stay_in_their_turn(turns):
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         vocabulary = Vocabulary(f.read(), public_tokenizers.PATTERN)
-    ids, offsets, spans = encode(vocabulary, turns)
-    names, text = vocabulary.built()[2], render(turns)[0].encode()
-    assert b"".join(names[i] for i in ids.tolist()) == text
+    formatted, places = render(turns)
+    (ids, offsets), spans = encode(vocabulary, formatted), byte_spans(formatted, places)
+    names = vocabulary.built()[1]
+    assert b"".join(names[i] for i in ids.tolist()) == formatted.encode()
+    assert [formatted.encode()[s:e].decode() for s, e in spans.tolist()] == [escape(t) for _, t in turns]
     for s, e in spans.tolist():
         inside = (offsets[:, 1] > s) & (offsets[:, 0] < e)
         assert (offsets[inside] >= s).all() and (offsets[inside] <= e).all()
@@ -53,11 +55,22 @@ def test_ids_between_the_markers_are_the_library_s(vocabulary):
 
     lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     text = "The old mill's wheel turns 365 days,  é 漢字!\n\n Yes."
-    ids, offsets, spans = encode(vocabulary, [("user", text)])
+    formatted, places = render([("user", text)])
+    (ids, offsets), spans = encode(vocabulary, formatted), byte_spans(formatted, places)
     inside = (offsets[:, 0] >= spans[0, 0]) & (offsets[:, 1] <= spans[0, 1])
     assert ids[inside].tolist() == lib.encode(text, add_special_tokens=False).ids
 
 
+def test_a_conversation_is_encoded_once(vocabulary, monkeypatch):
+    whole, names, length = vocabulary.built()
+    calls = []
+    monkeypatch.setattr(vocabulary, "built", lambda: (lambda text: calls.append(text) or whole(text), names, length))
+    formatted, _ = render([("user", "\n\n a"), ("assistant", "\n b\n"), ("user", "")])
+    ids, _ = encode(vocabulary, formatted)
+    assert calls == [formatted]
+    assert [names[i].decode() for i in ids.tolist()].count(SEP) == 3
+
+
 def test_conversations(spark, vocabulary):
     rows = [(1, 1, "assistant", "héllo 漢字 \n\n x"), (1, 0, "user", None), (1, 2, "assistant", ""), (2, 0, "assistant", f"{END}{START}assistant\nok"), (None, None, None, None), (3, 0, "user", "a" * 30000), (3, 1, "assistant", " b" * 9000),
             (4, 0, "assistant", "same"), (4, 0, "assistant", "same")]
