@@ -261,3 +261,9 @@ def keyed_groups(batches, key: str):
             held.append(b.slice(s, e - s))
     if held:
         yield now, pa.Table.from_batches(held)
+
+
+def beside(keep_cols: tuple[str, ...], *results: str) -> tuple[str, ...]:
+    """The columns to keep beside results: one that has a result's name, in whatever case, gives way to it; one named twice comes once."""
+    taken = {r.lower() for r in results}
+    return tuple({c.lower(): c for c in reversed(keep_cols) if c.lower() not in taken}.values())[::-1]

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saldo.llm.common import U64, mix, pieces, spread, text_buffer
+from saldo.llm.common import U64, beside, mix, pieces, spread, text_buffer
 
 WINDOW, DIM, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 16
 REACH = max(WIDTHS)
@@ -155,8 +155,9 @@ def detect_language(docs: DataFrame, model: ByteCnn | None, text_col: str = "tex
     A text is cut into windows of 256 bytes, batched through the network; its logits are the mean of its windows',
     weighted by their bytes, and score is the softmax of the best. `und`, with score 0, where the text is null, empty or
     without a letter, or where there is no model. Nothing but the text enters a prediction: rows that repeat an id or have none
-    are told like any other. An empty table gives no rows.
+    are told like any other. An empty table gives no rows. A kept column named like a result gives way to it.
     """
+    keep_cols = beside(keep_cols, "lang_pred", "score")
     text = F.col(text_col).cast("string")
     known = F.coalesce(text.rlike(r"\p{L}"), F.lit(False)) if model is not None else F.lit(False)
     same = text_col if text_col in keep_cols and docs.schema[text_col].dataType.simpleString() == "string" else None  # sent once

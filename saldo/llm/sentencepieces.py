@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from saldo.llm.common import pieces as row_ranges
-from saldo.llm.common import spread, text_buffer
+from saldo.llm.common import beside, spread, text_buffer
 
 MARK = "▁"
 #: Size of the words whose ids a worker keeps from batch to batch (characters, and OVERHEAD for each word); beyond it the table
@@ -202,7 +202,8 @@ def _decode(batches, sent, _, verify=False):
 
 def _through(df: DataFrame, first: Column, same: str | None, name: str, kind: str, f, table, keep_cols, verify: bool = False) -> DataFrame:
     """df's column `first` through f, with keep_cols beside it; `same` is the kept column that equals `first`, if there is one,
-    and so is not sent again."""
+    and so is not sent again. A kept column named like a result gives way to it."""
+    keep_cols = beside(keep_cols, name, *["round_trip"] * verify)
     sent = df.sparkSession.sparkContext.broadcast(table)  # the model file's pieces: its size doesn't depend on the data
     others = [c for c in keep_cols if c != same]
     src = df.select(first, *[F.col(c).alias(f"_k{i}") for i, c in enumerate(others)])
@@ -220,8 +221,10 @@ def encode(docs: DataFrame, table: PieceTable, text_col: str = "text", keep_cols
 
     Null and empty texts have no ids; rows that repeat an id or have none are encoded like any other, and an empty table gives no
     rows. Characters without a piece become the pieces of their bytes. Each batch's distinct
-    words (runs of marks and what follows, which no piece crosses) are encoded once, in sorted order.
+    words (runs of marks and what follows, which no piece crosses) are encoded once, in sorted order. A kept column named
+    like a result gives way to it.
     """
+    keep_cols = beside(keep_cols, "ids", *["round_trip"] * verify)
     same = text_col if text_col in keep_cols and docs.schema[text_col].dataType.simpleString() == "string" else None
     return _through(spread(docs), F.col(text_col).cast("string").alias("_text"), same, "ids", "array<int>", _encode, table, keep_cols, verify)
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saldo.llm.common import U64, SpanHash, keyed_groups, mix, pieces, prefix_hash, span_hash, spread, text_buffer
+from saldo.llm.common import U64, SpanHash, beside, keyed_groups, mix, pieces, prefix_hash, span_hash, spread, text_buffer
 from saldo.llm.suffix_array import permuted_prefixes, suffix_array
 
 #: Bytes of an anchor. Any `length` bytes contain length - ANCHOR + 1 runs of so many bytes; their smallest hash is the anchor.
@@ -437,7 +437,8 @@ def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                        keep_cols: tuple[str, ...] = (), shard_bytes: int = 8_000_000, hot_share: float = 0.01, hot_least: int = 32, most_parts: int = 20_000) -> DataFrame:
     """Each row of `docs` without the bytes covered by a `length`-byte string that also starts in a row with a smaller id.
 
-    Returns (id_col, n_bytes long, spans array<struct<start,end>>, kept binary, *keep_cols). Strings are judged on the
+    Returns (id_col, n_bytes long, spans array<struct<start,end>>, kept binary, *keep_cols); a kept column named like one of
+    these gives way to it. Strings are judged on the
     input, never across rows; null text counts as empty. Rows that repeat an id, with the same text or another, are judged one by
     one against smaller ids, never against each other. Rows with a null id come back whole and are no source. `whole_characters` shrinks each span to whole UTF-8
     characters, so that what is kept is valid text.
@@ -451,6 +452,7 @@ def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     its smallest id. The spans found then meet the texts by a bucket of the row. Between the steps packed, compressed columns
     travel, in about one partition for each `shard_bytes` of text (`most_parts` at most).
     """
+    keep_cols = beside(keep_cols, id_col, "n_bytes", "spans", "kept")
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep_cols)])
     named = spread(src.select("id", "text").filter("id is not null"))
     total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saldo.llm.common import U64, pieces, prefix_hash, span_hash, spread, text_buffer, word_spans
+from saldo.llm.common import U64, beside, pieces, prefix_hash, span_hash, spread, text_buffer, word_spans
 
 BITS = 18
 #: Lower-case ASCII letters; every ASCII byte that is no letter or digit ends a word; other bytes stand for themselves.
@@ -147,8 +147,9 @@ def score_toxicity(docs: DataFrame, model: PuModel, text_col: str = "text", keep
     """(*keep_cols, score double): the modelled probability that label 1 applies, from all words of the text.
 
     Null and empty texts get the score of a text without words. Nothing but the text enters a score: rows that repeat an id or have
-    none are scored like any other. An empty table gives no rows.
+    none are scored like any other. An empty table gives no rows. A kept column named like a result gives way to it.
     """
+    keep_cols = beside(keep_cols, "score")
     src = spread(docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep_cols)]))
     extra = "".join(f", `_k{i}` {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep_cols))
     out = src.mapInArrow(lambda it: _score(it, model), f"score double{extra}")
