@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from saldo.functions import money as M
 from saldo.functions import text as T
+from saldo.operators import backfill as B
 from saldo.operators import ingest as G
 from saldo.operators import ledger as L
 from saldo.operators.canonical import SCHEMAS, canonicalize, cut
@@ -278,3 +279,22 @@ def activity_sessions(spark, d):
     w = Window.partitionBy("user_id").orderBy("ts", "id")
     gap = F.timestamp_diff("SECOND", F.lag("ts").over(w), F.col("ts"))
     return raw_events(spark, d).select("id", F.coalesce(gap > 3600, F.lit(True)).alias("opens"))
+
+
+# A ledger row stands for a message: its account is the thread, reversals from 1997 on are messages that fail.
+@query(with_tables("tx", body=f"""SELECT * EXCLUDE (stop_month, stop_page) FROM (SELECT month, page, threads, messages, failed,
+  CASE WHEN stop_month IS NULL OR (month, page) < (stop_month, stop_page) THEN 'done' WHEN month = stop_month AND page = stop_page THEN 'stopped' ELSE 'waiting' END AS outcome,
+  CASE WHEN (month, page) >= (stop_month, stop_page) THEN stop_month WHEN threads = {B.PAGE} THEN month ELSE strftime(CAST(month || '-01' AS DATE) + INTERVAL 1 MONTH, '%Y-%m') END AS next_month,
+  CAST(CASE WHEN (month, page) >= (stop_month, stop_page) THEN stop_page * {B.PAGE} WHEN threads = {B.PAGE} THEN (page + 1) * {B.PAGE} ELSE 0 END AS BIGINT) AS next_offset, stop_month, stop_page
+  FROM (SELECT *, first_value(CASE WHEN failed > 0 THEN month END) OVER w AS stop_month, first_value(CASE WHEN failed > 0 THEN page END) OVER w AS stop_page FROM (
+    SELECT month, CAST(place // {B.PAGE} AS BIGINT) AS page, CAST(count(*) AS BIGINT) AS threads, CAST(sum(messages) AS BIGINT) AS messages, CAST(sum(failed) AS BIGINT) AS failed FROM (
+      SELECT *, row_number() OVER (PARTITION BY month ORDER BY newest DESC, thread) - 1 AS place FROM (
+        SELECT strftime(created_at, '%Y-%m') AS month, coalesce(nullif(account_from, ''), account_to) AS thread, max(created_at) AS newest, count(*) AS messages, sum(CASE WHEN reversal_of_id IS NOT NULL AND date >= DATE '1997-01-01' THEN 1 ELSE 0 END) AS failed
+        FROM tx WHERE money_context <> 'Third-party' AND strftime(created_at, '%Y-%m') BETWEEN '1993-01' AND '1998-12' GROUP BY 1, 2)) GROUP BY 1, 2)
+    WINDOW w AS (ORDER BY failed = 0, month, page ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)))"""))
+def backfill_progress(spark, d):
+    t = transactions(spark, d)
+    thread = F.coalesce(F.nullif("account_from", F.lit("")), "account_to")
+    failed = F.col("reversal_of_id").isNotNull() & (F.col("date") >= F.lit("1997-01-01").cast("date"))
+    messages = t.select(thread.alias("thread"), F.col("created_at").alias("ts"), (F.col("money_context") != "Third-party").alias("trusted"), failed.alias("failed"))
+    return B.progress(B.page_plan(messages), "1993-01", "1998-12")
