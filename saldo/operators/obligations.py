@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MONEY = "decimal(18,2)"
@@ -68,6 +68,21 @@ def safe_to_spend(liquid: DataFrame, allocated: DataFrame, custody: DataFrame, c
     return parts.withColumn("safe_to_spend", value).withColumn("state", status)
 
 
+def protected_contribution() -> Column:
+    """What an account keeps back: its protected amount, or its whole balance above zero where it is protected without one."""
+    return F.when(F.col("protected_amount") > 0, F.col("protected_amount")).when(F.col("protected"), F.greatest(F.lit(0).cast(MONEY), F.coalesce("current_balance", F.lit(0).cast(MONEY)))).otherwise(F.lit(0).cast(MONEY))
+
+
+def allocation_breakdown(goals: DataFrame, accounts: DataFrame) -> DataFrame:
+    """One row (emergency, goals, general, total): what active goals of each kind hold. Where there is no goal at all, active or not, the
+    active own accounts' protected contributions stand for the emergency fund."""
+    of = lambda kind: F.coalesce(F.sum(F.when((F.col("status") == "Active") & (F.col("kind") == kind), F.col("allocated_amount"))), F.lit(0)).cast("decimal(28,2)")
+    by_goals = goals.agg(F.count("*").alias("n"), of("Emergency").alias("emergency"), of("Goal").alias("goals"), of("General").alias("general"))
+    legacy = accounts.filter("active and kind = 'Owned'").agg(F.coalesce(F.sum(protected_contribution()), F.lit(0)).cast("decimal(28,2)").alias("legacy"))
+    parts = by_goals.crossJoin(F.broadcast(legacy)).withColumn("emergency", F.when(F.col("n") == 0, F.col("legacy")).otherwise(F.col("emergency")))  # one row each
+    return parts.select("emergency", "goals", "general", (F.col("emergency") + F.col("goals") + F.col("general")).alias("total"))
+
+
 def linked_payable_excess(upcoming: DataFrame, debt_rows: DataFrame) -> DataFrame:
     """Debts whose live linked schedules exceed what is outstanding (a violated guard)."""
     linked = upcoming.filter("debt_id is not null and status in ('Upcoming', 'Confirmed')").groupBy("debt_id").agg(F.sum("amount").alias("scheduled"))

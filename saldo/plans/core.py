@@ -232,6 +232,15 @@ def allocation_summary(spark, d):
     return goals(spark, d).filter("status = 'Active'").groupBy("kind").agg(F.count("*").alias("n"), L.total("allocated_amount").alias("allocated"), L.total("target_amount").alias("target"))
 
 
+# With the ledger's goals, and as it is where no goal was ever made.
+@query(with_tables("goals", "accounts", body=f"""SELECT 'goals' AS basis, *, emergency + goals + general AS total FROM (SELECT {", ".join(f"{D(f"coalesce(sum(allocated_amount) FILTER (status = 'Active' AND kind = '{k}'), 0)")} AS {n}" for k, n in (("Emergency", "emergency"), ("Goal", "goals"), ("General", "general")))} FROM goals)
+UNION ALL SELECT 'accounts', p, 0, 0, p FROM (SELECT {D('coalesce(sum(CASE WHEN protected_amount > 0 THEN protected_amount WHEN protected THEN greatest(0, coalesce(current_balance, 0)) ELSE 0 END), 0)')} AS p FROM accounts WHERE active AND kind = 'Owned')"""))
+def allocation_breakdown(spark, d):
+    g, a = goals(spark, d), accounts(spark, d)
+    both = O.allocation_breakdown(g, a).withColumn("basis", F.lit("goals")).unionByName(O.allocation_breakdown(g.filter(F.lit(False)), a).withColumn("basis", F.lit("accounts")))
+    return both.select("basis", *[F.col(c).cast("double").alias(c) for c in ("emergency", "goals", "general", "total")])
+
+
 @query(with_tables("accounts", body=f"""SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(current_balance) AS BIGINT) AS known, {D('CASE WHEN count(*) = count(current_balance) THEN sum(current_balance) END')} AS total,
 {D('sum(CASE WHEN protected_amount > 0 THEN protected_amount WHEN protected THEN greatest(0, coalesce(current_balance, 0)) ELSE 0 END)')} AS protected FROM accounts WHERE active AND kind = 'Owned'"""))
 def balance_snapshot(spark, d):

@@ -75,6 +75,23 @@ def mad_anomalies(spark, d):
     return a.select("id", "merchant", *[F.round(c, 4).alias(c) for c in ("median", "mad", "diff")])
 
 
+# Every 37th row has a digit too many.
+LAST = "1998-08-01"
+SPENT = f"""spent AS (SELECT id, date, description, category, CAST(amount * CASE WHEN id % 37 = 0 THEN 10 ELSE 1 END AS DOUBLE) AS x, coalesce(nullif({normalize_sql('description')}, ''), lower(trim(description))) AS merchant FROM tx
+  WHERE NOT is_deleted AND money_context = 'Personal' AND {POSTED} AND transaction_type = 'Expense' AND reversal_of_id IS NULL AND NOT contains(lower(description), '[rekonsiliasi]') AND date <= DATE '{LAST}')"""
+
+
+@query(_with(["tx"], [SPENT, "mid AS (SELECT merchant, median(x) AS median, count(*) AS support FROM spent GROUP BY merchant HAVING count(*) >= 3)", "off AS (SELECT s.*, m.median, m.support, abs(s.x - m.median) AS diff FROM spent s JOIN mid m USING (merchant))",
+    "mad AS (SELECT merchant, median(diff) AS mad FROM off GROUP BY merchant)"],
+    f"""SELECT id, date, merchant, category, x AS amount, CAST(support AS BIGINT) AS support, round(median, 4) AS median, round(mad, 4) AS mad, round(diff, 4) AS diff FROM off JOIN mad USING (merchant)
+WHERE date >= DATE '{LAST}' - 90 AND diff >= 10000 AND CASE WHEN mad = 0 THEN x > 1.5 * median OR x < 0.5 * median ELSE diff / mad >= 3 END"""))
+def expense_anomalies(spark, d):
+    cohort = ~F.col("is_deleted") & (F.col("money_context") == "Personal") & F.col("status").isin(*L.POSTED) & (F.col("transaction_type") == "Expense") & F.col("reversal_of_id").isNull() & ~F.lower("description").contains("[rekonsiliasi]")
+    merchant = F.coalesce(F.nullif(T.normalize_merchant("description"), F.lit("")), F.lower(F.trim("description")))
+    rows = transactions(spark, d).filter(cohort).select("id", "date", "category", (F.col("amount") * F.when(F.col("id") % 37 == 0, 10).otherwise(1)).alias("amount"), merchant.alias("merchant"))
+    return I.anomalies(rows, ["merchant"], LAST, lookback=90).select("id", "date", "merchant", "category", F.col("x").alias("amount"), "support", *[F.round(c, 4).alias(c) for c in ("median", "mad", "diff")])
+
+
 @query(_with(["accounts", "upcoming", "allocs", "goals"], [COVER, CU, "opening AS (SELECT coalesce(sum(current_balance), 0) AS opening FROM accounts WHERE active AND kind = 'Owned')",
     f"ev AS (SELECT due_date AS date, CASE WHEN status = 'Confirmed' THEN '1 confirmed' ELSE '2 expected' END AS kind, sum(-amount) AS signed, count(*) AS n FROM upcoming WHERE status IN ('Upcoming', 'Confirmed') AND due_date BETWEEN DATE '{AS_OF}' AND DATE '{AS_OF}' + 30 GROUP BY 1, 2)",
     "c AS (SELECT ev.*, opening, opening + sum(signed) OVER (ORDER BY date, kind) AS balance FROM ev, opening)"],
