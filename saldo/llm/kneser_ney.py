@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from saldo.llm.common import U64, cut, keyed_groups, mix, pieces, spread, text_buffer
+from saldo.llm.common import U64, cut, keyed_groups, mix, pieces, spread, text_buffer, written
 
 #: A symbol is a byte plus one, 0 before the text: nine bits; six of them and a few more bits for the kind of a row fit a long.
 ORDER, BITS = 6, 9
@@ -117,10 +117,10 @@ def kneser_ney_tables(texts: DataFrame) -> tuple[DataFrame, int, list[int]]:
     """
     shards = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     packed = spread(texts.select("_text", "m")).mapInArrow(lambda it: _counts(it, shards), "shard int, blob binary")
-    counts = [cut(packed.repartition("shard").sortWithinPartitions("shard").mapInArrow(_shard_counts, "m int, gram long, c long"))]
+    counts = [written(packed.repartition("shard").sortWithinPartitions("shard").mapInArrow(_shard_counts, "m int, gram long, c long"))]
     for k in range(ORDER - 1, 0, -1):
         short = F.col("gram").bitwiseAND((1 << BITS * k) - 1)
-        counts.append(cut(counts[-1].groupBy("m", short.alias("gram")).agg(F.count("*").alias("c"))))
+        counts.append(written(counts[-1].groupBy("m", short.alias("gram")).agg(F.count("*").alias("c"))))
     low, out = None, []
     for k in range(1, ORDER + 1):
         c = counts[ORDER - k]
@@ -134,16 +134,16 @@ def kneser_ney_tables(texts: DataFrame) -> tuple[DataFrame, int, list[int]]:
         totals = c.groupBy("m", context).agg(F.sum("c").alias("total"), kinds.alias("kinds")).join(marks, "m")
         part = lambda i: F.shiftright("kinds", 10 * i).bitwiseAND(1023)
         totals = totals.select("m", "context", "total", (part(0) * F.col("d1") + part(1) * F.col("d2") + part(2) * F.col("d3")).alias("left"))
-        rows = rows.join(totals, ["m", "context"])
+        rows = rows.join(totals.hint("merge"), ["m", "context"])  # files are far smaller than what a broadcast of them takes
         own, spare = (F.col("c") - F.col("off")) / F.col("total"), F.col("left") / F.col("total")
         if low is None:
             p = own + spare / 256
         else:
-            rows = rows.withColumn("suffix", F.col("gram").bitwiseAND((1 << BITS * (k - 1)) - 1)).join(low.withColumnRenamed("gram", "suffix"), ["m", "suffix"])
+            rows = rows.withColumn("suffix", F.col("gram").bitwiseAND((1 << BITS * (k - 1)) - 1)).join(low.withColumnRenamed("gram", "suffix").hint("merge"), ["m", "suffix"])
             p = own + spare * F.col("p")
         low = rows.select("m", "gram", p.alias("p"))
         if k < ORDER:
-            low = cut(low)
+            low = written(low)
         out.append(low.select("m", F.lit(2 * k).alias("kind"), "gram", F.log("p").cast("float").alias("value")))
         out.append(totals.select("m", F.lit(2 * k + 1).alias("kind"), F.col("context").alias("gram"), F.log(spare).cast("float").alias("value")))
     table = out[0]
