@@ -14,6 +14,8 @@ ORDER, BITS = 6, 9
 #: What an unknown byte costs under the empty context: all 256 are alike.
 UNIFORM = float(np.log(1 / 256))
 _ODD = U64(0x9E3779B97F4A7C15)
+#: Bits of a key's product that tell the range with which its row is packed for a broadcast.
+RANGE_BITS = 5
 
 
 def grams(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -33,17 +35,21 @@ def tagged(gram, model, kind):
     return gram | kind << 54 | model << 58
 
 
-def _pack(keys: np.ndarray, n: np.ndarray) -> bytes:
-    """Sorted keys by their differences, and their counts, byte by byte of the same rank, compressed: some three bytes a key."""
+def _pack(keys: np.ndarray, values: np.ndarray) -> bytes:
+    """Sorted keys by their differences, and their counts or values, byte by byte of the same rank, compressed: some three bytes a key."""
     planes = lambda x: x.view(np.uint8).reshape(len(x), -1).T.tobytes()
-    return len(keys).to_bytes(8, "little") + pa.compress(planes(np.diff(keys, prepend=0)) + planes(n.astype(np.int64)), codec="zstd", asbytes=True)
+    return len(keys).to_bytes(8, "little") + pa.compress(planes(np.diff(keys, prepend=0)) + planes(values), codec="zstd", asbytes=True)
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    size = int.from_bytes(blob[:8], "little")
-    planes = np.frombuffer(pa.decompress(blob[8:], decompressed_size=16 * size, codec="zstd", asbytes=True), np.uint8).reshape(2, 8, size)
-    rows = [np.ascontiguousarray(x.T).view(np.int64).ravel() for x in planes]
-    return np.cumsum(rows[0]), rows[1]
+def _rows(blob: bytes) -> int:
+    return int.from_bytes(blob[:8], "little")
+
+
+def _unpack(blob: bytes, kind: type = np.int64) -> tuple[np.ndarray, np.ndarray]:
+    size, width = _rows(blob), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(blob[8:], decompressed_size=(8 + width) * size, codec="zstd", asbytes=True), np.uint8).reshape(8 + width, size)
+    flat = lambda x, kind: np.ascontiguousarray(x.T).view(kind).ravel()
+    return np.cumsum(flat(planes[:8], np.int64)), flat(planes[8:], kind)
 
 
 def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,14 +163,31 @@ class Table:
     """Rows by key, sorted by a product of the key, with the place of each range of products: a key is found in a probe or two."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        bits = max(1, int(len(keys)).bit_length())
+        self._fill(len(keys), values.dtype, [(keys, values)])
+
+    @classmethod
+    def unpacked(cls, ranges: list[list[bytes]]) -> Table:
+        """The table of rows packed by ranges of products, the least first; what is needed beside it grows with one range only."""
+        table = cls.__new__(cls)
+        rows = ([np.concatenate(x) for x in zip(*[_unpack(b, np.float32) for b in blobs], strict=True)] for blobs in ranges if blobs)
+        table._fill(sum(_rows(b) for blobs in ranges for b in blobs), np.float32, rows)
+        return table
+
+    def _fill(self, size: int, kind: np.dtype, ranges) -> None:
+        bits = max(1, size.bit_length())
         self.shift = U64(64 - bits)
-        order = np.argsort(keys.view(U64) * _ODD)
-        self.keys, self.values = keys[order], values[order]
-        del order
-        each = np.bincount((self.keys.view(U64) * _ODD >> self.shift).view(np.int64), minlength=1 << bits)
-        self.first = np.zeros((1 << bits) + 1, np.int32)
-        np.cumsum(each, out=self.first[1:])
+        self.keys, self.values, self.first = np.empty(size, np.int64), np.empty(size, kind), np.zeros((1 << bits) + 1, np.int32)
+        done = 0
+        for keys, values in ranges:
+            if not len(keys):
+                continue
+            order = np.argsort(keys.view(U64) * _ODD)
+            part = slice(done, done := done + len(keys))
+            self.keys[part], self.values[part] = keys[order], values[order]
+            del order
+            at = (self.keys[part].view(U64) * _ODD >> self.shift).view(np.int64)
+            self.first[at[0] + 1 : at[-1] + 2] += np.bincount(at - at[0]).astype(np.int32)
+        np.cumsum(self.first, out=self.first)
 
     def find(self, key: np.ndarray) -> np.ndarray:
         """The value of each key, NaN where there is none."""
@@ -182,6 +205,53 @@ class Table:
         return out
 
 
+class Sent:
+    """A table on its way to the workers, packed by ranges of products; a worker's first task unpacks it."""
+
+    def __init__(self, ranges: list[list[bytes]]):
+        self.ranges: list[list[bytes]] = ranges
+        self.table: Table | None = None
+
+    def unpacked(self) -> Table:
+        if self.table is None:
+            self.table, self.ranges = Table.unpacked(self.ranges), []
+        return self.table
+
+
+def _ranges(batches):
+    """Rows (key, value) of a table, packed for each range of products."""
+    held, size = [], 0
+
+    def deal():
+        key, value = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(key)
+        key, value = key[order], value[order]
+        at = (key.view(U64) * _ODD >> U64(64 - RANGE_BITS)).astype(np.uint8)
+        order = np.argsort(at, kind="stable")
+        cuts = np.searchsorted(at[order], np.arange((1 << RANGE_BITS) + 1)).tolist()
+        parts = [(i, order[x:y]) for i, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if x < y]
+        return pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([_pack(key[p], value[p]) for _, p in parts], pa.binary())], names=["range", "blob"])
+
+    for b in batches:
+        if b.num_rows:
+            held.append([b.column(0).to_numpy(), b.column(1).to_numpy()])
+            size += b.num_rows
+        if size > 500_000:
+            yield deal()
+            held, size = [], 0
+    if held:
+        yield deal()
+
+
+def sent(table: DataFrame) -> Sent:
+    """The rows of a table (m, kind, gram, value) for a broadcast. The driver holds them as packed by the tasks, and never unpacks them."""
+    key = F.col("gram").bitwiseOR(F.shiftleft(F.col("kind").cast("long"), 54)).bitwiseOR(F.shiftleft(F.col("m").cast("long"), 58))
+    ranges: list[list[bytes]] = [[] for _ in range(1 << RANGE_BITS)]
+    for row in table.select(key.alias("key"), "value").mapInArrow(_ranges, "range int, blob binary").collect():
+        ranges[row.range].append(bytes(row.blob))
+    return Sent(ranges)
+
+
 def log_probs(table: Table, gram: np.ndarray, model: np.ndarray) -> np.ndarray:
     """Log probability of the last symbol of each gram after the others: what the longest seen part of it has, after what its unseen
     longer contexts leave."""
@@ -211,9 +281,10 @@ def _perplexities(data: np.ndarray, at: np.ndarray, model: np.ndarray, lookup) -
     return out
 
 
-def _score(batches, sent):
+def _score(batches, told):
     for b in batches:
-        p = _perplexities(*text_buffer(b.column(0)), b.column(1).to_numpy(), lambda g, m: log_probs(sent.value, g, m))
+        table = told.value.unpacked()
+        p = _perplexities(*text_buffer(b.column(0)), b.column(1).to_numpy(), lambda g, m: log_probs(table, g, m))  # noqa: B023
         yield pa.RecordBatch.from_arrays([pa.array(p, from_pandas=True), *b.columns[1:]], names=["perplexity", *b.schema.names[1:]])
 
 
@@ -268,18 +339,15 @@ def resolve(asked: DataFrame, table: DataFrame) -> DataFrame:
 def perplexity(src: DataFrame, table: DataFrame, size: int, most_broadcast: int = 12_000_000, bucket_bytes: int = 24_000_000) -> DataFrame:
     """`src` (_text, m, _id, _lang, _trusted) without its text, and with the perplexity of each row under model m.
 
-    Tables of `size` rows, up to `most_broadcast` (12 bytes each), are broadcast, so that texts stay where they are. Beyond that the texts
+    Tables of `size` rows, up to `most_broadcast` (12 bytes each in a worker, fewer on the way), are broadcast, so that texts stay where they are. Beyond that the texts
     are dealt into buckets of about `bucket_bytes`; each bucket asks for its distinct n-grams once, all buckets' distinct ones
     meet the tables by keyed joins, and the answers go back to the buckets. Both ways give the same numbers.
     """
     rest = ["m", "_id", "_lang", "_trusted"]
     kinds = "perplexity double, m int, _id long, _lang string, _trusted boolean"
     if size <= most_broadcast:
-        got = table.select(F.col("gram").bitwiseOR(F.shiftleft(F.col("kind").cast("long"), 54)).bitwiseOR(F.shiftleft(F.col("m").cast("long"), 58)).alias("key"), "value").toArrow()
-        keys, values = (got.column(c).to_numpy() for c in ("key", "value"))
-        del got
-        sent = src.sparkSession.sparkContext.broadcast(Table(keys, values))
-        return spread(src.select("_text", *rest)).mapInArrow(lambda it: _score(it, sent), kinds)
+        told = src.sparkSession.sparkContext.broadcast(sent(table))
+        return spread(src.select("_text", *rest)).mapInArrow(lambda it: _score(it, told), kinds)
     table = cut(table)
     total = src.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     buckets = int(max(4, total // bucket_bytes))

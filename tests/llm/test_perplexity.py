@@ -117,3 +117,28 @@ def test_equal_rows_and_texts_in_the_wrong_column(spark):
     got = K.quality_filter(df, df.filter("doc_id < 10").select("doc_id")).collect()
     assert len(got) == 23 and len({r.perplexity for r in got if r.doc_id == 3}) == 1
     assert [r.perplexity is None for r in sorted((r for r in got if r.doc_id == 50), key=lambda r: r.lang or "")] == [False, True]
+
+
+def test_the_driver_holds_a_broadcast_table_packed_only(spark):
+    import tracemalloc
+
+    import numpy as np
+
+    n = 400_000
+    table = spark.range(n).select(F.lit(1).alias("m"), F.lit(12).alias("kind"), F.xxhash64("id").bitwiseAND((1 << 54) - 1).alias("gram"), (F.col("id") % 1000 / -100).cast("float").alias("value")).localCheckpoint()
+    src = spark.createDataFrame([("the house", 1, 5, "en", False)], "_text string, m int, _id long, _lang string, _trusted boolean")
+    tracemalloc.start()
+    try:
+        scored = K.perplexity(src, table, n)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 30 * n
+    assert abs(scored.first().perplexity - 256) < 1e-3  # none of its n-grams is known
+
+    rows = table.toPandas()
+    keys = K.tagged(rows.gram.to_numpy(), 1, 12)
+    made, plain = K.sent(table).unpacked(), K.Table(keys, rows.value.to_numpy())
+    assert (made.keys == plain.keys).all() and (made.values == plain.values).all() and (made.first == plain.first).all()
+    assert (made.find(keys) == rows.value.to_numpy()).all() and np.isnan(made.find(keys ^ (1 << 60))).all()
+    assert np.isnan(K.sent(table.limit(0)).unpacked().find(keys[:5])).all()
