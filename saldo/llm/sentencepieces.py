@@ -17,8 +17,8 @@ MARK = "▁"
 #: Size of the words whose ids a worker keeps from batch to batch (characters, and OVERHEAD for each word); beyond it the table
 #: starts anew. Long words weigh as much as they take, so texts without spaces don't fill a worker.
 REMEMBERED, OVERHEAD = 6_000_000, 20
-#: Piece pairs whose separation a task keeps.
-PAIRS = 300_000
+#: Piece pairs whose separation a task keeps, and moves between the automaton's states.
+PAIRS, MOVES = 300_000, 300_000
 
 
 class PieceTable:
@@ -37,12 +37,6 @@ class PieceTable:
         self.unk = sp.unk_id()
         self.unigram = self._kind(sp.serialized_model_proto()) == 1
         self.raw = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace(MARK, " ").encode() if plain[i] else b"" for i, p in enumerate(names)]
-        #: every ending of a piece: the id of the piece that it is itself, or -1
-        self.endings: dict[str, int] = {}
-        for p in self.ids:
-            for k in range(len(p)):
-                self.endings.setdefault(p[k:], -1)
-        self.endings.update(self.ids)
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("pieces of this model cross words")
         self.breaks = "\n" not in "".join(self.ids)
@@ -66,12 +60,24 @@ class TrieEncoder:
     A state is the last piece of the best segmentation of the prefix. For a unigram model the best has the highest sum of
     scores. For a BPE model it is the segmentation that the merges give; its last piece is the one piece that ends here,
     follows the last piece of the shorter prefix, and whose pair with it the merges leave apart.
+
+    Which pieces end at a character is told by an automaton over the beginnings of pieces (Aho-Corasick), made as far as words
+    need it: a node is the longest ending of the prefix that begins a piece, a list of its moves by character, the pieces that
+    end it, long ones first, and its string.
     """
 
     def __init__(self, table: PieceTable):
         self.t = table
         self.apart: dict[int, bool] = {}
         self.names = {i: p for p, i in table.ids.items()}
+        self.sizes = [1] * (max(self.names) + 2)  # by last piece; its last entry is for -1, an unknown character
+        for i, p in self.names.items():
+            self.sizes[i] = len(p)
+        self.codes = [array("i", [i]).tobytes() for i in range(len(self.sizes) - 1)]
+        self.byte_codes = [array("i", [i]).tobytes() for i in table.byte_ids]
+        self.begins = {p[:k] for p in table.ids for k in range(len(p) + 1)}
+        self.nodes: dict[str, tuple] = {}
+        self.moves = 0
         self.memo: dict[str, bytes] = {}
         self.held = 0
 
@@ -89,67 +95,79 @@ class TrieEncoder:
             parts[where : where + 2] = [parts[where] + parts[where + 1]]
 
     def _apart(self, a: int, b: int) -> bool:
-        """Whether the merges leave piece a before piece b apart; b alone (a = -1): whether they build it."""
-        x, y = self.names[a] if a >= 0 else "", self.names[b]
-        ok = self.merge(x + y) == ([x, y] if x else [y])
+        """Whether the merges leave piece a before piece b apart."""
+        x, y = self.names[a], self.names[b]
+        ok = self.merge(x + y) == [x, y]
         if len(self.apart) > PAIRS:
             self.apart.clear()
         self.apart[(a + 1) << 32 | b] = ok
         return ok
 
+    def _node(self, text: str) -> tuple:
+        """The automaton's node after `text`: (its moves, its pieces with their lengths, its string). For BPE only pieces that the merges build."""
+        at = 0
+        while text[at:] not in self.begins:
+            at += 1
+        text = text[at:]
+        if text not in self.nodes:
+            found = [(self.t.ids[text[k:]], len(text) - k) for k in range(len(text)) if text[k:] in self.t.ids]
+            self.nodes[text] = {}, [(c, n) for c, n in found if self.t.unigram or n == 1 or self.merge(self.names[c]) == [self.names[c]]], text
+        return self.nodes[text]
+
+    def _move(self, node: tuple, char: str) -> tuple:
+        to = self._node(node[2] + char)
+        if self.moves >= MOVES:
+            for x in self.nodes.values():
+                x[0].clear()
+            self.moves = 0
+        node[0][char] = to
+        self.moves += 1
+        return to
+
     def encode_words(self, words) -> None:
         """Fill `memo` for all words."""
-        endings, unigram, scores, apart, memo, byte_ids = self.t.endings.get, self.t.unigram, self.t.scores, self.apart.get, self.memo, self.t.byte_ids
+        unigram, scores, apart, memo, sizes, codes = self.t.unigram, self.t.scores, self.apart.get, self.memo, self.sizes, self.codes
         worst = min(scores) - 10.0
-        last, length, total = [-1], [0], [0.0]  # by prefix length: last piece (-1: none or unknown), its length, score
+        last, total, nodes = [-1], [0.0], [self._node("")]  # by prefix length: last piece (-1: none or unknown), score, node
         prev = ""
         for word in sorted(words):
             k, top = 0, min(len(prev), len(word))
             while k < top and prev[k] == word[k]:
                 k += 1
-            del last[k + 1 :], length[k + 1 :], total[k + 1 :]
-            for end in range(k + 1, len(word) + 1):
-                found = []  # pieces that end here, short ones first
-                at = end - 1
-                while at >= 0:
-                    c = endings(word[at:end])
-                    if c is None:
-                        break
-                    if c >= 0:
-                        found.append((c, at))
-                    at -= 1
-                got, size = -1, 1
+            del last[k + 1 :], nodes[k + 1 :], total[k + 1 :]
+            node = nodes[k]
+            end = k
+            for char in word[k:]:
+                end += 1
+                node = node[0].get(char) or self._move(node, char)
+                nodes.append(node)
+                got = -1
                 if unigram:
                     best = total[end - 1] + worst
-                    for c, at in found:
-                        if got < 0 or total[at] + scores[c] > best:
-                            best, got, size = total[at] + scores[c], c, end - at
+                    for c, n in reversed(node[1]):
+                        if got < 0 or total[end - n] + scores[c] > best:
+                            best, got = total[end - n] + scores[c], c
                     total.append(best)
                 else:
-                    for c, at in reversed(found):
-                        if end - at > 1:
-                            ok = apart(c)
-                            if not (self._apart(-1, c) if ok is None else ok):
-                                continue
-                        before = last[at]
+                    for c, n in node[1]:
+                        before = last[end - n]
                         if before >= 0:
                             ok = apart((before + 1) << 32 | c)
                             if not (self._apart(before, c) if ok is None else ok):
                                 continue
-                        got, size = c, end - at
+                        got = c
                         break
-                    total.append(0.0)
                 last.append(got)
-                length.append(size)
             out, end = [], len(word)
             while end:
-                if last[end] < 0:
-                    out.extend(byte_ids[b] for b in reversed(word[end - 1].encode()))
+                got = last[end]
+                if got < 0:
+                    out.extend(self.byte_codes[b] for b in reversed(word[end - 1].encode()))
                 else:
-                    out.append(last[end])
-                end -= length[end]
+                    out.append(codes[got])
+                end -= sizes[got]
             out.reverse()
-            memo[word] = array("i", out).tobytes()
+            memo[word] = b"".join(out)
             prev = word
 
 

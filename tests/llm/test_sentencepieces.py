@@ -44,3 +44,37 @@ def test_unigram_best_path():
     e.encode_words(["ab", "aba", "abab", "b"])
     ids = lambda w: list(memoryview(e.memo[w]).cast("i"))
     assert ids("ab") == [2] and ids("aba") == [4] and ids("abab") == [2, 2] and ids("b") == [1]
+
+
+def test_a_character_takes_few_steps():
+    """Calls of built-in functions for each character that words don't share; it was about twice as many when each looked up every ending of the prefix."""
+    import random
+    import sys
+
+    rng = random.Random(1)
+    parts = ["the", "ing", "er", "on", "st", "al", "qu", "x", "é", "house", "漢"]
+    words = {MARK + "".join(rng.choice(parts) for _ in range(rng.randrange(1, 6))) for _ in range(2000)}
+    encoder, calls = TrieEncoder(TABLE), 0
+    encoder.encode_words(words)  # pairs of pieces are known from here on
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event == "c_call"
+
+    sys.setprofile(count)
+    try:
+        encoder.encode_words(words)
+    finally:
+        sys.setprofile(None)
+    assert calls < 10 * len({w[:k] for w in words for k in range(1, len(w) + 1)})
+
+
+def test_moves_that_are_forgotten_come_back(monkeypatch):
+    from saldo.llm import sentencepieces
+
+    monkeypatch.setattr(sentencepieces, "MOVES", 3)
+    encoder = TrieEncoder(TABLE)
+    encoder.encode_words([MARK + "tree", MARK + "trees漢", MARK + "house"])
+    assert encoder.moves <= 3
+    for text in ("tree", "trees漢", "house"):
+        assert list(memoryview(encoder.memo[MARK + text]).cast("i")) == LIB.encode(text)
