@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from posixpath import basename
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +18,8 @@ ORDER, BITS = 6, 9
 #: What an unknown byte costs under the empty context: all 256 are alike.
 UNIFORM = float(np.log(1 / 256))
 _ODD = U64(0x9E3779B97F4A7C15)
-#: Bits of a key's product that tell the range with which its row is packed for a broadcast.
-RANGE_BITS = 5
+#: Bits of a key's product that tell the range with which its row is packed for the executors, and files that the ranges are dealt into.
+RANGE_BITS, FILES = 5, 8
 
 
 def grams(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -206,16 +210,25 @@ class Table:
 
 
 class Sent:
-    """A table on its way to the workers, packed by ranges of products; a worker's first task unpacks it."""
+    """A table that the executors have as files, packed by ranges of products; a worker's first task unpacks it."""
+
+    #: The last table that this worker has unpacked, by the names of its files.
+    held: dict[tuple[str, ...], Table] = {}
 
-    def __init__(self, ranges: list[list[bytes]]):
-        self.ranges: list[list[bytes]] = ranges
-        self.table: Table | None = None
+    def __init__(self, names: tuple[str, ...]):
+        self.names = names
 
     def unpacked(self) -> Table:
-        if self.table is None:
-            self.table, self.ranges = Table.unpacked(self.ranges), []
-        return self.table
+        if self.names not in Sent.held:
+            Sent.held.clear()  # before the next one takes its memory
+            ranges: list[list[bytes]] = [[] for _ in range(1 << RANGE_BITS)]
+            for name in self.names:
+                rows = pq.read_table(SparkFiles.get(name), partitioning=None)
+                for at, blob in zip(rows.column("range").to_pylist(), rows.column("blob").to_pylist(), strict=True):
+                    ranges[at].append(blob)
+                del rows
+            Sent.held[self.names] = Table.unpacked(ranges)
+        return Sent.held[self.names]
 
 
 def _ranges(batches):
@@ -244,12 +257,14 @@ def _ranges(batches):
 
 
 def sent(table: DataFrame) -> Sent:
-    """The rows of a table (m, kind, gram, value) for a broadcast. The driver holds them as packed by the tasks, and never unpacks them."""
+    """The rows of a table (m, kind, gram, value) for every executor. The tasks pack and write them, and Spark's files go to the
+    executors with the next job: the driver handles names, no rows."""
     key = F.col("gram").bitwiseOR(F.shiftleft(F.col("kind").cast("long"), 54)).bitwiseOR(F.shiftleft(F.col("m").cast("long"), 58))
-    ranges: list[list[bytes]] = [[] for _ in range(1 << RANGE_BITS)]
-    for row in table.select(key.alias("key"), "value").mapInArrow(_ranges, "range int, blob binary").collect():
-        ranges[row.range].append(bytes(row.blob))
-    return Sent(ranges)
+    packed = table.select(key.alias("key"), "value").mapInArrow(_ranges, "range int, blob binary")
+    files = sorted(written(packed.repartition(FILES, "range")).inputFiles())
+    for file in files:
+        table.sparkSession.sparkContext.addFile(file)
+    return Sent(tuple(map(basename, files)))
 
 
 def log_probs(table: Table, gram: np.ndarray, model: np.ndarray) -> np.ndarray:
@@ -283,7 +298,7 @@ def _perplexities(data: np.ndarray, at: np.ndarray, model: np.ndarray, lookup) -
 
 def _score(batches, told):
     for b in batches:
-        table = told.value.unpacked()
+        table = told.unpacked()
         p = _perplexities(*text_buffer(b.column(0)), b.column(1).to_numpy(), lambda g, m: log_probs(table, g, m))  # noqa: B023
         yield pa.RecordBatch.from_arrays([pa.array(p, from_pandas=True), *b.columns[1:]], names=["perplexity", *b.schema.names[1:]])
 
@@ -339,14 +354,14 @@ def resolve(asked: DataFrame, table: DataFrame) -> DataFrame:
 def perplexity(src: DataFrame, table: DataFrame, size: int, most_broadcast: int = 12_000_000, bucket_bytes: int = 24_000_000) -> DataFrame:
     """`src` (_text, m, _id, _lang, _trusted) without its text, and with the perplexity of each row under model m.
 
-    Tables of `size` rows, up to `most_broadcast` (12 bytes each in a worker, fewer on the way), are broadcast, so that texts stay where they are. Beyond that the texts
+    Tables of `size` rows, up to `most_broadcast` (12 bytes each in a worker, fewer on the way), go to every executor as files, so that texts stay where they are. Beyond that the texts
     are dealt into buckets of about `bucket_bytes`; each bucket asks for its distinct n-grams once, all buckets' distinct ones
     meet the tables by keyed joins, and the answers go back to the buckets. Both ways give the same numbers.
     """
     rest = ["m", "_id", "_lang", "_trusted"]
     kinds = "perplexity double, m int, _id long, _lang string, _trusted boolean"
     if size <= most_broadcast:
-        told = src.sparkSession.sparkContext.broadcast(sent(table))
+        told = sent(table)
         return spread(src.select("_text", *rest)).mapInArrow(lambda it: _score(it, told), kinds)
     table = cut(table)
     total = src.agg(F.sum(F.octet_length("_text"))).first()[0] or 0

@@ -142,3 +142,38 @@ def test_the_driver_holds_a_broadcast_table_packed_only(spark):
     assert (made.keys == plain.keys).all() and (made.values == plain.values).all() and (made.first == plain.first).all()
     assert (made.find(keys) == rows.value.to_numpy()).all() and np.isnan(made.find(keys ^ (1 << 60))).all()
     assert np.isnan(K.sent(table.limit(0)).unpacked().find(keys[:5])).all()
+
+
+def test_no_row_of_a_table_goes_through_the_driver(spark, monkeypatch):
+    import pickle
+
+    import numpy as np
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    n = 100_000
+    table = spark.range(n).select(F.lit(1).alias("m"), F.lit(12).alias("kind"), F.xxhash64("id").bitwiseAND((1 << 54) - 1).alias("gram"), (F.col("id") % 1000 / -100).cast("float").alias("value")).localCheckpoint()
+
+    def told(*_):
+        raise AssertionError("rows came to the driver")
+
+    with monkeypatch.context() as m:
+        for name in ("collect", "toArrow", "toPandas", "toLocalIterator"):
+            m.setattr(DataFrame, name, told)
+        m.setattr(type(spark.sparkContext), "broadcast", told)
+        sent = K.sent(table)
+    assert len(pickle.dumps(sent)) < 2000  # names of files, which do not grow with the table
+
+    rows = table.toPandas()
+    keys = K.tagged(rows.gram.to_numpy(), 1, 12)
+
+    def look(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            found = sent.unpacked().find(keys[b.column(0).to_numpy()])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found)], names=["id", "value"])
+
+    got = spark.range(0, n, 1, 4).mapInArrow(look, "id long, value double").orderBy("id").toPandas()
+    assert (got.value.to_numpy() == rows.value.to_numpy()).all()
+    other = K.sent(table.limit(10))  # another table takes the place of the first
+    assert np.isfinite(other.unpacked().find(keys)).sum() == 10 and np.isfinite(sent.unpacked().find(keys)).all()
