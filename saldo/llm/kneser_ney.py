@@ -123,7 +123,8 @@ def kneser_ney_tables(texts: DataFrame) -> tuple[DataFrame, int, list[int]]:
 
     Counts of the highest order are aggregated in the tasks and packed before they are shuffled to their shards; lower orders count distinct predecessors.
     Every step is keyed by model and gram, context or suffix, of which one has 257 rows at most, so no key is hot; all tables
-    are as large as the trusted texts make them.
+    are as large as the trusted texts make them. Each step is written, so that the union of the tables is a plan of scans: adaptive execution
+    plans a query anew after each of its shuffles, and the plans of all orders in one query fill the driver's heap.
     """
     shards = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     packed = spread(texts.select("_text", "m")).mapInArrow(lambda it: _counts(it, shards), "shard int, blob binary")
@@ -143,7 +144,7 @@ def kneser_ney_tables(texts: DataFrame) -> tuple[DataFrame, int, list[int]]:
         kinds = F.sum(F.when(F.col("c") == 1, 1).when(F.col("c") == 2, 1 << 10).otherwise(1 << 20).cast("long"))
         totals = c.groupBy("m", context).agg(F.sum("c").alias("total"), kinds.alias("kinds")).join(marks, "m")
         part = lambda i: F.shiftright("kinds", 10 * i).bitwiseAND(1023)
-        totals = totals.select("m", "context", "total", (part(0) * F.col("d1") + part(1) * F.col("d2") + part(2) * F.col("d3")).alias("left"))
+        totals = written(totals.select("m", "context", "total", (part(0) * F.col("d1") + part(1) * F.col("d2") + part(2) * F.col("d3")).alias("left")))
         rows = rows.join(totals.hint("merge"), ["m", "context"])  # files are far smaller than what a broadcast of them takes
         own, spare = (F.col("c") - F.col("off")) / F.col("total"), F.col("left") / F.col("total")
         if low is None:
@@ -151,9 +152,7 @@ def kneser_ney_tables(texts: DataFrame) -> tuple[DataFrame, int, list[int]]:
         else:
             rows = rows.withColumn("suffix", F.col("gram").bitwiseAND((1 << BITS * (k - 1)) - 1)).join(low.withColumnRenamed("gram", "suffix").hint("merge"), ["m", "suffix"])
             p = own + spare * F.col("p")
-        low = rows.select("m", "gram", p.alias("p"))
-        if k < ORDER:
-            low = written(low)
+        low = written(rows.select("m", "gram", p.alias("p")))
         out.append(low.select("m", F.lit(2 * k).alias("kind"), "gram", F.log("p").cast("float").alias("value")))
         out.append(totals.select("m", F.lit(2 * k + 1).alias("kind"), F.col("context").alias("gram"), F.log(spare).cast("float").alias("value")))
     table = out[0]
