@@ -37,11 +37,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Like `cut`, as a compressed table in the same folder: checkpoints hold whole rows, several times as large."""
+#: Rows that a task writes where their number is known; some megabytes.
+ROWS_A_FILE = 1 << 17
+
+
+def written(df: DataFrame, most_rows: int | None = None) -> DataFrame:
+    """Like `cut`, as a compressed table in the same folder: checkpoints hold whole rows, several times as large.
+
+    Where a bound of its rows is known, no more tasks write it than those rows need: a file of a few rows costs as much as a large one,
+    on a local file system several processes (chmod), each of which shares the executor's memory until it has begun."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    if most_rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-most_rows // ROWS_A_FILE)))
     df.write.option("compression", "zstd").parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 

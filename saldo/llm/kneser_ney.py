@@ -124,17 +124,20 @@ def kneser_ney_tables(texts: DataFrame) -> tuple[DataFrame, int, list[int]]:
     Counts of the highest order are aggregated in the tasks and packed before they are shuffled to their shards; lower orders count distinct predecessors.
     Every step is keyed by model and gram, context or suffix, of which one has 257 rows at most, so no key is hot; all tables
     are as large as the trusted texts make them. Each step is written, so that the union of the tables is a plan of scans: adaptive execution
-    plans a query anew after each of its shuffles, and the plans of all orders in one query fill the driver's heap.
+    plans a query anew after each of its shuffles, and the plans of all orders in one query fill the driver's heap. The number of files
+    goes by the rows of the order above, however many partitions shuffles have.
     """
     shards = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     packed = spread(texts.select("_text", "m")).mapInArrow(lambda it: _counts(it, shards), "shard int, blob binary")
     counts = [written(packed.repartition("shard").sortWithinPartitions("shard").mapInArrow(_shard_counts, "m int, gram long, c long"))]
+    sizes = [counts[0].count()]
     for k in range(ORDER - 1, 0, -1):
         short = F.col("gram").bitwiseAND((1 << BITS * k) - 1)
-        counts.append(written(counts[-1].groupBy("m", short.alias("gram")).agg(F.count("*").alias("c"))))
+        counts.append(written(counts[-1].groupBy("m", short.alias("gram")).agg(F.count("*").alias("c")), sizes[-1]))
+        sizes.append(counts[-1].count())
     low, out = None, []
     for k in range(1, ORDER + 1):
-        c = counts[ORDER - k]
+        c, size = counts[ORDER - k], sizes[ORDER - k]
         n = c.groupBy("m").agg(*[F.sum((F.col("c") == i).cast("double")).alias(f"n{i}") for i in (1, 2, 3, 4)])
         marks = F.broadcast(n.select("m", *discounts()))  # one row for each model
         off = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
@@ -144,7 +147,7 @@ def kneser_ney_tables(texts: DataFrame) -> tuple[DataFrame, int, list[int]]:
         kinds = F.sum(F.when(F.col("c") == 1, 1).when(F.col("c") == 2, 1 << 10).otherwise(1 << 20).cast("long"))
         totals = c.groupBy("m", context).agg(F.sum("c").alias("total"), kinds.alias("kinds")).join(marks, "m")
         part = lambda i: F.shiftright("kinds", 10 * i).bitwiseAND(1023)
-        totals = written(totals.select("m", "context", "total", (part(0) * F.col("d1") + part(1) * F.col("d2") + part(2) * F.col("d3")).alias("left")))
+        totals = written(totals.select("m", "context", "total", (part(0) * F.col("d1") + part(1) * F.col("d2") + part(2) * F.col("d3")).alias("left")), size)
         rows = rows.join(totals.hint("merge"), ["m", "context"])  # files are far smaller than what a broadcast of them takes
         own, spare = (F.col("c") - F.col("off")) / F.col("total"), F.col("left") / F.col("total")
         if low is None:
@@ -152,14 +155,14 @@ def kneser_ney_tables(texts: DataFrame) -> tuple[DataFrame, int, list[int]]:
         else:
             rows = rows.withColumn("suffix", F.col("gram").bitwiseAND((1 << BITS * (k - 1)) - 1)).join(low.withColumnRenamed("gram", "suffix").hint("merge"), ["m", "suffix"])
             p = own + spare * F.col("p")
-        low = written(rows.select("m", "gram", p.alias("p")))
+        low = written(rows.select("m", "gram", p.alias("p")), size)
         out.append(low.select("m", F.lit(2 * k).alias("kind"), "gram", F.log("p").cast("float").alias("value")))
         out.append(totals.select("m", F.lit(2 * k + 1).alias("kind"), F.col("context").alias("gram"), F.log(spare).cast("float").alias("value")))
     table = out[0]
     for t in out[1:]:
         table = table.unionByName(t)
     models = sorted(x.m for x in counts[-1].select("m").distinct().collect())
-    return table, 2 * sum(c.count() for c in counts), models  # an order has no more contexts than n-grams
+    return table, 2 * sum(sizes), models  # an order has no more contexts than n-grams
 
 
 class Table:
@@ -416,7 +419,7 @@ def quality_filter(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_i
         src = src.withColumn("m", F.lit(models[0]))
     scored = cut(perplexity(src, tables, size, most_broadcast))
     good = scored.filter("_trusted and perplexity is not null")
-    by_lang = cut(order_statistic(good.filter("_lang is not null"), "_lang", "perplexity", quantile))  # one row for each language
+    by_lang = written(order_statistic(good.filter("_lang is not null"), "_lang", "perplexity", quantile))  # one row for each language
     overall = order_statistic(good.withColumn("_all", F.lit(0)), "_all", "perplexity", quantile).first()
     limit = F.coalesce(F.col("q"), F.lit(overall and overall.q).cast("double")) * slack
     if by_lang.limit(most_languages + 1).count() <= most_languages:

@@ -177,3 +177,21 @@ def test_no_row_of_a_table_goes_through_the_driver(spark, monkeypatch):
     assert (got.value.to_numpy() == rows.value.to_numpy()).all()
     other = K.sent(table.limit(10))  # another table takes the place of the first
     assert np.isfinite(other.unpacked().find(keys)).sum() == 10 and np.isfinite(sent.unpacked().find(keys)).all()
+
+
+def test_files_go_by_rows_and_not_by_partitions(spark):
+    rows = [(f"the house {i} sees a tree", i % 2) for i in range(40)]
+    texts = spark.createDataFrame(rows, "_text string, m int")
+    held = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    plain, plain_size, models = K.kneser_ney_tables(texts)
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        table, size, _ = K.kneser_ney_tables(texts)
+        files = table.inputFiles()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(files) <= 2 * K.ORDER * spark.sparkContext.defaultParallelism  # two tables for each order; 32 files each before
+    assert size == plain_size and models == [0, 1] and sorted(table.collect()) == sorted(plain.collect())
