@@ -30,6 +30,11 @@ def messages(spark, d):
     return e.select("id", "source", "external_id", "date", "ts", "user_id", "merchant", F.element_at(F.array(*map(F.lit, SENDERS)), (F.col("user_id") % len(SENDERS) + 1).cast("int")).alias("sender"), F.lit("notification").alias("subject"), body.alias("body"))
 
 
+def epoch(ts):
+    """Seconds since 1970 of a time without a zone, to the microsecond and whatever zone the session has."""
+    return (F.col(ts) - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")).cast("interval second").cast("decimal(20,6)")
+
+
 def _list(xs):
     return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
 
@@ -277,8 +282,8 @@ def daily_ingest_windows(spark, d):
 @query(with_tables("raws", body="""SELECT id, CASE WHEN gap IS NULL OR gap > 3600 THEN TRUE ELSE FALSE END AS opens FROM (SELECT id, date_diff('second', lag(ts) OVER (PARTITION BY user_id ORDER BY ts, id), ts) AS gap FROM raws)"""))
 def activity_sessions(spark, d):
     w = Window.partitionBy("user_id").orderBy("ts", "id")
-    gap = F.timestamp_diff("SECOND", F.lag("ts").over(w), F.col("ts"))
-    return raw_events(spark, d).select("id", F.coalesce(gap > 3600, F.lit(True)).alias("opens"))
+    second = epoch("ts").cast("long")  # the gap counts the seconds that begin within it, as SQL does, not whole ones that have gone by
+    return raw_events(spark, d).select("id", F.coalesce(second - F.lag(second).over(w) > 3600, F.lit(True)).alias("opens"))
 
 
 # A ledger row stands for a message: its account is the thread, reversals from 1997 on are messages that fail.
