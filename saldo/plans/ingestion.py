@@ -109,7 +109,7 @@ f AS (SELECT id, nonce, n, sent AS reserved, 'VALID' AS outcome FROM good WHERE
 
 @query(_with(["raws"], [REQUESTS], "SELECT q.id, coalesce(q.fault, f.outcome) AS outcome FROM first_fault q LEFT JOIN f USING (id)").replace("WITH ", "WITH RECURSIVE ", 1))
 def request_guard(spark, d):
-    k, received = F.col("id"), F.unix_millis(F.col("ts").cast("timestamp"))
+    k, received = F.col("id"), F.round(epoch("ts") * 1000).cast("long")  # SQL's epoch_ms takes the nearest millisecond
     off = F.when(k % 9 == 0, 300_001).when(k % 9 == 1, -300_000).otherwise(k % 9 * 1000)
     named = F.when(k % 19 == 0, "").when(k % 17 == 0, "soon").otherwise(F.concat((F.col("received") + off).cast("string"), F.when(k % 23 == 0, "x").otherwise("")))
     e = raw_events(spark, d).select("id", received.alias("received"), "merchant").withColumn("timestamp", named).withColumn("nonce", F.concat(F.lit("n"), F.floor(F.col("received") / 900_000).cast("string")))
