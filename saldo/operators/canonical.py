@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 KEYS = ["reference", "order_id", "event_id"]  # looked for in this order
@@ -17,14 +17,20 @@ SCHEMAS = {"events": ", ".join(f"{c} {'decimal(18,2)' if c == 'amount' else 'str
 ATTEMPTS = 3
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder of spark.checkpoint.dir; only a local session may take a folder of its own."""
-    sc = df.sparkSession.sparkContext
+def shared(spark: SparkSession) -> str:
+    """The shared folder of spark.checkpoint.dir; only a local session may take a folder of its own."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         folder = sc.getConf().get("spark.checkpoint.dir")
         if not folder and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="saldo-ckpt-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint in the shared folder."""
+    shared(df.sparkSession)
     return df.checkpoint()
 
 

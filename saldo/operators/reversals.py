@@ -2,42 +2,110 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from contextlib import contextmanager
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from saldo.operators.canonical import cut
+from saldo.operators.canonical import shared
+
+#: Shuffle files of a step go when it has ended, not when the driver happens to collect what refers to them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def cleaned(spark: SparkSession):
+    was = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, was)
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared(spark)}/reversals-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, path: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """The rows written as compressed Parquet in the shared checkpoint folder and read again: a checkpoint takes several times the disk."""
+    path = path or _folder(df.sparkSession)
+    with cleaned(df.sparkSession):
+        df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _drop_open(spark: SparkSession, path: str) -> None:
+    """Removes the requests that a step has left open, once the next step has been written: Spark names their folder so."""
+    old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/outcome=__HIVE_DEFAULT_PARTITION__")
+    old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+
+def _before(key: str, what: str) -> Column:
+    """Whether a request of the same key that comes before is such a one."""
+    return F.coalesce(F.max(F.expr(what)).over(Window.partitionBy(key).orderBy("request_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+
+
+LIVE, WON = "outcome is null and not dead", "coalesce(outcome = 'applied', false)"
+
+
+def _by_event(rows: DataFrame) -> DataFrame:
+    """Settles what an event decides: its first request that no live one precedes is `replay` if its key is used, and `applied` if it needs no
+    key or is first of it; all after an applied one are `reversed`."""
+    rows = rows.withColumn("_won", _before("event_id", WON)).withColumn("_live", _before("event_id", LIVE))
+    open_ = F.col("outcome").isNull()
+    rows = rows.withColumn("event_first", F.col("event_first") | open_ & ~F.col("_won") & ~F.col("_live"))
+    told = F.when(~open_, F.col("outcome")).when(F.col("_won"), "reversed").when(F.col("event_first") & F.col("dead"), "replay").when(F.col("event_first") & (F.col("operation_key").isNull() | F.col("key_first")), "applied")
+    rows = rows.withColumn("outcome", told)
+    return rows.withColumn("_won", _before("event_id", WON)).withColumn("outcome", F.when(open_ & F.col("_won"), "reversed").otherwise(F.col("outcome")))
+
+
+def _by_key(rows: DataFrame) -> DataFrame:
+    """Settles what a key decides: all after an applied request are dead, so `replay` where they are first of their event; the first that no live
+    one precedes is `applied` if it is first of its event too."""
+    open_ = F.col("outcome").isNull()
+    dead = lambda df: df.withColumn("dead", F.col("dead") | open_ & _before("operation_key", WON))
+    replay = F.when(open_ & F.col("event_first") & F.col("dead"), "replay")
+    rows = dead(rows).withColumn("_live", _before("operation_key", LIVE)).withColumn("key_first", F.col("key_first") | F.expr(LIVE) & ~F.col("_live"))
+    rows = rows.withColumn("outcome", F.coalesce("outcome", replay, F.when(F.col("event_first") & F.col("key_first"), "applied")))
+    return dead(rows).withColumn("outcome", F.coalesce("outcome", replay))
+
+
+def _step(rows: DataFrame, path: str) -> DataFrame:
+    """Stores the outcomes of a step beside the requests that stay open; of refused requests only the number is kept."""
+    kept = lambda c: F.when(F.coalesce(F.col("outcome") == "applied", F.lit(True)), F.col(c)).alias(c)
+    return stored(rows.select("request_no", *map(kept, ["event_id", "operation_key"]), "dead", "event_first", "key_first", "outcome"), path, ("outcome",))
 
 
-def _winners(requests: DataFrame) -> DataFrame:
-    """(request_no, outcome) of requests (request_no, event_id, operation_key, dead) taken in order, of events that can be reversed: `reversed`
-    where a request before it has reversed the event, else `replay` where its key is used (`dead`, or by one before it), else `applied`.
+def _settled(first: DataFrame, used: DataFrame) -> DataFrame:
+    """(request_no, event_id, operation_key, outcome) of requests taken in order: `reversed` where a request before it has reversed the event,
+    else `replay` where its key is used (`used`, or by one before it), else `applied`.
 
-    A request waits only while one before it that may still be applied has its event or key. In a round the first of each event and key is
-    applied, and what it decides is settled in the next; so rounds are few, however many requests share an event or a key.
+    `first` is what the events have settled; then steps by key and by event take turns. In a step a request learns whether one before it has
+    its key (or event), or may still get it; it is settled as soon as it knows both, and what it decides is settled in the next steps. So
+    steps are few, however many requests share an event or a key, and each shuffles the requests that are still open, once.
     """
-    columns = ["request_no", "event_id", "operation_key", "dead"]
-    open_, done, taken = cut(requests.select(*columns)), None, None
-    while not open_.isEmpty():
-        event_used = F.lit(False)
-        if taken is not None:
-            keys = taken.filter("by = 'op'").select(F.col("key").alias("operation_key"), F.lit(True).alias("_op"))
-            events = taken.filter("by = 'event'").select(F.col("key").cast("long").alias("event_id"), F.lit(True).alias("_event"))
-            open_ = open_.join(keys, "operation_key", "left").join(events, "event_id", "left").withColumn("dead", F.col("dead") | F.coalesce("_op", F.lit(False)))
-            event_used = F.coalesce("_event", F.lit(False))
-        open_ = open_.withColumn("event_used", event_used)
-        live = open_.filter("not dead and not event_used")
-        first = lambda c: live.filter(F.col(c).isNotNull()).groupBy(c).agg(F.min("request_no").alias(f"_first_{c}"))
-        told = open_.join(first("event_id"), "event_id", "left").join(first("operation_key"), "operation_key", "left")
-        wait = lambda c: F.coalesce(F.col(f"_first_{c}") < F.col("request_no"), F.lit(False))
-        what = F.when(F.col("event_used"), "reversed").when(~wait("event_id") & F.col("dead"), "replay").when(~wait("event_id") & ~wait("operation_key") & ~F.col("dead"), "applied")
-        told = cut(told.withColumn("outcome", what).select(*columns, "outcome"))
-        part = told.filter("outcome is not null").select("request_no", "outcome")
-        done = part if done is None else done.unionByName(part)
-        won = told.filter("outcome = 'applied'")
-        new = won.select(F.lit("event").alias("by"), F.col("event_id").cast("string").alias("key")).unionByName(won.filter("operation_key is not null").select(F.lit("op").alias("by"), F.col("operation_key").alias("key")))
-        taken = cut(new if taken is None else taken.unionByName(new))
-        open_ = told.filter("outcome is null").select(*columns)
-    return done if done is not None else requests.select("request_no", F.lit(None).cast("string").alias("outcome"))
+    path = _folder(first.sparkSession)
+    steps, turn = [_step(first, f"{path}/0")], 0
+    marker = F.col("outcome") == "applied"
+    while not steps[-1].filter("outcome is null").isEmpty():
+        last = steps[-1]
+        open_ = last.filter("outcome is null")
+        if turn % 2 == 0:
+            won = last.filter(marker & F.col("operation_key").isNotNull())
+            if turn == 0:
+                won = won.unionByName(used.select("operation_key", F.lit("applied").alias("outcome")), allowMissingColumns=True)
+            rows = _by_key(open_.filter("operation_key is not null").unionByName(won).withColumn("_told", marker.eqNullSafe(True)))
+            rest = open_.filter("operation_key is null").withColumn("_told", F.lit(False))
+            rows = rows.unionByName(rest, allowMissingColumns=True)
+        else:
+            rows = _by_event(open_.unionByName(last.filter(marker)).withColumn("_told", marker.eqNullSafe(True)))
+        steps.append(_step(rows.filter("not _told"), f"{path}/{turn + 1}"))
+        _drop_open(first.sparkSession, f"{path}/{turn}")
+        turn += 1
+    return reduce(DataFrame.unionByName, [s.filter("outcome is not null").select("request_no", "event_id", "operation_key", "outcome") for s in steps])
 
 
 def reverse_debt_events(requests: DataFrame, events: DataFrame, transactions: DataFrame, today: str) -> dict[str, DataFrame]:
@@ -49,14 +117,16 @@ def reverse_debt_events(requests: DataFrame, events: DataFrame, transactions: Da
     had a transaction, that one's opposite between the same accounts, with the account and delta that its balance moves by. Refused requests
     change nothing.
     """
-    known = events.select("event_id", "debt_id", "transaction_id", "event_type", "effect", "amount")
-    gone = events.filter("reversal_of_id is not null").select(F.col("reversal_of_id").alias("event_id")).distinct().withColumn("_gone", F.lit(True))
-    used = events.filter("operation_key is not null").select("operation_key").distinct().withColumn("_used", F.lit(True))
-    df = requests.select("request_no", "event_id", "operation_key").join(known, "event_id", "left").join(gone, "event_id", "left").join(used, "operation_key", "left")
-    early = F.when(F.col("debt_id").isNull(), "unknown").when(F.col("event_type") == "Correction", "correction").when(F.col("_gone"), "reversed")
-    df = cut(df.withColumn("_early", early).withColumn("dead", F.coalesce("_used", F.lit(False))))
-    told = cut(df.join(_winners(df.filter("_early is null")), "request_no", "left").withColumn("outcome", F.coalesce("_early", "outcome")))
-    won = told.filter("outcome = 'applied'")
+    keys = events.select("event_id", F.col("debt_id").isNotNull().alias("known"), F.coalesce(F.col("event_type") == "Correction", F.lit(False)).alias("correction"), F.lit(False).alias("gone"))
+    gone = events.filter("reversal_of_id is not null").select(F.col("reversal_of_id").alias("event_id"), F.lit(False).alias("known"), F.lit(False).alias("correction"), F.lit(True).alias("gone"))
+    facts = keys.unionByName(gone).groupBy("event_id").agg(*[F.max(c).alias(c) for c in ("known", "correction", "gone")])
+    early = F.when(~F.coalesce("known", F.lit(False)), "unknown").when(F.col("correction"), "correction").when(F.col("gone"), "reversed")
+    first = requests.select("request_no", "event_id", "operation_key").join(facts, "event_id", "left").withColumn("outcome", early)
+    no = F.lit(False)
+    first = _by_event(first.withColumn("dead", no).withColumn("event_first", no).withColumn("key_first", no))
+    told = _settled(first, events.filter("operation_key is not null").select("operation_key").distinct())
+    known = events.select("event_id", "debt_id", "transaction_id", "effect", "amount")
+    won = told.filter("outcome = 'applied'").drop("outcome").join(known, "event_id")
     tx = transactions.select(F.col("id").alias("transaction_id"), F.col("transaction_type").alias("_type"), F.col("account_from").alias("_from"), F.col("account_to").alias("_to"), F.col("description").alias("_words"))
     back = F.when(F.col("_type") == "Income", "Expense").otherwise("Income")
     cash = won.join(tx, "transaction_id").select("request_no", F.col("event_id").alias("reversal_of_event"), F.lit(today).cast("date").alias("date"), back.alias("transaction_type"), "amount", F.col("_to").alias("account_from"), F.col("_from").alias("account_to"),

@@ -138,7 +138,7 @@ def _debt_log(spark, d):
     one = debt_events(spark, d).groupBy("transaction_id", "line").agg(F.min("debt_id").alias("debt_id"), F.max("amount").alias("amount"), F.min("effect").alias("effect"), F.min("event_type").alias("event_type"))
     e = one.withColumn("event_id", F.col("transaction_id") * 8 + F.col("line")).withColumn("operation_key", F.lit(None).cast("string"))
     third = F.col("line") == 3
-    e = e.withColumn("reversal_of_id", F.when(third, F.col("transaction_id") * 8 + 2)).withColumn("event_type", F.when(third, "Correction").otherwise(F.col("event_type")))
+    e = V.stored(e.withColumn("reversal_of_id", F.when(third, F.col("transaction_id") * 8 + 2)).withColumn("event_type", F.when(third, "Correction").otherwise(F.col("event_type"))))
     n, c = F.col("event_id") + F.col("c"), F.col("event_id") * 2 + F.col("c")
     key = F.when(n % 3 == 0, F.concat(F.lit("k"), F.col("debt_id").cast("string"), F.lit("-"), (n % 40).cast("string"))).when(n % 3 == 1, F.concat(F.lit("u"), c.cast("string")))
     return e, e.select("event_id", "debt_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("c")).select(c.alias("request_no"), "event_id", key.alias("operation_key"))
