@@ -50,7 +50,7 @@ def held(folder):
     return sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(folder) for f in files)
 
 
-@pytest.mark.parametrize("part", ["outcomes"])
+@pytest.mark.parametrize("part", ["outcomes", "cash"])
 def test_little_stays_on_disk(spark, part):
     folder, n, was = shared(spark).removeprefix("file:"), 40_000, spark.conf.get(CLEANUP)
     before = held(folder)
