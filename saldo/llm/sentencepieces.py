@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +15,9 @@ from saldo.llm.common import pieces as row_ranges
 from saldo.llm.common import beside, spread, text_buffer
 
 MARK = "▁"
-#: Size of the words whose ids a worker keeps from batch to batch (characters, and OVERHEAD for each word); beyond it the table
-#: starts anew. Long words weigh as much as they take, so texts without spaces don't fill a worker.
+#: Size of the words whose ids a worker keeps from batch to batch (characters, and OVERHEAD for each word). At half of it the table
+#: becomes the older one and a new one begins, which takes over what is met again. Long words weigh as much as they take, so texts
+#: without spaces don't fill a worker.
 REMEMBERED, OVERHEAD = 6_000_000, 20
 #: Piece pairs whose separation a task keeps, and moves between the automaton's states.
 PAIRS, MOVES = 300_000, 300_000
@@ -68,17 +70,17 @@ class TrieEncoder:
 
     def __init__(self, table: PieceTable):
         self.t = table
-        self.apart: dict[int, bool] = {}
+        self.apart: dict[int, dict[int, bool]] = {}  # by piece, by the piece before it
+        self.pairs = 0
         self.names = {i: p for p, i in table.ids.items()}
         self.sizes = [1] * (max(self.names) + 2)  # by last piece; its last entry is for -1, an unknown character
         for i, p in self.names.items():
             self.sizes[i] = len(p)
-        self.codes = [array("i", [i]).tobytes() for i in range(len(self.sizes) - 1)]
-        self.byte_codes = [array("i", [i]).tobytes() for i in table.byte_ids]
         self.begins = {p[:k] for p in table.ids for k in range(len(p) + 1)}
         self.nodes: dict[str, tuple] = {}
         self.moves = 0
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.held = 0
 
     def merge(self, text: str) -> list[str]:
@@ -98,20 +100,23 @@ class TrieEncoder:
         """Whether the merges leave piece a before piece b apart."""
         x, y = self.names[a], self.names[b]
         ok = self.merge(x + y) == [x, y]
-        if len(self.apart) > PAIRS:
-            self.apart.clear()
-        self.apart[(a + 1) << 32 | b] = ok
+        if self.pairs >= PAIRS:
+            for pairs in self.apart.values():
+                pairs.clear()
+            self.pairs = 0
+        self.apart[b][a] = ok
+        self.pairs += 1
         return ok
 
     def _node(self, text: str) -> tuple:
-        """The automaton's node after `text`: (its moves, its pieces with their lengths, its string). For BPE only pieces that the merges build."""
+        """The automaton's node after `text`: (its moves, its pieces with their lengths and pairs, its string). For BPE only pieces that the merges build."""
         at = 0
         while text[at:] not in self.begins:
             at += 1
         text = text[at:]
         if text not in self.nodes:
             found = [(self.t.ids[text[k:]], len(text) - k) for k in range(len(text)) if text[k:] in self.t.ids]
-            self.nodes[text] = {}, [(c, n) for c, n in found if self.t.unigram or n == 1 or self.merge(self.names[c]) == [self.names[c]]], text
+            self.nodes[text] = {}, [(c, n, self.apart.setdefault(c, {})) for c, n in found if self.t.unigram or n == 1 or self.merge(self.names[c]) == [self.names[c]]], text
         return self.nodes[text]
 
     def _move(self, node: tuple, char: str) -> tuple:
@@ -124,9 +129,19 @@ class TrieEncoder:
         self.moves += 1
         return to
 
+    def learn(self, words: set[str]) -> None:
+        """Have all words in `memo`."""
+        if self.held > REMEMBERED // 2:
+            self.older, self.memo, self.held = self.memo, {}, 0
+        fresh = words - self.memo.keys()
+        self.held += sum(map(len, fresh)) + OVERHEAD * len(fresh)
+        met = fresh & self.older.keys()
+        self.memo.update(zip(met, map(self.older.__getitem__, met), strict=True))
+        self.encode_words(fresh - met)
+
     def encode_words(self, words) -> None:
         """Fill `memo` for all words."""
-        unigram, scores, apart, memo, sizes, codes = self.t.unigram, self.t.scores, self.apart.get, self.memo, self.sizes, self.codes
+        unigram, scores, memo, sizes, byte_ids = self.t.unigram, self.t.scores, self.memo, self.sizes, self.t.byte_ids
         worst = min(scores) - 10.0
         last, total, nodes = [-1], [0.0], [self._node("")]  # by prefix length: last piece (-1: none or unknown), score, node
         prev = ""
@@ -144,30 +159,27 @@ class TrieEncoder:
                 got = -1
                 if unigram:
                     best = total[end - 1] + worst
-                    for c, n in reversed(node[1]):
+                    for c, n, _ in reversed(node[1]):
                         if got < 0 or total[end - n] + scores[c] > best:
                             best, got = total[end - n] + scores[c], c
                     total.append(best)
                 else:
-                    for c, n in node[1]:
+                    for c, n, pairs in node[1]:
                         before = last[end - n]
-                        if before >= 0:
-                            ok = apart((before + 1) << 32 | c)
-                            if not (self._apart(before, c) if ok is None else ok):
-                                continue
-                        got = c
-                        break
+                        if before < 0 or (pairs[before] if before in pairs else self._apart(before, c)):
+                            got = c
+                            break
                 last.append(got)
             out, end = [], len(word)
             while end:
                 got = last[end]
                 if got < 0:
-                    out.extend(self.byte_codes[b] for b in reversed(word[end - 1].encode()))
+                    out.extend(byte_ids[b] for b in reversed(word[end - 1].encode()))
                 else:
-                    out.append(codes[got])
+                    out.append(got)
                 end -= sizes[got]
             out.reverse()
-            memo[word] = b"".join(out)
+            memo[word] = array("i", out).tobytes()
             prev = word
 
 
@@ -182,12 +194,7 @@ def _encode(batches, sent, keep_text, verify=False):
         _, at = text_buffer(col)
         for i, j in row_ranges(at, 1 << 20):
             split = [cut_words((MARK + x.replace(" ", MARK))) if x else [] for x in col.slice(i, j - i).to_pylist()]
-            if encoder.held > REMEMBERED:
-                encoder.memo.clear()
-                encoder.held = 0
-            fresh = {w for words in split for w in words} - encoder.memo.keys()
-            encoder.encode_words(fresh)
-            encoder.held += sum(map(len, fresh)) + OVERHEAD * len(fresh)
+            encoder.learn(set(chain.from_iterable(split)))
             get = encoder.memo.__getitem__
             rows = [b"".join(map(get, words)) for words in split]
             offs = np.concatenate([[0], np.cumsum([len(r) // 4 for r in rows])]).astype(np.int32)
